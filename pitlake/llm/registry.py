@@ -9,6 +9,7 @@ from .language_id import identify
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
 from .packing import pack
+from .quality import score_quality
 from .secret_scan import secret_scan
 
 
@@ -28,6 +29,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op6_near_dedup, op7_packing, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op5_quality, op6_near_dedup, op7_packing, op8_language_id)}
 ORACLES: dict[str, str] = {"op3_decontaminate": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents),
