@@ -5,9 +5,11 @@ candidates, a short sketch of further minima drops most false ones, and a link c
 full shingle sets confirm it. Components come from alternating large-star and small-star.
 
 Documents with equal shingle sets are one class, so a group of copies of any size is one row from the
-profile on. Inside a bucket no pairs of all members are made: members are compared with one centre,
-what that links is merged, and only members outside a bucket's largest component are compared with
-the rest, doubling numbers at a time. Pairs within one component need no check, so no component is lost.
+profile on. Inside a bucket no pairs of all members are made: members are compared with one centre and
+what that links is merged. A pair that is still apart then has a member outside the largest component of
+its bucket; such members are compared with that component and with each other in blocks of bounded size,
+inside the tasks, where only links leave a block. Pairs within one component need no check, so no
+component is lost.
 
 Chance that a pair at similarity 0.8 shares none of the 48 bands of 6 rows: (1 - 0.8**6)**48 < 5e-7.
 
@@ -30,7 +32,8 @@ from . import wordhash as wh
 from .components import connected_components
 from .workspace import Workspace
 
-SKETCH_BITS = 128
+#: Most classes, and most shingles on average, of either side of a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -43,18 +46,24 @@ class NearDedup:
     rows: int = 6
     short: bool = True
     seed: int = 7
-    #: A pair at the least similarity agrees on each sketch bit with chance (1 + s) / 2; the bound is 5.5 deviations below.
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
     @property
     def least_bits(self) -> int:
+        """Sketch bits (one of each minimum) that agree; a pair at the least similarity has fewer only 5.5 deviations off its mean."""
         p = (1 + self.percent / 100) / 2
-        return int(SKETCH_BITS * p - 5.5 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+        return int(self.minima * p - 5.5 * (self.minima * p * (1 - p)) ** 0.5)
 
 
 def _profile(spec: NearDedup):
     rng = np.random.default_rng(spec.seed)
     n = spec.bands * spec.rows
-    a = (rng.integers(0, 1 << 31, n + SKETCH_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
-    b = rng.integers(0, 1 << 32, n + SKETCH_BITS, dtype=np.uint64).astype(np.uint32)
+    a = (rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).astype(np.uint32)
+    b = rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+    wide = -(-n // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +74,7 @@ def _profile(spec: NearDedup):
                 m = hi - lo
                 count, fp = np.zeros(m, np.int64), np.zeros((2, m), np.uint64)
                 keys = np.zeros((m, spec.bands), np.uint64)
-                sketch = np.zeros((m, 2), np.uint64)
+                sketch = np.zeros((m, wide), np.uint64)
                 have = np.flatnonzero(np.diff(begin))
                 if len(have):
                     doc = np.repeat(np.arange(m), np.diff(begin))
@@ -82,17 +91,17 @@ def _profile(spec: NearDedup):
                     for band in range(spec.bands):
                         key = np.full(len(have), band, np.uint64)
                         for i in range(band * spec.rows, (band + 1) * spec.rows):
-                            key = wh.mix(key * np.uint64(31) + np.minimum.reduceat(x * a[i] + b[i], at))
+                            least = np.minimum.reduceat(x * a[i] + b[i], at).astype(np.uint64)
+                            key = wh.mix(key * np.uint64(31) + least)
+                            sketch[have, i // 64] |= (wh.mix(least) & np.uint64(1)) << np.uint64(i % 64)
                         keys[have, band] = key
-                    for i in range(SKETCH_BITS):
-                        bit = wh.mix(np.minimum.reduceat(x * a[n + i] + b[n + i], at).astype(np.uint64)) & np.uint64(1)
-                        sketch[have, i // 64] |= bit << np.uint64(i % 64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids[lo:hi], pa.array(count), *(pa.array(f.view(np.int64)) for f in fp), *(pa.array(np.ascontiguousarray(sketch[:, j]).view(np.int64)) for j in (0, 1)),
+                        ids[lo:hi], pa.array(count), *(pa.array(f.view(np.int64)) for f in fp),
+                        pa.ListArray.from_arrays(np.arange(0, m * wide + 1, wide, dtype=np.int32), pa.array(sketch.ravel().view(np.int64))),
                         pa.ListArray.from_arrays(np.arange(0, m * spec.bands + 1, spec.bands, dtype=np.int32), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "fp1", "fp2", "s1", "s2", "bands"],
+                    ["doc_id", "n_shingles", "fp1", "fp2", "sketch", "bands"],
                 )
 
     return run
@@ -122,71 +131,82 @@ def _confirm(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, spec: NearDedup, ws: Workspace) -> DataFrame:
-    """The candidate pairs (u, v) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = ws.save(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets(spec), "doc_id long, shingles binary"))
-    both = (
-        pairs.select("u", "v")
-        .join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a")), "u")
-        .join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b")), "v")
-        .select("u", "v", "a", "b")
-    )
-    links = ws.save(both.mapInArrow(_confirm(spec.percent), "u long, v long").distinct())
-    ws.drop(sets)
-    return links
+def _blocks(spec: NearDedup):
+    """Links between the two sides of a block, whose rows are (side, rep, component, sketch, shingles)."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        side, rep = rows.column("side").to_numpy(), rows.column("rep").to_numpy()
+        part = rows.column("component").to_numpy()
+        sketch = np.array(rows.column("sketch").to_pylist(), np.int64)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+        size = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        u, v = [], []
+        if len(left) and len(right):
+            agree = spec.minima - sum(np.bitwise_count((sketch[left, k][:, None] ^ sketch[right, k][None]).view(np.uint64)).astype(np.int64) for k in range(sketch.shape[1]))
+            small, large = np.minimum(size[left][:, None], size[right][None]), np.maximum(size[left][:, None], size[right][None])
+            maybe = (agree >= spec.least_bits) & (100 * small >= spec.percent * large) & (part[left][:, None] != part[right][None])
+            for i in np.flatnonzero(maybe.any(1)):
+                js = right[maybe[i]]
+                own = sets[left[i]]
+                # One search for all of a row's candidates: which of their shingles are its own.
+                flat = np.concatenate([sets[j] for j in js])
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                both = np.add.reduceat(own[at] == flat, np.concatenate([[0], np.cumsum(size[js])[:-1]]), dtype=np.int64)
+                linked = 100 * both >= spec.percent * (len(own) + size[js] - both)
+                u += [rep[left[i]]] * int(linked.sum())
+                v += rep[js[linked]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     ws = Workspace(docs.sparkSession, "near-dedup")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    profile = ws.save(docs.mapInArrow(_profile(spec), "doc_id long, n_shingles long, fp1 long, fp2 long, s1 long, s2 long, bands array<long>"))
+    profile = ws.save(docs.mapInArrow(_profile(spec), "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>, bands array<long>"))
     same = ["n_shingles", "fp1", "fp2"]
     usable = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = ws.save(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.first("s1").alias("s1"), F.first("s2").alias("s2")))
+    classes = ws.save(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
 
-    # Buckets of two classes at least, with what the sketch test needs.
-    entries = classes.select("rep", "n_shingles", "s1", "s2", F.explode("bands").alias("key"))
-    centres = entries.groupBy("key").agg(F.min(F.struct("rep", "n_shingles", "s1", "s2")).alias("c"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Buckets of two classes at least, each with its least class as centre.
+    entries = classes.select("rep", F.explode("bands").alias("key"))
+    centres = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = ws.save(entries.join(centres, "key"))
-
-    bits = lambda a, b: F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
-    alike = lambda a, b: (
-        (SKETCH_BITS - bits(a, b) >= spec.least_bits)
-        & (100 * F.least(f"{a}n_shingles", f"{b}n_shingles") >= spec.percent * F.greatest(f"{a}n_shingles", f"{b}n_shingles"))
-    )
-    pairs = buckets.where("rep <> c.rep").where(alike("", "c.")).select(F.col("c.rep").alias("u"), F.col("rep").alias("v")).distinct()
-    links = _confirmed(ws.save(pairs), docs, spec, ws)
-    members = buckets.select("key", "rep", "n_shingles", "s1", "s2")
+    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    # The merge hints keep the same plan at every size.
+    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(spec), "doc_id long, shingles binary")
+    sketches = classes.select(F.col("rep").alias("doc_id"), "sketch", "n_shingles")
+    sets = ws.save(sets.join(sketches.hint("merge"), "doc_id").where(F.length("shingles") == 8 * F.col("n_shingles")).dropDuplicates(["doc_id"]))
+
+    bits = spec.minima - F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    alike = (bits >= spec.least_bits) & (100 * F.least("a.n_shingles", "b.n_shingles") >= spec.percent * F.greatest("a.n_shingles", "b.n_shingles"))
+    pairs = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
+    both = pairs.join(sets.alias("a").hint("merge"), F.col("u") == F.col("a.doc_id")).join(sets.alias("b").hint("merge"), (F.col("v") == F.col("b.doc_id")) & alike)
+    links = ws.save(both.select("u", "v", "a.shingles", "b.shingles").toDF("u", "v", "a", "b").mapInArrow(_confirm(spec.percent), "u long, v long"))
     parts = connected_components(links, ws)
 
-    # Members outside the largest component of their bucket are compared with all others, more at a time each round.
-    step, tested = 32, None
-    while True:
-        placed = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        if tested is not None:
-            placed = placed.join(tested, ["key", "rep"], "left_anti")
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-        top = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("all"))
-        # One component left: nothing to compare. Those chosen are compared with every member of the bucket.
-        open_ = top.where("parts > 1").select("key", F.col("top.component").alias("main"))
-        minority = placed.join(open_, "key").where("component <> main")
-        per_key = minority.groupBy("key").agg(F.count("*").alias("out_n"))
-        # A share of the minority by hash, about ``step`` of a bucket; the smallest always is among them.
-        chosen = minority.join(per_key, "key").join(minority.groupBy("key").agg(F.min("rep").alias("least")), "key")
-        chosen = chosen.where((F.col("rep") == F.col("least")) | (F.pmod(F.xxhash64("rep", F.lit(step)), F.col("out_n")) < step))
-        chosen = ws.save(chosen.select("key", "rep", "n_shingles", "s1", "s2", "component"))
-        if chosen.isEmpty():
-            break
-        a, b = chosen.alias("a"), placed.alias("b")
-        pairs = a.join(b, "key").where("a.component <> b.component").where(alike("a.", "b."))
-        pairs = ws.save(pairs.select(F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct())
-        more = _confirmed(pairs, docs, spec, ws)
-        tested = ws.save(chosen.select("key", "rep") if tested is None else tested.union(chosen.select("key", "rep")))
-        links = ws.save(links.union(more))
-        parts = connected_components(links, ws)
-        step *= 2
+    # Where a bucket still has several components, its members outside the largest go with that one.
+    placed = buckets.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    outside = ws.save(placed.join(main, "key").where("component <> main").select(F.col("main").alias("g"), "rep", "component").distinct())
+    inside = parts.select(F.col("component").alias("g"), F.col("node").alias("rep"), "component").union(parts.select(F.col("component").alias("g"), F.col("component").alias("rep"), "component"))
+    groups = outside.select("g").distinct()
+    inside = inside.union(groups.select("g", F.col("g").alias("rep"), F.col("g").alias("component"))).distinct().join(groups, "g", "left_semi")
+    sided = outside.withColumn("side", F.lit(0)).union(inside.union(outside).withColumn("side", F.lit(1)))
+    sided = ws.save(sided.join(sketches.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep"))
+    chunks = sided.groupBy("g").agg(
+        *(F.greatest(F.ceil(F.count(F.when(F.col("side") == s, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n_shingles"))) / BLOCK_SHINGLES), F.lit(1)).alias(f"n{s}") for s in (0, 1))
+    )
+    sided = sided.drop("n_shingles").join(chunks, "g")
+    own, other = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+    spread = sided.withColumn("c", F.pmod(F.xxhash64("rep"), own)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    spread = spread.select("g", "side", "rep", "component", F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("o")).alias("i"), F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("c")).alias("j"))
+    blocks = spread.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "shingles").hint("merge"), "rep")
+    more = blocks.groupBy("g", "i", "j").applyInArrow(_blocks(spec), "u long, v long")
+    parts = connected_components(ws.save(links.union(more)), ws)
 
     of_class = classes.select(*same, "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     out = profile.select("doc_id", *same).join(of_class, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
