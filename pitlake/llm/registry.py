@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .language_id import identify
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
+from .neighbours import nearest
 from .packing import pack
 from .quality import score_quality
+from .repeats import remove_repeats
 from .secret_scan import secret_scan
 
 
@@ -29,6 +32,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,7 +52,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op5_quality, op6_near_dedup, op7_packing, op8_language_id)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op10_repeats)}
 ORACLES: dict[str, str] = {"op3_decontaminate": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents),
