@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from .decontaminate import contaminated
+from .katz import score_texts
 from .language_id import identify
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
@@ -54,6 +55,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op10_repeats, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op9_lm_score, op10_repeats, pipeline)}
 ORACLES: dict[str, str] = {"op3_decontaminate": r"""
 WITH w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS ws FROM documents),
