@@ -164,7 +164,8 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> np.ndarray
     marked = marked.where(~held_out(marked))
     n = marked.count()
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(min(1.0, spec.sample / max(n, 1)) * (1 << 20))
-    text = docs.where("doc_id is not null").where(~held_out(docs)).select("doc_id", "text").join(marked, "doc_id").select("text", "label", picked.alias("picked"))
+    # The hint keeps the same plan at every size.
+    text = docs.where("doc_id is not null").where(~held_out(docs)).select("doc_id", "text").join(marked.hint("merge"), "doc_id").select("text", "label", picked.alias("picked"))
     found = ws.save(text.mapInArrow(_labelled, "label int, x binary"))
     sums = found.where("label < 0").repartition(8, F.rand(3)).mapInArrow(_summed, "label int, x binary").coalesce(1).mapInArrow(_summed, "label int, x binary")
     counts = {r["label"]: np.frombuffer(bytes(r["x"]), np.int64) for r in sums.collect()}  # two rows
