@@ -143,12 +143,18 @@ class Group:
         spread = wh.mix(self.pair_ctx + np.where(hot, wh.mix(self.pair_w), np.uint64(0)))
         self.pair_bucket = (spread % np.uint64(self.buckets)).astype(np.int64)
         self.hot = np.unique(self.pair_ctx[hot])
+        # Contexts of unknown words alone: no pair asks for their weight.
+        lone = np.setdiff1d(ctx[(self.count[self.word_of] == 0) & ((before < 0) | (self.count[before] > 0))], self.pair_ctx)
+        lone_n = np.where(lone == BEGIN, self.uni.by_count[0], self.count[np.minimum(np.searchsorted(self.word, lone), len(self.word) - 1)]) if len(lone) else np.zeros(0)
+        lone_hot = lone_n > self.uni.tokens / (4 * self.buckets)
+        self.hot, lone = np.union1d(self.hot, lone[lone_hot]), lone[~lone_hot]
+        lone_bucket = (wh.mix(lone + np.uint64(0)) % np.uint64(self.buckets)).astype(np.int64)
         self.place: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         order = np.lexsort((self.pair_ctx, self.pair_bucket))
         cut = np.searchsorted(self.pair_bucket[order], np.arange(self.buckets + 1))
         for b in range(self.buckets):
             own = order[cut[b] : cut[b + 1]]
-            contexts = np.unique(np.concatenate([self.pair_ctx[own], self.hot]))
+            contexts = np.unique(np.concatenate([self.pair_ctx[own], self.hot, lone[lone_bucket == b]]))
             if len(contexts):
                 self.place[b] = (own, contexts)
 
