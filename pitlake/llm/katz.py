@@ -43,7 +43,7 @@ class Spec:
     """k: the highest discounted count."""
 
     k: int = 5
-    group_bytes: int = 16 << 20
+    group_bytes: int = 6 << 20
 
 
 def discounts(n: np.ndarray, k: int) -> np.ndarray:
@@ -105,7 +105,9 @@ class Group:
         if answers is not None:
             for kind, bucket, a, b in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "a", "b"))):
                 self.answers[kind][bucket] = (a, b)
-        self.word, self.word_of = np.unique(self.token, return_inverse=True)
+        self.word, of = np.unique(self.token, return_inverse=True)
+        self.word_of = of.astype(np.int32)
+        del self.token
         self.word_bucket = (self.word % np.uint64(buckets)).astype(np.int64)
 
     def asked_words(self, mp: int) -> Iterator[tuple]:
@@ -124,15 +126,18 @@ class Group:
     def pairs(self) -> None:
         """Distinct pairs whose words are both known: bucket by bucket, by context."""
         self.count = self.counts()
-        before = np.empty(len(self.token), np.int64)  # index of the word before, or -1
+        before = np.empty(len(self.word_of), np.int32)  # index of the word before, or -1
         before[1:] = self.word_of[:-1]
         before[self.begin[:-1]] = -1
         self.before = before
         ctx = np.where(before >= 0, self.word[before], BEGIN)
         known = (self.count[self.word_of] > 0) & ((before < 0) | (self.count[before] > 0))
         wide = len(self.word) + 1
-        code = np.where(known, (before + 1) * wide + self.word_of, -1)
-        self.pair, first, self.pair_of, _ = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        code = np.where(known, (before.astype(np.int64) + 1) * wide + self.word_of, -1)
+        lone_ctx = np.unique(ctx[(self.count[self.word_of] == 0) & ((before < 0) | (self.count[before] > 0))])
+        self.pair, first, of = np.unique(code, return_index=True, return_inverse=True)
+        self.pair_of = of.astype(np.int32)
+        del code, known, of
         self.pair_n = np.bincount(self.pair_of, self.learned, len(self.pair)).astype(np.uint32)
         self.skip = int(len(self.pair) and self.pair[0] < 0)  # the first entry stands for unknown pairs
         at = first[self.skip :]
@@ -144,7 +149,7 @@ class Group:
         self.pair_bucket = (spread % np.uint64(self.buckets)).astype(np.int64)
         self.hot = np.unique(self.pair_ctx[hot])
         # Contexts of unknown words alone: no pair asks for their weight.
-        lone = np.setdiff1d(ctx[(self.count[self.word_of] == 0) & ((before < 0) | (self.count[before] > 0))], self.pair_ctx)
+        lone = np.setdiff1d(lone_ctx, self.pair_ctx)
         lone_n = np.where(lone == BEGIN, self.uni.by_count[0], self.count[np.minimum(np.searchsorted(self.word, lone), len(self.word) - 1)]) if len(lone) else np.zeros(0)
         lone_hot = lone_n > self.uni.tokens / (4 * self.buckets)
         self.hot, lone = np.union1d(self.hot, lone[lone_hot]), lone[~lone_hot]
