@@ -2,5 +2,529 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pitlake.functions import columns as C
+from pitlake.functions import trading as T
+from pitlake.operators import aggregates, asof, crosssection, evaluate, fundamentals, quality, risk
+from pitlake.operators import windows as W
+from pitlake.plans import views
+from pitlake.plans.views import CROSS, MARKET, PANEL, cross_section, panel, table
+
+FLAGSHIP = "market_regime"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; the last places depend on the order of additions."""
+    return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+# Windows and market state
+
+
+@query(f"""WITH {PANEL},
+p AS (SELECT *, CASE WHEN count(close) OVER w >= 10 THEN avg(close) OVER w END AS average FROM panel
+      WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS 19 PRECEDING)),
+d AS (SELECT trade_date, avg(CASE WHEN daily_return IS NOT NULL THEN greatest(-0.12, least(0.12, daily_return)) END) AS market_return,
+             avg(CAST(coalesce(close > average, FALSE) AS INTEGER)) AS breadth, avg(CAST(daily_return > 0 AS INTEGER)) AS up_share, count(DISTINCT code) AS names
+      FROM p GROUP BY 1),
+i AS (SELECT *, exp(sum(ln(1 + coalesce(market_return, 0))) OVER (ORDER BY trade_date)) AS market_index FROM d),
+f AS (SELECT *,
+        CASE WHEN count(market_index) OVER (ORDER BY trade_date ROWS 59 PRECEDING) >= 30 THEN avg(market_index) OVER (ORDER BY trade_date ROWS 59 PRECEDING) END AS average_60,
+        market_index / lag(market_index, 20) OVER (ORDER BY trade_date) - 1 AS return_20,
+        CASE WHEN count(market_return) OVER (ORDER BY trade_date ROWS 19 PRECEDING) >= 10 THEN stddev_samp(market_return) OVER (ORDER BY trade_date ROWS 19 PRECEDING) * sqrt(244) END AS volatility_20,
+        CASE WHEN count(up_share) OVER (ORDER BY trade_date ROWS 4 PRECEDING) >= 5 THEN avg(up_share) OVER (ORDER BY trade_date ROWS 4 PRECEDING) END AS up_5,
+        market_index / max(market_index) OVER (ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1 AS drawdown FROM i)
+SELECT trade_date, round(market_return, 6) + 0.0 AS market_return, round(breadth, 6) + 0.0 AS breadth, round(up_share, 6) + 0.0 AS up_share, names,
+       round(market_index, 6) + 0.0 AS market_index, round(average_60, 6) + 0.0 AS average_60, round(return_20, 6) + 0.0 AS return_20, round(volatility_20, 6) + 0.0 AS volatility_20,
+       round(up_5, 6) + 0.0 AS up_5, round(drawdown, 6) + 0.0 AS drawdown,
+       CASE WHEN return_20 <= -0.12 AND breadth <= 0.3 THEN 'crash' WHEN market_index / average_60 - 1 < 0 AND breadth < 0.4 THEN 'bear'
+            WHEN market_index / average_60 - 1 > 0 AND breadth > 0.55 THEN 'bull' WHEN market_index / average_60 - 1 > 0 THEN 'neutral' ELSE 'defensive' END AS regime
+FROM f""")
+def market_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.market_regime(panel(spark, sf_dir)))
+
+
+@query(f"""WITH {PANEL}, {MARKET},
+j AS (SELECT code, trade_date, daily_return AS r, market_return AS m FROM panel JOIN market USING (trade_date))
+SELECT code, trade_date, round(CASE WHEN count(r + m) OVER w >= 60 THEN covar_samp(r, m) OVER w / var_samp(CASE WHEN r IS NOT NULL THEN m END) OVER w END, 6) AS beta
+FROM j WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS 119 PRECEDING)""")
+def rolling_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    j = p.join(views.market(p), "trade_date")
+    return rounded(j.select("code", "trade_date", W.rolling_beta(F.col("daily_return"), F.col("market_return"), W.series("code"), 120, 60).alias("beta")))
+
+
+@query(f"""WITH {PANEL}
+SELECT code, trade_date, round(close / lag(close, 20) OVER w - 1, 6) AS momentum_20, round(close / lag(close, 60) OVER w - 1, 6) AS momentum_60,
+       round(lag(close, 20) OVER w / lag(close, 252) OVER w - 1, 6) AS momentum_252_skip_20
+FROM panel WHERE close IS NOT NULL WINDOW w AS (PARTITION BY code ORDER BY trade_date)""")
+def lag_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, w, c = panel(spark, sf_dir).where("close is not null"), W.series("code"), F.col("close")
+    skip = F.lag(c, 20).over(w) / F.lag(c, 252).over(w) - 1
+    return rounded(p.select("code", "trade_date", W.row_return(c, w, 20).alias("momentum_20"), W.row_return(c, w, 60).alias("momentum_60"), skip.alias("momentum_252_skip_20")))
+
+
+@query(f"""WITH {PANEL},
+b AS (SELECT code, trade_date, close, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k FROM panel WHERE close IS NOT NULL),
+t AS (SELECT code, trade_date, close / max(close) OVER (PARTITION BY code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM b WHERE k <= 120)
+SELECT code, round(min(dd), 6) AS drawdown_120 FROM t GROUP BY code HAVING count(*) >= 20""")
+def trailing_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir).where("close is not null")
+    at = p.withColumn("drawdown_120", W.trailing_drawdown(F.col("close"), W.series("code"), 120, 20))
+    last = asof.latest_per_group(at, ["code"], [F.desc("trade_date")])
+    return rounded(last.where("drawdown_120 is not null").select("code", "drawdown_120"))
+
+
+@query(f"""WITH {PANEL},
+b AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k FROM panel)
+SELECT code, round(avg(CASE WHEN k <= 60 THEN amount END), 4) AS amount_60, round(stddev_samp(CASE WHEN k <= 120 THEN daily_return END) * sqrt(244), 6) AS volatility_120,
+       round(median(CASE WHEN k <= 20 THEN volume END), 4) AS median_volume_20
+FROM b WHERE k <= 120 GROUP BY code""")
+def liquidity_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("trade_date")))
+    rows = W.tail(panel(spark, sf_dir), 120).withColumn("k", back)
+    upto = lambda n, c: F.when(F.col("k") <= n, F.col(c))
+    return rows.groupBy("code").agg(
+        F.round(F.avg(upto(60, "amount")), 4).alias("amount_60"), F.round(F.stddev_samp(upto(120, "daily_return")) * F.sqrt(F.lit(244.0)), 6).alias("volatility_120"),
+        F.round(F.median(upto(20, "volume")), 4).alias("median_volume_20"),
+    )
+
+
+@query("""SELECT CAST(date_trunc('week', CAST(l_shipdate AS DATE) + INTERVAL 2 DAY) - INTERVAL 2 DAY AS DATE) AS week, max(CAST(l_shipdate AS DATE)) AS model_date
+FROM lineitem GROUP BY 1""")
+def week_end_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.week_ends(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")))
+
+
+@query("""WITH c AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS trade_date FROM lineitem),
+n AS (SELECT trade_date, lead(trade_date) OVER (ORDER BY trade_date) AS nxt, row_number() OVER (ORDER BY trade_date) - 1 AS k FROM c)
+SELECT trade_date, k % 5 = 0 AS every_n, coalesce(isoyear(trade_date) <> isoyear(nxt) OR week(trade_date) <> week(nxt), TRUE) AS week_end,
+       coalesce(date_trunc('month', trade_date) <> date_trunc('month', nxt), TRUE) AS month_end FROM n""")
+def rebalance_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.rebalance_flags(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")), 5)
+
+
+def weekly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean return of each code in each week, dated by the week's last day."""
+    p = panel(spark, sf_dir)
+    ends = W.week_ends(p)
+    r = p.withColumn("week", W.week_key(F.col("trade_date"))).groupBy("week", "code").agg(F.avg("daily_return").alias("specific_return"))
+    return r.join(F.broadcast(ends), "week").drop("week")  # a row a week
+
+
+WEEKLY = f"""{PANEL},
+k AS (SELECT *, CAST(date_trunc('week', trade_date + INTERVAL 2 DAY) - INTERVAL 2 DAY AS DATE) AS week FROM panel),
+ends AS (SELECT week, max(trade_date) AS model_date FROM k GROUP BY 1),
+weekly AS (SELECT model_date, code, avg(daily_return) AS specific_return FROM k JOIN ends USING (week) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {WEEKLY},
+n AS (SELECT *, dense_rank() OVER (ORDER BY model_date) AS p, CASE WHEN specific_return IS NOT NULL THEN ln(1 + greatest(-0.95, least(10, specific_return))) END AS r FROM weekly),
+f AS (SELECT model_date, code, exp(sum(r) OVER w) - 1 AS momentum, count(r) OVER w AS observations, min(model_date) OVER w AS source_start, max(model_date) OVER w AS source_end
+      FROM n WINDOW w AS (PARTITION BY code ORDER BY p RANGE BETWEEN 52 PRECEDING AND 5 PRECEDING))
+SELECT model_date, code, round(ln(1 + momentum), 6) AS log_momentum, observations, source_start, source_end FROM f WHERE observations >= 26""")
+def residual_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.residual_momentum(weekly_returns(spark, sf_dir), 52, 4, 26)
+    return rounded(out.withColumn("momentum", F.log1p("momentum")).withColumnRenamed("momentum", "log_momentum"))
+
+
+@query(f"""WITH {WEEKLY},
+c AS (SELECT code, model_date, specific_return - avg(specific_return) OVER (PARTITION BY code) AS c, specific_return AS v FROM weekly WHERE specific_return IS NOT NULL),
+l AS (SELECT *, c * lag(c, 1) OVER w AS l1, c * lag(c, 2) OVER w AS l2, c * lag(c, 3) OVER w AS l3, c * lag(c, 4) OVER w AS l4 FROM c WINDOW w AS (PARTITION BY code ORDER BY model_date)),
+g AS (SELECT code, count(*) AS n, avg(v) AS mean, (sum(c * c) + 2 * (0.8 * sum(l1) + 0.6 * sum(l2) + 0.4 * sum(l3) + 0.2 * sum(l4))) / count(*) AS var FROM l GROUP BY 1)
+SELECT code, n, round(mean, 6) AS mean, round(CASE WHEN n >= 4 AND var > 0 THEN mean / sqrt(var / n) END, 4) AS t FROM g""")
+def hac_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = W.hac_t(weekly_returns(spark, sf_dir), "specific_return", ["code"], "model_date", 4)
+    return out.select("code", "n", F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"))
+
+
+@query(f"""WITH {PANEL}, {MARKET},
+j AS (SELECT code, daily_return AS r, market_return AS m, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS age
+      FROM panel JOIN market USING (trade_date) WHERE daily_return IS NOT NULL AND market_return IS NOT NULL),
+k AS (SELECT *, pow(0.5, (age - 1) / 63.0) AS w FROM j WHERE age <= 252),
+a AS (SELECT code, sum(w * m) / sum(w) AS mx, sum(w * r) / sum(w) AS my, count(*) AS n FROM k GROUP BY 1)
+SELECT code, round(sum(w * (m - mx) * (r - my)) / sum(w * (m - mx) * (m - mx)), 5) AS beta, any_value(n) AS n FROM k JOIN a USING (code) GROUP BY 1 HAVING any_value(n) >= 126""")
+def ewma_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    return rounded(W.ewma_beta(p.join(views.market(p), "trade_date"), "daily_return", "market_return", 252, 63, 126), 5)
+
+
+@query(f"""WITH {PANEL}, g AS (SELECT code, trade_date, daily_return AS gap, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k FROM panel WHERE daily_return IS NOT NULL AND abs(daily_return) <= 0.9),
+s AS (SELECT code, count(*) AS n, quantile_cont(gap, 0.2) AS lo, quantile_cont(gap, 0.5) AS mid, quantile_cont(gap, 0.8) AS hi FROM g WHERE k <= 252 GROUP BY 1),
+d AS (SELECT trade_date, quantile_cont(gap, 0.2) AS lo, quantile_cont(gap, 0.5) AS mid, quantile_cont(gap, 0.8) AS hi FROM g GROUP BY 1 ORDER BY trade_date DESC LIMIT 60),
+m AS (SELECT median(lo) AS lo, median(mid) AS mid, median(hi) AS hi FROM d)
+SELECT code, n, round(r * s.lo + (1 - r) * m.lo, 5) AS low_gap, round(r * s.mid + (1 - r) * m.mid, 5) AS mid_gap, round(r * s.hi + (1 - r) * m.hi, 5) AS high_gap
+FROM (SELECT *, n / (n + 40.0) * least(1.0, n / 60.0) AS r FROM s) s, m""")
+def opening_gap_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir).where("daily_return is not null and abs(daily_return) <= 0.9")
+    qs = F.array(F.lit(0.2), F.lit(0.5), F.lit(0.8))
+    own = W.tail(p, 252).groupBy("code").agg(F.count("*").alias("n"), F.percentile("daily_return", qs).alias("q"))
+    days = p.groupBy("trade_date").agg(F.percentile("daily_return", qs).alias("q")).orderBy(F.desc("trade_date")).limit(60)
+    whole = days.agg(*[F.median(F.col("q")[i]).alias(f"m{i}") for i in range(3)])
+    r = F.col("n") / (F.col("n") + 40.0) * F.least(F.lit(1.0), F.col("n") / 60.0)
+    out = own.crossJoin(F.broadcast(whole))  # one row
+    return out.select("code", "n", *[F.round(r * F.col("q")[i] + (1 - r) * F.col(f"m{i}"), 5).alias(name) for i, name in enumerate(("low_gap", "mid_gap", "high_gap"))])
+
+
+# Point-in-time joins
+
+
+@query("""WITH r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT event_id, l.user_id, l.ts, round(r.value, 6) AS value, r.ts AS ts_asof FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def asof_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    left = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    right = e.where("event_type = 'view'").select("user_id", F.col("ts").alias("ts"), "value")
+    out = asof.asof_join(left, right, ["user_id"], "ts", "ts", ["value"])
+    return rounded(out.select("event_id", "user_id", "ts", "value", "ts_asof"))
+
+
+@query("""WITH r AS (SELECT o_custkey, CAST(o_orderdate AS DATE) AS d, max(o_totalprice) AS price FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+l AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'O'),
+j AS (SELECT l.o_orderkey, l.o_custkey, l.d, r.price, r.d AS rd FROM l ASOF LEFT JOIN r ON l.o_custkey = r.o_custkey AND l.d > r.d)
+SELECT o_orderkey, o_custkey, d, round(CASE WHEN d - rd <= 90 THEN price END, 4) AS price, CASE WHEN d - rd <= 90 THEN rd END AS d_asof FROM j""")
+def staleness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("d", F.to_date("o_orderdate"))
+    left = o.where("o_orderstatus = 'O'").select("o_orderkey", "o_custkey", "d")
+    right = o.where("o_orderstatus = 'F'").select("o_custkey", "d", F.col("o_totalprice").alias("price"))
+    return rounded(asof.asof_join(left, right, ["o_custkey"], "d", "d", ["price"], max_days=90, strict=True), 4)
+
+
+@query("""SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS o_orderdate, round(o_totalprice, 4) AS o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+def latest_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = asof.latest_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    return rounded(out.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice"), 4)
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year-to-date sums of each customer's orders by quarter, available at the quarter's last order."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"), "o_totalprice", F.to_date("o_orderdate").alias("d"))
+    q = o.groupBy("code", "year", "quarter").agg(F.sum("o_totalprice").alias("q"), F.max("d").alias("available"))
+    w = Window.partitionBy("code", "year").orderBy("quarter").rowsBetween(Window.unboundedPreceding, 0)
+    return q.select("code", "year", "quarter", F.sum("q").over(w).alias("revenue"), "available")
+
+
+STATEMENTS = """
+q AS (SELECT o_custkey AS code, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, sum(o_totalprice) AS q, max(CAST(o_orderdate AS DATE)) AS available FROM orders GROUP BY 1, 2, 3),
+s AS (SELECT code, year, quarter, sum(q) OVER (PARTITION BY code, year ORDER BY quarter ROWS UNBOUNDED PRECEDING) AS revenue, available FROM q),
+ttm AS (
+  SELECT s.code, s.year, s.quarter, s.available, CASE WHEN s.quarter = 4 THEN s.revenue ELSE s.revenue + a.revenue - b.revenue END AS revenue_ttm,
+         CASE WHEN s.quarter = 4 THEN s.available WHEN a.available IS NOT NULL AND b.available IS NOT NULL THEN greatest(s.available, a.available, b.available) END AS ttm_available
+  FROM s LEFT JOIN s a ON a.code = s.code AND a.year + 1 = s.year AND a.quarter = 4 LEFT JOIN s b ON b.code = s.code AND b.year + 1 = s.year AND b.quarter = s.quarter)"""
+
+
+@query(f"""WITH {STATEMENTS}
+SELECT t.code, t.year, t.quarter, round(t.revenue_ttm, 2) AS revenue_ttm, t.ttm_available,
+       round(CASE WHEN abs(b.revenue_ttm) > 1e-12 THEN (t.revenue_ttm - b.revenue_ttm) / abs(b.revenue_ttm) END, 6) AS revenue_ttm_growth,
+       CASE WHEN t.ttm_available IS NOT NULL AND b.ttm_available IS NOT NULL THEN greatest(t.ttm_available, b.ttm_available) END AS growth_available
+FROM ttm t LEFT JOIN ttm b ON b.code = t.code AND b.year + 1 = t.year AND b.quarter = t.quarter""")
+def ttm_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ttm = fundamentals.trailing_twelve_months(statements(spark, sf_dir), "code", "year", "quarter", 4, ["revenue"], "available")
+    out = fundamentals.growth(ttm, "code", "year", "quarter", "revenue_ttm", "ttm_available")
+    return out.select("code", "year", "quarter", F.round("revenue_ttm", 2).alias("revenue_ttm"), "ttm_available", F.round("revenue_ttm_growth", 6).alias("revenue_ttm_growth"), "growth_available")
+
+
+@query("""WITH b AS (SELECT l_suppkey AS code, CAST(year(l_shipdate) AS INTEGER) AS year, round(sum(l_extendedprice), 2) AS shipped FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+i AS (SELECT o_custkey AS code, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice), 2) AS ordered FROM orders GROUP BY 1, 2)
+SELECT code, year, shipped, ordered FROM b FULL JOIN i USING (code, year)""")
+def union_keys_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("code"), F.year("l_shipdate").alias("year")).agg(F.round(F.sum("l_extendedprice"), 2).alias("shipped"))
+    i = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("code"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("ordered"))
+    return fundamentals.consolidate([b, i], ["code", "year"])
+
+
+@query(f"""WITH {STATEMENTS},
+c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders),
+e AS (SELECT s.code, s.year * 10 + s.quarter AS period, s.revenue, (SELECT min(d) FROM c WHERE d > s.available) AS effective FROM s),
+m AS (SELECT max(d) AS model_date FROM c GROUP BY date_trunc('month', d)),
+x AS (SELECT m.model_date, e.code, max(struct_pack(period := e.period, effective := e.effective, revenue := e.revenue)) AS best FROM m JOIN e ON e.effective <= m.model_date GROUP BY 1, 2)
+SELECT model_date, code, best.period AS period, round(best.revenue, 2) AS revenue FROM x""")
+def financial_pit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Newest period effective at each month's last day, effective strictly after it became available."""
+    s = statements(spark, sf_dir).withColumn("period", F.col("year") * 10 + F.col("quarter"))
+    calendar = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("trade_date"))
+    effective = asof.next_trading_day(s, "available", calendar)
+    months = calendar.groupBy(F.trunc("trade_date", "MM").alias("m")).agg(F.max("trade_date").alias("model_date")).select("model_date")
+    grid = s.select("code").distinct().crossJoin(F.broadcast(months))  # a date for each month
+    out = asof.newest_period_asof(grid, effective, ["code"], "model_date", "effective_date", "period", ["revenue"])
+    return out.where("period is not null").select("model_date", "code", "period", F.round("revenue", 2).alias("revenue"))
+
+
+@query("""SELECT (SELECT count(*) FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS matched,
+(SELECT count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) AS left_only,
+(SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders) o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)) AS right_only""")
+def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"))
+    return asof.coverage(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("code")).distinct(), ["code"])
+
+
+# Exchange rules
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as trades: a code on some board, a side, shares, value and day (a fee schedule's span later)."""
+    o = table(spark, sf_dir, "orders")
+    prefix = F.element_at(F.array(*[F.lit(x) for x in ("600", "000", "300", "688", "920")]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return o.select(
+        "o_orderkey", F.concat(prefix, F.lpad((F.col("o_custkey") % 1000).cast("string"), 3, "0")).alias("code"), F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("side"),
+        F.col("o_totalprice").alias("gross"), F.floor(F.col("o_totalprice") / 10).cast("long").alias("shares"), F.add_months(F.to_date("o_orderdate"), 12 * 16).alias("day"),
+    )
+
+
+ORDERS = """
+o AS (SELECT o_orderkey, ['600', '000', '300', '688', '920'][o_orderkey % 5 + 1] || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS code,
+      CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice AS gross, CAST(floor(o_totalprice / 10) AS BIGINT) AS shares,
+      CAST(CAST(o_orderdate AS DATE) + INTERVAL 16 YEAR AS DATE) AS day FROM orders)"""
+
+_SCHEDULE = ", ".join(f"('{c}', DATE '{a}', DATE '{b or '9999-12-31'}', {r:.10f})" for c, a, b, r in T.FEES)
+
+
+@query(f"""WITH {ORDERS}, fee(component, a, b, rate) AS (VALUES {_SCHEDULE}),
+x AS (SELECT *, CASE WHEN code LIKE '920%' THEN 'BSE' WHEN code LIKE '6%' THEN 'SH' ELSE 'SZ' END AS ex FROM o),
+g AS (SELECT o_orderkey, any_value(gross) AS gross, any_value(shares) AS shares, any_value(ex) AS ex, any_value(day) AS day,
+        coalesce(sum(CASE WHEN component = 'regulatory' OR (component = 'stamp' AND side = 'SELL') OR component IN ('handling_' || ex, 'transfer_' || ex) THEN fee.rate END), 0) AS rate0,
+        coalesce(sum(CASE WHEN component = 'par_SH' AND ex = 'SH' THEN fee.rate END), 0) AS par
+      FROM x JOIN fee ON day BETWEEN a AND b GROUP BY o_orderkey),
+r AS (SELECT *, rate0 + CASE WHEN ex = 'BSE' AND day < DATE '2021-11-15' THEN 0.000125 ELSE 0 END AS rate FROM g)
+SELECT o_orderkey, round(gross * rate + par * shares + greatest(gross * 0.0003, 5.0), 4) AS cost FROM r""")
+def fee_schedule_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = order_rows(spark, sf_dir)
+    return rounded(o.select("o_orderkey", T.trade_cost(F.col("gross"), F.col("side"), F.col("code"), F.col("day"), F.col("shares"), 0.0003, 5.0).alias("cost")), 4)
+
+
+@query(f"""WITH {ORDERS}, b AS (SELECT *, CASE WHEN code LIKE '688%' THEN 'STAR' WHEN code LIKE '300%' THEN 'CHINEXT' WHEN code LIKE '920%' THEN 'BSE' ELSE 'MAIN' END AS board, gross / (shares + 1) AS price FROM o),
+l AS (SELECT *, CASE WHEN board = 'STAR' THEN 200 ELSE 100 END AS low, CASE WHEN board IN ('STAR', 'BSE') THEN 1 ELSE 100 END AS step FROM b)
+SELECT o_orderkey, board, CAST(CASE WHEN shares >= low THEN low + floor((shares - low) / step) * step ELSE 0 END AS BIGINT) AS legal,
+       round(CASE WHEN side = 'BUY' THEN ceil(price / 0.01 - 1e-10) ELSE floor(price / 0.01 + 1e-10) END * 0.01, 2) AS tick,
+       CAST(CASE board WHEN 'BSE' THEN 0.3 WHEN 'STAR' THEN 0.2 WHEN 'CHINEXT' THEN CASE WHEN day >= DATE '2020-08-24' THEN 0.2 ELSE 0.1 END ELSE 0.1 END AS DOUBLE) AS limit_rate
+FROM l""")
+def lot_and_tick_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = order_rows(spark, sf_dir).withColumn("price", F.col("gross") / (F.col("shares") + 1))
+    code = F.col("code")
+    return o.select("o_orderkey", T.board(code).alias("board"), T.legal_shares(code, F.col("shares")).alias("legal"), T.tick_price(F.col("price"), F.col("side")).alias("tick"), T.limit_rate(code, F.col("day"), F.lit(False)).alias("limit_rate"))
+
+
+@query("""WITH d AS (SELECT o_custkey, avg(o_totalprice) AS a FROM orders GROUP BY 1),
+t AS (SELECT o_orderpriority, o_totalprice AS g, a * 50 AS aa FROM orders JOIN d USING (o_custkey))
+SELECT o_orderpriority, count(*) AS orders, round(avg(g), 4) AS mean_order, round(median(g), 4) AS median_order, count(*) FILTER (g * 0.00001 < 1) AS minimum_hits, round(avg(CAST(g * 0.00001 < 1 AS INTEGER)), 6) AS minimum_share,
+       round(sum(greatest(g * 0.00001, 1.0)), 4) AS commission, round(quantile_cont(g / aa, 0.95), 6) AS participation_p95, round(max(g / aa), 6) AS participation_max
+FROM t GROUP BY 1""")
+def trade_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    a = o.groupBy("o_custkey").agg((F.avg("o_totalprice") * 50).alias("avg_amount"))
+    t = o.join(a, "o_custkey").select("o_orderpriority", F.col("o_totalprice").alias("gross_amount"), "avg_amount")
+    out = aggregates.trade_metrics(t, 0.00001, 1.0, ["o_orderpriority"])
+    return out.select(*[F.round(c, 6 if "share" in c or "part" in c else 4).alias(c) if kind == "double" else F.col(c) for c, kind in out.dtypes])
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey, o_totalprice AS g, sum(o_totalprice) OVER (PARTITION BY o_custkey) * 0.5 AS need FROM orders),
+r AS (SELECT *, coalesce(sum(g) OVER (PARTITION BY o_custkey ORDER BY g DESC, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY o_custkey ORDER BY g DESC, o_orderkey) AS k FROM t)
+SELECT o_custkey, o_orderkey, CAST(k AS INTEGER) AS k, round(before, 4) AS before FROM r WHERE before < need AND k <= 4""")
+def sparse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest orders first until half of the customer's value is reached, four at most (a parameter of the selection)."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("gross"))
+    from pitlake.operators.portfolio import sparse_selection
+
+    need = o.withColumn("required", F.sum("gross").over(Window.partitionBy("o_custkey")) * 0.5)
+    return rounded(sparse_selection(need, ["o_custkey"], "gross", "o_orderkey", "required", 4).select("o_custkey", "o_orderkey", "k", "before"), 4)
+
+
+# Cross-sections
+
+
+@query(f"""WITH {CROSS}, m AS (SELECT date, median(amount) AS mid, quantile_cont(amount, 0.01) AS q1, quantile_cont(amount, 0.99) AS q99 FROM cross_section GROUP BY 1),
+d AS (SELECT date, median(abs(amount - mid)) AS mad FROM cross_section JOIN m USING (date) GROUP BY 1)
+SELECT code, date, round(greatest(CASE WHEN mad > 1e-12 THEN mid - 3 * 1.4826 * mad ELSE q1 END, least(CASE WHEN mad > 1e-12 THEN mid + 3 * 1.4826 * mad ELSE q99 END, amount)), 3) AS amount
+FROM cross_section JOIN m USING (date) JOIN d USING (date)""")
+def winsor_mad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(crosssection.winsorise_mad(cross_section(spark, sf_dir).select("code", "date", "amount"), "amount", ["date"]).select("code", "date", "amount"), 3)
+
+
+@query(f"""WITH {CROSS}, m AS (SELECT date, median(amount) AS mid, avg(amount) AS a, stddev_samp(amount) AS sd, count(amount) AS n FROM cross_section GROUP BY 1),
+d AS (SELECT date, median(abs(amount - mid)) AS mad FROM cross_section JOIN m USING (date) GROUP BY 1)
+SELECT code, date, round(CASE WHEN m.n >= 20 THEN greatest(-5.0, least(5.0, CASE WHEN mad > 1e-12 THEN (amount - mid) / (1.4826 * mad) WHEN sd > 1e-12 THEN (amount - a) / sd END)) END, 5) AS z
+FROM cross_section JOIN m USING (date) JOIN d USING (date)""")
+def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(crosssection.robust_z(cross_section(spark, sf_dir).select("code", "date", "amount"), "amount", ["date"], "z").select("code", "date", "z"), 5)
+
+
+@query(f"""WITH {CROSS}, z AS (SELECT code, date, count(size) OVER g AS ng, (size - avg(size) OVER g) / CASE WHEN stddev_samp(size) OVER g > 1e-12 THEN stddev_samp(size) OVER g END AS zg,
+   (size - avg(size) OVER d) / CASE WHEN stddev_samp(size) OVER d > 1e-12 THEN stddev_samp(size) OVER d END AS zd FROM cross_section WINDOW g AS (PARTITION BY date, industry_group), d AS (PARTITION BY date))
+SELECT code, date, round(coalesce(greatest(-3.0, least(3.0, coalesce(CASE WHEN ng >= 5 THEN zg END, zd))), 0), 5) AS z FROM z""")
+def industry_neutral_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(cross_section(spark, sf_dir).select("code", "date", crosssection.neutral_z(F.col("size"), ["date"], "industry_group").alias("z")), 5)
+
+
+@query(f"""WITH {CROSS}, m AS (SELECT date, sum(cap * size) / sum(cap) AS mean, sum(cap * size * size) / sum(cap) AS second, sum(cap * amount) / sum(cap) AS my, sum(cap * size * amount) / sum(cap) AS xy FROM cross_section GROUP BY 1)
+SELECT code, date, round((size - mean) / sqrt(second - mean * mean), 5) AS standard, round(amount - my - (xy - mean * my) / (second - mean * mean) * (size - mean), 2) AS residual, round(sum(cap) OVER (PARTITION BY date, industry_group) / sum(cap) OVER (PARTITION BY date), 6) AS share
+FROM cross_section JOIN m USING (date)""")
+def weighted_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = cross_section(spark, sf_dir)
+    cap, by = F.col("cap"), ["date"]
+    return x.select(
+        "code", "date", F.round(crosssection.weighted_standardise(F.col("size"), cap, by), 5).alias("standard"),
+        F.round(crosssection.weighted_residual(F.col("amount"), F.col("size"), cap, by), 2).alias("residual"), F.round(crosssection.cap_share(cap, by, "industry_group"), 6).alias("share"),
+    )
+
+
+# Factor evaluation
+
+
+@query(f"""WITH {CROSS}, p AS (SELECT date, size AS x, forward_return AS y FROM cross_section WHERE size IS NOT NULL AND forward_return IS NOT NULL),
+r AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0 AS ry FROM p)
+SELECT date, count(*) AS names, round(corr(rx, ry), 6) AS ic FROM r GROUP BY 1 HAVING count(*) >= 80""")
+def rank_ic_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.rank_ic(cross_section(spark, sf_dir), "size"))
+
+
+@query("""WITH p AS (SELECT CAST(ts AS DATE) AS date, user_id % 97 + value AS f, value AS y FROM events),
+n AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM p), r AS (SELECT date, f, y FROM n WHERE n >= 100),
+e AS (SELECT date, list_distinct(quantile_cont(f, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS edges, avg(y) AS pool FROM r GROUP BY 1),
+b AS (SELECT r.date, greatest(0, len(list_filter(edges, lambda x: x < f)) - 1) AS bucket, avg(y) AS m, any_value(pool) AS pool FROM r JOIN e ON r.date = e.date GROUP BY 1, 2)
+SELECT CAST(bucket AS INTEGER) AS bucket, count(*) AS dates, round(avg(m), 6) AS mean_return, round(avg(m - pool), 6) AS excess FROM b GROUP BY 1""")
+def quantile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 97 + F.col("value")).alias("f"), F.col("value").alias("forward_return"))
+    return rounded(evaluate.quantile_profile(e, "f"))
+
+
+@query(f"""WITH {CROSS}, v AS (SELECT date, size, count(*) AS n FROM cross_section WHERE size IS NOT NULL GROUP BY 1, 2), d AS (SELECT date, count(*) AS k, max(n) / CAST(sum(n) AS DOUBLE) AS tied FROM v GROUP BY 1)
+SELECT count(*) AS dates, round(avg(CAST(k >= 5 AND tied <= 0.5 AS INTEGER)), 6) AS usable_share, round(avg(tied), 6) AS mean_tied, round(avg(k), 6) AS mean_distinct FROM d""")
+def groupability_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.groupability(cross_section(spark, sf_dir), "size"))
+
+
+@query(f"""WITH {CROSS}, r AS (SELECT code, date, amount - avg(amount) OVER d - regr_slope(amount, size) OVER d * (size - avg(size) OVER d) AS residual FROM cross_section WINDOW d AS (PARTITION BY date))
+SELECT code, date, round(residual, 3) AS residual FROM r""")
+def orthogonal_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.residual_on(cross_section(spark, sf_dir), "amount", "size").select("code", "date", "residual"), 3)
+
+
+# Quality, upserts and reports
+
+
+@query(f"""WITH {PANEL} SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS keys, count(*) FILTER (n > 1) AS repeated_keys, CAST(sum(miss) AS BIGINT) AS missing_close, CAST(sum(bad) AS BIGINT) AS nonpositive_close, CAST(sum(neg) AS BIGINT) AS negative_amount, min(d) AS first_day, max(e) AS last_day
+FROM (SELECT code, trade_date, count(*) AS n, count(*) FILTER (close IS NULL) AS miss, count(*) FILTER (close <= 0) AS bad, count(*) FILTER (amount < 0) AS neg, min(trade_date) AS d, max(trade_date) AS e FROM panel GROUP BY 1, 2)""")
+def panel_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.panel_checks(panel(spark, sf_dir), ["code", "trade_date"])
+
+
+@query(f"""WITH {STATEMENTS} SELECT count(*) FILTER (available >= ttm_available) AS available_violations, count(*) FILTER (make_date(year, 1, 1) > ttm_available) AS start_violations FROM ttm WHERE ttm_available IS NOT NULL""")
+def lookahead_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ttm = fundamentals.trailing_twelve_months(statements(spark, sf_dir), "code", "year", "quarter", 4, ["revenue"], "available").where("ttm_available is not null")
+    return quality.lookahead_audit(ttm.withColumn("start", F.make_date("year", F.lit(1), F.lit(1))), "ttm_available", ["available"], ["start"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 4) AS l_extendedprice FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1""")
+def dedupe_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Existing lines and later ones of the same key: the last shipped stays."""
+    from pitlake.sources.upsert import upsert
+
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    old, new = rows.where("year(l_shipdate) < 1998"), rows.where("year(l_shipdate) >= 1998")
+    out = upsert(old, new, ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_extendedprice")])
+    return rounded(out.drop("l_shipdate"), 4)
+
+
+@query("""WITH k AS (SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) SELECT n, count(*) AS keys FROM k GROUP BY 1""")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return k.groupBy("n").agg(F.count("*").alias("keys"))
+
+
+@query("""SELECT CASE WHEN l_quantity IS NULL OR l_extendedprice IS NULL THEN 'missing' WHEN l_returnflag = 'R' THEN 'returned' WHEN l_discount > 0.08 THEN 'discounted' END AS reason, count(*) AS n FROM lineitem GROUP BY 1""")
+def rejection_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("missing", F.col("l_quantity").isNull() | F.col("l_extendedprice").isNull()), ("returned", F.col("l_returnflag") == "R"), ("discounted", F.col("l_discount") > 0.08)]
+    return quality.rejected(table(spark, sf_dir, "lineitem"), rules).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("""WITH m AS (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) AS a, count(*) AS b, max(c_acctbal) AS c, median(c_acctbal) AS d, min(c_acctbal) AS e FROM customer GROUP BY 1, 2),
+r AS (SELECT c_nationkey, c_mktsegment, (rank() OVER (PARTITION BY c_nationkey ORDER BY a DESC NULLS LAST) + rank() OVER (PARTITION BY c_nationkey ORDER BY b DESC NULLS LAST) + rank() OVER (PARTITION BY c_nationkey ORDER BY c DESC NULLS LAST)
+  + rank() OVER (PARTITION BY c_nationkey ORDER BY d DESC NULLS LAST) + rank() OVER (PARTITION BY c_nationkey ORDER BY e DESC NULLS LAST)) / 5.0 AS mean_rank FROM m)
+SELECT c_nationkey, c_mktsegment, round(mean_rank, 4) AS mean_rank, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY mean_rank) AS INTEGER) AS robust_rank FROM r""")
+def robust_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.avg("c_acctbal").alias("a"), F.count("*").alias("b"), F.max("c_acctbal").alias("c"), F.median("c_acctbal").alias("d"), F.min("c_acctbal").alias("e"))
+    return rounded(aggregates.robust_rank(m, "c_nationkey", ["a", "b", "c", "d", "e"]).select("c_nationkey", "c_mktsegment", "mean_rank", "robust_rank"), 4)
+
+
+@query("""SELECT CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS F, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS O, round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS P FROM orders GROUP BY 1""")
+def pivot_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    return o.groupBy("year").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.round(F.sum("o_totalprice"), 2))
+
+
+@query(f"""WITH {PANEL}, v AS (SELECT code, trade_date, close / lag(close) OVER (PARTITION BY code ORDER BY trade_date) - 1 AS r, close / max(close) OVER (PARTITION BY code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1 AS dd, close FROM panel),
+a AS (SELECT code, arg_max(close, trade_date) / arg_min(close, trade_date) - 1 AS total_return, count(r) AS days, stddev_samp(r) * sqrt(244) AS volatility, avg(r) AS m, min(dd) AS max_drawdown FROM v GROUP BY 1)
+SELECT code, round(total_return, 5) AS total_return, days, round(volatility, 5) AS volatility, round(max_drawdown, 5) AS max_drawdown, round(pow(1 + total_return, 244.0 / days) - 1, 5) AS annual_return, round(m * 244 / volatility, 5) AS sharpe FROM a""")
+def performance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(aggregates.performance(panel(spark, sf_dir), "close", ["code"]), 5)
+
+
+@query(f"""WITH {PANEL}, s AS (SELECT p.*, s_nationkey AS g FROM panel p JOIN supplier ON s_suppkey = code), d AS (SELECT g, trade_date, avg(daily_return) AS r FROM s GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY trade_date DESC) AS k FROM d WHERE r IS NOT NULL),
+c AS (SELECT g, exp(sum(ln(1 + greatest(-0.12, least(0.12, r))))) - 1 AS compounded, stddev_samp(r) * sqrt(244) AS volatility, count(*) AS days FROM l WHERE k <= 60 GROUP BY 1 HAVING count(*) >= 20)
+SELECT g, round(compounded, 5) AS compounded, round(volatility, 5) AS volatility, days, round(compounded - avg(compounded) OVER (), 5) AS relative FROM c""")
+def industry_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("g")), "code")
+    return rounded(aggregates.industry_strength(p, "g", 60, 20), 5)
+
+
+# Portfolio risk
+
+
+def _risk_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Portfolios, exposures, a covariance and specific variances made of suppliers and nations."""
+    s = table(spark, sf_dir, "supplier")
+    weights = s.select((F.col("s_suppkey") % 4).alias("portfolio"), F.col("s_suppkey").alias("code"), (F.abs("s_acctbal") / 1e6).alias("weight"))
+    x = s.select(F.col("s_suppkey").alias("code"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("factor"), F.lit(1.0).alias("value")).union(s.select("s_suppkey", F.lit("MARKET"), F.lit(1.0)))
+    names = x.select("factor").distinct()
+    pair = names.select(F.col("factor").alias("factor_1")).crossJoin(names.select(F.col("factor").alias("factor_2")))  # a small fixed set of factors
+    cov = pair.withColumn("covariance", F.when(F.col("factor_1") == F.col("factor_2"), 0.04).otherwise(0.01))
+    return weights, x, cov, s.select(F.col("s_suppkey").alias("code"), (0.05 + F.abs("s_acctbal") / 1e5).alias("specific_variance"))
+
+
+@query("""WITH w AS (SELECT s_suppkey % 4 AS portfolio, s_suppkey AS code, abs(s_acctbal) / 1e6 AS weight, 0.05 + abs(s_acctbal) / 1e5 AS sv, 'N' || s_nationkey AS f FROM supplier),
+x AS (SELECT portfolio, f, sum(weight) AS x FROM w GROUP BY 1, 2 UNION ALL SELECT portfolio, 'MARKET', sum(weight) FROM w GROUP BY 1),
+c AS (SELECT a.portfolio, sum(a.x * b.x * CASE WHEN a.f = b.f THEN 0.04 ELSE 0.01 END) AS common FROM x a JOIN x b ON a.portfolio = b.portfolio GROUP BY 1),
+s AS (SELECT portfolio, sum(weight * weight * sv) AS own FROM w GROUP BY 1)
+SELECT portfolio, round(common, 8) AS common_variance, round(own, 8) AS specific_variance, round(common + own, 8) AS total_variance FROM c JOIN s USING (portfolio)""")
+def portfolio_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(risk.portfolio_risk(*_risk_tables(spark, sf_dir), ["portfolio"]), 8)
+
+
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("portfolio_name"), F.to_date("o_orderdate").alias("realized_date"), (F.col("o_totalprice") / 1e7 - 0.02).alias("realized_weekly_return"), (0.0002 + F.col("o_custkey") % 7 / 1e4).alias("predicted_weekly_variance"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS p, CAST(o_orderdate AS DATE) AS d, o_totalprice / 1e7 - 0.02 AS r, 0.0002 + o_custkey % 7 / 1e4 AS v FROM orders),
+a AS (SELECT max(d) AS as_of_date FROM o GROUP BY date_trunc('month', d)),
+g AS (SELECT as_of_date, p, sum(r * r) - sum(r) * sum(r) / count(*) AS rr, count(*) AS n, sum(v) AS v FROM a JOIN o ON d <= as_of_date GROUP BY 1, 2),
+t AS (SELECT as_of_date, sum(rr) AS rr, sum(n) AS n, sum(v) AS v, max(n) AS weeks FROM g GROUP BY 1)
+SELECT as_of_date, round(CASE WHEN weeks >= 26 THEN sqrt((rr / n) / (v / n)) ELSE 1.0 END, 5) AS multiplier, CAST(weeks AS BIGINT) AS forecast_weeks FROM t""")
+def expanding_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _forecasts(spark, sf_dir)
+    ends = o.groupBy(F.trunc("realized_date", "MM").alias("m")).agg(F.max("realized_date").alias("as_of_date")).select("as_of_date")
+    return rounded(risk.expanding_calibration(o, ends, 26), 5)
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS portfolio_name, o_totalprice / 1e7 - 0.02 AS r, 0.0002 + o_custkey % 7 / 1e4 AS v FROM orders)
+SELECT portfolio_name, count(*) AS n, round(var_samp(r) / avg(v), 5) AS variance_ratio, round(sqrt(avg(r * r) / avg(v)), 5) AS multiplier, round(avg(CAST(abs(r) / sqrt(v) > 1.645 AS INTEGER)), 5) AS breach_90, round(avg(CAST(abs(r) / sqrt(v) > 1.96 AS INTEGER)), 5) AS breach_95 FROM o GROUP BY 1""")
+def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(risk.calibration_summary(_forecasts(spark, sf_dir), ["portfolio_name"]), 5)
