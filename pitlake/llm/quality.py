@@ -87,17 +87,30 @@ def _labelled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.binary())], ["label", "x"])
     if n.sum():
         for k in (0, 1):
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - k], pa.int32()), pa.array([np.append(counts[k], n[k]).tobytes()], pa.binary())], ["label", "x"])
+            yield _counted(-1 - k, np.append(counts[k], n[k]))
+
+
+def _counted(label: int, c: np.ndarray) -> pa.RecordBatch:
+    """Counts as places and values of what is not 0: small parts have few."""
+    at = np.flatnonzero(c)
+    return pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.astype(np.int32).tobytes() + c[at].tobytes()], pa.binary())], ["label", "x"])
+
+
+def _counts(x: bytes) -> np.ndarray:
+    n = len(x) // 12
+    out = np.zeros(SIZE + 1, np.int64)
+    out[np.frombuffer(x[: 4 * n], np.int32)] = np.frombuffer(x[4 * n :], np.int64)
+    return out
 
 
 def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in rows:
         for label, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            c = np.frombuffer(x.as_buffer(), np.int64)
-            total[label] = total[label] + c if label in total else c.copy()
+            c = _counts(x.as_py())
+            total[label] = total[label] + c if label in total else c
     for label, c in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([c.tobytes()], pa.binary())], ["label", "x"])
+        yield _counted(label, c)
 
 
 def dual_coordinate_descent(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, spec: Spec) -> tuple[np.ndarray, float]:
@@ -168,7 +181,7 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> np.ndarray
     text = docs.where("doc_id is not null").where(~held_out(docs)).select("doc_id", "text").join(marked.hint("merge"), "doc_id").select("text", "label", picked.alias("picked"))
     found = ws.save(text.mapInArrow(_labelled, "label int, x binary"))
     sums = found.where("label < 0").repartition(8, F.rand(3)).mapInArrow(_summed, "label int, x binary").coalesce(1).mapInArrow(_summed, "label int, x binary")
-    counts = {r["label"]: np.frombuffer(bytes(r["x"]), np.int64) for r in sums.collect()}  # two rows
+    counts = {r["label"]: _counts(bytes(r["x"])) for r in sums.collect()}  # two rows
     if len(counts) < 2 or not counts[-1][-1] or not counts[-2][-1]:
         one, all_ = (counts[-2][-1], counts[-1][-1] + counts[-2][-1]) if counts else (1, 2)
         return np.append(np.zeros(SIZE), [np.log((one + 1e-3) / (all_ - one + 1e-3))])
