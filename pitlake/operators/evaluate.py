@@ -54,7 +54,7 @@ def partial_slopes(panel: DataFrame, factor: str, controls: list[str], label: st
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         df = pdf.dropna()
         varying = [c for c in controls if df[c].nunique() > 1]
-        empty = pd.DataFrame({date: [], "slope": []})
+        empty = pd.DataFrame(columns=[date, "slope"], dtype=object)
         if len(df) < least or df[factor].nunique() < 2:
             return empty
         x = df[[factor, *varying]].to_numpy(float)

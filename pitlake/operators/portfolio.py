@@ -1,13 +1,171 @@
-"""Portfolio construction."""
+"""Portfolio construction: buffered selection, capped weights, risk-aware weights and lots.
+
+A decision date's candidates are one small group; all dates run in parallel. Greedy steps go by score,
+ties by code, so results do not depend on how rows arrive.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Construction:
+    """count: names wanted; buy_rank and sell_rank: the buffer; caps are weights of the whole account."""
+
+    equity: float = 0.95
+    count: int = 20
+    buy_rank: int = 20
+    sell_rank: int = 40
+    stock_cap: float = 0.10
+    group_cap: float = 0.30
+    temperature: float = 1.0
+    volatility_power: float = 0.5
+    least_volatility: float = 0.10
+    missing_volatility: float = 0.30
+
+
 def sparse_selection(orders: DataFrame, by: list[str], gross: str, key: str, required: str, most: int) -> DataFrame:
     """Largest orders first, while what comes before is less than required, at most ``most`` of them."""
     w = Window.partitionBy(*by).orderBy(F.desc(gross), key)
     out = orders.withColumn("before", F.coalesce(F.sum(gross).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).withColumn("k", F.row_number().over(w))
     return out.where((F.col("before") < F.col(required)) & (F.col("k") <= most))
+
+
+def buffered_selection(rank: np.ndarray, group: np.ndarray, held: np.ndarray, spec: Construction) -> np.ndarray:
+    """Indices chosen from rows in rank order: held names within the sell rank, new ones within the buy rank, then more, under group counts."""
+    wanted = min(max(spec.count, math.ceil(spec.equity / spec.stock_cap)), len(rank))
+    per_group = max(1, math.ceil(wanted * spec.group_cap / spec.equity - 1e-9)) if spec.group_cap > 0 else 0
+    chosen: list[int] = []
+    count: dict = {}
+    for allowed in (held & (rank <= spec.sell_rank), ~held & (rank <= spec.buy_rank), np.ones(len(rank), bool)):
+        for i in np.flatnonzero(allowed):
+            if len(chosen) >= wanted:
+                break
+            if i not in chosen and count.get(group[i], 0) < per_group:
+                chosen.append(int(i))
+                count[group[i]] = count.get(group[i], 0) + 1
+    return np.array(sorted(chosen), int)
+
+
+def cap_and_redistribute(raw: np.ndarray, group: np.ndarray, total: float, stock_cap: np.ndarray | float, group_cap: np.ndarray | float, rounds: int = 100) -> np.ndarray:
+    """Weights in proportion to ``raw`` with sums as near ``total`` as the caps allow; what a cap cuts off goes to names with room."""
+    n = len(raw)
+    cap = np.broadcast_to(np.asarray(stock_cap, float), n)
+    codes, of = np.unique(group.astype(str), return_inverse=True)
+    limit = np.broadcast_to(np.asarray(group_cap, float), len(codes))
+    w = raw / raw.sum() * total if raw.sum() > 0 else np.zeros(n)
+    for _ in range(rounds):
+        before = w
+        w = np.minimum(w, cap)
+        sums = np.bincount(of, w, len(codes))
+        w = w * np.where(sums > limit, limit / np.maximum(sums, 1e-300), 1.0)[of]
+        missing = total - w.sum()
+        room = np.minimum(cap - w, (limit - np.bincount(of, w, len(codes)))[of])
+        open_ = room > 1e-12
+        if missing <= 1e-8 or not open_.any():
+            break
+        share = np.where(open_, raw, 0.0)
+        add = np.minimum(missing * share / max(share.sum(), 1e-300), np.maximum(cap - w, 0))
+        own = np.bincount(of, add, len(codes))
+        left = limit - np.bincount(of, w, len(codes))
+        w = w + add * np.where(own > left, np.maximum(left, 0) / np.maximum(own, 1e-300), 1.0)[of]
+        if np.abs(w - before).sum() < 1e-9:
+            break
+    return w
+
+
+def score_weights(score: np.ndarray, volatility: np.ndarray, spec: Construction) -> np.ndarray:
+    """exp of scaled scores over a power of volatility; missing volatility is the median of the others."""
+    known = volatility[np.isfinite(volatility)]
+    vol = np.where(np.isfinite(volatility), volatility, np.median(known) if len(known) else spec.missing_volatility)
+    raw = np.exp(np.clip((score - score.max()) / spec.temperature, -30, 30))
+    return raw / np.maximum(vol, spec.least_volatility) ** spec.volatility_power
+
+
+def target_weights(candidates: DataFrame, spec: Construction = Construction()) -> DataFrame:
+    """(decision_date, code, weight) from candidates (decision_date, code, score, volatility, industry_group, held)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        df = pdf.dropna(subset=["score"]).sort_values(["score", "code"], ascending=[False, True]).reset_index(drop=True)
+        if df.empty:
+            return pd.DataFrame(columns=["decision_date", "code", "weight"], dtype=object)
+        group = df["industry_group"].fillna("UNKNOWN").to_numpy()
+        at = buffered_selection(np.arange(1, len(df) + 1), group, df["held"].fillna(False).to_numpy(bool), spec)
+        raw = score_weights(df["score"].to_numpy(float)[at], df["volatility"].to_numpy(float)[at], spec)
+        w = cap_and_redistribute(raw, group[at], spec.equity, spec.stock_cap, spec.group_cap)
+        return pd.DataFrame({"decision_date": df["decision_date"].iloc[0], "code": df["code"].to_numpy()[at], "weight": w})
+
+    rows = candidates.select("decision_date", F.col("code").cast("string"), "score", "volatility", "industry_group", "held")
+    return rows.groupBy("decision_date").applyInPandas(run, "decision_date date, code string, weight double")
+
+
+def risk_aware_weights(base: np.ndarray, covariance: np.ndarray, group: np.ndarray, total: float, stock_cap: float, group_cap: float, strength: float = 0.5, most_volatility: float | None = None, least_scale: float = 0.5) -> np.ndarray:
+    """Projected gradient steps between the base weights and least variance, then scaled to a volatility limit."""
+    w = base.copy()
+    norm, risk0 = max(base @ base, 1e-12), max(base @ covariance @ base, 1e-12)
+    loss = lambda v: (1 - strength) * ((v - base) ** 2).sum() / norm + strength * (v @ covariance @ v) / risk0
+    project = lambda v: cap_and_redistribute(np.maximum(v, 0) + 1e-15, group, total, stock_cap, group_cap)
+    for _ in range(200):
+        g = 2 * (1 - strength) * (w - base) / norm + 2 * strength * covariance @ w / risk0
+        step, now = 0.10, loss(w)
+        for _ in range(12):
+            nxt = project(w - step * g)
+            if loss(nxt) < now:
+                break
+            step /= 2
+        else:
+            break
+        moved = np.abs(nxt - w).sum()
+        w = nxt
+        if moved < 1e-8:
+            break
+    vol = math.sqrt(max(w @ covariance @ w, 0.0))
+    if most_volatility and vol > most_volatility:
+        w = w * max(min(most_volatility / vol, 1.0), least_scale)
+    return w
+
+
+def round_to_lots(weight: np.ndarray, price: np.ndarray, low: np.ndarray, step: np.ndarray, value: float) -> np.ndarray:
+    """Shares in legal lots below the targets, then one lot more at a time where the rest is largest and money is left."""
+    wanted = weight * value / price
+    shares = np.where(wanted >= low, low + np.floor((wanted - low) / step + 1e-9) * step, 0).astype(np.int64)
+    left = weight.sum() * value - (shares * price).sum()
+    rest = (wanted - shares) * price
+    for i in np.lexsort((np.arange(len(rest)), -rest)):
+        more = step[i] if shares[i] else low[i]
+        if rest[i] > 0 and more * price[i] <= left + 1e-9:
+            shares[i] += more
+            left -= more * price[i]
+    return shares
+
+
+def lots(targets: DataFrame, value: float) -> DataFrame:
+    """(decision_date, code, shares) from targets with weight, price, min_lot and lot_step."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        df = pdf[(pdf["price"] > 0) & (pdf["weight"] > 0)].sort_values(["weight", "code"], ascending=[False, True])
+        shares = round_to_lots(*(df[c].to_numpy(float) for c in ("weight", "price", "min_lot", "lot_step")), value) if len(df) else []
+        return pd.DataFrame({"decision_date": df["decision_date"], "code": df["code"], "shares": shares})
+
+    rows = targets.select("decision_date", "code", "weight", "price", "min_lot", "lot_step")
+    return rows.groupBy("decision_date").applyInPandas(run, "decision_date date, code string, shares long")
+
+
+def keep_within_band(target: DataFrame, current: DataFrame, by: list[str], band: float) -> DataFrame:
+    """Current weights where the target is within the band, the target elsewhere."""
+    both = target.join(current.withColumnRenamed("weight", "_now"), by, "full")
+    t, n = F.coalesce("weight", F.lit(0.0)), F.coalesce("_now", F.lit(0.0))
+    return both.select(*by, F.when(F.abs(t - n) < band, n).otherwise(t).alias("weight"))
+
+
+def industry_budgets(market_share: DataFrame, equity: float, absolute: float, deviation: float, unknown: float) -> DataFrame:
+    """Cap of each group: its market share plus a deviation, under an absolute cap; UNKNOWN has its own."""
+    cap = F.least(F.lit(absolute), (F.col("market_weight") + deviation) * equity)
+    return market_share.withColumn("group_cap", F.when(F.col("industry_group") == "UNKNOWN", unknown).otherwise(cap))

@@ -51,7 +51,7 @@ def _regress(spec: RegressionSpec):
         groups = df.groupby("industry_group")["cap"].sum().sort_index()
         n_factors = 1 + len(spec.styles) + len(groups)
         if len(df) < n_factors + 2:
-            return pd.DataFrame({"model_date": [], "kind": [], "name": [], "value": [], "r2": []})
+            return pd.DataFrame(columns=["model_date", "kind", "name", "value", "r2"], dtype=object)
         base = spec.base_group if spec.base_group in groups.index else groups.idxmax()
         others = [g for g in groups.index if g != base]
         cap, of = df["cap"].to_numpy(float), df["industry_group"].to_numpy()
@@ -117,7 +117,7 @@ def factor_covariance(returns: DataFrame, dates: DataFrame, window: int, least:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="p", columns="name", values="value", aggfunc="last").sort_index(axis=1).fillna(0.0)
         if len(wide) < least:
-            return pd.DataFrame({"model_date": [], "factor_1": [], "factor_2": [], "covariance": []})
+            return pd.DataFrame(columns=["model_date", "factor_1", "factor_2", "covariance"], dtype=object)
         m = ewma_newey_west(wide.to_numpy(), half_life, lags)
         names = list(wide.columns)
         return pd.DataFrame({"model_date": pdf["as_of"].iloc[0], "factor_1": np.repeat(names, len(names)), "factor_2": np.tile(names, len(names)), "covariance": m.ravel()})
@@ -201,9 +201,9 @@ def calibration_summary(observations: DataFrame, by: list[str]) -> DataFrame:
 def test_portfolios(exposures: DataFrame, styles: list[str], quantile: float = 0.2, least_group: int = 30) -> DataFrame:
     """(portfolio_name, code, weight): market by cap and equal, low and high of each style, and large groups."""
     everything = Window.partitionBy("model_date")
-    n, cap = F.count("*").over(everything), F.sum("cap").over(everything)
-    rows = [F.struct(F.lit("MARKET_EW").alias("name"), (1.0 / n).alias("weight")), F.struct(F.lit("MARKET_CAP").alias("name"), (F.col("cap") / cap).alias("weight"))]
-    out = exposures.select("model_date", "code", F.inline(F.array(*rows)))
+    rows = [F.struct(F.lit("MARKET_EW").alias("name"), F.col("_ew").alias("weight")), F.struct(F.lit("MARKET_CAP").alias("name"), F.col("_cw").alias("weight"))]
+    market = exposures.withColumn("_ew", 1.0 / F.count("*").over(everything)).withColumn("_cw", F.col("cap") / F.sum("cap").over(everything))
+    out = market.select("model_date", "code", F.inline(F.array(*rows)))
     for s in styles:
         w = Window.partitionBy("model_date").orderBy(s, "code")
         pct = F.row_number().over(w) / F.count("*").over(Window.partitionBy("model_date"))

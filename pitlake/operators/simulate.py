@@ -1,0 +1,101 @@
+"""Sequential backtest: one fold over days per run, runs in parallel.
+
+Cash, lots and positions make each day depend on the one before, so a run is one group. All that does
+not depend on holdings is columns first: fee rates, lots, limits, share factors and participation come
+from ``priced``. Only rows of codes that some target names reach the fold.
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pitlake.functions import trading as T
+
+EQUITY = "run_id string, trade_date date, cash double, invested double, equity double, fees double, trades long"
+
+
+def priced(prices: DataFrame) -> DataFrame:
+    """Prices with what trading at that day's open costs and allows, per code."""
+    code, day = F.col("code"), F.col("trade_date")
+    per_value = lambda side: T.trade_cost(F.lit(1.0), F.lit(side), code, day, F.lit(0))
+    none = F.lit(None).cast("double")
+    rate = T.limit_rate(code, day, F.lit(False))
+    blocked = lambda side: T.limit_blocked(F.lit(side), F.col("open"), F.col("prev_close"), rate, none, none, F.lit(0))
+    return prices.select(
+        "code", "trade_date", "open", "close", "prev_close", "avg_amount", per_value("BUY").alias("buy_rate"), per_value("SELL").alias("sell_rate"),
+        T.minimum_lot(code).alias("min_lot"), T.lot_increment(code).alias("lot_step"), blocked("BUY").alias("buy_blocked"), blocked("SELL").alias("sell_blocked"),
+        T.share_factor(F.col("capital_return"), F.col("prev_close"), F.col("close")).alias("share_factor"),
+        T.action_cash(F.col("prev_close"), F.col("daily_return"), F.col("capital_return"), F.lit(1.0)).alias("cash_per_share"),
+    )
+
+
+def _legal(shares: float, low: int, step: int) -> int:
+    return int(low + (shares - low) // step * step) if shares >= low else 0
+
+
+def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    run = pdf.iloc[0]
+    cash, held, last = float(run["cash"]), {}, {}
+    fee_rate, least_fee = float(run["commission"]), float(run["min_commission"])
+    slip, share, floor = float(run["slippage_bps"]) / 1e4, float(run["participation"]), float(run["min_trade_value"])
+    cost = lambda gross, rate: gross * rate + (max(gross * fee_rate, least_fee) if fee_rate > 0 and gross > 0 else 0.0)
+    out = []
+    for day, rows in pdf.sort_values(["trade_date", "code"]).groupby("trade_date", sort=True):
+        at = {r.code: r for r in rows.itertuples(index=False)}
+        fees, trades = 0.0, 0
+        for c, n in list(held.items()):  # corporate actions before the open
+            r = at.get(c)
+            if r is not None and r.share_factor == r.share_factor and r.share_factor != 1.0:
+                cash += r.cash_per_share * n
+                held[c] = round(n * r.share_factor)
+        wanted = {c: r.weight for c, r in at.items() if r.weight == r.weight and r.weight is not None}
+        if wanted:
+            value = cash + sum(n * (at[c].open if c in at and at[c].open > 0 else last.get(c, 0.0)) for c, n in held.items())
+            target = {c: _legal(w * value / at[c].open, at[c].min_lot, at[c].lot_step) for c, w in wanted.items() if at[c].open > 0}
+            for c in sorted(c for c in held if target.get(c, 0) < held[c]):  # sells first
+                r = at.get(c)
+                n = held[c] - target.get(c, 0)
+                if r is None or r.sell_blocked or not r.open > 0 or n <= 0:
+                    continue
+                if r.avg_amount == r.avg_amount and n < held[c]:
+                    n = min(n, _legal(share * r.avg_amount / r.open, r.min_lot, r.lot_step))
+                gross = n * r.open * (1 - slip)
+                if n <= 0 or (gross < floor and n < held[c]):
+                    continue
+                fee = cost(gross, r.sell_rate)
+                cash, fees, trades, held[c] = cash + gross - fee, fees + fee, trades + 1, held[c] - n
+                if not held[c]:
+                    del held[c]
+            for c in sorted(target, key=lambda c: (-wanted[c], c)):  # buys by weight
+                r, n = at[c], target[c] - held.get(c, 0)
+                if n <= 0 or r.buy_blocked:
+                    continue
+                if r.avg_amount == r.avg_amount:
+                    n = min(n, _legal(share * r.avg_amount / r.open, r.min_lot, r.lot_step))
+                price = r.open * (1 + slip)
+                n = min(n, int(cash / (price * (1 + r.buy_rate + fee_rate))))
+                n = _legal(n, r.min_lot if c not in held else r.lot_step, r.lot_step)
+                while n > 0 and n * price + cost(n * price, r.buy_rate) > cash + 1e-8:
+                    n = max(0, n - r.lot_step)
+                if n <= 0 or n * price < floor:
+                    continue
+                fee = cost(n * price, r.buy_rate)
+                cash, fees, trades, held[c] = cash - n * price - fee, fees + fee, trades + 1, held.get(c, 0) + n
+        last.update({c: r.close for c, r in at.items() if r.close == r.close})
+        invested = sum(n * last.get(c, 0.0) for c, n in held.items())
+        out.append((run["run_id"], day, cash, invested, cash + invested, fees, trades))
+    return pd.DataFrame(out, columns=["run_id", "trade_date", "cash", "invested", "equity", "fees", "trades"])
+
+
+def backtest(prices: DataFrame, targets: DataFrame, runs: DataFrame) -> DataFrame:
+    """Daily equity of every run.
+
+    prices: as ``priced`` gives them; targets: (trade_date, code, weight), decided before that day's open;
+    runs: run_id, cash, commission, min_commission, slippage_bps, participation, min_trade_value.
+    """
+    used = prices.join(targets.select("code").distinct(), "code", "left_semi")
+    rows = used.join(targets, ["trade_date", "code"], "left")
+    # Each run folds over the same rows: a grid of runs, known and small.
+    return rows.crossJoin(F.broadcast(runs)).groupBy("run_id").applyInPandas(_fold, EQUITY)

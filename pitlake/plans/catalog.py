@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from pitlake.functions import columns as C
 from pitlake.functions import trading as T
-from pitlake.operators import aggregates, asof, crosssection, evaluate, fundamentals, quality, risk
+from pitlake.operators import aggregates, asof, crosssection, evaluate, fundamentals, portfolio, quality, risk, scoring, simulate
 from pitlake.operators import windows as W
 from pitlake.plans import views
 from pitlake.plans.views import CROSS, MARKET, PANEL, cross_section, panel, table
+from pitlake.sources.upsert import upsert
 
 FLAGSHIP = "market_regime"
 QUERIES: dict = {}
@@ -339,10 +340,8 @@ SELECT o_custkey, o_orderkey, CAST(k AS INTEGER) AS k, round(before, 4) AS befor
 def sparse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest orders first until half of the customer's value is reached, four at most (a parameter of the selection)."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("gross"))
-    from pitlake.operators.portfolio import sparse_selection
-
     need = o.withColumn("required", F.sum("gross").over(Window.partitionBy("o_custkey")) * 0.5)
-    return rounded(sparse_selection(need, ["o_custkey"], "gross", "o_orderkey", "required", 4).select("o_custkey", "o_orderkey", "k", "before"), 4)
+    return rounded(portfolio.sparse_selection(need, ["o_custkey"], "gross", "o_orderkey", "required", 4).select("o_custkey", "o_orderkey", "k", "before"), 4)
 
 
 # Cross-sections
@@ -434,8 +433,6 @@ def lookahead_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1""")
 def dedupe_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Existing lines and later ones of the same key: the last shipped stays."""
-    from pitlake.sources.upsert import upsert
-
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     old, new = rows.where("year(l_shipdate) < 1998"), rows.where("year(l_shipdate) >= 1998")
     out = upsert(old, new, ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_extendedprice")])
@@ -528,3 +525,82 @@ def expanding_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT portfolio_name, count(*) AS n, round(var_samp(r) / avg(v), 5) AS variance_ratio, round(sqrt(avg(r * r) / avg(v)), 5) AS multiplier, round(avg(CAST(abs(r) / sqrt(v) > 1.645 AS INTEGER)), 5) AS breach_90, round(avg(CAST(abs(r) / sqrt(v) > 1.96 AS INTEGER)), 5) AS breach_95 FROM o GROUP BY 1""")
 def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.calibration_summary(_forecasts(spark, sf_dir), ["portfolio_name"]), 5)
+
+
+# Grouped models: tested against numpy
+
+
+def _weekly_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly cross-sections of suppliers: nation as group, amount as cap, three styles and next week's return."""
+    p = panel(spark, sf_dir)
+    ends = W.week_ends(p)
+    w = W.series("code")
+    x = p.withColumn("momentum", W.row_return(F.col("close"), w, 20)).withColumn("volatility", W.rolling(F.stddev_samp, F.col("daily_return"), w, 60, 20))
+    x = x.withColumn("week", W.week_key(F.col("trade_date"))).groupBy("week", "code").agg(F.sum("amount").alias("cap"), F.avg("momentum").alias("momentum"), F.avg("volatility").alias("volatility"), F.avg("volume").alias("size"), F.avg("daily_return").alias("r"))
+    nxt = F.lead("r").over(Window.partitionBy("code").orderBy("week"))
+    x = x.withColumn("forward_return", nxt).join(F.broadcast(ends), "week")  # a row a week
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return x.join(s.select(F.col("s_suppkey").alias("code"), F.concat(F.lit("R"), "n_regionkey").alias("industry_group")), "code")
+
+
+STYLES = ["momentum", "volatility", "size"]
+
+
+@query()
+def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = crosssection.style_exposures(_weekly_cross_section(spark, sf_dir), "cap", STYLES, ["model_date"], "industry_group")
+    return rounded(risk.factor_returns(x, risk.RegressionSpec(tuple(STYLES))), 8)
+
+
+@query()
+def factor_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = factor_returns(spark, sf_dir)
+    ends = f.select("model_date").distinct().groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date"))
+    return rounded(risk.factor_covariance(f, ends, 156, 26, 52, 4), 8)
+
+
+@query()
+def risk_test_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(risk.test_portfolios(_weekly_cross_section(spark, sf_dir).dropna(), STYLES, least_group=15))
+
+
+@query()
+def partial_slope_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _weekly_cross_section(spark, sf_dir).withColumnRenamed("model_date", "date")
+    return rounded(evaluate.ablation_ladder(x, "momentum", [("raw", []), ("volatility", ["volatility"]), ("size", ["size"])], least=40), 5)
+
+
+@query()
+def matured_ic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _weekly_cross_section(spark, sf_dir)
+    ics = scoring.component_ics(x, STYLES, "forward_return", "model_date").select(F.col("model_date").alias("entry_date"), F.date_add("model_date", 7).alias("exit_date"), "component", "ic")
+    months = x.groupBy(F.trunc("model_date", "MM").alias("m")).agg(F.max("model_date").alias("decision_date"))
+    return rounded(scoring.matured_ic_weights(ics, months, {s: 1 / 3 for s in STYLES}))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly target weights of scored suppliers."""
+    x = _weekly_cross_section(spark, sf_dir)
+    months = x.groupBy(F.trunc("model_date", "MM").alias("m")).agg(F.max("model_date").alias("model_date")).select("model_date")
+    scored = scoring.composite(x.join(F.broadcast(months), "model_date"), {"momentum": 0.6, "volatility": -0.4}, ["model_date"], "industry_group")  # a row a month
+    scored = scored.select(F.col("model_date").alias("decision_date"), F.lpad(F.col("code").cast("string"), 6, "0").alias("code"), "score", "volatility", "industry_group", F.lit(False).alias("held"))
+    return portfolio.target_weights(scored, portfolio.Construction(count=15, stock_cap=0.1, group_cap=0.4))
+
+
+@query()
+def target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_targets(spark, sf_dir), 8)
+
+
+@query()
+def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir).withColumn("code", F.lpad(F.col("code").cast("string"), 6, "0"))
+    w = W.series("code")
+    price = (F.col("close") / 100).alias("close")
+    p = p.select("code", "trade_date", price, (F.lag("close").over(w) / 100).alias("prev_close"), "daily_return", F.avg("amount").over(w.rowsBetween(-59, 0)).alias("avg_amount"))
+    p = p.withColumns({"open": F.col("prev_close"), "capital_return": F.col("daily_return")})
+    days = p.select("trade_date").distinct()
+    t = asof.next_trading_day(_targets(spark, sf_dir), "decision_date", days, name="trade_on").select(F.col("trade_on").alias("trade_date"), "code", "weight").where("trade_date is not null")
+    grid = [(f"cash{c}-fee{f}", float(c), f, 5.0, 2.0, 0.5, 500.0) for c in (20000, 100000, 1000000) for f in (0.0, 0.0003)]
+    runs = spark.createDataFrame(grid, "run_id string, cash double, commission double, min_commission double, slippage_bps double, participation double, min_trade_value double")
+    return rounded(simulate.backtest(simulate.priced(p), t, runs), 4)
