@@ -28,8 +28,8 @@ def robust_least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: float,
     """Weighted least squares, re-weighted by Huber weights on MAD-scaled residuals."""
     own = w.copy()
     for step in range(rounds + 1):
-        root = np.sqrt(own)[:, None]
-        beta = np.linalg.lstsq(x * root, y * root[:, 0], rcond=None)[0]
+        weighted = x * own[:, None]
+        beta = np.linalg.lstsq(x.T @ weighted, weighted.T @ y, rcond=None)[0]
         if step == rounds:
             break
         r = y - x @ beta
