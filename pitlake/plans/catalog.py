@@ -303,10 +303,10 @@ g AS (SELECT o_orderkey, any_value(gross) AS gross, any_value(shares) AS shares,
         coalesce(sum(CASE WHEN component = 'par_SH' AND ex = 'SH' THEN fee.rate END), 0) AS par
       FROM x JOIN fee ON day BETWEEN a AND b GROUP BY o_orderkey),
 r AS (SELECT *, rate0 + CASE WHEN ex = 'BSE' AND day < DATE '2021-11-15' THEN 0.000125 ELSE 0 END AS rate FROM g)
-SELECT o_orderkey, round(gross * rate + par * shares + greatest(gross * 0.0003, 5.0), 4) AS cost FROM r""")
+SELECT o_orderkey, round(gross * rate + par * shares + greatest(gross * 0.0003, 5.0), 9) AS cost FROM r""")
 def fee_schedule_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = order_rows(spark, sf_dir)
-    return rounded(o.select("o_orderkey", T.trade_cost(F.col("gross"), F.col("side"), F.col("code"), F.col("day"), F.col("shares"), 0.0003, 5.0).alias("cost")), 4)
+    return rounded(o.select("o_orderkey", T.trade_cost(F.col("gross"), F.col("side"), F.col("code"), F.col("day"), F.col("shares"), 0.0003, 5.0).alias("cost")), 9)
 
 
 @query(f"""WITH {ORDERS}, b AS (SELECT *, CASE WHEN code LIKE '688%' THEN 'STAR' WHEN code LIKE '300%' THEN 'CHINEXT' WHEN code LIKE '920%' THEN 'BSE' ELSE 'MAIN' END AS board, gross / (shares + 1) AS price FROM o),
