@@ -15,7 +15,8 @@ is withheld. A count for which Good-Turing gives no factor in (0, 1] has an abso
 Documents are dealt into groups of about ``group_bytes``; a group asks each bucket for the words, pairs
 and contexts it holds, each once with its own counts, and gets totals back. So a frequent word costs one
 question per group; a context with many followers is spread over buckets and its sums are added up.
-Words are 64-bit hashes.
+Words are 64-bit hashes; behind a given context 48 bits of them, and the bucket for a context that is
+spread, tell followers apart.
 
 Defined results: null text is empty text, whose one token is the end; a null doc_id is neither held out
 nor learned from; repeated rows each count and each get a row; without training text every known
@@ -80,6 +81,37 @@ class Unigrams:
         return np.where(c > 0, d * c / self.total, self.unknown)
 
 
+def squeeze(v: np.ndarray) -> bytes:
+    """Counts in one byte each, larger ones in two or eight more behind."""
+    v = np.asarray(v, np.int64)
+    large = v[v >= 255]
+    huge = large[large >= 65535]
+    return len(v).to_bytes(8, "little") + np.minimum(v, 255).astype(np.uint8).tobytes() + np.minimum(large, 65535).astype(np.uint16).tobytes() + huge.tobytes()
+
+
+def unsqueeze(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    v = np.frombuffer(x, np.uint8, n, 8).astype(np.int64)
+    at = np.flatnonzero(v == 255)
+    large = np.frombuffer(x, np.uint16, len(at), 8 + n).astype(np.int64)
+    huge = np.frombuffer(x[8 + n + 2 * len(at) :], np.int64)
+    large[large == 65535] = huge
+    v[at] = large
+    return v
+
+
+def six_bytes(v: np.ndarray) -> bytes:
+    """The low 48 bits: enough for the followers of one context in one bucket."""
+    return np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_six(x: bytes) -> np.ndarray:
+    raw = np.frombuffer(x, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    return wide.view(np.uint64).ravel()
+
+
 def tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, documents one after the other, and where each document's begin."""
     parts, counts = [], []
@@ -115,12 +147,12 @@ class Group:
         for b in range(self.buckets):
             at = np.flatnonzero(self.word_bucket == b)
             if len(at):
-                yield mp, b, self.word[at].tobytes(), own[at].tobytes(), b"", b"", b""
+                yield mp, b, self.word[at].tobytes(), squeeze(own[at]), b"", b"", b""
 
     def counts(self) -> np.ndarray:
         c = np.zeros(len(self.word), np.int64)
         for b, (a, _) in self.answers[1].items():
-            c[self.word_bucket == b] = np.frombuffer(a, np.int64)
+            c[self.word_bucket == b] = unsqueeze(a)
         return c
 
     def pairs(self) -> None:
@@ -168,7 +200,7 @@ class Group:
         n = self.pair_n[self.skip :]
         for b, (own, contexts) in self.place.items():
             runs = np.searchsorted(self.pair_ctx[own], contexts, "right") - np.searchsorted(self.pair_ctx[own], contexts)
-            yield mp, b, contexts.tobytes(), runs.astype(np.uint32).tobytes(), self.pair_w[own].tobytes(), n[own].tobytes(), np.minimum(self.pair_c[own], 2**62).astype(np.int64).tobytes()
+            yield mp, b, contexts.tobytes(), squeeze(runs), six_bytes(self.pair_w[own]), squeeze(n[own]), squeeze(self.pair_c[own])
 
     def result(self, d2: np.ndarray) -> pa.Table:
         self.pairs()
@@ -177,9 +209,10 @@ class Group:
         ctx_all, stat_all = [], []
         for b, (own, contexts) in self.place.items():
             a, s = self.answers[2][b]
-            r[self.skip + own] = np.frombuffer(a, np.int64)
+            r[self.skip + own] = unsqueeze(a)
             ctx_all.append(contexts)
-            stat_all.append(np.frombuffer(s, np.float64).reshape(k + 2, -1))
+            m = len(contexts)
+            stat_all.append(np.concatenate([unsqueeze(s[8 * m :]).reshape(k + 1, m), np.frombuffer(s, np.float64, m)[None]]))
         ctx, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *ctx_all]), return_inverse=True)
         stats = np.zeros((k + 2, len(ctx)))
         if len(ctx):
@@ -238,6 +271,10 @@ def _blobs(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
 
+def _counts(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [unsqueeze(x.as_py()) for x in column]
+
+
 def _total(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, where each row's is among them, and the sums of n."""
     distinct, back = np.unique(key, return_inverse=True)
@@ -248,11 +285,11 @@ def _words(spec: Spec):
     """One bucket of the word table: totals for those who asked, and a row of statistics (mp -1)."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        words, own = _blobs(rows.column("a"), np.uint64), _blobs(rows.column("b"), np.uint32)
+        words, own = _blobs(rows.column("a"), np.uint64), _counts(rows.column("b"))
         _, back, n = _total(np.concatenate(words), np.concatenate(own))
         b, mps = key[0].as_py(), rows.column("mp").to_pylist()
         cut = np.cumsum([len(w) for w in words])[:-1]
-        out = [(mp, 1, b, n[x].tobytes(), b"") for mp, x in zip(mps, np.split(back, cut))]
+        out = [(mp, 1, b, squeeze(n[x]), b"") for mp, x in zip(mps, np.split(back, cut))]
         stats = np.concatenate([[n.sum(), (n > 0).sum()], _by_count(n, spec.k)])
         return _table([*out, (-1, 1, b, stats.astype(np.int64).tobytes(), b"")], _ANSWER_TYPES, ANSWER)
 
@@ -264,8 +301,8 @@ def _pairs(spec: Spec, uni: Unigrams):
     k = spec.k
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        contexts, runs = _blobs(rows.column("a"), np.uint64), _blobs(rows.column("b"), np.uint32)
-        follow, own, c = _blobs(rows.column("c"), np.uint64), _blobs(rows.column("d"), np.uint32), _blobs(rows.column("e"), np.int64)
+        contexts, runs = _blobs(rows.column("a"), np.uint64), _counts(rows.column("b"))
+        follow, own, c = [from_six(x.as_py()) for x in rows.column("c")], _counts(rows.column("d")), _counts(rows.column("e"))
         ctx, back = np.unique(np.concatenate(contexts), return_inverse=True)
         place = np.repeat(back, np.concatenate(runs))
         w, c = np.concatenate(follow), np.concatenate(c)
@@ -281,7 +318,7 @@ def _pairs(spec: Spec, uni: Unigrams):
         pairs_cut = np.split(which, np.cumsum([len(x) for x in follow])[:-1])
         ctx_cut = np.split(back, np.cumsum([len(x) for x in contexts])[:-1])
         for mp, x, y in zip(rows.column("mp").to_pylist(), pairs_cut, ctx_cut):
-            out.append((mp, 2, b, n[x].tobytes(), np.ascontiguousarray(stats[:, y]).tobytes()))
+            out.append((mp, 2, b, squeeze(n[x]), stats[k + 1, y].tobytes() + squeeze(stats[: k + 1, y].ravel())))
         return _table([*out, (-1, 2, b, _by_count(n, k).tobytes(), b"")], _ANSWER_TYPES, ANSWER)
 
     return run

@@ -104,3 +104,10 @@ def test_dual_coordinate_descent_separates():
     ratio = np.ones(quality.SIZE)
     w, b = quality.dual_coordinate_descent(x, y, ratio, quality.Spec())
     assert np.mean([np.sign(w[i].sum() + b) == v for i, v in zip(x, y)]) == 1.0
+
+
+def test_squeezed_counts_round_trip():
+    v = np.array([0, 1, 254, 255, 256, 65534, 65535, 65536, 10**12, 3])
+    assert (katz.unsqueeze(katz.squeeze(v)) == v).all() and len(katz.unsqueeze(katz.squeeze(v[:0]))) == 0
+    w = np.array([1, 2**48 - 1, 2**63], np.uint64)
+    assert katz.from_six(katz.six_bytes(w)).tolist() == [1, 2**48 - 1, 0]
