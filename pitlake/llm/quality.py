@@ -96,21 +96,12 @@ def _counted(label: int, c: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([at.astype(np.int32).tobytes() + c[at].tobytes()], pa.binary())], ["label", "x"])
 
 
-def _counts(x: bytes) -> np.ndarray:
-    n = len(x) // 12
-    out = np.zeros(SIZE + 1, np.int64)
-    out[np.frombuffer(x[: 4 * n], np.int32)] = np.frombuffer(x[4 * n :], np.int64)
-    return out
-
-
-def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
+def _spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         for label, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-            c = _counts(x.as_py())
-            total[label] = total[label] + c if label in total else c
-    for label, c in total.items():
-        yield _counted(label, c)
+            n = len(x.as_py()) // 12
+            at, count = np.frombuffer(x.as_py()[: 4 * n], np.int32), np.frombuffer(x.as_py()[4 * n :], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, label, np.int32)), pa.array(at), pa.array(count)], ["label", "feature", "n"])
 
 
 def dual_coordinate_descent(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, spec: Spec) -> tuple[np.ndarray, float]:
@@ -180,8 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> np.ndarray
     # The hint keeps the same plan at every size.
     text = docs.where("doc_id is not null").where(~held_out(docs)).select("doc_id", "text").join(marked.hint("merge"), "doc_id").select("text", "label", picked.alias("picked"))
     found = ws.save(text.mapInArrow(_labelled, "label int, x binary"))
-    sums = found.where("label < 0").repartition(8, F.rand(3)).mapInArrow(_summed, "label int, x binary").coalesce(1).mapInArrow(_summed, "label int, x binary")
-    counts = {r["label"]: _counts(bytes(r["x"])) for r in sums.collect()}  # two rows
+    # Sums over parts by feature: a number for each class and bucket comes back, whatever the number of parts.
+    sums = found.where("label < 0").mapInArrow(_spread, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    counts = {}
+    for label, own in sums.groupby("label"):
+        counts[int(label)] = np.zeros(SIZE + 1, np.int64)
+        counts[int(label)][own["feature"].to_numpy()] = own["n"].to_numpy()
     if len(counts) < 2 or not counts[-1][-1] or not counts[-2][-1]:
         one, all_ = (counts[-2][-1], counts[-1][-1] + counts[-2][-1]) if counts else (1, 2)
         return np.append(np.zeros(SIZE), [np.log((one + 1e-3) / (all_ - one + 1e-3))])
