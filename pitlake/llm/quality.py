@@ -173,13 +173,12 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> np.ndarray
     found = ws.save(text.mapInArrow(_labelled, "label int, x binary"))
     # Sums over parts by feature: a number for each class and bucket comes back, whatever the number of parts.
     sums = found.where("label < 0").mapInArrow(_spread, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
-    counts = {}
+    counts = {-1: np.zeros(SIZE + 1, np.int64), -2: np.zeros(SIZE + 1, np.int64)}
     for label, own in sums.groupby("label"):
-        counts[int(label)] = np.zeros(SIZE + 1, np.int64)
         counts[int(label)][own["feature"].to_numpy()] = own["n"].to_numpy()
-    if len(counts) < 2 or not counts[-1][-1] or not counts[-2][-1]:
-        one, all_ = (counts[-2][-1], counts[-1][-1] + counts[-2][-1]) if counts else (1, 2)
-        return np.append(np.zeros(SIZE), [np.log((one + 1e-3) / (all_ - one + 1e-3))])
+    none, one = counts[-1][-1], counts[-2][-1]
+    if not none or not one:
+        return np.append(np.zeros(SIZE), [np.log((one + 1e-3) / (none + 1e-3))])
     fitted = found.where("label >= 0").groupBy(F.lit(0).alias("k")).applyInArrow(_fit(counts, spec), "w binary")
     w = np.frombuffer(bytes(fitted.first()["w"]), np.float64)
     ws.drop(found)
