@@ -44,7 +44,7 @@ class Spec:
     """k: the highest discounted count."""
 
     k: int = 5
-    group_bytes: int = 6 << 20
+    group_bytes: int = 8 << 20
 
 
 def discounts(n: np.ndarray, k: int) -> np.ndarray:

@@ -29,7 +29,7 @@ class Workspace:
     def save(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.count += 1
         path = f"{self.root}/t{self.count}"
-        writer = df.write
+        writer = df.write.option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
