@@ -1,0 +1,84 @@
+"""Integer refinements of target shares: coordinate search, group-cap repair and the replacement guard.
+
+Each works on one account's few dozen names and runs as a grouped function per decision.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+
+def search_shares(shares: np.ndarray, target: np.ndarray, price: np.ndarray, low: np.ndarray, step: np.ndarray, held: np.ndarray, value: float, cost_rate: float, minimum: float, cap: float, rounds: int = 50) -> np.ndarray:
+    """Legal shares that come nearest to the target weights, fees counted, one name a step up or down at a time.
+
+    A step is kept where squared distance to the targets plus fees, as a share of the account, falls
+    and the cost stays within the account and each name within its cap.
+    """
+    now = shares.astype(float).copy()
+
+    def loss(s: np.ndarray) -> float:
+        traded = np.abs(s - held) * price
+        fees = np.where(traded > 0, np.maximum(traded * cost_rate, minimum), 0.0).sum()
+        w = s * price / value
+        return float(((w - target) ** 2).sum() + fees / value) if (s * price).sum() + fees <= value + 1e-8 and (w <= cap + 1e-9).all() else np.inf
+
+    best = loss(now)
+    for _ in range(rounds):
+        moved = False
+        for i in range(len(now)):
+            for to in (now[i] + step[i] if now[i] else low[i], now[i] - step[i] if now[i] - step[i] >= low[i] else 0.0):
+                trial = now.copy()
+                trial[i] = max(to, 0.0)
+                here = loss(trial)
+                if here < best - 1e-15:
+                    now, best, moved = trial, here, True
+        if not moved:
+            break
+    return now.astype(np.int64)
+
+
+def repair_group_cap(shares: np.ndarray, price: np.ndarray, low: np.ndarray, step: np.ndarray, group: np.ndarray, score: np.ndarray, value: float, cap: float) -> np.ndarray:
+    """Shares cut, one step of the lowest score first, until every group is within its cap."""
+    out = shares.astype(np.int64).copy()
+    for g in sorted(set(group)):
+        own = np.flatnonzero(group == g)
+        for i in own[np.argsort(score[own], kind="stable")]:
+            while (out[own] * price[own]).sum() > cap * value + 1e-9 and out[i] > 0:
+                out[i] = out[i] - step[i] if out[i] - step[i] >= low[i] else 0
+    return out
+
+
+def replacement_guard(side: np.ndarray, gross: np.ndarray, exempt: np.ndarray, budget: float) -> np.ndarray:
+    """Which orders to keep so that sells and buys differ by about the wanted change of exposure.
+
+    Exempt orders always stay. Of the others the larger side loses its smallest orders while that
+    brings sells less buys nearer to ``budget``; a lone sell that overshoots is not kept.
+    """
+    keep = np.ones(len(side), bool)
+    sign = np.where(side == "SELL", 1.0, -1.0)
+    gap = lambda k: abs((sign * gross * k).sum() - budget)
+    for i in np.lexsort((np.arange(len(gross)), gross)):
+        if not exempt[i]:
+            trial = keep.copy()
+            trial[i] = False
+            if gap(trial) < gap(keep):
+                keep = trial
+    return keep
+
+
+def refine(targets: DataFrame, value: float, cost_rate: float, minimum: float, stock_cap: float, group_cap: float) -> DataFrame:
+    """(decision_date, code, shares): lots searched for nearest weights, then repaired to group caps.
+
+    ``targets`` has decision_date, code, weight, shares, held_shares, price, min_lot, lot_step, industry_group, score.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        df = pdf[pdf["price"] > 0].sort_values("code")
+        num = lambda c: df[c].fillna(0).to_numpy(float)
+        s = search_shares(num("shares"), num("weight"), num("price"), num("min_lot"), num("lot_step"), num("held_shares"), value, cost_rate, minimum, stock_cap)
+        s = repair_group_cap(s, num("price"), num("min_lot"), num("lot_step"), df["industry_group"].fillna("UNKNOWN").to_numpy(), num("score"), value, group_cap)
+        return pd.DataFrame({"decision_date": df["decision_date"], "code": df["code"], "shares": s})
+
+    return targets.groupBy("decision_date").applyInPandas(run, "decision_date date, code string, shares long")

@@ -79,3 +79,29 @@ def equity_target(state: DataFrame, base: float, target_volatility: float, least
     capped = F.when(trend < 0, F.when(F.col("return_20") <= soft_crash, F.least(raw, F.lit(soft_cap))).otherwise(F.least(raw, F.lit(off_cap)))).otherwise(raw)
     crash = (F.col("return_20") <= hard_crash) & (F.col("breadth") <= 0.3)
     return state.withColumn("trend", trend).withColumn("equity_target", F.when(crash, F.least(capped, F.lit(hard_cap))).otherwise(capped))
+
+
+def risk_on_strength(return_20, gap, full: float = 0.05):
+    """0 in a falling market, 1 where both return and gap reach ``full``."""
+    part = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c / full))
+    return F.least(part(return_20), part(gap))
+
+
+def blend_satellite(scored: DataFrame, satellite: DataFrame, date: str, group: str, base: str, tilt: str, cap: float, risk_on) -> DataFrame:
+    """Core and satellite z-scores blended by cap x strength x risk-on; groups without a satellite keep the core."""
+    s = satellite.select(date, group, F.col("strength").alias("_strength"))
+    out = scored.join(F.broadcast(s), [date, group], "left")  # at most k groups a date
+    w = cap * F.coalesce("_strength", F.lit(0.0)) * risk_on
+    core, side = F.coalesce(zscore(F.col(base), [date]), F.lit(0.0)), F.coalesce(zscore(F.col(tilt), [date]), F.lit(0.0))
+    return out.withColumn("satellite_weight", w).withColumn("score", (1 - w) * core + w * side).drop("_strength")
+
+
+def keep_or_replace(candidates: DataFrame, date: str, expected: str, cost: float, count: int, policy: str = "cost_aware") -> DataFrame:
+    """Held names and new ones by expected return; a new name enters for a held one only past the round-trip cost.
+
+    ``policy``: none (rank alone), always (held names stay), cost_aware (held names get the cost as a bonus).
+    """
+    bonus = {"none": F.lit(0.0), "always": F.lit(1e9), "cost_aware": F.lit(cost)}[policy]
+    value = F.col(expected) + F.when(F.coalesce("held", F.lit(False)), bonus).otherwise(F.lit(0.0))
+    w = Window.partitionBy(date).orderBy(F.desc_nulls_last(value), "code")
+    return candidates.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= count).drop("_k")
