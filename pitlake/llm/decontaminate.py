@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .workspace import prepare
 
 HITS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
 
@@ -113,6 +114,7 @@ def _hits(text: pa.Array, ix: Index, spec: Containment) -> Iterator[tuple[int, i
 
 
 def _blocks(benchmark: DataFrame, spec: Containment) -> Iterator[Index]:
+    prepare(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // spec.block_bytes))

@@ -334,8 +334,6 @@ def score_texts(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
     spark = docs.sparkSession
     ws = Workspace(spark, "katz")
-    # Each step's shuffle files go when it has been written.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     part = F.crc32(F.col("doc_id").cast("string")) % 7
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(part == 2, F.lit(False)).alias("held_out"), F.coalesce(part != 2, F.lit(False)).alias("learned"), F.coalesce("text", F.lit("")).alias("text"))
     n = groups_for(text_bytes(docs), spec.group_bytes)

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .workspace import prepare
 
 UND = "und"
 LONGEST_WORD = 40
@@ -207,6 +208,7 @@ def held_out(docs: DataFrame):
 
 def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (pieces x languages), learned from labelled documents that are not held out."""
+    prepare(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= spec.per_language).select("doc_id").distinct()

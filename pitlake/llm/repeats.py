@@ -288,8 +288,6 @@ def remove_repeats(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per document."""
     spark = docs.sparkSession
     ws = Workspace(spark, "repeats")
-    # Each step's shuffle files go when it has been written.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = groups_for(text_bytes(docs), spec.group_bytes)
     # Rows with one text (and so copies, however many) are spread as well.

@@ -18,10 +18,17 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def prepare(spark: SparkSession) -> None:
+    """Arrow batches bounded in bytes, as texts may be long; shuffle files go when a step has been written."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 class Workspace:
     """Written tables of one operator call: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
