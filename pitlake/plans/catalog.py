@@ -11,6 +11,7 @@ from pitlake.operators import aggregates, asof, crosssection, evaluate, fundamen
 from pitlake.operators import windows as W
 from pitlake.plans import views
 from pitlake.plans.views import CROSS, MARKET, PANEL, cross_section, panel, table
+from pitlake.sources.panels import chain_prices
 from pitlake.sources.upsert import upsert
 
 FLAGSHIP = "market_regime"
@@ -604,3 +605,123 @@ def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = [(f"cash{c}-fee{f}", float(c), f, 5.0, 2.0, 0.5, 500.0) for c in (20000, 100000, 1000000) for f in (0.0, 0.0003)]
     runs = spark.createDataFrame(grid, "run_id string, cash double, commission double, min_commission double, slippage_bps double, participation double, min_trade_value double")
     return rounded(simulate.backtest(simulate.priced(p), t, runs), 4)
+
+
+# Further operators with SQL oracles
+
+
+@query(f"""WITH {WEEKLY}, r AS (SELECT code, specific_return AS v, row_number() OVER (PARTITION BY code ORDER BY model_date DESC) - 1 AS age FROM weekly WHERE specific_return IS NOT NULL),
+w AS (SELECT *, pow(0.5, age / 52.0) AS w FROM r),
+s AS (SELECT code, 'N' || s_nationkey AS industry_group, (sum(w * v * v) / sum(w) - pow(sum(w * v) / sum(w), 2)) * 52 AS var FROM w JOIN supplier ON s_suppkey = code GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT code, industry_group, round(0.8 * var + 0.2 * median(var) OVER (PARTITION BY industry_group), 4) AS specific_variance FROM s""")
+def specific_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = weekly_returns(spark, sf_dir).withColumnRenamed("specific_return", "value")
+    groups = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("industry_group"))
+    return rounded(risk.specific_variance(s, groups, "9999-12-31", 52), 4)
+
+
+@query("""WITH w AS (SELECT s_suppkey AS code, abs(s_acctbal) / 1e6 AS weight, 0.05 + abs(s_acctbal) / 1e5 AS sv, 'N' || s_nationkey AS f FROM supplier),
+e AS (SELECT code, f, weight FROM w UNION ALL SELECT code, 'MARKET', weight FROM w), x AS (SELECT f, sum(weight) AS x FROM e GROUP BY 1),
+p AS (SELECT a.f, sum(CASE WHEN a.f = b.f THEN 0.04 ELSE 0.01 END * b.x) AS pull FROM x a CROSS JOIN x b GROUP BY 1),
+c AS (SELECT code, sum(weight * pull) AS common FROM e JOIN p USING (f) GROUP BY 1)
+SELECT code, round(common + weight * weight * sv, 9) AS variance_contribution FROM c JOIN w USING (code)""")
+def stock_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, x, cov, own = _risk_tables(spark, sf_dir)
+    return rounded(risk.stock_contributions(w.drop("portfolio"), x, cov, own), 9)
+
+
+@query("""WITH k AS (SELECT s_suppkey AS code, CASE WHEN s_suppkey % 3 <> 0 THEN abs(s_acctbal) END AS v FROM supplier), h AS (SELECT quantile_cont(v, 0.9) AS high FROM k)
+SELECT code, round(coalesce(v, high), 6) AS specific_variance, CASE WHEN v IS NULL THEN 'completed' ELSE 'model' END AS exposure_source FROM k, h""")
+def completed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.abs("s_acctbal").alias("specific_variance"))
+    return rounded(risk.complete_specific(s.select("code"), s.where("code % 3 <> 0")))
+
+
+def _nation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two relative measures of nations per month."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    g = o.groupBy(F.trunc("o_orderdate", "MM").alias("d"), F.col("c_nationkey").alias("g")).agg(F.avg("o_totalprice").alias("a"), F.avg("c_acctbal").alias("b"))
+    w = Window.partitionBy("d")
+    return g.select("d", "g", (F.col("a") / F.avg("a").over(w) - 1).alias("r20"), (F.col("b") / F.avg("b").over(w) - 1).alias("r60"))
+
+
+@query("""WITH n AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, c_nationkey AS g, avg(o_totalprice) AS a, avg(c_acctbal) AS b FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+r AS (SELECT d, g, a / avg(a) OVER w - 1 AS r20, b / avg(b) OVER w - 1 AS r60 FROM n WINDOW w AS (PARTITION BY d)),
+z AS (SELECT *, CASE WHEN stddev_samp(r20) OVER w > 1e-12 THEN (r20 - avg(r20) OVER w) / stddev_samp(r20) OVER w END AS z20, CASE WHEN stddev_samp(r60) OVER w > 1e-12 THEN (r60 - avg(r60) OVER w) / stddev_samp(r60) OVER w END AS z60 FROM r WINDOW w AS (PARTITION BY d)),
+l AS (SELECT d, g, r20, r60, CASE WHEN z20 IS NULL THEN z60 WHEN z60 IS NULL THEN z20 ELSE 0.5 * z20 + 0.5 * z60 END AS leadership FROM z)
+SELECT d, g, round(leadership, 5) AS leadership, round(greatest(0, least(1, leadership / 2)), 5) AS strength, CAST(row_number() OVER (PARTITION BY d ORDER BY leadership DESC, g) AS INTEGER) AS k
+FROM l WHERE r20 > 0 AND r60 > 0 AND leadership > 0 QUALIFY row_number() OVER (PARTITION BY d ORDER BY leadership DESC, g) <= 3""")
+def industry_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = scoring.leadership(_nation_days(spark, sf_dir), ["d"], "r20", "r60")
+    return rounded(scoring.satellites(led, ["d"], "g", "r20", "r60", 3).select("d", "g", "leadership", "strength", "k"), 5)
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS d, round(max(o_totalprice), 2) AS v FROM orders GROUP BY 1)
+SELECT d, first_value(v) OVER (PARTITION BY date_trunc('month', d) ORDER BY d) AS v FROM d""")
+def monthly_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.round(F.max("o_totalprice"), 2).alias("v"))
+    return scoring.monthly_frozen(d, "d", "v")
+
+
+@query("""WITH t AS (SELECT c_custkey AS code, abs(c_acctbal) / 1e4 AS weight FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS code, abs(c_acctbal) / 1.02e4 AS weight FROM customer WHERE c_custkey % 3 = 0)
+SELECT code, round(CASE WHEN abs(coalesce(t.weight, 0) - coalesce(n.weight, 0)) < 0.01 THEN coalesce(n.weight, 0) ELSE coalesce(t.weight, 0) END, 8) AS weight FROM t FULL JOIN n USING (code)""")
+def no_trade_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    own = lambda m, scale: c.where(F.col("c_custkey") % m == 0).select(F.col("c_custkey").alias("code"), (F.abs("c_acctbal") / scale).alias("weight"))
+    return rounded(portfolio.keep_within_band(own(2, 1e4), own(3, 1.02e4), ["code"], 0.01), 8)
+
+
+@query("""WITH m AS (SELECT CASE WHEN c_nationkey % 10 = 0 THEN 'UNKNOWN' ELSE 'N' || c_nationkey END AS industry_group, sum(abs(c_acctbal)) AS v FROM customer GROUP BY 1)
+SELECT industry_group, round(v / sum(v) OVER (), 8) AS market_weight, round(CASE WHEN industry_group = 'UNKNOWN' THEN 0.05 ELSE least(0.06, (v / sum(v) OVER () + 0.02) * 0.9) END, 8) AS group_cap FROM m""")
+def industry_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.when(F.col("c_nationkey") % 10 == 0, "UNKNOWN").otherwise(F.concat(F.lit("N"), "c_nationkey"))
+    m = table(spark, sf_dir, "customer").groupBy(g.alias("industry_group")).agg(F.sum(F.abs("c_acctbal")).alias("v"))
+    total = m.agg(F.sum("v").alias("t"))
+    share = m.crossJoin(F.broadcast(total)).select("industry_group", (F.col("v") / F.col("t")).alias("market_weight"))  # one row
+    return rounded(portfolio.industry_budgets(share, 0.9, 0.06, 0.02, 0.05), 8)
+
+
+@query("""WITH r AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT event_id, user_id, ts FROM r WHERE before >= ts""")
+def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.out_of_order(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], "event_id", "ts")
+
+
+@query("""WITH e AS (SELECT event_id, value AS open, value * (1 + (event_id % 41 - 20) / 100.0) AS close, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, event_id % 7 AS n FROM events)
+SELECT event_id, close > 0 AND open > 0 AND n <> 0 AND CASE WHEN side = 'BUY' THEN open / close - 1 >= 0.1 - 0.002 ELSE open / close - 1 <= -0.1 + 0.002 END AS blocked, round(open * CASE WHEN side = 'BUY' THEN 1.0005 ELSE 0.9995 END, 8) AS slipped FROM e""")
+def limit_and_slippage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i, v = table(spark, sf_dir, "events"), F.col("event_id"), F.col("value")
+    side = F.when(i % 2 == 0, "BUY").otherwise("SELL")
+    none = F.lit(None).cast("double")
+    blocked = T.limit_blocked(side, v, v * (1 + (i % 41 - 20) / 100.0), F.lit(0.1), none, none, F.when(i % 7 == 0, 1).otherwise(0))
+    return e.select("event_id", blocked.alias("blocked"), F.round(T.slipped(v, side, 5.0), 8).alias("slipped"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, ' ' || s_suppkey || '.0' AS raw, CASE WHEN s_suppkey % 2 = 0 THEN CAST(30000 + s_suppkey AS VARCHAR) ELSE '2021/01/' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') END AS d, '1,' || lpad(CAST(s_suppkey AS VARCHAR), 3, '0') || '.5' AS x FROM supplier)
+SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_suppkey % 2 = 0 THEN DATE '1899-12-30' + CAST(30000 + s_suppkey AS INTEGER) ELSE CAST(replace(d, '/', '-') AS DATE) END AS day, CAST(replace(x, ',', '') AS DOUBLE) AS number FROM s""")
+def parsed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    d = F.when(k % 2 == 0, (k + 30000).cast("string")).otherwise(F.concat(F.lit("2021/01/"), F.lpad((k % 28 + 1).cast("string"), 2, "0")))
+    x = F.concat(F.lit("1,"), F.lpad(k.cast("string"), 3, "0"), F.lit(".5"))
+    raw = F.concat(F.lit(" "), k.cast("string"), F.lit(".0"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", C.parse_code(raw).alias("code"), C.parse_date(d).alias("day"), C.parse_float(x).alias("number"))
+
+
+@query(f"""WITH {CROSS}, e AS (SELECT *, CASE WHEN date < 1999 THEN 'train' ELSE 'test' END AS era FROM cross_section)
+SELECT era, control, "distinct", round(sd, 6) AS sd, "distinct" <= 1 OR coalesce(sd, 0) < 1e-12 AS constant FROM (
+  SELECT era, 'size' AS control, count(DISTINCT size) AS "distinct", stddev_samp(size) AS sd FROM e GROUP BY 1 UNION ALL SELECT era, 'cap', count(DISTINCT cap), stddev_samp(cap) FROM e GROUP BY 1)""")
+def control_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = cross_section(spark, sf_dir).withColumn("era", F.when(F.col("date") < 1999, "train").otherwise("test"))
+    return rounded(evaluate.control_audit(x, ["size", "cap"]))
+
+
+@query(f"""WITH {PANEL}, h AS (SELECT code, arg_max(close, trade_date) AS anchor, max(trade_date) AS last FROM panel WHERE trade_date < DATE '2000-01-01' GROUP BY 1),
+f AS (SELECT p.code, p.trade_date, p.close, p.daily_return, anchor FROM panel p LEFT JOIN h USING (code) WHERE p.trade_date >= DATE '2000-01-01' AND (last IS NULL OR p.trade_date > last)),
+s AS (SELECT *, CASE WHEN anchor IS NULL AND row_number() OVER w = 1 THEN 0 ELSE ln(1 + coalesce(daily_return, 0)) END AS step, first_value(close) OVER w AS f0 FROM f WINDOW w AS (PARTITION BY code ORDER BY trade_date))
+SELECT code, trade_date, round(coalesce(anchor, f0) * exp(sum(step) OVER (PARTITION BY code ORDER BY trade_date)), 2) AS adj_close FROM s""")
+def chained_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+    p = panel(spark, sf_dir)
+    old = p.where("trade_date < date'2000-01-01'").select("code", "trade_date", F.col("close").alias("adj_close"))
+    new = p.where("trade_date >= date'2000-01-01'").select("code", "trade_date", "close", "daily_return")
+    return rounded(chain_prices(old, new).select("code", "trade_date", "adj_close"), 2)
