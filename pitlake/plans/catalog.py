@@ -717,11 +717,11 @@ def control_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PANEL}, h AS (SELECT code, arg_max(close, trade_date) AS anchor, max(trade_date) AS last FROM panel WHERE trade_date < DATE '2000-01-01' GROUP BY 1),
 f AS (SELECT p.code, p.trade_date, p.close, p.daily_return, anchor FROM panel p LEFT JOIN h USING (code) WHERE p.trade_date >= DATE '2000-01-01' AND (last IS NULL OR p.trade_date > last)),
 s AS (SELECT *, CASE WHEN anchor IS NULL AND row_number() OVER w = 1 THEN 0 ELSE ln(1 + coalesce(daily_return, 0)) END AS step, first_value(close) OVER w AS f0 FROM f WINDOW w AS (PARTITION BY code ORDER BY trade_date))
-SELECT code, trade_date, round(coalesce(anchor, f0) * exp(sum(step) OVER (PARTITION BY code ORDER BY trade_date)), 2) AS adj_close FROM s""")
+SELECT code, trade_date, round(ln(coalesce(anchor, f0)) + sum(step) OVER (PARTITION BY code ORDER BY trade_date), 6) AS log_adj_close FROM s""")
 def chained_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
     p = panel(spark, sf_dir)
     old = p.where("trade_date < date'2000-01-01'").select("code", "trade_date", F.col("close").alias("adj_close"))
     new = p.where("trade_date >= date'2000-01-01'").select("code", "trade_date", "close", "daily_return")
-    return rounded(chain_prices(old, new).select("code", "trade_date", "adj_close"), 2)
+    return rounded(chain_prices(old, new).select("code", "trade_date", F.log("adj_close").alias("log_adj_close")))
