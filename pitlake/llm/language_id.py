@@ -4,7 +4,7 @@ Pieces are the lower-case letter pieces of a fixed public vocabulary (a path, ne
 bytes among them. Each language has a probability for every piece; the probability of a word is the sum
 over all of its segmentations, by the forward algorithm, and a text's is the product over its words.
 Piece probabilities come from forward-backward expectations on labelled documents, one language a task,
-on a bounded sample: ``per_language`` documents, the first by a hash of doc_id. Scoring covers every
+on a bounded sample: about ``per_language`` documents, drawn by a hash of doc_id. Scoring covers every
 word of every text.
 
 A word is a run of letters, lower-cased, with the space before it; a run of over 40 bytes is scored in
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -210,9 +210,9 @@ def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], n
     """Languages and their piece probabilities (pieces x languages), learned from labelled documents that are not held out."""
     prepare(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = usable.select("doc_id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= spec.per_language).select("doc_id").distinct()
-    sample = usable.join(F.broadcast(picked), "doc_id", "left_semi")  # at most per_language ids for each language
+    share = usable.groupBy("lang").agg((F.lit(spec.per_language) / F.count("*")).alias("_share"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col("_share") * (1 << 20))
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(drawn)  # a row for each language
     counts = sample.select("lang", F.lower("text").alias("text")).mapInArrow(_words_of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     learned = counts.groupBy("lang").applyInArrow(_learn(path, spec), "lang string, piece long, p double").toPandas()  # pieces x languages
     langs = sorted(learned["lang"].unique())
