@@ -9,26 +9,26 @@ from pitlake.functions.columns import clip
 
 
 def winsorise_mad(df: DataFrame, value: str, by: list[str], k: float = 3.0, name: str | None = None) -> DataFrame:
-    """Clip to median +- k * 1.4826 * MAD per group; where MAD is about 0, to the 1 % and 99 % quantiles."""
-    name = name or value
-    mid = df.groupBy(*by).agg(F.median(value).alias("_mid"), F.percentile(value, F.lit(0.01)).alias("_q1"), F.percentile(value, F.lit(0.99)).alias("_q99"))
-    out = df.join(mid, by)
-    mad = out.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("_mid"))).alias("_mad"))
-    out = out.join(mad, by)
+    """Clip to median +- k * 1.4826 * MAD per group; where MAD is about 0, to the 1 % and 99 % quantiles.
+
+    Windows over the group rather than joins: one shuffle, shared by all columns treated by the same group.
+    """
+    w, v = Window.partitionBy(*by), F.col(value)
+    out = df.withColumns({"_mid": F.median(v).over(w), "_q1": F.percentile(v, F.lit(0.01)).over(w), "_q99": F.percentile(v, F.lit(0.99)).over(w)})
+    out = out.withColumn("_mad", F.median(F.abs(v - F.col("_mid"))).over(w))
     wide = k * 1.4826 * F.col("_mad")
     low = F.when(F.col("_mad") > 1e-12, F.col("_mid") - wide).otherwise(F.col("_q1"))
     high = F.when(F.col("_mad") > 1e-12, F.col("_mid") + wide).otherwise(F.col("_q99"))
-    v = F.col(value)
-    return out.withColumn(name, F.when(v.isNotNull(), F.greatest(low, F.least(high, v)))).drop("_mid", "_q1", "_q99", "_mad")
+    return out.withColumn(name or value, F.when(v.isNotNull(), F.greatest(low, F.least(high, v)))).drop("_mid", "_q1", "_q99", "_mad")
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], name: str, least: int = 20, bound: float = 5.0) -> DataFrame:
     """(x - median) / (1.4826 MAD), by mean and deviation where MAD is about 0; null below ``least`` values; clipped."""
-    mid = df.groupBy(*by).agg(F.median(value).alias("_mid"), F.avg(value).alias("_avg"), F.stddev_samp(value).alias("_sd"), F.count(value).alias("_n"))
-    out = df.join(mid, by)
-    out = out.join(out.groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("_mid"))).alias("_mad")), by)
-    z = F.when(F.col("_mad") > 1e-12, (F.col(value) - F.col("_mid")) / (1.4826 * F.col("_mad"))).when(F.col("_sd") > 1e-12, (F.col(value) - F.col("_avg")) / F.col("_sd"))
-    return out.withColumn(name, F.when(F.col("_n") >= least, clip(z, -bound, bound))).drop("_mid", "_avg", "_sd", "_n", "_mad")
+    w, v = Window.partitionBy(*by), F.col(value)
+    out = df.withColumn("_mid", F.median(v).over(w)).withColumn("_mad", F.median(F.abs(v - F.col("_mid"))).over(w))
+    sd = F.stddev_samp(v).over(w)
+    z = F.when(F.col("_mad") > 1e-12, (v - F.col("_mid")) / (1.4826 * F.col("_mad"))).when(sd > 1e-12, (v - F.avg(v).over(w)) / sd)
+    return out.withColumn(name, F.when(F.count(v).over(w) >= least, clip(z, -bound, bound))).drop("_mid", "_mad")
 
 
 def zscore(value: Column, by: list[str]) -> Column:
@@ -79,8 +79,8 @@ def weighted_residual2(value: Column, a: Column, b: Column, weight: Column, by:
 
 def quantile_bucket(df: DataFrame, value: str, by: list[str], n: int, name: str = "bucket") -> DataFrame:
     """Right-closed buckets between distinct interpolated quantiles, from 0 up."""
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / n) for i in range(n + 1)]))).alias("_edges"))
-    out = df.join(edges, by)
+    steps = F.array(*[F.lit(i / n) for i in range(n + 1)])
+    out = df.withColumn("_edges", F.array_distinct(F.percentile(value, steps).over(Window.partitionBy(*by))))
     return out.withColumn(name, F.greatest(F.lit(0), F.size(F.filter("_edges", lambda e: e < F.col(value))) - 1)).drop("_edges")
 
 
@@ -91,9 +91,8 @@ def cap_share(cap: Column, by: list[str], group: str) -> Column:
 
 def root_cap_weight(df: DataFrame, cap: str, by: list[str], name: str = "weight") -> DataFrame:
     """Square root of capitalisation, at most its 99 % quantile at the date."""
-    root = df.withColumn(name, F.sqrt(cap))
-    top = root.groupBy(*by).agg(F.percentile(name, F.lit(0.99)).alias("_top"))
-    return root.join(top, by).withColumn(name, F.least(name, "_top")).drop("_top")
+    top = F.percentile(F.sqrt(cap), F.lit(0.99)).over(Window.partitionBy(*by))
+    return df.withColumn(name, F.least(F.sqrt(cap), top))
 
 
 def style_exposures(df: DataFrame, cap: str, styles: list[str], date: list[str], group: str) -> DataFrame:

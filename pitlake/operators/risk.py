@@ -104,12 +104,13 @@ def ewma_newey_west(x: np.ndarray, half_life: float, lags: int, shrink: float =
     return nearest_psd(((1 - shrink) * out + shrink * diagonal) * periods)
 
 
-def factor_covariance(returns: DataFrame, dates: DataFrame, window: int, least: int, half_life: float, lags: int) -> DataFrame:
+def factor_covariance(returns: DataFrame, calendar: DataFrame, dates: DataFrame, window: int, least: int, half_life: float, lags: int) -> DataFrame:
     """(model_date, factor_1, factor_2, covariance) from each date's last ``window`` weeks of factor returns.
 
-    Every week is sent to the dates whose window holds it: a bounded copy, as factors are few.
+    ``calendar`` has all weeks, ``dates`` those asked for. Every week is sent to the dates whose window
+    holds it: a bounded copy, as factors are few.
     """
-    calendar = returns.select("model_date").distinct().withColumn("p", F.row_number().over(Window.orderBy("model_date")))
+    calendar = calendar.select("model_date").distinct().withColumn("p", F.row_number().over(Window.orderBy("model_date")))
     wanted = dates.select("model_date").distinct().join(calendar, "model_date").select(F.col("model_date").alias("as_of"), F.col("p").alias("q"))
     placed = returns.where("kind = 'factor'").join(F.broadcast(calendar), "model_date")
     spread = placed.join(F.broadcast(wanted), (F.col("p") <= F.col("q")) & (F.col("p") > F.col("q") - window))

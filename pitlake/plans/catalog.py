@@ -556,8 +556,9 @@ def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def factor_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = factor_returns(spark, sf_dir)
-    ends = f.select("model_date").distinct().groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date"))
-    return rounded(risk.factor_covariance(f, ends, 156, 26, 52, 4), 8)
+    weeks = W.week_ends(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")))
+    ends = weeks.groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date"))
+    return rounded(risk.factor_covariance(f, weeks, ends, 156, 26, 52, 4), 8)
 
 
 @query()
