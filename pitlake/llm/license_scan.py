@@ -1,12 +1,17 @@
 """License scan (operator 1), with DataFrame functions alone on the data path.
 
-A paragraph is a line of a text. A sparse multinomial logistic regression over word 1- and 2-grams
-names its licence family or ``none``; it is trained here, on the driver, from the notices below and
-their variations, a fixed amount of text that does not depend on the data. The confidence is calibrated
-by a temperature fitted on variations that training did not see; a paragraph about licensing whose best
-family stays under the threshold, or that no template of the family confirms, is ``unknown``.
-
-Scoring is a lookup of a paragraph's n-grams in the model's vocabulary inside the row: there is no
+A paragraph is what blank lines (lines without a letter or digit, as of comment marks alone) set apart.
+It is cut into segments at line ends, sentence and clause ends and words that open a notice; what is
+scored are sliding groups of 1 to ``LONGEST_GROUP`` segments that lie side by side, so a notice may be
+wrapped over lines and a line may hold several notices. A sparse multinomial logistic regression over
+word 1- and 2-grams names a group's licence family or ``none``; it is trained here, on the driver, from
+the notices below and their variations, a fixed amount of text that does not depend on the data. The
+confidence is calibrated by a temperature fitted on variations that training did not see, and a template
+of the family must confirm it. A notice is a smallest confirmed group; of rivals, families whose notices
+hold each other's words, the one with the larger overlap stays where groups lie in each other. A line
+about licensing outside of all notices is ``unknown``.
+
+Scoring is a lookup of a group's n-grams in the model's vocabulary inside the row: there is no
 shuffle, so keys and sources of any frequency cost the same.
 
 Defined results: null and empty texts have no licence; a null doc_id stays null; repeated rows each get
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -58,7 +64,13 @@ NOTICES: dict[str, list[str]] = {
 # Words that alone say nothing about a licence.
 COMMON = set("a an and any are as at be by can for from have if in into is it its may not of on or that the their this to under was were will with without you your v version work file use copy free public terms conditions following person charge".split())
 COMMON |= set("der die das und mit von den le la les de des du et un une que el los las por para con".split())
+# Families whose notices hold the words of each other's.
+RIVALS = [["AGPL", "GPL", "LGPL"], ["CC-BY", "CC-BY-NC", "CC-BY-SA"]]
 NONE, UNKNOWN = "none", "unknown"
+BLANK = r"(?>\r\n|[\r\n])[^\p{L}\p{N}]*[\r\n]"
+SEGMENT = r"(?<=[.;:!?,])\s+|\s+(?=(?i:and|or|licen[sc]ed|released|distributed|dedicated|permission|redistribution|spdx|this)\b)|/(?=[A-Z])"
+#: Segments of a group; template n-grams that a group of over LOOSE_WORDS words must hold all of.
+LONGEST_GROUP, SMALL_TEMPLATE, LOOSE_WORDS = 12, 5, 12
 
 
 @dataclass(frozen=True)
@@ -155,47 +167,125 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def _judged(line: Column, m: Model, least: float, confirm: float) -> Column:
-    """struct<family, probability, overlap> of one paragraph; family is null for ``none``."""
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+FOUND = "array<struct<family:string,probability:double>>"
+NOTICE = "array<struct<family:string,probability:double,overlap:double,a:int,b:int,first:int,last:int>>"
+
+
+def _notices(lines: Column, m: Model, least: float, confirm: float) -> Column:
+    """Notices of a paragraph as NOTICE: a and b are the first and last segment, first and last their lines."""
     n = len(m.families) + 1
-    vocabulary = _strings(m.vocabulary)
+    vocabulary, cues = _strings(m.vocabulary), _strings(m.words)
     rows = F.lit([[float(v) for v in r] for r in m.weights])
-    templates = F.lit([[sorted(grams(tokens(t))) for t in NOTICES[f]] for f in m.families]).cast("array<array<array<string>>>")
-
-    def judge(found: Column) -> Column:
-        logits = F.aggregate(
+    by_family = [[sorted(grams(tokens(t))) for t in NOTICES[f]] for f in m.families]
+    templates = F.lit(by_family).cast("array<array<array<string>>>")
+    flat = F.lit([t for f in by_family for t in f]).cast("array<array<string>>")
+    known = _strings(sorted({g for f in by_family for t in f for g in t} | set(m.vocabulary)))
+    rival = F.lit([next((k for k, r in enumerate(RIVALS) if f in r), -1 - i) for i, f in enumerate(m.families)])
+    family = _strings(m.families)
+    none = F.lit([]).cast(NOTICE)
+
+    def overlap(found: Column, size: Column, t: Column) -> Column:
+        o = F.size(F.array_intersect(t, found)) / F.size(t)
+        return F.when((o < 1) & (F.size(t) <= SMALL_TEMPLATE) & (size > LOOSE_WORDS), F.lit(0.0)).otherwise(o)
+
+    def of_segments(segments: Column) -> Column:
+        return _let(F.array_intersect(_grams(F.flatten(F.transform(segments, lambda s: s["words"]))), known), lambda mine: of_grams(segments, mine))
+
+    def of_grams(segments: Column, mine: Column) -> Column:
+        # No group overlaps a template more than the paragraph does.
+        live = F.filter(flat, lambda t: F.size(F.array_intersect(t, mine)) >= confirm * F.size(t))
+        return _let(live, lambda live: F.when(F.size(live) > 0, smallest(groups(segments, mine, live))).otherwise(none))
+
+    def groups(segments: Column, mine: Column, live: Column) -> Column:
+        def begun(s: Column, a: Column) -> Column:
+            ends = F.filter(F.sequence(a, F.least(a + LONGEST_GROUP, F.size(segments)) - 1), lambda b: F.get(segments, b)["cue"])
+            return F.when(s["cue"], F.filter(F.transform(ends, lambda b: judge(segments, mine, live, a, b)), lambda g: g["family"].isNotNull())).otherwise(none)
+
+        return F.flatten(F.transform(segments, begun))
+
+    def judge(segments: Column, mine: Column, live: Column, a: Column, b: Column) -> Column:
+        words = F.flatten(F.transform(F.slice(segments, a + 1, b - a + 1), lambda s: s["words"]))
+        first, last = F.get(segments, a)["line"], F.get(segments, b)["line"]
+
+        def of_words(w: Column) -> Column:
+            return _let(F.array_intersect(_grams(w), mine), lambda found: of_found(found, F.size(w)))
+
+        def of_found(found: Column, size: Column) -> Column:
+            # Only a group that some template confirms is scored.
+            return F.when(F.exists(live, lambda t: overlap(found, size, t) >= confirm), _let(logits(found), lambda z: verdict(found, size, z)))
+
+        def verdict(found: Column, size: Column, z: Column) -> Column:
+            top = F.array_max(z)
+            best = (F.array_position(z, top) - 1).cast("int")
+            p = 1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp((v - top) / m.temperature))
+            o = F.coalesce(F.array_max(F.transform(F.get(templates, best), lambda t: overlap(found, size, t))), F.lit(0.0))
+            name = F.when((best < n - 1) & (p >= least) & (o >= confirm), F.get(family, best))
+            return F.struct(name.alias("family"), p.alias("probability"), o.alias("overlap"), a.alias("a"), b.alias("b"), first.alias("first"), last.alias("last"))
+
+        return _let(words, of_words)
+
+    def logits(found: Column) -> Column:
+        return F.aggregate(
             F.array_intersect(found, vocabulary), F.lit([float(v) for v in m.bias]), lambda acc, g: F.zip_with(acc, F.get(rows, F.array_position(vocabulary, g).cast("int") - 1), lambda a, b: a + b)
         )
-        return F.transform(F.array(logits), lambda z: verdict(found, z))[0]
 
-    def verdict(found: Column, z: Column) -> Column:
-        top = F.array_max(z)
-        best = (F.array_position(z, top) - 1).cast("int")
-        p = 1 / F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp((v - top) / m.temperature))
-        overlap = F.array_max(F.transform(F.get(templates, best), lambda t: F.size(F.array_intersect(found, t)) / F.size(t)))
-        sure = (p >= least) & (overlap >= confirm)
-        cue = F.exists(found, lambda g: g.rlike(r"^(licen[sc]ed?|copyright|spdx)$"))
-        name = F.when(best == n - 1, F.when(cue, F.lit(UNKNOWN))).when(sure, F.get(_strings(m.families), best)).when(cue, F.lit(UNKNOWN))
-        return F.struct(name.alias("family"), p.alias("probability"), overlap.alias("overlap"))
+    def inside(x: Column, y: Column) -> Column:
+        return (y["a"] <= x["a"]) & (x["b"] <= y["b"])
+
+    def kind(g: Column) -> Column:
+        return F.get(rival, F.array_position(family, g["family"]).cast("int") - 1)
+
+    def smallest(found: Column) -> Column:
+        return _let(found, lambda all_: _let(F.filter(all_, lambda x: ~F.exists(all_, lambda y: (y["family"] == x["family"]) & inside(y, x) & ~inside(x, y))), strongest))
+
+    def strongest(found: Column) -> Column:
+        def beaten(x: Column, y: Column) -> Column:
+            other = (y["family"] != x["family"]) & (kind(y) == kind(x)) & (inside(x, y) | inside(y, x))
+            return other & ((y["overlap"] > x["overlap"]) | ((y["overlap"] == x["overlap"]) & inside(x, y)))
+
+        return F.filter(found, lambda x: ~F.exists(found, lambda y: beaten(x, y)))
+
+    def cut(line: Column, i: Column) -> Column:
+        return F.transform(F.split(line, SEGMENT), lambda s: _let(_words(s), lambda w: F.struct(i.alias("line"), w.alias("words"), F.arrays_overlap(w, cues).alias("cue"))))
+
+    return _let(F.filter(F.flatten(F.transform(lines, cut)), lambda s: F.size(s["words"]) > 0), of_segments)
+
+
+def _judged(paragraph: Column, m: Model, least: float, confirm: float) -> Column:
+    """FOUND of one paragraph: its notices, then its unknown lines."""
+
+    def about(line: Column) -> Column:
+        return _let(_words(line), lambda w: F.arrays_overlap(w, _strings(m.words)) & F.exists(w, lambda g: g.rlike(r"^(licen[sc]ed?|copyright|spdx)$")))
+
+    def all_of(lines: Column, notices: Column) -> Column:
+        # Groups of one family that share segments are one notice.
+        once = F.filter(notices, lambda x: ~F.exists(notices, lambda y: (y["family"] == x["family"]) & (y["a"] < x["a"]) & (y["b"] >= x["a"])))
+        outside = F.filter(lines, lambda x, i: ~F.exists(notices, lambda g: (g["first"] <= i) & (i <= g["last"])) & about(x))
+        unknown = F.transform(outside, lambda _: F.struct(F.lit(UNKNOWN).alias("family"), F.lit(None).cast("double").alias("probability")))
+        return F.concat(F.transform(once, lambda g: F.struct(g["family"].alias("family"), g["probability"].alias("probability"))), unknown)
 
-    return F.transform(F.array(_grams(_words(line))), judge)[0]
+    return _let(F.split(paragraph, r"[\r\n]+"), lambda lines: _let(_notices(lines, m, least, confirm), lambda found: all_of(lines, found)))
 
 
 def license_scan(docs: DataFrame, least_probability: float = 0.6, least_overlap: float = 0.6) -> DataFrame:
     """doc_id, licenses, n_paragraphs, n_unknown, least_probability: one row per document.
 
     licenses: confirmed families, sorted and comma-joined, null without one. n_paragraphs: confirmed
-    paragraphs. n_unknown: paragraphs about licensing without a confirmed family. probability: the
-    highest of a confirmed paragraph.
+    notices. n_unknown: lines about licensing outside of them. probability: the highest of a notice.
     """
     m = model()
     text = F.coalesce(F.col("text"), F.lit(""))
     cues = _strings(m.words)
     # A paragraph without a word of the vocabulary has no feature and so is ``none``: only others are scored.
     has_cue = F.arrays_overlap(_words(text), cues)
-    lines = F.filter(F.split(text, "[\\r\\n]+"), lambda x: F.arrays_overlap(_words(x), cues))
-    found = F.filter(F.transform(lines, lambda x: _judged(x, m, least_probability, least_overlap)), lambda s: s["family"].isNotNull())
-    empty = F.lit([]).cast("array<struct<family:string,probability:double,overlap:double>>")
+    paragraphs = F.filter(F.split(text, BLANK), lambda x: F.arrays_overlap(_words(x), cues))
+    found = F.flatten(F.transform(paragraphs, lambda x: _judged(x, m, least_probability, least_overlap)))
+    empty = F.lit([]).cast(FOUND)
     out = docs.select("doc_id", F.when(has_cue, found).otherwise(empty).alias("found"))
     known = F.filter("found", lambda s: s["family"] != UNKNOWN)
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda s: s["family"]))), ",")

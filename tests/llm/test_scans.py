@@ -70,5 +70,37 @@ def test_licenses(spark):
     assert got[8].licenses is None and got[8].n_paragraphs == 0
 
 
+WRAPPED = {
+    """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * Some words of another paragraph""": "BSD",
+    """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""": "MIT",
+    """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""": "GPL",
+    """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by the Free Software Foundation; either
+// version 2.1 of the License, or (at your option) any later version.""": "LGPL",
+    "Licensed under CC BY-\nSA 4.0.": "CC-BY-SA",
+    "Words. Licensed under the MIT License. More words here. Licensed under the Apache License, Version 2.0. The end": "Apache-2.0,MIT",
+    "Licensed under the MIT license or the Apache License, Version 2.0 as you like": "Apache-2.0,MIT",
+    "SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+    "The license of the driver is our own, and it is long. It has many words that say little of note, and BSD sockets are named": None,
+}
+
+
+def test_wrapped_notices_and_several_in_a_line(spark):
+    docs = spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan(docs).collect()}
+    assert got == dict(enumerate(WRAPPED.values()))
+
+
 def test_empty_tables(spark):
     assert secret_scan(nothing(spark)).count() == 0 and license_scan(nothing(spark)).count() == 0 and redact(nothing(spark)).count() == 0
