@@ -9,7 +9,8 @@ candidate is confirmed by the exact share of the item's shingles that the docume
 The item index is broadcast in blocks of at most ``block_bytes``; a larger benchmark takes more blocks,
 each against all documents, so nothing is left out. Documents are neither shuffled nor grouped.
 
-Words are runs of letters and digits, lower-cased. An item of fewer than five words is one shingle of
+Words are runs of letters and digits of any script with their marks, lower-cased; in scripts written
+without spaces (Chinese, Japanese, Thai and others) each character is a word. An item of fewer than five words is one shingle of
 its own length; an item without words matches nothing. Null text is empty text; a null doc_id or
 item_id stays null in the rows it makes; repeated documents and items each make their rows; other
 columns are ignored by ``contaminated`` and kept by ``clean``.
@@ -66,7 +67,7 @@ def partition_top(size: int) -> int:
 def build_index(rows: list[tuple[int | None, str | None]], spec: Containment) -> Index:
     ids, ks, sets, keys, owner = [], [], [], [], []
     for item_id, text in rows:
-        col = pa.array([(text or "").lower()])
+        col = pa.array([text or ""])
         for _, _, buf, offs in wh.slices(col, 1 << 40):
             start, end, first = wh.words(buf, offs, wh.ALNUM)
             k = min(spec.k, len(start))
@@ -115,7 +116,7 @@ def _hits(text: pa.Array, ix: Index, spec: Containment) -> Iterator[tuple[int, i
 
 def _blocks(benchmark: DataFrame, spec: Containment) -> Iterator[Index]:
     prepare(benchmark.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long"), "text")
+    items = benchmark.select(F.col("item_id").cast("long"), wh.lettered(F.col("text"), digits=True).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // spec.block_bytes))
     for b in range(n):
@@ -124,7 +125,7 @@ def _blocks(benchmark: DataFrame, spec: Containment) -> Iterator[Index]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: one row per document and item that it contains."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long"), wh.lettered(F.col("text"), digits=True).alias("text"))
     out = None
     for ix in _blocks(benchmark, spec):
         shared = docs.sparkSession.sparkContext.broadcast(ix)
@@ -160,5 +161,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment
                 keep = pa.array([i not in dirty for i in range(len(batch))], pa.bool_())
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(keep)
 
-        docs = docs.select("*", F.lower(docs[names[at]]).alias("_lower")).mapInArrow(run, schema)
+        docs = docs.select("*", wh.lettered(docs[names[at]], digits=True).alias("_lower")).mapInArrow(run, schema)
     return docs

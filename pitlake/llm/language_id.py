@@ -7,7 +7,7 @@ Piece probabilities come from forward-backward expectations on labelled document
 on a bounded sample: about ``per_language`` documents, drawn by a hash of doc_id. Scoring covers every
 word of every text.
 
-A word is a run of letters, lower-cased, with the space before it; a run of over 40 bytes is scored in
+A word is a run of letters of any script with their marks, lower-cased, with the space before it; a run of over 40 bytes is scored in
 stretches of 40. Words repeat, so a task keeps what it has computed in a table of fixed size.
 
 Defined results: ``und`` with score 0 for null text and texts without a letter, or where nothing was
@@ -213,7 +213,7 @@ def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], n
     share = usable.groupBy("lang").agg((F.lit(spec.per_language) / F.count("*")).alias("_share"))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col("_share") * (1 << 20))
     sample = usable.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(drawn)  # a row for each language
-    counts = sample.select("lang", F.lower("text").alias("text")).mapInArrow(_words_of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.select("lang", wh.lettered(F.col("text"), digits=False).alias("text")).mapInArrow(_words_of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     learned = counts.groupBy("lang").applyInArrow(_learn(path, spec), "lang string, piece long, p double").toPandas()  # pieces x languages
     langs = sorted(learned["lang"].unique())
     n = int(learned["piece"].max()) + 1 if langs else 0
@@ -286,7 +286,7 @@ def identify(docs: DataFrame, path: str | None = None, spec: Spec = Spec()) -> D
             names, s = score(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(s)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), held_out(docs).alias("held_out"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), held_out(docs).alias("held_out"), wh.lettered(F.col("text"), digits=False).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, path: str | None = None, spec: Spec = Spec()) -> DataFrame:
@@ -301,4 +301,4 @@ def keep_identified(docs: DataFrame, path: str | None = None, spec: Spec = Spec(
             langs, _ = score(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array([x != UND for x in langs], pa.bool_()))
 
-    return docs.select("*", F.lower("text").alias("_lower")).mapInArrow(run, schema)
+    return docs.select("*", wh.lettered(F.col("text"), digits=False).alias("_lower")).mapInArrow(run, schema)

@@ -12,6 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -20,12 +22,31 @@ _FOLD = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes of words that white space (0x20, 0x09-0x0D) parts.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
-#: Bytes of letters and digits; every byte of a character beyond ASCII counts as a letter.
+#: Bytes of letters and digits; every byte of a character beyond ASCII counts as a letter, so texts go through ``lettered`` first.
 ALNUM = np.zeros(256, bool)
 ALNUM[0x80:] = True
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
+#: Scripts written without spaces between words: each of their characters, with its marks, is a word.
+_UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+
+
+def lettered(text: Column, digits: bool) -> Column:
+    """Lower-cased text in which characters beyond ASCII are letters (digits too, if wanted) and their marks alone; others are spaces.
+
+    With digits, as for shingles, characters of scripts written without spaces stand alone.
+    """
+    kept = r"\p{L}\p{N}\p{M}" if digits else r"\p{L}\p{M}"
+    sign = rf"[^\x00-\x7F{kept}]\p{{M}}*|(?<![{kept}])\p{{M}}+"
+    lower = F.lower(text)
+    out = F.when(lower.rlike(sign), F.regexp_replace(lower, sign, " ")).otherwise(lower)
+    if digits:
+        alone = rf"([{_UNSPACED}]\p{{M}}*)"
+        out = F.when(lower.rlike(f"[{_UNSPACED}]"), F.regexp_replace(out, alone, " $1 ")).otherwise(out)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
