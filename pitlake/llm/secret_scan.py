@@ -1,10 +1,12 @@
 r"""Secret scan (operator 2), with DataFrame functions alone.
 
 Base kinds are regular expressions, leftmost and non-overlapping per kind, over whole texts; failing
-matches are dropped after matching. The entropy kinds come from candidate strings (maximal runs of
-key characters): the counts of a window's characters are kept up while it slides, one entering and one
-leaving at each step, and the window's Shannon entropy follows from the sum of c*log2(c). Candidates
-on the allow-list are suppressed; base spans never are.
+matches are dropped after matching. The entropy kinds come from candidate strings: maximal runs of key
+characters with digits and letters of both cases, and maximal runs of letters and digits, each with the
+threshold of its character class, so '/', '_', '=' and '+' end the latter. The counts of a window's characters are kept up while it slides, one entering and one
+leaving at each step, and the window's Shannon entropy follows from the sum of c*log2(c). Hot spans
+on the allow-list are suppressed; base spans never are. A span inside the hot span of a longer run is
+part of it.
 
 Positions are code points, end exclusive. Spark gives matches without positions; they follow from the
 lengths of what ``split`` leaves between them.
@@ -15,6 +17,7 @@ null; repeated rows each get a row; other columns are ignored by the scan and ke
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_mixed"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters"]
 
 
 @dataclass(frozen=True)
@@ -33,17 +36,20 @@ class EntropyRule:
     """window: characters; least_bits: entropy of a window that is reported, by character class."""
 
     window: int = 20
-    least_bits: dict[str, float] = field(default_factory=lambda: {"entropy_hex": 3.0, "entropy_mixed": 3.7})
-    #: Candidates that match are not secrets: placeholders, alphabets, image data, lock-file hashes, UUIDs of documents' links.
+    least_bits: dict[str, float] = field(default_factory=lambda: {"entropy_hex": 3.0, "entropy_mixed": 3.7, "entropy_lower": 3.6, "entropy_upper": 3.5, "entropy_letters": 3.85})
+    #: Hot spans that match are not secrets: placeholders, alphabets, image data, lock-file hashes, UUIDs of documents' links.
     allow: str = r"(?i)example|sample|dummy|placeholder|changeme|x{6,}|abcdefgh|01234567|12345678|^ivborw0kggo|^sha(256|384|512)-|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 _KEY = r"A-Za-z0-9+/_="
-#: Maximal runs of key characters: hex digits with a digit and a letter, or digits with letters of both cases.
-CANDIDATES = {
-    "entropy_hex": rf"(?<![{_KEY}])(?=[0-9a-fA-F]{{20}})(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]+(?![{_KEY}])",
-    "entropy_mixed": rf"(?<![{_KEY}])(?=[{_KEY}]{{20}})(?=[{_KEY}]*[g-zG-Z+/_=])(?=[^0-9]*[0-9])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Z])(?=[{_KEY}]*[a-z])[{_KEY}]+",
-}
+#: Maximal runs of key characters with a digit, letters of both cases and one that is no hex digit.
+RUN = rf"(?<![{_KEY}])(?=[{_KEY}]{{20}})(?=[{_KEY}]*[g-zG-Z+/_=])(?=[^0-9]*[0-9])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Z])(?=[{_KEY}]*[a-z])[{_KEY}]+"
+#: Maximal runs of letters and digits with a letter.
+PIECE = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{20})(?=[0-9]*[A-Za-z])[A-Za-z0-9]+"
+#: Character classes of pieces, the first that fits; others are entropy_mixed.
+CLASSES = {"entropy_letters": "^[A-Za-z]+$", "entropy_hex": "^[0-9a-fA-F]+$", "entropy_lower": "^[0-9a-z]+$", "entropy_upper": "^[0-9A-Z]+$"}
+#: Runs that begin as image data do, in Base64; the hot span may begin later.
+IMAGE = "(?i)^ivborw0kggo"
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -71,7 +77,7 @@ def _clog(c: Column) -> Column:
     return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def window_range(value: Column, window: int, least: float) -> Column:
+def window_range(value: Column, window: int, least: Column | float) -> Column:
     """struct<lo, hi>: from the first character of the first window with enough entropy to the end of the last; hi 0 if none."""
     zero = F.array_repeat(F.lit(0), 128)
     chars = F.transform(F.split(value, ""), F.ascii)
@@ -99,12 +105,27 @@ def window_range(value: Column, window: int, least: float) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
 
 
-def _entropy_spans(text: Column, kind: str, rule: EntropyRule) -> Column:
-    allowed = F.filter(_located(text, CANDIDATES[kind]), lambda s: ~s["value"].rlike(rule.allow))
-    scored = F.transform(allowed, lambda s: F.struct(s["start"].alias("at"), window_range(s["value"], rule.window, rule.least_bits[kind]).alias("r")))
-    hot = F.filter(scored, lambda s: s["r"]["hi"] > 0)
-    k = KINDS.index(kind)
-    return F.transform(hot, lambda s: F.struct((s["at"] + s["r"]["lo"]).alias("start"), F.lit(k).alias("k"), (s["at"] + s["r"]["hi"]).alias("end")))
+def _hot(candidates: Column, kind: Callable[[Column], Column], rule: EntropyRule) -> Column:
+    """array<struct<start, k, end>> of the candidates' hot spans that are not on the allow-list."""
+    least = F.lit([rule.least_bits.get(k, 0.0) for k in KINDS])
+
+    def scored(s: Column) -> Column:
+        k = kind(s["value"])
+        return F.struct(s["start"].alias("at"), s["value"].alias("value"), k.alias("k"), window_range(s["value"], rule.window, F.get(least, k)).alias("r"))
+
+    def secret(s: Column) -> Column:
+        lo, hi = s["r"]["lo"], s["r"]["hi"]
+        return (hi > 0) & ~F.substring(s["value"], lo + 1, hi - lo).rlike(rule.allow)
+
+    hot = F.filter(F.transform(F.filter(candidates, lambda s: ~s["value"].rlike(IMAGE)), scored), secret)
+    return F.transform(hot, lambda s: F.struct((s["at"] + s["r"]["lo"]).alias("start"), s["k"].alias("k"), (s["at"] + s["r"]["hi"]).alias("end")))
+
+
+def _class(value: Column) -> Column:
+    out = F.lit(KINDS.index("entropy_mixed"))
+    for kind, pattern in reversed(CLASSES.items()):
+        out = F.when(value.rlike(pattern), F.lit(KINDS.index(kind))).otherwise(out)
+    return out
 
 
 def _joined(spans: Column) -> Column:
@@ -120,10 +141,15 @@ def with_spans(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
     access = _located(text, rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
     hexes = _located(text, rf"[0-9a-f]{{{HEX_LEAST},}}")
     out = docs.withColumns({"_assign": _as_spans(assign, "assign"), "_access": _as_spans(access, "access"), "_hex": _as_spans(hexes, "hex")})
-    out = out.withColumns({f"_{k}": _entropy_spans(text, k, rule) for k in CANDIDATES})
+    located = out.withColumns({"_run": _located(text, RUN), "_piece": _located(text, PIECE)})
+    out = located.withColumn("_run_hot", _hot(F.col("_run"), lambda _: F.lit(KINDS.index("entropy_mixed")), rule)).withColumn("_image", F.filter("_run", lambda s: s["value"].rlike(IMAGE)))
+    # Pieces of image data are image data.
+    pieces = F.filter("_piece", lambda p: ~F.exists("_image", lambda r: (r["start"] <= p["start"]) & (p["end"] <= r["end"])))
+    out = out.withColumn("_piece_hot", _hot(pieces, _class, rule))
+    more = F.filter("_piece_hot", lambda p: ~F.exists("_run_hot", lambda r: (r["start"] <= p["start"]) & (p["end"] <= r["end"])))
     out = out.withColumn("secret_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    out = out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", *(f"_{k}" for k in CANDIDATES))))
-    return out.drop("_assign", "_access", "_hex", *(f"_{k}" for k in CANDIDATES))
+    out = out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "_run_hot", more)))
+    return out.drop("_assign", "_access", "_hex", "_run", "_piece", "_image", "_run_hot", "_piece_hot")
 
 
 def secret_scan(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
@@ -132,7 +158,7 @@ def secret_scan(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame
     count = lambda k: F.size(F.filter("secret_spans", lambda s: s["k"] == k)).cast("long")
     return out.select(
         "doc_id",
-        count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), (count(3) + count(4)).alias("n_entropy"),
+        count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), sum((count(k) for k in range(4, len(KINDS))), count(3)).alias("n_entropy"),
         F.sha2(_joined(F.col("secret_base")), 256).alias("base_sha256"),
         _joined(F.col("secret_spans")).alias("spans"),
     )

@@ -42,6 +42,19 @@ def test_entropy_finds_random_keys_and_the_allow_list_suppresses(spark):
     assert words == ["aB3xK9mQ2vR7tY5wZ1nL8pD4"]
 
 
+def test_entropy_of_each_character_class(spark):
+    found = ["q7x2m9k4v8z1p6w3r5t0y2u8i4o6a1s9", "JBSWY3DPEHPK3PXP7QXN4K2TB6LWZ5RA", "qzmxvkwpjrtyhbgnlcdfsaeuoi", "9F86D081884C7D659A2FEAA0C55AD015"]
+    texts = [f"{before}{x}{after} and" for x in found for before, after in (("key ", ""), ("//h/", ""), ("example/k=", "/x"))]
+    clean = ["internationalization2024 donaudampfschifffahrtsgesellschaft", "iVBORw0KGgoAAAANSUhEUgAAq7x2m9k4V8z1p6w3r5t0/q7x2m9k4v8z1p6w3r5t0y2", "aB3xK9mQ2vR7example5wZ1nL8", "12345678901234567890123"]
+    docs = spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan(docs).collect()}
+    for i, text in enumerate(texts):
+        cut = [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[i].spans.split(",")]
+        assert any(len(c) >= 20 and c in found[i // 3] or found[i // 3] in c for c in cut), (text, cut)
+    assert [got[len(texts) + i].n_entropy for i in range(len(clean))] == [0] * len(clean)
+    assert sum("[SECRET]" in r.text for r in redact(docs).collect()) == len(texts)
+
+
 def test_redaction_leaves_clean_documents_alone(spark):
     docs = documents(spark, SECRETS)
     out = redact(docs).collect()
