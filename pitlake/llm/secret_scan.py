@@ -107,7 +107,7 @@ def window_range(value: Column, window: int, least: Column | float) -> Column:
 
 def _hot(candidates: Column, kind: Callable[[Column], Column], rule: EntropyRule) -> Column:
     """array<struct<start, k, end>> of the candidates' hot spans that are not on the allow-list."""
-    least = F.lit([rule.least_bits.get(k, 0.0) for k in KINDS])
+    least = F.lit([rule.least_bits.get(k, 99.0) for k in KINDS])  # a class without a threshold has no hot window
 
     def scored(s: Column) -> Column:
         k = kind(s["value"])
