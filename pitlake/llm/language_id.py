@@ -1,17 +1,21 @@
 """Language identification by segmentation-marginalised unigrams (operator 8).
 
-Pieces are the lower-case letter pieces of a fixed public vocabulary (a path, never copied), all single
-bytes among them. Each language has a probability for every piece; the probability of a word is the sum
-over all of its segmentations, by the forward algorithm, and a text's is the product over its words.
+Pieces are those of a fixed public vocabulary (a path, never copied) that lower-case letters can spell,
+of any length, and all single bytes; pieces with capitals, digits or signs fit no word and so have no
+part in any segmentation. Each language has a probability for every piece; the probability of a word is
+the sum over all of its segmentations, by the forward algorithm, and a text's is the product over its words.
 Piece probabilities come from forward-backward expectations on labelled documents, one language a task,
-on a bounded sample: about ``per_language`` documents, drawn by a hash of doc_id. Scoring covers every
-word of every text.
+on a bounded sample: words of at most ``SHORT`` bytes of about ``per_language`` documents, drawn by a hash
+of doc_id. Scoring covers every word of every text, whole: words over ``SHORT`` bytes take the same
+recursion in logarithms, which needs only as many columns as the longest piece has bytes, so a word of
+megabytes costs time in proportion to its length and no more memory.
 
-A word is a run of letters of any script with their marks, lower-cased, with the space before it; a run of over 40 bytes is scored in
-stretches of 40. Words repeat, so a task keeps what it has computed in a table of fixed size.
+A word is a run of letters of any script with their marks, lower-cased, with the space before it.
+Words repeat, so a task keeps what it has computed in a table of fixed size. The model is a number for
+each piece and language on driver and tasks (0.25 MB a language).
 
-Defined results: ``und`` with score 0 for null text and texts without a letter, or where nothing was
-learned; a null doc_id stays null, counts as not held out and is never learned from; repeated rows each
+Defined results: ``und`` with score 0 for null text and texts without a letter (a Unicode letter: signs,
+digits and pictures of any script are none), or where nothing was learned; a null doc_id stays null, counts as not held out and is never learned from; repeated rows each
 get a row; other columns are ignored.
 """
 
@@ -27,36 +31,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .workspace import prepare
+from .workspace import fresh_name, prepare
 
 UND = "und"
-LONGEST_WORD = 40
+#: Bytes up to which words are scored by whole lattices, in plain probabilities: 32 pieces of 1e-8 are still above the least double.
+SHORT = 32
+#: Bytes of a task's table of words that it has scored; languages whose shares are broadcast at most.
+KNOWN_BYTES, FEW_LANGUAGES = 32 << 20, 10_000
 LETTER = wh.ALNUM.copy()
 LETTER[0x30:0x3A] = False
 
 
 @dataclass(frozen=True)
 class Spec:
-    """per_language: documents to learn from; rounds: of expectation-maximisation; longest: bytes of a piece."""
+    """per_language: documents to learn from; rounds: of expectation-maximisation."""
 
     per_language: int = 1500
     rounds: int = 3
-    longest: int = 10
     smoothing: float = 0.1
-    cache: int = 1 << 19
 
 
 class Pieces:
     """The vocabulary as a hash table: two places for each key, so a lookup is two gathers."""
 
-    def __init__(self, path: str, longest: int):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             raw = [base64.b64decode(x.split()[0]) for x in f if x.strip()]
-        ok = lambda p: len(p) == 1 or (len(p) <= longest and all(LETTER[b] for b in p[p[:1] == b" " :]) and p == p.lower())
-        kept = sorted({p.lower() for p in raw if ok(p)} | {bytes([b]) for b in range(256) if not 0x41 <= b < 0x5B})
+        fits = lambda p: all(LETTER[b] and not 0x41 <= b < 0x5B for b in p[p[:1] == b" " :])
+        kept = sorted({p for p in raw if fits(p)} | {bytes([b]) for b in range(256) if not 0x41 <= b < 0x5B})
         self.n = len(kept)
-        self.longest = longest
         lens = np.array([len(p) for p in kept])
+        self.sizes = np.unique(lens)
         ends = np.cumsum(lens)
         buf = np.frombuffer(b"".join(kept), np.uint8)
         self.keys = np.append(wh.word_hashes(buf, ends - lens, ends), np.uint64(0))
@@ -85,15 +90,9 @@ class Pieces:
 
 
 def letter_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each run of letters, long runs in stretches."""
+    """Start, end and document of each run of letters."""
     start, end, first = wh.words(buf, offs, LETTER)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    if len(start) and (end - start).max() > LONGEST_WORD:
-        n = -(-(end - start) // LONGEST_WORD)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin = np.repeat(start, n) + k * LONGEST_WORD
-        start, end, doc = begin, np.minimum(begin + LONGEST_WORD, np.repeat(end, n)), np.repeat(doc, n)
-    return start, end, doc
+    return start, end, np.repeat(np.arange(len(offs) - 1), np.diff(first))
 
 
 class Lattice:
@@ -113,10 +112,10 @@ class Lattice:
             n = int((self.size >= t).sum())
             s = start[:n]
             at = []
-            for k in range(1, min(t, pieces.longest) + 1):
+            for k in pieces.sizes[pieces.sizes <= t].tolist():
                 h = (sums[s + t] - sums[s + t - k]) * inverse[s + t - k]
                 at.append((k, pieces.find(wh.mix(h + np.uint64(k)))))
-            if t < pieces.longest:
+            if t + 1 in pieces.sizes:
                 h = (sums[s + t] - sums[s]) * inverse[s] * step + blank
                 at.append((t + 1, pieces.find(wh.mix(h + np.uint64(t + 1)))))
             self.fits.append(at)
@@ -164,16 +163,64 @@ class Lattice:
 def word_log_probabilities(pieces: Pieces, p: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 14) -> np.ndarray:
     out = np.empty((len(start), p.shape[1]))
     by_size = np.argsort(start - end, kind="stable")
-    for lo in range(0, len(start), block):
+    long = int((end - start > SHORT).sum())
+    for lo in range(0, long, 256):
+        at = by_size[lo : min(lo + 256, long)]
+        out[at] = long_word_log_probabilities(pieces, p, buf, start[at], end[at])
+    for lo in range(long, len(start), block):
         at = by_size[lo : lo + block]
         lattice = Lattice(pieces, buf, start[at], end[at])
         out[at[lattice.order]] = np.log(np.maximum(lattice.total(lattice.forward(p, pieces.space)), 1e-300))
     return out
 
 
+def long_word_log_probabilities(pieces: Pieces, p: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
+    """The same sum for words of any length, longest first: only the last columns that a piece can reach back to are kept, as logarithms."""
+    power, inverse = wh._power_tables(len(buf) + 2)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(wh._byte_values()[buf] * power[: len(buf)], out=sums[1:])
+    blank, step = wh._byte_values()[0x20], power[1]
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    sizes, reach = pieces.sizes, int(pieces.sizes[-1])
+    size, n, langs = end - start, len(start), p.shape[1]
+    # Column reach - 1 + t of the window holds the first t bytes (from t = -1, before the space, on).
+    window = np.full((reach + 1, n, langs), -np.inf)
+    window[-2], window[-1] = 0.0, logp[pieces.space]
+    out = np.empty((n, langs))
+    t = 0
+    while n:
+        many = max(1, min(256, cells // (len(sizes) * n * langs)))
+        ts = np.arange(t + 1, t + 1 + many)
+        z = np.minimum(start[:n, None] + ts, end[:n, None])  # past a word's end nothing is read off
+        found = np.empty((many, len(sizes), n), np.int64)
+        for i, k in enumerate(sizes.tolist()):
+            a = np.maximum(z - k, start[:n, None])
+            h = (sums[z] - sums[a]) * inverse[a]
+            spaced = ts + 1 == k
+            if spaced.any():
+                h[:, spaced] = (sums[z[:, spaced]] - sums[a[:, spaced]]) * inverse[a[:, spaced]] * step + blank
+            piece = pieces.find(wh.mix(h + np.uint64(k)).ravel()).reshape(h.shape)
+            piece[:, ts + 1 < k] = pieces.n
+            found[:, i] = piece.T
+        weight = logp[found]
+        window = np.concatenate([window[-(reach + 1) :, :n], np.empty((many, n, langs))])
+        base = window.shape[0] - many
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for j in range(many):
+                x = window[base + j - sizes] + weight[j]
+                top = x.max(0)
+                window[base + j] = top + np.log(np.exp(x - top).sum(0))
+        for i in np.flatnonzero((size[:n] > t) & (size[:n] <= t + many)):
+            out[i] = window[base + size[i] - t - 1, i]
+        t += many
+        n = int((size > t).sum())
+    return out
+
+
 def _learn(path: str, spec: Spec):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        pieces = Pieces(path, spec.longest)
+        pieces = Pieces(path)
         col, count = rows.column("word"), rows.column("n").to_numpy().astype(float)
         p = np.full((pieces.n + 1, 1), 1.0 / pieces.n)
         p[-1] = 0
@@ -193,6 +240,8 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offs in wh.slices(batch.column(1)):
             start, end, doc = letter_words(buf, offs)
+            short = end - start <= SHORT
+            start, end, doc = start[short], end[short], doc[short]
             h = wh.word_hashes(buf, start, end)
             langs, code = np.unique(np.array(batch.column(0).slice(lo, hi - lo).to_pylist(), object).astype(str), return_inverse=True)
             key = wh.mix(h ^ wh.mix(code[doc].astype(np.uint64)))
@@ -210,9 +259,11 @@ def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], n
     """Languages and their piece probabilities (pieces x languages), learned from labelled documents that are not held out."""
     prepare(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
-    share = usable.groupBy("lang").agg((F.lit(spec.per_language) / F.count("*")).alias("_share"))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col("_share") * (1 << 20))
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(drawn)  # a row for each language
+    part = fresh_name("share")
+    share = usable.groupBy("lang").agg((F.lit(spec.per_language) / F.count("*")).alias(part))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col(part) * (1 << 20))
+    few = share.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
+    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(share) if few else share.hint("merge"), "lang").where(drawn)
     counts = sample.select("lang", wh.lettered(F.col("text"), digits=False).alias("text")).mapInArrow(_words_of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     learned = counts.groupBy("lang").applyInArrow(_learn(path, spec), "lang string, piece long, p double").toPandas()  # pieces x languages
     langs = sorted(learned["lang"].unique())
@@ -224,15 +275,16 @@ def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], n
     return langs, p
 
 
-def scorer(langs: list[str], p: np.ndarray, path: str, spec: Spec):
+def scorer(langs: list[str], p: np.ndarray, path: str):
     """A function from a string array to (predicted language, its probability)."""
-    pieces = Pieces(path, spec.longest)
-    slots = np.zeros(spec.cache, np.uint64)
-    known = np.zeros((spec.cache, len(langs)))
+    pieces = Pieces(path)
+    cache = 1 << max(10, (KNOWN_BYTES // (8 * (len(langs) + 1))).bit_length() - 1)
+    slots = np.zeros(cache, np.uint64)
+    known = np.zeros((cache, len(langs)))
 
     def words_of(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = wh.word_hashes(buf, start, end) | np.uint64(1)
-        at = (h >> np.uint64(20)).astype(np.int64) & (spec.cache - 1)
+        at = (h >> np.uint64(20)).astype(np.int64) & (cache - 1)
         out = known[at]
         miss = np.flatnonzero(slots[at] != h)
         if len(miss):
@@ -281,7 +333,7 @@ def identify(docs: DataFrame, path: str | None = None, spec: Spec = Spec()) -> D
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, path, spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*model.value, path, spec)
+        score = scorer(*model.value, path)
         for batch in batches:
             names, s = score(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(s)], ["doc_id", "held_out", "lang_pred", "score"])
@@ -293,12 +345,13 @@ def keep_identified(docs: DataFrame, path: str | None = None, spec: Spec = Spec(
     """The documents that have a language, with all their columns: those without a letter are rejected."""
     path = path or default_path()
     names, schema = docs.columns, docs.schema
+    lower = fresh_name("lower")
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, path, spec))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scorer(*model.value, path, spec)
+        score = scorer(*model.value, path)
         for batch in batches:
             langs, _ = score(batch.column(len(names)))
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array([x != UND for x in langs], pa.bool_()))
 
-    return docs.select("*", wh.lettered(F.col("text"), digits=False).alias("_lower")).mapInArrow(run, schema)
+    return docs.select("*", wh.lettered(F.col("text"), digits=False).alias(lower)).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def fresh_name(name: str) -> str:
+    """A column name that no table of a user has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; set to a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder in local mode (tests), else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="pitlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

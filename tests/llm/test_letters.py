@@ -3,7 +3,7 @@ from pitlake.llm import decontaminate, language_id
 ITEM = "the quick brown fox doesn't jump over a lazy dog while seven more wait in line at home"
 CHINESE = "北京是中华人民共和国的首都也是全国的政治文化中心"
 THAI = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
-SIGNS = ["\u2014 12 \u2014", "5 \u20ac", "\u2022 \u2022", "\U0001f600\u2764\ufe0f", "\u3002\u3002", "\u0663\u0664"]
+SIGNS = ["\u2014 12 \u2014", "5 \u20ac", "\u2022 \u2022", "\U0001f600\u2764\ufe0f", "\u3002\u3002", "\u0663\u0664", "\u2014 \u2026 123 \u20ac", "\u00bd 12 %", "\U0001f600 \U0001f600", "\u3002\u3001\uff01"]
 
 
 def test_items_with_other_signs_and_scripts_are_found(spark):

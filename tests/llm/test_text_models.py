@@ -1,5 +1,6 @@
 import math
 from collections import Counter, defaultdict
+from decimal import Decimal
 
 import numpy as np
 
@@ -52,24 +53,50 @@ def test_katz_without_rows_or_training(spark):
     assert r.n_tokens == 3 and r.n_known == 0 and r.train_tokens == 0 and r.score == 0.0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = language_id.Pieces(language_id.default_path(), 10)
-    p = np.append(np.random.default_rng(0).random(pieces.n) / pieces.n, 0)[:, None]
-    words = [b"the", b"a", "été".encode(), b"internationalisation"]
+def brute_word(pieces, p, w):
+    """The logarithm of the sum over all segmentations of a blank and the word, with numbers of any size."""
+    w = b" " + w
+    x = np.frombuffer(w, np.uint8)
+    names = {k: pieces.find(wh.word_hashes(x, np.arange(len(w) - k + 1), np.arange(len(w) - k + 1) + k)) for k in range(1, min(len(w), 129) + 1)}
+    a = [Decimal(1)]
+    for t in range(1, len(w) + 1):
+        a.append(sum((a[t - k] * Decimal(p[names[k][t - k], 0]) for k in range(1, min(t, 129) + 1)), Decimal(0)))
+    return float(a[-1].ln())
 
-    def brute(w):
-        w = b" " + w
-        a = [1.0] + [0.0] * len(w)
-        for t in range(1, len(w) + 1):
-            for k in range(1, min(t, 10) + 1):
-                x = np.frombuffer(w[t - k : t], np.uint8)
-                a[t] += a[t - k] * p[pieces.find(wh.word_hashes(x, np.array([0]), np.array([k])))[0], 0]
-        return a[-1]
 
+def test_forward_sums_all_segmentations_of_words_of_any_length():
+    pieces = language_id.Pieces(language_id.default_path())
+    p = np.append(np.random.default_rng(0).random(pieces.n) / pieces.n, 0)[:, None]
+    rng = np.random.default_rng(3)
+    words = [b"the", b"a", "été".encode(), b"internationalisation", b"x" * language_id.SHORT, b"y" * (language_id.SHORT + 1), b"telecommunications" * 17, bytes(rng.integers(97, 123, 300).astype(np.uint8)), "北京是中华人民共和国的首都".encode() * 8]
     buf = np.frombuffer(b"".join(words), np.uint8)
     end = np.cumsum([len(w) for w in words])
-    got = np.exp(language_id.word_log_probabilities(pieces, p, buf, end - [len(w) for w in words], end))[:, 0]
-    assert np.allclose(got, [brute(w) for w in words], rtol=1e-9)
+    got = language_id.word_log_probabilities(pieces, p, buf, end - [len(w) for w in words], end)[:, 0]
+    assert np.allclose(got, [brute_word(pieces, p, w) for w in words], rtol=1e-9)
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    pieces = language_id.Pieces(language_id.default_path())
+    p = np.append(np.random.default_rng(0).random(pieces.n), 0)[:, None]
+    buf = np.frombuffer(b"these", np.uint8)
+    used = language_id.Lattice(pieces, buf, np.array([0]), np.array([5])).expected(p, pieces.space, np.array([3.0]))
+    want, z = Counter(), 0.0
+    for cuts in range(1 << 5):  # every way to cut " these"
+        at = [0, *(i + 1 for i in range(5) if cuts >> i & 1), 6]
+        x = np.frombuffer(b" these", np.uint8)
+        ids = [pieces.find(wh.word_hashes(x, np.array([i]), np.array([j])))[0] for i, j in zip(at, at[1:])]
+        q = math.prod(p[i, 0] for i in ids)
+        z += q
+        for i in ids:
+            want[i] += 3 * q
+    assert all(abs(used[i] - v / z) < 1e-9 for i, v in want.items() if i < pieces.n) and abs(used.sum() - sum(v for i, v in want.items() if i < pieces.n) / z) < 1e-9
+
+
+def test_a_word_of_a_hundred_thousand_letters_is_scored_whole(spark):
+    rows = [(i, t, l) for i in range(0, 40, 2) for t, l in [("the house and the garden", "en")]] + [(i, "das Haus und der Garten", "de") for i in range(1, 40, 2)]
+    rows += [(100, "thehouseandthegarden" * 5_000, None), (101, "dashausundderGarten" * 2_000, None)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id >= 100").collect()}
+    assert got == {100: "en", 101: "de"}
 
 
 def test_language_of_held_out_documents_and_awkward_rows(spark, sf):
