@@ -11,7 +11,15 @@ its bucket; such members are compared with that component and with each other in
 inside the tasks, where only links leave a block. Pairs within one component need no check, so no
 component is lost.
 
-Chance that a pair at similarity 0.8 shares none of the 48 bands of 6 rows: (1 - 0.8**6)**48 < 5e-7.
+Chance that a pair at similarity 0.8 is missed: (1 - 0.8**6)**48 < 5e-7 that it shares none of the 48
+bands of 6 rows, and under 2e-8 that fewer than ``least_bits`` of its sketch agree.
+
+Families of texts at a similarity of about 0.5 to 0.8 share buckets but link nowhere. Their members are
+then all compared with each other, in blocks of bounded size, most pairs by their sketches alone: the
+time for such a family, not a task's memory, grows with the square of its different texts.
+
+Classes have numbers of their own, given when their table is written, so rows that share a doc_id and
+differ in text are told apart. Very long texts cost one array of hashes per text.
 
 Defined results: null or empty text, or text without words, has n_shingles 0 and is its own component;
 a null doc_id stays as a row with null component_id and kept = true; repeated rows each get a row;
@@ -108,12 +116,18 @@ def _profile(spec: NearDedup):
 
 
 def _sets(spec: NearDedup):
+    """The fingerprints and the sorted set of shingles of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in wh.slices(batch.column(1)):
+            for _, _, buf, offs in wh.slices(batch.column(0)):
                 start, end, first = wh.words(buf, offs)
                 sh, begin = wh.shingles(wh.word_hashes(buf, start, end), first, spec.k, spec.short)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array([np.unique(sh[i:j]).tobytes() for i, j in zip(begin, begin[1:])], pa.binary())], ["doc_id", "shingles"])
+                sets = [np.unique(sh[i:j]) for i, j in zip(begin, begin[1:])]
+                fp = [np.array([f(wh.mix(x ^ np.uint64(seed))) for x in sets], np.uint64) for f, seed in ((np.add.reduce, 0), (np.bitwise_xor.reduce, 0xA5A5))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(x) for x in sets], pa.int64()), *(pa.array(x.view(np.int64)) for x in fp), pa.array([x.tobytes() for x in sets], pa.binary())], ["n_shingles", "fp1", "fp2", "shingles"]
+                )
 
     return run
 
@@ -132,10 +146,10 @@ def _confirm(percent: int):
 
 
 def _blocks(spec: NearDedup):
-    """Links between the two sides of a block, whose rows are (side, rep, component, sketch, shingles)."""
+    """Links between the two sides of a block, whose rows are (side, cid, component, sketch, shingles)."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        side, rep = rows.column("side").to_numpy(), rows.column("rep").to_numpy()
+        side, cid = rows.column("side").to_numpy(), rows.column("cid").to_numpy()
         part = rows.column("component").to_numpy()
         sketch = np.array(rows.column("sketch").to_pylist(), np.int64)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
@@ -154,8 +168,8 @@ def _blocks(spec: NearDedup):
                 at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
                 both = np.add.reduceat(own[at] == flat, np.concatenate([[0], np.cumsum(size[js])[:-1]]), dtype=np.int64)
                 linked = 100 * both >= spec.percent * (len(own) + size[js] - both)
-                u += [rep[left[i]]] * int(linked.sum())
-                v += rep[js[linked]].tolist()
+                u += [cid[left[i]]] * int(linked.sum())
+                v += cid[js[linked]].tolist()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -168,46 +182,53 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame
     profile = ws.save(docs.mapInArrow(_profile(spec), "doc_id long, n_shingles long, fp1 long, fp2 long, sketch array<long>, bands array<long>"))
     same = ["n_shingles", "fp1", "fp2"]
     usable = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = ws.save(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch")))
+    classes = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes = ws.save(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     # Buckets of two classes at least, each with its least class as centre.
-    entries = classes.select("rep", F.explode("bands").alias("key"))
-    centres = entries.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
+    entries = classes.select("cid", F.explode("bands").alias("key"))
+    centres = entries.groupBy("key").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = ws.save(entries.join(centres, "key"))
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = classes.drop("bands").join(buckets.select("cid").distinct(), "cid", "left_semi")
     # The merge hints keep the same plan at every size.
-    sets = docs.join(wanted.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(spec), "doc_id long, shingles binary")
-    sketches = classes.select(F.col("rep").alias("doc_id"), "sketch", "n_shingles")
-    sets = ws.save(sets.join(sketches.hint("merge"), "doc_id").where(F.length("shingles") == 8 * F.col("n_shingles")).dropDuplicates(["doc_id"]))
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(spec), "n_shingles long, fp1 long, fp2 long, shingles binary")
+    sets = ws.save(sets.join(wanted.drop("rep").hint("merge"), same).dropDuplicates(same).drop("fp1", "fp2"))
 
     bits = spec.minima - F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = (bits >= spec.least_bits) & (100 * F.least("a.n_shingles", "b.n_shingles") >= spec.percent * F.greatest("a.n_shingles", "b.n_shingles"))
-    pairs = buckets.where("rep <> centre").select(F.col("centre").alias("u"), F.col("rep").alias("v")).distinct()
-    both = pairs.join(sets.alias("a").hint("merge"), F.col("u") == F.col("a.doc_id")).join(sets.alias("b").hint("merge"), (F.col("v") == F.col("b.doc_id")) & alike)
+    pairs = buckets.where("cid <> centre").select(F.col("centre").alias("u"), F.col("cid").alias("v")).distinct()
+    both = pairs.join(sets.alias("a").hint("merge"), F.col("u") == F.col("a.cid")).join(sets.alias("b").hint("merge"), (F.col("v") == F.col("b.cid")) & alike)
     links = ws.save(both.select("u", "v", "a.shingles", "b.shingles").toDF("u", "v", "a", "b").mapInArrow(_confirm(spec.percent), "u long, v long"))
     parts = connected_components(links, ws)
 
     # Where a bucket still has several components, its members outside the largest go with that one.
-    placed = buckets.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = buckets.select("key", "cid").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    outside = ws.save(placed.join(main, "key").where("component <> main").select(F.col("main").alias("g"), "rep", "component").distinct())
-    inside = parts.select(F.col("component").alias("g"), F.col("node").alias("rep"), "component").union(parts.select(F.col("component").alias("g"), F.col("component").alias("rep"), "component"))
+    outside = ws.save(placed.join(main, "key").where("component <> main").select(F.col("main").alias("g"), "cid", "component").distinct())
+    ws.drop(buckets)
+    inside = parts.select(F.col("component").alias("g"), F.col("node").alias("cid"), "component").union(parts.select(F.col("component").alias("g"), F.col("component").alias("cid"), "component"))
     groups = outside.select("g").distinct()
-    inside = inside.union(groups.select("g", F.col("g").alias("rep"), F.col("g").alias("component"))).distinct().join(groups, "g", "left_semi")
+    inside = inside.union(groups.select("g", F.col("g").alias("cid"), F.col("g").alias("component"))).distinct().join(groups, "g", "left_semi")
     sided = outside.withColumn("side", F.lit(0)).union(inside.union(outside).withColumn("side", F.lit(1)))
-    sided = ws.save(sided.join(sketches.select(F.col("doc_id").alias("rep"), "n_shingles"), "rep"))
-    chunks = sided.groupBy("g").agg(
+    sided = ws.save(sided.join(classes.select("cid", "n_shingles"), "cid"))
+    # Written, so that the join below has plain shuffles on both sides and a hot group is split.
+    chunks = ws.save(sided.groupBy("g").agg(
         *(F.greatest(F.ceil(F.count(F.when(F.col("side") == s, 1)) / BLOCK_ROWS), F.ceil(F.sum(F.when(F.col("side") == s, F.col("n_shingles"))) / BLOCK_SHINGLES), F.lit(1)).alias(f"n{s}") for s in (0, 1))
-    )
-    sided = sided.drop("n_shingles").join(chunks, "g")
+    ))
     own, other = F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1")), F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
-    spread = sided.withColumn("c", F.pmod(F.xxhash64("rep"), own)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
-    spread = spread.select("g", "side", "rep", "component", F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("o")).alias("i"), F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("c")).alias("j"))
-    blocks = spread.join(sets.select(F.col("doc_id").alias("rep"), "sketch", "shingles").hint("merge"), "rep")
-    more = blocks.groupBy("g", "i", "j").applyInArrow(_blocks(spec), "u long, v long")
-    parts = connected_components(ws.save(links.union(more)), ws)
-
-    of_class = classes.select(*same, "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    spread = sided.drop("n_shingles").join(chunks, "g").withColumn("c", F.pmod(F.xxhash64("cid"), own)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
+    spread = spread.select("g", "side", "cid", "component", F.when(F.col("side") == 0, F.col("c")).otherwise(F.col("o")).alias("i"), F.when(F.col("side") == 0, F.col("o")).otherwise(F.col("c")).alias("j"))
+    blocks = spread.join(sets.select("cid", "sketch", "shingles").hint("merge"), "cid")
+    more = ws.save(blocks.groupBy("g", "i", "j").applyInArrow(_blocks(spec), "u long, v long"))
+    ws.drop(outside, sided, chunks, sets)
+    parts = connected_components(links.union(more), ws)
+
+    # A component's id is its least doc_id; class numbers follow no such order.
+    nodes = parts.union(parts.select(F.col("component").alias("node"), "component")).distinct()
+    named = ws.save(classes.select(F.col("cid").alias("node"), "rep").join(nodes, "node"))
+    least = ws.save(named.groupBy("component").agg(F.min("rep").alias("least")))
+    of_class = classes.select(*same, F.col("cid").alias("node"), "rep").join(named.join(least, "component").select("node", "least"), "node", "left").select(*same, F.coalesce("least", "rep").alias("component"))
     out = profile.select("doc_id", *same).join(of_class, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return ws.finish(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))

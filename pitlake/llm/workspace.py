@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,33 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+#: Folders of this process' calls, by application, for ``clear``.
+_roots: dict[str, list[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all written tables of this session's calls; results that were not stored elsewhere go with them."""
+    for root in _roots.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, root)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables of calls made inside, once what follows from them has been written."""
+    mine = _roots.setdefault(spark.sparkContext.applicationId, [])
+    before = set(mine)
+    yield
+    for root in [x for x in mine if x not in before]:
+        _delete(spark, root)
+        mine.remove(root)
+
+
 class Workspace:
     """Written tables of one operator call: they cut lineage and survive lost executors."""
 
@@ -40,7 +69,9 @@ class Workspace:
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.live: set[str] = set()
         self.count = 0
+        _roots.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def save(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         self.count += 1
@@ -51,14 +82,23 @@ class Workspace:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.saved_path = path
+        self.live.add(path)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete saved tables that no later step reads."""
-        jvm = self.spark._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df.saved_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, df.saved_path)
+            self.live.discard(df.saved_path)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """Write the result, the only table of the call that stays (until ``clear``)."""
+        before = set(self.live)
+        out = self.save(df)
+        for path in before:
+            _delete(self.spark, path)
+        self.live -= before
+        return out
 
 
 def text_bytes(docs: DataFrame) -> int:

@@ -55,6 +55,26 @@ def test_matches_brute_force_with_awkward_rows(spark):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    rng = random.Random(5)
+    a, b = prose(rng, 60, 5000), prose(rng, 60, 5000)
+    edit = lambda t: " ".join([*t.split()[:-2], "other", "end"])
+    rows = [(3, a), (3, b), (5, edit(a)), (6, edit(b)), (7, prose(rng, 60, 5000)), (7, a.upper())]
+    expected, _ = brute(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(r.component_id == expected[r.doc_id] for r in got if r.doc_id in (3, 5, 6))
+    assert sorted(r.component_id for r in got if r.doc_id == 7) == [3, 7]
+
+
+def test_a_family_that_shares_buckets_but_never_links(spark):
+    rng = random.Random(6)
+    shared = prose(rng, 80, 5000)
+    rows = [(i, shared + " " + prose(rng, 40, 5000)) for i in range(40)]
+    expected, _ = brute(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
+
+
 def test_empty_table(spark):
     assert near_duplicates(nothing(spark)).count() == 0
 
