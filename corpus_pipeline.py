@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 documents without a language; the second keeps one document of each group of near duplicates (five-word
 shingles, similarity 0.8); the third drops documents that contain a benchmark item; the fourth replaces
 secrets in place and keeps every document; the last packs what is left into sequences of token ids.
-Rows with a null doc_id take part in all stages; of rows that repeat a doc_id one stays.
+Rows with a null doc_id and rows that repeat one take part in all stages: deduplication numbers the rows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitlake.llm import decontaminate, language_id, near_dedup, packing, secret_scan
-from pitlake.llm.workspace import Workspace
+from pitlake.llm.workspace import Workspace, fresh_name, temporary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs, near_dedup.NearDedup(k=5)).where("kept and doc_id is not null").select("doc_id")
-    repeated = not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
-    out = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.union(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    row = fresh_name("row")
+    numbered = Workspace(spark, "numbered").save(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_dedup.near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), near_dedup.NearDedup(k=5))
+    gone = found.where("not kept").select(F.col("doc_id").alias(row))
+    return numbered.join(gone.hint("merge"), row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = ws.save(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        with temporary(spark):
+            after = ws.save(stage(spark, docs, sf_dir))
+        if k:
+            ws.drop(docs)
+        docs = after
     return docs
