@@ -12,17 +12,21 @@ Positions are code points, end exclusive. Spark gives matches without positions;
 lengths of what ``split`` leaves between them.
 
 Defined results: null text is empty text (no spans, the hash of the empty string); a null doc_id stays
-null; repeated rows each get a row; other columns are ignored by the scan and kept by ``redact``.
+null; repeated rows each get a row; other columns, of any name, are ignored by the scan and kept by ``redact``.
+A text of megabytes or a single run of that length takes a few steps a character.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import fresh_name
+
 # The base kinds in the order of the output.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -43,29 +47,49 @@ class EntropyRule:
 
 _KEY = r"A-Za-z0-9+/_="
 #: Maximal runs of key characters with a digit, letters of both cases and one that is no hex digit.
-RUN = rf"(?<![{_KEY}])(?=[{_KEY}]{{20}})(?=[{_KEY}]*[g-zG-Z+/_=])(?=[^0-9]*[0-9])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Z])(?=[{_KEY}]*[a-z])[{_KEY}]+"
+RUN = rf"(?<![{_KEY}])(?=[{_KEY}]{{20}})(?=[{_KEY}]*[g-zG-Z+/_=])(?=[{_KEY}]*[0-9])(?=[{_KEY}]*[A-Z])(?=[{_KEY}]*[a-z])[{_KEY}]+"
 #: Maximal runs of letters and digits with a letter.
 PIECE = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{20})(?=[0-9]*[A-Za-z])[A-Za-z0-9]+"
 #: Character classes of pieces, the first that fits; others are entropy_mixed.
 CLASSES = {"entropy_letters": "^[A-Za-z]+$", "entropy_hex": "^[0-9a-fA-F]+$", "entropy_lower": "^[0-9a-z]+$", "entropy_upper": "^[0-9A-Z]+$"}
+#: Matches whose places are summed at once.
+BLOCK = 256
 #: Runs that begin as image data do, in Base64; the hot span may begin later.
 IMAGE = "(?i)^ivborw0kggo"
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost non-overlapping matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.lit([]).cast("array<struct<start:int,end:int,value:string>>")
+    """array<struct<start, end, value>> of the leftmost non-overlapping matches.
+
+    Starts are running sums of what lies between and in the matches before, in blocks of ``BLOCK``, so that
+    many matches do not cost their square.
+    """
+    spans = "array<struct<start:int,end:int,value:string>>"
+    empty = F.lit([]).cast(spans)
 
     def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["before"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+        return _let(state["at"] + x["before"], lambda a: F.struct((a + F.length(x["value"])).alias("at"), F.concat(state["spans"], F.array(F.struct(a.alias("start"), (a + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("spans")))
+
+    def block(xs: Column) -> Column:
+        return F.aggregate(xs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
+
+    def shifted(b: Column, by: Column) -> Column:
+        return F.transform(b["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def joined(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: b["at"])
+        bases = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<int>").alias("bases")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["bases"], F.array(s["at"])).alias("bases")), lambda s: s["bases"])
+        return F.flatten(F.zip_with(blocks, bases, shifted))
 
-    paired = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
-    spans = F.aggregate(paired, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    def paired(found: Column) -> Column:
+        between = F.transform(F.split(text, pattern, -1), F.length)
+        return F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, v: F.struct(b.alias("before"), v.alias("value")))
+
+    def cut(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.size(pairs), F.lit(BLOCK))
+        return _let(F.transform(firsts, lambda a: block(F.slice(pairs, a, F.lit(BLOCK)))), joined)
+
+    return F.when(text.rlike(pattern), _let(paired(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), cut)).otherwise(empty)
 
 
 def _as_spans(located: Column, kind: str) -> Column:
@@ -73,36 +97,43 @@ def _as_spans(located: Column, kind: str) -> Column:
     return F.transform(located, lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("k"), s["end"].alias("end")))
 
 
-def _clog(c: Column) -> Column:
-    return F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def window_range(value: Column, window: int, least: Column | float) -> Column:
-    """struct<lo, hi>: from the first character of the first window with enough entropy to the end of the last; hi 0 if none."""
-    zero = F.array_repeat(F.lit(0), 128)
-    chars = F.transform(F.split(value, ""), F.ascii)
-
-    def add(counts: Column, ch: Column, by: int) -> Column:
-        return F.transform(counts, lambda c, i: F.when(i == ch, c + by).otherwise(c))
-
-    def step(s: Column, i: Column) -> Column:
-        entering = F.get(s["chars"], i)
-        leaving = F.get(s["chars"], i - window)
-        c_in = F.get(s["counts"], entering)
-        grown = add(s["counts"], entering, 1)
-        total = s["total"] + _clog(c_in + 1) - _clog(c_in)
-        c_out = F.get(grown, leaving)
-        full = i >= window
-        counts = F.when(full, add(grown, leaving, -1)).otherwise(grown)
-        total = F.when(full, total + _clog(c_out - 1) - _clog(c_out)).otherwise(total)
-        hot = (i >= window - 1) & (F.log2(F.lit(float(window))) - total / window >= least)
-        return F.struct(
-            s["chars"].alias("chars"), counts.alias("counts"), total.alias("total"),
-            F.when(hot & (s["hi"] == 0), i - window + 1).otherwise(s["lo"]).alias("lo"), F.when(hot, i + 1).otherwise(s["hi"]).alias("hi"),
-        )
-
-    start = F.struct(chars.alias("chars"), zero.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+    """struct<lo, hi>: from the first character of the first window with enough entropy to the end of the last; hi 0 if none.
+
+    The counts of the window's characters are one string of 128 counters, a character each; a step changes
+    the counter of the character that enters and that of the one that leaves, and the sum of c*log2(c) by
+    what these two changes add and take.
+    """
+    none = F.lit("\x01" * 128)  # the counter of character k is at string position k + 1; \x01 is count 0
+    grows = F.lit([(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+
+    def counter(counts: Column, ch: Column) -> Column:
+        return F.ascii(F.substring(counts, ch + 1, F.lit(1)))
+
+    def put(counts: Column, ch: Column, c: Column) -> Column:
+        return F.overlay(counts, F.char(c), ch + 1, F.lit(1))
+
+    def run(chars: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            entering, leaving = F.get(chars, i), F.get(chars, i - window)
+            c_in, c_out = counter(s["counts"], entering), counter(s["counts"], leaving)
+            grown, more = put(s["counts"], entering, c_in + 1), s["total"] + F.get(grows, c_in - 1)
+            # The two changes touch different counters, or undo each other.
+            counts = F.when(i < window, grown).when(entering == leaving, s["counts"]).otherwise(put(grown, leaving, c_out - 1))
+            total = F.when(i < window, more).when(entering == leaving, s["total"]).otherwise(more - F.get(grows, c_out - 2))
+            # The window that the step before has completed.
+            hot = (i >= window) & (F.log2(F.lit(float(window))) - s["total"] / window >= least)
+            return F.struct(counts.alias("counts"), total.alias("total"), F.when(hot & (s["hi"] == 0), i - window).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"))
+
+        start = F.struct(none.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars)), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+
+    return _let(F.transform(F.split(value, ""), F.ascii), run)
 
 
 def _hot(candidates: Column, kind: Callable[[Column], Column], rule: EntropyRule) -> Column:
@@ -110,8 +141,8 @@ def _hot(candidates: Column, kind: Callable[[Column], Column], rule: EntropyRule
     least = F.lit([rule.least_bits.get(k, 99.0) for k in KINDS])  # a class without a threshold has no hot window
 
     def scored(s: Column) -> Column:
-        k = kind(s["value"])
-        return F.struct(s["start"].alias("at"), s["value"].alias("value"), k.alias("k"), window_range(s["value"], rule.window, F.get(least, k)).alias("r"))
+        k = F.struct(kind(s["value"]).alias("k"), F.get(least, kind(s["value"])).alias("least"))
+        return _let(k, lambda k: F.struct(s["start"].alias("at"), s["value"].alias("value"), k["k"].alias("k"), window_range(s["value"], rule.window, k["least"]).alias("r")))
 
     def secret(s: Column) -> Column:
         lo, hi = s["r"]["lo"], s["r"]["hi"]
@@ -121,6 +152,10 @@ def _hot(candidates: Column, kind: Callable[[Column], Column], rule: EntropyRule
     return F.transform(hot, lambda s: F.struct((s["at"] + s["r"]["lo"]).alias("start"), s["k"].alias("k"), (s["at"] + s["r"]["hi"]).alias("end")))
 
 
+def _covered(p: Column, by: Column) -> Column:
+    return F.exists(by, lambda r: (r["start"] <= p["start"]) & (p["end"] <= r["end"]))
+
+
 def _class(value: Column) -> Column:
     out = F.lit(KINDS.index("entropy_mixed"))
     for kind, pattern in reversed(CLASSES.items()):
@@ -133,52 +168,57 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"], s["end"])), ",")
 
 
-def with_spans(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
-    """``docs`` with columns secret_base and secret_spans: arrays of struct<start, k, end>, sorted."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def with_spans(docs: DataFrame, found: str, rule: EntropyRule = EntropyRule()) -> DataFrame:
+    """``docs`` with a column ``found``: struct<base, spans>, arrays of struct<start, k, end>, sorted."""
+    text = F.coalesce(docs["text"], F.lit(""))
     assign = F.filter(_located(text, ASSIGN), lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_LEAST)
     # A run of the class starts at its first character, so the least length can be part of these two patterns.
     access = _located(text, rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}")
     hexes = _located(text, rf"[0-9a-f]{{{HEX_LEAST},}}")
-    out = docs.withColumns({"_assign": _as_spans(assign, "assign"), "_access": _as_spans(access, "access"), "_hex": _as_spans(hexes, "hex")})
-    located = out.withColumns({"_run": _located(text, RUN), "_piece": _located(text, PIECE)})
-    out = located.withColumn("_run_hot", _hot(F.col("_run"), lambda _: F.lit(KINDS.index("entropy_mixed")), rule)).withColumn("_image", F.filter("_run", lambda s: s["value"].rlike(IMAGE)))
-    # Pieces of image data are image data.
-    pieces = F.filter("_piece", lambda p: ~F.exists("_image", lambda r: (r["start"] <= p["start"]) & (p["end"] <= r["end"])))
-    out = out.withColumn("_piece_hot", _hot(pieces, _class, rule))
-    more = F.filter("_piece_hot", lambda p: ~F.exists("_run_hot", lambda r: (r["start"] <= p["start"]) & (p["end"] <= r["end"])))
-    out = out.withColumn("secret_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
-    out = out.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "_run_hot", more)))
-    return out.drop("_assign", "_access", "_hex", "_run", "_piece", "_image", "_run_hot", "_piece_hot")
+    parts = {"assign": _as_spans(assign, "assign"), "access": _as_spans(access, "access"), "hex": _as_spans(hexes, "hex"), "run": _located(text, RUN), "piece": _located(text, PIECE)}
+    at = {k: fresh_name(k) for k in (*parts, "image", "run_hot", "piece_hot")}
+    out = docs.withColumns({at[k]: v for k, v in parts.items()})
+    out = out.withColumns({at["run_hot"]: _hot(F.col(at["run"]), lambda _: F.lit(KINDS.index("entropy_mixed")), rule), at["image"]: F.filter(at["run"], lambda s: s["value"].rlike(IMAGE))})
+    # Pieces of image data are image data; those inside a hot run are part of it.
+    pieces = F.filter(at["piece"], lambda p: ~_covered(p, F.col(at["image"])) & ~_covered(p, F.col(at["run_hot"])))
+    out = out.withColumn(at["piece_hot"], _hot(pieces, _class, rule))
+    more = F.filter(at["piece_hot"], lambda p: ~_covered(p, F.col(at["run_hot"])))
+    base = F.array_sort(F.concat(at["assign"], at["access"], at["hex"]))
+    out = out.withColumn(found, F.struct(base.alias("base"), F.array_sort(F.concat(at["assign"], at["access"], at["hex"], at["run_hot"], more)).alias("spans")))
+    return out.drop(*at.values())
 
 
 def secret_scan(docs: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans: one row per document."""
-    out = with_spans(docs.select("doc_id", "text"), rule)
-    count = lambda k: F.size(F.filter("secret_spans", lambda s: s["k"] == k)).cast("long")
+    found = fresh_name("found")
+    out = with_spans(docs.select("doc_id", "text"), found, rule)
+    base, spans = F.col(found)["base"], F.col(found)["spans"]
+    count = lambda k: F.size(F.filter(spans, lambda s: s["k"] == k)).cast("long")
     return out.select(
         "doc_id",
         count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), sum((count(k) for k in range(4, len(KINDS))), count(3)).alias("n_entropy"),
-        F.sha2(_joined(F.col("secret_base")), 256).alias("base_sha256"),
-        _joined(F.col("secret_spans")).alias("spans"),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(spans).alias("spans"),
     )
 
 
 def redact(docs: DataFrame, rule: EntropyRule = EntropyRule(), mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark`` (overlapping spans by one), and n_chars set anew where there is one."""
-    columns = docs.columns
-    text = F.col("text")
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        fresh = s["start"] >= state["at"]
-        fresh_mark = F.when(fresh | (state["out"] == ""), F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, fresh_mark).alias("out"))
-
-    out = with_spans(docs, rule)
-    cleaned = F.aggregate("secret_spans", empty, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    out = out.withColumn("text", F.when(F.size("secret_spans") > 0, cleaned).otherwise(text))
+    columns, found = docs.columns, fresh_name("found")
+    text = docs["text"]
+    none = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<string>").alias("out"))
+
+    def cut(chars: Column, spans: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            gap = F.array_join(F.slice(chars, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), "")
+            fresh_mark = F.when((s["start"] >= state["at"]) | (F.size(state["out"]) == 0), F.lit(mark)).otherwise(F.lit(""))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(F.concat(gap, fresh_mark))).alias("out"))
+
+        return F.aggregate(spans, none, step, lambda s: F.concat(F.array_join(s["out"], ""), F.array_join(F.slice(chars, s["at"] + 1, F.size(chars)), "")))
+
+    out = with_spans(docs, found, rule)
+    spans = F.col(found)["spans"]
+    out = out.withColumn("text", F.when(F.size(spans) > 0, _let(F.split(text, ""), lambda chars: cut(chars, spans))).otherwise(text))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars")).cast("long"))
     return out.select(*columns)

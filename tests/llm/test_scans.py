@@ -1,8 +1,13 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from pitlake.llm.license_scan import license_scan
-from pitlake.llm.secret_scan import ASSIGN, KINDS, redact, secret_scan
+from pitlake.llm.secret_scan import ASSIGN, KINDS, redact, secret_scan, window_range
 
 from .helpers import documents, nothing
 
@@ -55,6 +60,49 @@ def test_entropy_of_each_character_class(spark):
     assert sum("[SECRET]" in r.text for r in redact(docs).collect()) == len(texts)
 
 
+def brute_window(value, least, window=20):
+    """First character of the first hot window and the end of the last, counted anew at every place."""
+    hot = []
+    for i in range(len(value) - window + 1):
+        counts = Counter(value[i : i + window])
+        if math.log2(window) - sum(c * math.log2(c) for c in counts.values()) / window >= least - 1e-12:
+            hot.append(i)
+    return (hot[0], hot[-1] + window) if hot else (0, 0)
+
+
+def test_sliding_entropy_equals_that_of_every_window(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        alphabet = "abcdefgh"[: rng.randrange(1, 9)] + "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: rng.randrange(1, 30)]
+        rows.append((k, "".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 90)))))
+    df = spark.createDataFrame(rows, "k long, value string").select("k", window_range(F.col("value"), 20, F.lit(3.21)).alias("r"))
+    got = {r.k: (r.r.lo, r.r.hi) for r in df.collect()}
+    assert got == {k: brute_window(v, 3.21) for k, v in rows} and len({x[1] > 0 for x in got.values()}) == 2
+
+
+def test_long_blobs_and_many_matches(spark):
+    rng = random.Random(1)
+    key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [key(200_000, letters), " ".join("Abcdefghijklmnopqrstuvwxyzabc" for _ in range(7000)), "é " + " ".join(key(30, "0123456789abcdef") for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan(docs).collect()}
+    assert got[0].n_entropy == 1 and got[1].n_entropy == 0 and got[2].n_hex == 3000
+    joined = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base(texts[2]))
+    assert got[2].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    cleaned = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert cleaned[1] == texts[1] and cleaned[2] == "é " + " ".join(["[SECRET]"] * 3000)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_hex", "_assign", "_access", "_run", "_piece", "_image", "secret_spans", "secret_base", "found", "spans", "_lower"]
+    row = (1, 'key token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', *names)
+    docs = spark.createDataFrame([row], "doc_id long, text string, " + ", ".join(f"{x} string" for x in names))
+    out = redact(docs).first()
+    assert "[SECRET]" in out.text and [out[x] for x in names] == names and secret_scan(docs).first().n_assign == 1
+
+
 def test_redaction_leaves_clean_documents_alone(spark):
     docs = documents(spark, SECRETS)
     out = redact(docs).collect()
