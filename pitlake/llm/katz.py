@@ -14,13 +14,18 @@ is withheld. A count for which Good-Turing gives no factor in (0, 1] has an abso
 
 Documents are dealt into groups of about ``group_bytes``; a group asks each bucket for the words, pairs
 and contexts it holds, each once with its own counts, and gets totals back. So a frequent word costs one
-question per group; a context with many followers is spread over buckets and its sums are added up.
+question per group. A hot context, which has more tokens than a bucket on average, is spread over buckets;
+its sums are added up in one table of at most as many rows as buckets (64 bytes each; some hundredths of
+that for natural text), which every group reads. There are as many buckets as groups, and as many
+partitions, so a task's share stays the same at any size; a group writes a row for each bucket that it
+has a question for, so never more rows than questions.
 Words are 64-bit hashes; behind a given context 48 bits of them, and the bucket for a context that is
 spread, tell followers apart.
 
 Defined results: null text is empty text, whose one token is the end; a null doc_id is neither held out
 nor learned from; repeated rows each count and each get a row; without training text every known
-probability is that of the unknown word, 1; other columns are ignored.
+probability is that of the unknown word, 1; other columns are ignored. A very long text is a group's
+largest part and is read whole in one task.
 """
 
 from __future__ import annotations
@@ -147,7 +152,7 @@ class Group:
         for b in range(self.buckets):
             at = np.flatnonzero(self.word_bucket == b)
             if len(at):
-                yield mp, b, self.word[at].tobytes(), squeeze(own[at]), b"", b"", b""
+                yield mp, b, self.word[at].tobytes(), squeeze(own[at]), b"", b"", b"", b""
 
     def counts(self) -> np.ndarray:
         c = np.zeros(len(self.word), np.int64)
@@ -176,22 +181,21 @@ class Group:
         self.pair_ctx, self.pair_w = ctx[at], self.word[self.word_of[at]]
         self.pair_c = self.count[self.word_of[at]]
         n_ctx = np.where(before[at] >= 0, self.count[before[at]], self.uni.by_count[0])
-        hot = n_ctx > self.uni.tokens / (4 * self.buckets)
+        hot = n_ctx > self.uni.tokens / self.buckets
         spread = wh.mix(self.pair_ctx + np.where(hot, wh.mix(self.pair_w), np.uint64(0)))
         self.pair_bucket = (spread % np.uint64(self.buckets)).astype(np.int64)
         self.hot = np.unique(self.pair_ctx[hot])
         # Contexts of unknown words alone: no pair asks for their weight.
         lone = np.setdiff1d(lone_ctx, self.pair_ctx)
         lone_n = np.where(lone == BEGIN, self.uni.by_count[0], self.count[np.minimum(np.searchsorted(self.word, lone), len(self.word) - 1)]) if len(lone) else np.zeros(0)
-        lone_hot = lone_n > self.uni.tokens / (4 * self.buckets)
-        self.hot, lone = np.union1d(self.hot, lone[lone_hot]), lone[~lone_hot]
+        lone = lone[lone_n <= self.uni.tokens / self.buckets]
         lone_bucket = (wh.mix(lone + np.uint64(0)) % np.uint64(self.buckets)).astype(np.int64)
         self.place: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         order = np.lexsort((self.pair_ctx, self.pair_bucket))
         cut = np.searchsorted(self.pair_bucket[order], np.arange(self.buckets + 1))
         for b in range(self.buckets):
             own = order[cut[b] : cut[b + 1]]
-            contexts = np.unique(np.concatenate([self.pair_ctx[own], self.hot, lone[lone_bucket == b]]))
+            contexts = np.unique(np.concatenate([self.pair_ctx[own], lone[lone_bucket == b]]))
             if len(contexts):
                 self.place[b] = (own, contexts)
 
@@ -200,9 +204,10 @@ class Group:
         n = self.pair_n[self.skip :]
         for b, (own, contexts) in self.place.items():
             runs = np.searchsorted(self.pair_ctx[own], contexts, "right") - np.searchsorted(self.pair_ctx[own], contexts)
-            yield mp, b, contexts.tobytes(), squeeze(runs), six_bytes(self.pair_w[own]), squeeze(n[own]), squeeze(self.pair_c[own])
+            yield mp, b, contexts.tobytes(), squeeze(runs), six_bytes(self.pair_w[own]), squeeze(n[own]), squeeze(self.pair_c[own]), np.packbits(np.isin(contexts, self.hot)).tobytes()
 
-    def result(self, d2: np.ndarray) -> pa.Table:
+    def result(self, d2: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+        """``hot``: the hot contexts, sorted, and their statistics."""
         self.pairs()
         k, uni = self.spec.k, self.uni
         r = np.zeros(len(self.pair), np.int64)
@@ -210,14 +215,14 @@ class Group:
         for b, (own, contexts) in self.place.items():
             a, s = self.answers[2][b]
             r[self.skip + own] = unsqueeze(a)
-            ctx_all.append(contexts)
-            m = len(contexts)
+            cold = contexts[~np.isin(contexts, self.hot)]
+            ctx_all.append(cold)
+            m = len(cold)
             stat_all.append(np.concatenate([unsqueeze(s[8 * m :]).reshape(k + 1, m), np.frombuffer(s, np.float64, m)[None]]))
-        ctx, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *ctx_all]), return_inverse=True)
-        stats = np.zeros((k + 2, len(ctx)))
-        if len(ctx):
-            flat = np.concatenate(stat_all, 1)
-            stats = np.stack([np.bincount(back, row, len(ctx)) for row in flat])
+        ctx = np.concatenate([*ctx_all, hot[0]])
+        stats = np.concatenate([*stat_all, hot[1]], 1)
+        order = np.argsort(ctx)
+        ctx, stats = ctx[order], stats[:, order]
         # stats: types with count 1..k, tokens of counts above k, probability of the followers.
         rs = np.arange(1, k + 1)[:, None]
         total = (rs * stats[:k]).sum(0) + stats[k]
@@ -251,9 +256,9 @@ class Group:
         })
 
 
-ASKED = "mp long, bucket long, a binary, b binary, c binary, d binary, e binary"
+ASKED = "mp long, bucket long, a binary, b binary, c binary, d binary, e binary, f binary"
 ANSWER = "mp long, kind int, bucket long, a binary, b binary"
-_ASKED_TYPES = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
+_ASKED_TYPES = (pa.int64(), pa.int64(), *[pa.binary()] * 6)
 _ANSWER_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
 
@@ -315,15 +320,42 @@ def _pairs(spec: Spec, uni: Unigrams):
         stats[k] = np.bincount(of, np.where(n > k, n, 0), len(ctx))
         stats[k + 1] = np.bincount(of, np.where(n > 0, uni.p(count), 0.0), len(ctx))
         b, out = key[0].as_py(), []
+        flags = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(y)).astype(bool) for x, y in zip(rows.column("f"), contexts)]
+        hot = np.zeros(len(ctx), bool)
+        hot[back] = np.concatenate(flags)
         pairs_cut = np.split(which, np.cumsum([len(x) for x in follow])[:-1])
         ctx_cut = np.split(back, np.cumsum([len(x) for x in contexts])[:-1])
         for mp, x, y in zip(rows.column("mp").to_pylist(), pairs_cut, ctx_cut):
+            y = y[~hot[y]]
             out.append((mp, 2, b, squeeze(n[x]), stats[k + 1, y].tobytes() + squeeze(stats[: k + 1, y].ravel())))
+        if hot.any():
+            out.append((-1, 3, b, ctx[hot].tobytes(), stats[:, hot].tobytes()))
         return _table([*out, (-1, 2, b, _by_count(n, k).tobytes(), b"")], _ANSWER_TYPES, ANSWER)
 
     return run
 
 
+def _hot_rows(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ctx = np.frombuffer(a, np.int64)
+                stats = np.frombuffer(b, np.float64).reshape(k + 2, len(ctx))
+                yield pa.RecordBatch.from_arrays([pa.array(ctx), *(pa.array(row) for row in stats)], ["ctx", *(f"s{i}" for i in range(k + 2))])
+
+    return run
+
+
+def _hot_contexts(pairs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the hot contexts over all buckets: at most a row for each bucket."""
+    names = [f"s{i}" for i in range(k + 2)]
+    parts = pairs.where("kind = 3").select("a", "b").mapInArrow(_hot_rows(k), "ctx long, " + ", ".join(f"{x} double" for x in names))
+    found = parts.groupBy("ctx").agg(*(F.sum(x).alias(x) for x in names)).toPandas()
+    ctx = found["ctx"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(ctx)
+    return ctx[order], found[names].to_numpy(np.float64).T.reshape(k + 2, len(ctx))[:, order]
+
+
 def _statistics(answers: DataFrame, kind: int) -> np.ndarray:
     """Sums of the buckets' statistics: a few numbers for each bucket."""
     rows = answers.where((F.col("mp") == -1) & (F.col("kind") == kind)).select("a").toLocalIterator()
@@ -338,12 +370,13 @@ def score_texts(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(part == 2, F.lit(False)).alias("held_out"), F.coalesce(part != 2, F.lit(False)).alias("learned"), F.coalesce("text", F.lit("")).alias("text"))
     n = groups_for(text_bytes(docs), spec.group_bytes)
     docs = docs.withColumn("mp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    dealt = docs.repartition(n, "mp")
     starts = docs.where("learned").count()
 
     def first(key: tuple, rows: pa.Table) -> pa.Table:
         return _table(list(Group(rows, None, n, None, spec).asked_words(key[0].as_py())), _ASKED_TYPES, ASKED)
 
-    words = ws.save(docs.groupBy("mp").applyInArrow(first, ASKED).groupBy("bucket").applyInArrow(_words(spec), ANSWER))
+    words = ws.save(dealt.groupBy("mp").applyInArrow(first, ASKED).repartition(n, "bucket").groupBy("bucket").applyInArrow(_words(spec), ANSWER))
     s = _statistics(words, 1)
     s = s if len(s) > 1 else np.zeros(spec.k + 4, np.int64)
     by_count = s[2:].copy()
@@ -354,15 +387,16 @@ def score_texts(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
         asked = list(Group(rows, known, n, uni, spec).asked_pairs(key[0].as_py())) if len(rows) else []
         return _table(asked, _ASKED_TYPES, ASKED)
 
-    told = lambda answers: answers.where("mp >= 0").groupBy("mp")
-    asked = docs.groupBy("mp").cogroup(told(words)).applyInArrow(second, ASKED)
-    pairs = ws.save(asked.groupBy("bucket").applyInArrow(_pairs(spec, uni), ANSWER))
+    told = lambda answers: answers.where("mp >= 0").repartition(n, "mp").groupBy("mp")
+    asked = dealt.groupBy("mp").cogroup(told(words)).applyInArrow(second, ASKED)
+    pairs = ws.save(asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_pairs(spec, uni), ANSWER))
     s = _statistics(pairs, 2)
+    hot = spark.sparkContext.broadcast(_hot_contexts(pairs, spec.k))
     d2 = discounts(s if len(s) > 1 else np.zeros(spec.k + 2, np.int64), spec.k)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     empty = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, **{c: pa.array([], pa.float64()) for c in ("base_score", "score")}})
 
     def last(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
-        return Group(rows, known, n, uni, spec).result(d2) if len(rows) else empty
+        return Group(rows, known, n, uni, spec).result(d2, hot.value) if len(rows) else empty
 
-    return docs.groupBy("mp").cogroup(told(words.union(pairs))).applyInArrow(last, schema)
+    return ws.finish(dealt.groupBy("mp").cogroup(told(words.union(pairs))).applyInArrow(last, schema))

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from decimal import Decimal
 
 import numpy as np
+import pyarrow as pa
 
 from pitlake.llm import katz, language_id, quality
 from pitlake.llm import wordhash as wh
@@ -12,7 +13,7 @@ from .helpers import WORDS, crc, documents, lower, nothing
 
 def test_katz_matches_a_direct_model_and_sums_to_one(spark):
     docs = documents(spark)
-    got = katz.score_texts(docs, katz.Spec(group_bytes=8000)).collect()
+    got = katz.score_texts(docs, katz.Spec(group_bytes=800)).collect()  # enough buckets for hot contexts
     rows = [(r.doc_id, [*WORDS.findall(lower(r.text or "")), "</s>"]) for r in docs.collect()]
     train = [t for i, t in rows if i is not None and crc(i, 7) != 2]
     c = Counter(w for t in train for w in t)
@@ -124,6 +125,42 @@ def test_quality_on_held_out_labels_and_awkward_rows(spark):
     assert quality.score_quality(nothing(spark), one).count() == 0
 
 
+def test_labels_without_documents_do_not_thin_the_sample(spark):
+    good, bad = "A good sentence, it is long enough and it ends.", "zz qq zz 99 !! zz"
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) + f" {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(2_000_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    got = quality.score_quality(docs, labels, quality.Spec(sample=1000)).collect()
+    assert len(got) == 40 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def test_features_are_the_distinct_trigrams_and_shapes():
+    texts = ["abc abd", "", "Ab", "x" * 5000 + " y"]
+    got = list(quality.features(pa.array(texts)))
+    for text, f in zip(texts, got):
+        b = text.encode()
+        tri = {b[i : i + 3] for i in range(len(b) - 2)}
+        assert len(set(f.tolist())) == len(f) and sum(x < quality.SIZE // 2 for x in f.tolist()) == len(tri)
+        assert (sum(x >= quality.SIZE // 2 for x in f.tolist()) > 0) == bool(text.split())
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    x = [np.unique(rng.integers(0, 40, 6)).astype(np.uint16) for _ in range(200)]
+    y = np.where(rng.random(200) < 0.5, 1.0, -1.0)
+    ratio = np.zeros(quality.SIZE)
+    ratio[:40] = rng.normal(size=40)
+    spec = quality.Spec(epochs=400)
+    w, b = quality.dual_coordinate_descent(x, y, ratio, spec)
+    dense = np.zeros((200, 41))
+    for k, i in enumerate(x):
+        dense[k, i] = ratio[i]
+    dense[:, 40] = 1
+    primal = lambda v: 0.5 * v @ v + spec.c * np.maximum(0, 1 - y * (dense @ v)).sum()
+    v = np.append(w[:40], b)
+    best = primal(v)
+    assert all(primal(v + 1e-3 * rng.normal(size=41)) >= best - 1e-9 for _ in range(300))  # convex: no better point nearby
+
+
 def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(1)
     y = np.where(rng.random(300) < 0.5, 1.0, -1.0)
