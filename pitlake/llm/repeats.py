@@ -40,8 +40,9 @@ from .workspace import Workspace, groups_for, text_bytes
 PERIOD = 133
 COVER = np.array([0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109])
 ANCHOR = 32
-_POS_BITS = np.uint64(28)
-_LOW = np.uint64((1 << 28) - 1)
+#: A place in a slice; Arrow holds no text of 4 GB. The rest of a key are the anchor's upper bits.
+_POS_BITS = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
 
 
 @dataclass(frozen=True)
@@ -291,7 +292,7 @@ def remove_repeats(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = groups_for(text_bytes(docs), spec.group_bytes)
     # Rows with one text (and so copies, however many) are spread as well.
-    docs = docs.withColumn("mp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
+    docs = docs.withColumn("mp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "mp")
 
     def stage(answers: DataFrame | None, f: Callable[[Group, int], pa.Table], schema: str) -> DataFrame:
         if answers is None:
@@ -306,24 +307,25 @@ def remove_repeats(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
                 return f(Group(rows, _none, spec, n), key[0].as_py()).slice(0, 0)
             return f(Group(rows, known, spec, n), key[0].as_py())
 
-        return docs.groupBy("mp").cogroup(answers.groupBy("mp")).applyInArrow(run, schema)
+        return docs.groupBy("mp").cogroup(answers.repartition(n, "mp").groupBy("mp")).applyInArrow(run, schema)
 
     first = stage(None, lambda g, mp: g.sample().asked(mp), ASKED)
-    ranks = ws.save(first.groupBy("bucket").applyInArrow(_count(5, 1), ANSWER))
+    ranks = ws.save(first.repartition(n, "bucket").groupBy("bucket").applyInArrow(_count(5, 1), ANSWER))
 
     found = ws.save(stage(ranks, _asked_stretches, "mp long, anchor long, name long, n long"))
-    same = found.groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.min("mp").alias("owner"))
-    buckets = same.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    # Both are written: the join then has plain shuffles on both sides, and that of an anchor with many contexts is split.
+    same = ws.save(found.groupBy("anchor", "name").agg(F.sum("n").alias("n"), F.min("mp").alias("owner")))
+    buckets = ws.save(same.groupBy("anchor").agg(F.count("*").alias("kinds")))
     judged = same.join(buckets, "anchor").where("n > 1 or kinds > 1")
     judged = found.select("mp", "name", "anchor").join(judged, ["anchor", "name"])
     code = F.when(F.col("n") > 1, 1).otherwise(0) + F.when((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.col("mp") == F.col("owner"))), 2).otherwise(0)
     codes = judged.select("mp", "name", code.alias("code")).groupBy("mp").applyInArrow(_packed_codes, ANSWER)
     known = ws.save(ranks.union(codes))
-    ws.drop(found)
+    ws.drop(found, same, buckets)
 
     last = stage(known, lambda g, mp: g.suffix_names().asked(mp), ASKED)
-    known = ws.save(known.union(last.groupBy("bucket").applyInArrow(_count(8, 3), ANSWER)))
-    return ws.save(stage(known, lambda g, mp: g.result(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    known = ws.save(known.union(last.repartition(n, "bucket").groupBy("bucket").applyInArrow(_count(8, 3), ANSWER)))
+    return ws.finish(stage(known, lambda g, mp: g.result(), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 _none = pa.table({"mp": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
