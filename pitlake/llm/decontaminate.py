@@ -1,19 +1,24 @@
 """Benchmark decontamination (operator 3): short test items inside long documents.
 
-Items are partitioned by the size of their set of 5-word shingles. An item of a partition is indexed
-under the m smallest values of one hash over its shingles, its MinHash sketch, with m one more than the
-shingles that an item of this size may lack at the least containment: a document that contains the item
-to that degree holds one of them for certain. Documents probe the index with all their shingles; each
-candidate is confirmed by the exact share of the item's shingles that the document holds.
+Items are partitioned by the size of their set of 5-word shingles. Each partition is an index of its
+own: its items are entered under the m smallest values of one hash over their shingles, their MinHash
+sketches, with m one more than the shingles that an item of the partition may lack at the least
+containment, so a document that contains an item to that degree holds one of them for certain. A
+document is far longer than an item, so minima of its own would say nothing of it: it probes, with all
+its shingles, the partitions whose items it has shingles enough to contain. Each candidate is confirmed
+by the exact share of the item's shingles that the document holds.
 
-The item index is broadcast in blocks of at most ``block_bytes``; a larger benchmark takes more blocks,
-each against all documents, so nothing is left out. Documents are neither shuffled nor grouped.
+Items of one text are one entry. Up to ``block_bytes`` of different item texts (measured), the index is
+broadcast, and documents are neither shuffled nor grouped. A larger benchmark is a table of sketch values
+that the documents' shingles are joined with; candidates then meet the documents and items again to be
+confirmed, so nothing of the benchmark is broadcast or collected.
 
 Words are runs of letters and digits of any script with their marks, lower-cased; in scripts written
-without spaces (Chinese, Japanese, Thai and others) each character is a word. An item of fewer than five words is one shingle of
-its own length; an item without words matches nothing. Null text is empty text; a null doc_id or
-item_id stays null in the rows it makes; repeated documents and items each make their rows; other
-columns are ignored by ``contaminated`` and kept by ``clean``.
+without spaces (Chinese, Japanese, Thai and others) each character is a word. An item of fewer than five
+words is one shingle of its own length; an item without words matches nothing. Null text is empty text; a
+null doc_id or item_id stays null in the rows it makes; repeated documents and items each make their
+rows; other columns, of any name, are ignored by ``contaminated`` and kept by ``clean``. A very long text
+costs one array of hashes.
 """
 
 from __future__ import annotations
@@ -23,32 +28,43 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .workspace import prepare
+from .workspace import Workspace, fresh_name, prepare
 
-HITS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+
+
+FOUND = "doc_id long, key long, n_item long, n_shared long, containment double"
 
 
 @dataclass(frozen=True)
 class Containment:
-    """k: words in a shingle; least: share of an item's shingles; block_bytes: item text broadcast at once."""
+    """k: words in a shingle; least: share of an item's shingles; block_bytes: most item text that is broadcast."""
 
     k: int = 5
     least: float = 0.8
     block_bytes: int = 16 << 20
 
 
+@dataclass
+class Partition:
+    """Items of about one size and one shingle length: sorted sketch values, the item of each, and the fewest shingles a container has."""
+
+    k: int
+    fewest: int
+    keys: np.ndarray
+    item: np.ndarray
+
+
 @dataclass
 class Index:
-    ids: list[int | None]
-    k: np.ndarray  # words in the shingles of each item
+    ids: list[int]
     sets: list[np.ndarray]
-    keys: np.ndarray  # sorted sketch values
-    item: np.ndarray  # item of each
-    seen: np.ndarray  # which low bits any key has
+    partitions: list[Partition]
+    seen: np.ndarray  # which low bits any sketch value has
 
 
 def lacking(size: int, least: float) -> int:
@@ -64,28 +80,36 @@ def partition_top(size: int) -> int:
     return top
 
 
-def build_index(rows: list[tuple[int | None, str | None]], spec: Containment) -> Index:
-    ids, ks, sets, keys, owner = [], [], [], [], []
-    for item_id, text in rows:
-        col = pa.array([text or ""])
-        for _, _, buf, offs in wh.slices(col, 1 << 40):
-            start, end, first = wh.words(buf, offs, wh.ALNUM)
-            k = min(spec.k, len(start))
-            if not k:
-                continue
-            s = np.unique(wh.shingles(wh.word_hashes(buf, start, end), first, k, False)[0])
-            m = min(len(s), lacking(partition_top(len(s)), spec.least) + 1)
-            sketch = s[np.argsort(wh.mix(s ^ np.uint64(0x51ED)))[:m]]
-            owner += [len(ids)] * m
-            ids.append(item_id)
-            ks.append(k)
+def item_of(text: str, spec: Containment) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Words in a shingle, the set and its sketch; None without words."""
+    _, _, buf, offs = next(wh.slices(pa.array([text]), 1 << 40))
+    start, end, first = wh.words(buf, offs, wh.ALNUM)
+    k = min(spec.k, len(start))
+    if not k:
+        return None
+    s = np.unique(wh.shingles(wh.word_hashes(buf, start, end), first, k, False)[0])
+    m = min(len(s), lacking(partition_top(len(s)), spec.least) + 1)
+    return k, s, s[np.argsort(wh.mix(s ^ np.uint64(0x51ED)))[:m]]
+
+
+def build_index(rows: list[tuple[int, str]], spec: Containment) -> Index:
+    ids, sets, groups = [], [], {}
+    for key, text in rows:
+        found = item_of(text, spec)
+        if found:
+            k, s, sketch = found
+            groups.setdefault((k, partition_top(len(s))), []).append((len(ids), len(s), sketch))
+            ids.append(key)
             sets.append(s)
-            keys.append(sketch)
-    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    order = np.argsort(key, kind="stable")
-    seen = np.zeros(1 << 22, bool)
-    seen[(key & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-    return Index(ids, np.array(ks, np.int64), sets, key[order], np.array(owner, np.int64)[order], seen)
+    partitions, seen = [], np.zeros(1 << 22, bool)
+    for (k, _), items in sorted(groups.items()):
+        keys = np.concatenate([x for _, _, x in items])
+        owner = np.repeat([i for i, _, _ in items], [len(x) for _, _, x in items])
+        order = np.argsort(keys, kind="stable")
+        fewest = int(np.ceil(spec.least * min(n for _, n, _ in items) - 1e-9))
+        partitions.append(Partition(k, fewest, keys[order], owner[order]))
+        seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
+    return Index(ids, sets, partitions, seen)
 
 
 def _hits(text: pa.Array, ix: Index, spec: Containment) -> Iterator[tuple[int, int, int]]:
@@ -93,73 +117,154 @@ def _hits(text: pa.Array, ix: Index, spec: Containment) -> Iterator[tuple[int, i
     for lo, _, buf, offs in wh.slices(text):
         start, end, first = wh.words(buf, offs, wh.ALNUM)
         h = wh.word_hashes(buf, start, end)
-        for k in np.unique(ix.k):
-            sh, begin = wh.shingles(h, first, int(k), False)
+        for k in sorted({p.k for p in ix.partitions}):
+            sh, begin = wh.shingles(h, first, k, False)
             at = np.flatnonzero(ix.seen[(sh & np.uint64(len(ix.seen) - 1)).astype(np.int64)])
-            left, right = np.searchsorted(ix.keys, sh[at]), np.searchsorted(ix.keys, sh[at], "right")
-            at, left, n = at[right > left], left[right > left], (right - left)[right > left]
-            if not len(at):
-                continue
-            doc = np.repeat(np.searchsorted(begin, at, "right") - 1, n)
-            item = ix.item[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            pairs = np.unique(doc * len(ix.ids) + item)
+            owner = np.searchsorted(begin, at, "right") - 1
+            room = np.diff(begin)
+            pairs = []
+            for part in ix.partitions:
+                if part.k == k:
+                    may = room[owner] >= part.fewest
+                    value = sh[at[may]]
+                    left, right = np.searchsorted(part.keys, value), np.searchsorted(part.keys, value, "right")
+                    n = right - left
+                    item = part.item[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    pairs.append(np.repeat(owner[may], n) * len(ix.ids) + item)
             last, own = -1, None
-            for d, i in zip(pairs // len(ix.ids), pairs % len(ix.ids)):
-                if ix.k[i] != k:
-                    continue
+            for pair in np.unique(np.concatenate(pairs)):
+                d, i = divmod(int(pair), len(ix.ids))
                 if d != last:
                     last, own = d, sh[begin[d] : begin[d + 1]]
                 shared = int(np.isin(ix.sets[i], own).sum())
                 if shared >= spec.least * len(ix.sets[i]) - 1e-9:
-                    yield lo + int(d), int(i), shared
+                    yield lo + d, i, shared
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, key, text: rows of one text have one key."""
+    text = wh.lettered(F.coalesce(F.col("text"), F.lit("")), digits=True)
+    return benchmark.select(F.col("item_id").cast("long"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+
+
+def _broadcast(items: DataFrame, spec: Containment) -> Broadcast | None:
+    """The index of all item texts, if they are few enough."""
+    prepare(items.sparkSession)
+    different = items.groupBy("key").agg(F.first("text").alias("text"))
+    if (different.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > spec.block_bytes:
+        return None
+    return items.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in different.orderBy("key").collect()], spec))
+
+
+def _entries(spec: Containment):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(key, *found) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := item_of(text, spec))]
+            if rows:
+                key, k, s, sketch = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key, pa.int64()), pa.array(k, pa.int32()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([x.view(np.int64) for x in sketch], pa.list_(pa.int64()))], ["key", "k", "shingles", "sketch"]
+                )
 
+    return run
 
-def _blocks(benchmark: DataFrame, spec: Containment) -> Iterator[Index]:
-    prepare(benchmark.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("long"), wh.lettered(F.col("text"), digits=True).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // spec.block_bytes))
-    for b in range(n):
-        yield build_index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()], spec)
+
+def _probes(ks: list[int]):
+    """(row, k, value): the distinct shingles of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in wh.slices(batch.column(1)):
+                start, end, first = wh.words(buf, offs, wh.ALNUM)
+                h = wh.word_hashes(buf, start, end)
+                row = batch.column(0).to_numpy()[lo:hi]
+                for k in ks:
+                    sh, begin = wh.shingles(h, first, k, False)
+                    doc = np.repeat(np.arange(hi - lo), np.diff(begin))
+                    order = np.lexsort((sh, doc))
+                    new = np.ones(len(sh), bool)
+                    new[1:] = (np.diff(sh[order]) != 0) | (np.diff(doc[order]) != 0)
+                    one = order[new]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[one]]), pa.array(np.full(len(one), k, np.int32)), pa.array(sh[one].view(np.int64))], ["row", "k", "value"])
+
+    return run
+
+
+def _shared(spec: Containment):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, size = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            for i, (text, k, x) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4))):
+                _, _, buf, offs = next(wh.slices(pa.array([text.as_py()]), 1 << 40))
+                start, end, first = wh.words(buf, offs, wh.ALNUM)
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                size[i], n[i] = len(own), np.isin(own, wh.shingles(wh.word_hashes(buf, start, end), first, k, False)[0]).sum()
+            keep = pa.array(n >= spec.least * size - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(n), pa.array(n / np.maximum(size, 1))], ["row", "key", "n_item", "n_shared", "containment"]).filter(keep)
+
+    return run
+
+
+def _joined(numbered: DataFrame, row: str, items: DataFrame, spec: Containment, ws: Workspace) -> DataFrame:
+    """(row, key, n_item, n_shared, containment) of numbered documents and a benchmark of any size, by joins."""
+    entries = items.groupBy("key").agg(F.first("text").alias("text")).select("key", "text")
+    entries = ws.save(entries.mapInArrow(_entries(spec), "key long, k int, shingles binary, sketch array<long>"))
+    ks = sorted(r["k"] for r in entries.select("k").distinct().collect())  # at most ``spec.k`` numbers
+    texts = numbered.select(F.col(row).alias("row"), wh.lettered(F.coalesce(F.col("text"), F.lit("")), digits=True).alias("text"))
+    probes = texts.mapInArrow(_probes(ks), "row long, k int, value long")
+    pairs = probes.join(entries.select("key", "k", F.explode("sketch").alias("value")).hint("merge"), ["k", "value"]).select("row", "key", "k").distinct()
+    full = pairs.join(texts.hint("merge"), "row").join(entries.select("key", "shingles").hint("merge"), "key").select("row", "key", "text", "k", "shingles")
+    return full.mapInArrow(_shared(spec), "row long, key long, n_item long, n_shared long, containment double")
+
+
+def _number(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, str]:
+    row = fresh_name("row")
+    return ws.save(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment: one row per document and item that it contains."""
-    docs = docs.select(F.col("doc_id").cast("long"), wh.lettered(F.col("text"), digits=True).alias("text"))
-    out = None
-    for ix in _blocks(benchmark, spec):
-        shared = docs.sparkSession.sparkContext.broadcast(ix)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ix = shared.value
-            for batch in batches:
-                hits = list(_hits(batch.column(1), ix, spec))
-                if hits:
-                    row, item, n = map(list, zip(*hits))
-                    size = [len(ix.sets[i]) for i in item]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row)), pa.array([ix.ids[i] for i in item], pa.int64()), pa.array(size), pa.array(n), pa.array([a / b for a, b in zip(n, size)])],
-                        ["doc_id", "item_id", "n_item", "n_shared", "containment"],
-                    )
-
-        found = docs.mapInArrow(run, HITS)
-        out = found if out is None else out.union(found)
-    return out
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    items = _items(benchmark)
+    shared = _broadcast(items, spec)
+    if shared is None:
+        ws = Workspace(docs.sparkSession, "decontaminate")
+        numbered, row = _number(docs, ws)
+        found = _joined(numbered, row, items, spec, ws).join(numbered.select(F.col(row).alias("row"), "doc_id").hint("merge"), "row").drop("row")
+        return found.join(items.drop("text").hint("merge"), "key").select("doc_id", "item_id", "n_item", "n_shared", "containment")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for batch in batches:
+            hits = list(_hits(batch.column(1), ix, spec)) if ix.ids else []
+            if hits:
+                row, item, n = map(list, zip(*hits))
+                size = [len(ix.sets[i]) for i in item]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), pa.array([ix.ids[i] for i in item], pa.int64()), pa.array(size), pa.array(n), pa.array([a / b for a, b in zip(n, size)])],
+                    ["doc_id", "key", "n_item", "n_shared", "containment"],
+                )
+
+    found = docs.select("doc_id", wh.lettered(F.col("text"), digits=True).alias("text")).mapInArrow(run, FOUND)
+    # Few rows meet the ids of their items: which side is small is left to the measured sizes.
+    return found.join(items.drop("text"), "key").select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    at = docs.columns.index("text")
     names, schema = docs.columns, docs.schema
-    for ix in _blocks(benchmark, spec):
-        shared = docs.sparkSession.sparkContext.broadcast(ix)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                lower = batch.column(len(names))
-                dirty = {row for row, _, _ in _hits(lower, shared.value, spec)}
-                keep = pa.array([i not in dirty for i in range(len(batch))], pa.bool_())
-                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(keep)
-
-        docs = docs.select("*", wh.lettered(docs[names[at]], digits=True).alias("_lower")).mapInArrow(run, schema)
-    return docs
+    items = _items(benchmark)
+    shared = _broadcast(items, spec)
+    if shared is None:
+        ws = Workspace(docs.sparkSession, "decontaminate")
+        numbered, row = _number(docs, ws)
+        dirty = _joined(numbered, row, items, spec, ws).select(F.col("row").alias(row)).distinct()
+        return numbered.join(dirty.hint("merge"), row, "left_anti").select(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = shared.value
+        for batch in batches:
+            dirty = {row for row, _, _ in _hits(batch.column(len(names)), ix, spec)} if ix.ids else ()
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array([i not in dirty for i in range(len(batch))], pa.bool_()))
+
+    return docs.select("*", wh.lettered(docs["text"], digits=True).alias(fresh_name("lower"))).mapInArrow(run, schema)
