@@ -40,11 +40,12 @@ def lettered(text: Column, digits: bool) -> Column:
     kept = r"\p{L}\p{N}\p{M}" if digits else r"\p{L}\p{M}"
     sign = rf"[^\x00-\x7F{kept}]\p{{M}}*|(?<![{kept}])\p{{M}}+"
     lower = F.lower(text)
-    out = F.when(lower.rlike(sign), F.regexp_replace(lower, sign, " ")).otherwise(lower)
+    out = F.regexp_replace(lower, sign, " ")
     if digits:
-        alone = rf"([{_UNSPACED}]\p{{M}}*)"
-        out = F.when(lower.rlike(f"[{_UNSPACED}]"), F.regexp_replace(out, alone, " $1 ")).otherwise(out)
-    return out
+        out = F.regexp_replace(out, rf"([{_UNSPACED}]\p{{M}}*)", " $1 ")
+    # Texts of ASCII, and by one scan those with Latin letters besides, are changed by nothing else.
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(r"[^\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]")
+    return F.when(plain, lower).otherwise(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
