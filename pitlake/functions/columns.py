@@ -85,3 +85,30 @@ def agreed_price(preferred: Column, candidates: Column, tolerance: float = 0.005
 
 def config_hash(*parts: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
+def account_id(c: Column) -> Column:
+    """A usable account id, trimmed, else null: 1 to 64 letters, digits, dots, underscores and hyphens, the first a letter or digit."""
+    return F.when(F.trim(c).rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"), F.trim(c))
+
+
+def sheet_name(c: Column) -> Column:
+    """A name that a spreadsheet takes: its signs replaced, 31 characters at most, never empty."""
+    return F.coalesce(F.nullif(F.substring(F.regexp_replace(c, r"[\[\]:*?/\\]", "_"), 1, 31), F.lit("")), F.lit("Sheet1"))
+
+
+def header(c: Column) -> Column:
+    """The key of a column header: what follows its last underscore, else its letters and digits."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    return F.when(t.contains("_"), F.substring_index(t, "_", -1)).otherwise(F.regexp_replace(t, "[^0-9a-zA-Z]+", ""))
+
+
+def by_priority(key: Column, value: Column, order: list) -> Column:
+    """Aggregate: the value of the first key of ``order`` that a group has."""
+    return F.coalesce(*[F.max(F.when(key == k, value)) for k in order])
+
+
+def correction(c: Column) -> Column:
+    """1 for flags of corrected statements in their written forms, and for any number but 0."""
+    t = F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.when(t.isin("1", "true", "yes", "y") | (parse_float(t) != 0), 1).otherwise(0)

@@ -149,3 +149,10 @@ def share_factor(capital_return: Column, prev_close: Column, close: Column) -> C
 
 def action_cash(prev_close: Column, total_return: Column, capital_return: Column, shares: Column) -> Column:
     return F.coalesce(prev_close * (total_return - capital_return) * shares, F.lit(0.0))
+
+
+def round_trip_cost(value: Column, sell_code: Column, buy_code: Column, day: Column, commission: float = 0.0, minimum: float = 0.0) -> Column:
+    """Cost of selling one name and buying another for the same value, as a share of it; infinite without a value."""
+    none = F.lit(0.0)
+    both = trade_cost(value, F.lit("SELL"), sell_code, day, none, commission, minimum) + trade_cost(value, F.lit("BUY"), buy_code, day, none, commission, minimum)
+    return F.when(value > 0, both / value).otherwise(float("inf"))

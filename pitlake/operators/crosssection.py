@@ -32,9 +32,15 @@ def robust_z(df: DataFrame, value: str, by: list[str], name: str, least: int = 2
 
 
 def zscore(value: Column, by: list[str]) -> Column:
+    """Missing stays missing; where values do not vary, all are 0."""
     w = Window.partitionBy(*by)
     sd = F.stddev_samp(value).over(w)
-    return F.when(sd > 1e-12, (value - F.avg(value).over(w)) / sd)
+    return F.when(sd > 1e-12, (value - F.avg(value).over(w)) / sd).when(F.coalesce(sd, F.lit(0.0)) <= 1e-12, F.lit(0.0))
+
+
+def plain_z(value: Column, by: list[str], bound: float = 3.0) -> Column:
+    """Clipped z-score, 0 where missing."""
+    return F.coalesce(clip(zscore(value, by), -bound, bound), F.lit(0.0))
 
 
 def neutral_z(value: Column, date: list[str], group: str, least: int = 5, bound: float = 3.0) -> Column:
@@ -72,11 +78,6 @@ def weighted_residual(value: Column, on: Column, weight: Column, by: list[str])
     return F.when(ok & (F.count(m).over(w) >= 3), value - my - slope * (on - mx))
 
 
-def weighted_residual2(value: Column, a: Column, b: Column, weight: Column, by: list[str]) -> Column:
-    """Residual on two variables and a constant: by residuals of residuals."""
-    return weighted_residual(weighted_residual(value, a, weight, by), weighted_residual(b, a, weight, by), weight, by)
-
-
 def quantile_bucket(df: DataFrame, value: str, by: list[str], n: int, name: str = "bucket") -> DataFrame:
     """Right-closed buckets between distinct interpolated quantiles, from 0 up."""
     steps = F.array(*[F.lit(i / n) for i in range(n + 1)])
@@ -95,11 +96,24 @@ def root_cap_weight(df: DataFrame, cap: str, by: list[str], name: str = "weight"
     return df.withColumn(name, F.least(F.sqrt(cap), top))
 
 
-def style_exposures(df: DataFrame, cap: str, styles: list[str], date: list[str], group: str) -> DataFrame:
-    """Winsorised, filled by group medians and cap-weight standardised styles."""
-    out = df
+def style_exposures(df: DataFrame, cap: str, styles: list[str], date: list[str], group: str, width: float = 5.0) -> DataFrame:
+    """Styles winsorised at ``width`` MADs, filled by group and date medians (else 0), standardised by root-capitalisation weights."""
+    out = root_cap_weight(df, cap, date, "_weight")
     for s in styles:
-        out = winsorise_mad(out, s, date)
-        out = out.withColumn(s, fill_median(F.col(s), date, group))
-        out = out.withColumn(s, weighted_standardise(F.col(s), F.col(cap), date))
-    return out
+        out = winsorise_mad(out, s, date, width)
+        out = out.withColumn(s, F.coalesce(fill_median(F.col(s), date, group), F.lit(0.0)))
+        out = out.withColumn(s, weighted_standardise(F.col(s), F.col("_weight"), date))
+    return out.drop("_weight")
+
+
+def residual_styles(df: DataFrame, cap: str, date: list[str], size: str = "SIZE", beta: str = "BETA", volatility: str = "RESIDUAL_VOLATILITY", liquidity: str = "LIQUIDITY") -> DataFrame:
+    """Adds NONLINEAR_SIZE, what is left of the cube of size; takes size and beta out of volatility and size out of liquidity; all standardised again."""
+    out, w = root_cap_weight(df, cap, date, "_weight"), F.col("_weight")
+    out = out.withColumns({
+        "NONLINEAR_SIZE": weighted_residual(F.pow(size, F.lit(3.0)), F.col(size), w, date), liquidity: weighted_residual(F.col(liquidity), F.col(size), w, date),
+        "_v": weighted_residual(F.col(volatility), F.col(size), w, date), "_b": weighted_residual(F.col(beta), F.col(size), w, date),
+    })
+    out = out.withColumn(volatility, weighted_residual(F.col("_v"), F.col("_b"), w, date))  # by residuals of residuals
+    for s in ("NONLINEAR_SIZE", volatility, liquidity):
+        out = out.withColumn(s, weighted_standardise(F.col(s), w, date))
+    return out.drop("_weight", "_v", "_b")

@@ -133,3 +133,23 @@ def quantile_profile(panel: DataFrame, factor: str, n: int = 5, label: str = "fo
     pool = rows.groupBy(date).agg(F.avg(label).alias("_pool"))
     daily = bucketed.groupBy(date, "bucket").agg(F.avg(label).alias("_r")).join(pool, date)
     return daily.groupBy("bucket").agg(F.count("*").alias("dates"), F.avg("_r").alias("mean_return"), F.avg(F.col("_r") - F.col("_pool")).alias("excess"))
+
+
+def subperiod_decay(panel: DataFrame, factor: str, layers: list[tuple[str, list[str]]], periods: dict[str, tuple[str, str]], date: str = "date", **kw) -> DataFrame:
+    """The ablation ladder on each named period: what holds overall may fade from one to the next."""
+    out = None
+    for name, (start, end) in periods.items():
+        own = panel.where(F.col(date).between(F.lit(start), F.lit(end)))
+        rows = ablation_ladder(own, factor, layers, date=date, **kw).withColumn("period", F.lit(name)).where("weeks > 0")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def one_control_slopes(panel: DataFrame, factor: str, control: str, label: str = "forward_return", date: str = "date", least: int = LEAST_NAMES) -> DataFrame:
+    """(date, slope) of the label on the standardised factor beside one control, by normal equations: window-free aggregates alone."""
+    rows = panel.where(F.col(factor).isNotNull() & F.col(control).isNotNull() & F.col(label).isNotNull())
+    f, c, y = F.col(factor), F.col(control), F.col(label)
+    s = rows.groupBy(date).agg(F.count("*").alias("n"), F.var_pop(f).alias("ff"), F.var_pop(c).alias("cc"), F.covar_pop(f, c).alias("fc"), F.covar_pop(f, y).alias("fy"), F.covar_pop(c, y).alias("cy"))
+    det = F.col("ff") * F.col("cc") - F.col("fc") * F.col("fc")
+    slope = (F.col("fy") * F.col("cc") - F.col("cy") * F.col("fc")) / det * F.sqrt("ff")
+    return s.where((F.col("n") >= least) & (det > 1e-12 * F.col("ff") * F.col("cc"))).select(date, slope.alias("slope"))

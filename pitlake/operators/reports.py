@@ -48,3 +48,24 @@ def compare_runs(equity: DataFrame, by: list[str], holdout_from: str) -> DataFra
     whole = aggregates.performance(equity, "equity", by)
     later = aggregates.performance(equity.where(F.col("trade_date") >= F.lit(holdout_from).cast("date")), "equity", by)
     return whole.join(later.select(*by, *[F.col(c).alias(f"holdout_{c}") for c in later.columns if c not in by]), by, "left")
+
+
+def factor_summary(returns: DataFrame, periods: int = 52) -> DataFrame:
+    """Count, mean, deviation, extremes, yearly return and volatility of each factor, and their ratio."""
+    r = F.col("factor_return")
+    out = returns.groupBy("factor_name").agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_samp(r).alias("sd"), F.min(r).alias("least"), F.max(r).alias("most"))
+    out = out.withColumns({"annual_return": F.col("mean") * periods, "annual_volatility": F.col("sd") * F.sqrt(F.lit(float(periods)))})
+    return out.withColumn("return_to_risk", F.try_divide("annual_return", "annual_volatility"))
+
+
+def group_rollup(holdings: DataFrame, group: str) -> DataFrame:
+    """Stocks, value and weight of each group of holdings; a missing group is a group."""
+    return holdings.groupBy(group).agg(F.count("code").alias("stock_count"), F.sum("market_value").alias("market_value"), F.sum("weight").alias("portfolio_weight"))
+
+
+def derived_metrics(summary: DataFrame) -> DataFrame:
+    """Fees and traded value over the initial cash, and commission's share of the fees."""
+    ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    return summary.withColumns({
+        "fees_pct_initial_cash": ratio("total_fees", "initial_cash"), "gross_traded_multiple": ratio("total_gross_traded", "initial_cash"), "commission_pct_total_fees": ratio("commission", "total_fees"),
+    })

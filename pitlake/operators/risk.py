@@ -25,19 +25,17 @@ class RegressionSpec:
 
 
 def robust_least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: float, rounds: int) -> np.ndarray:
-    """Weighted least squares, re-weighted by Huber weights on MAD-scaled residuals."""
+    """Weighted least squares, ``rounds`` fits: after each, Huber weights by distance from the median residual over its MAD."""
     own = w.copy()
-    for step in range(rounds + 1):
-        weighted = x * own[:, None]
-        beta = np.linalg.lstsq(x.T @ weighted, weighted.T @ y, rcond=None)[0]
-        if step == rounds:
-            break
+    for _ in range(max(rounds, 1)):
+        root = np.sqrt(own)
+        beta = np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
         r = y - x @ beta
-        scale = 1.4826 * np.median(np.abs(r - np.median(r)))
+        away = np.abs(r - np.median(r))
+        scale = 1.4826 * np.median(away)
         if scale <= 1e-12:
             break
-        z = np.abs(r) / scale
-        own = w * np.where(z <= k, 1.0, k / np.maximum(z, 1e-300))
+        own = w / np.maximum(away / scale / k, 1.0)
     return beta
 
 

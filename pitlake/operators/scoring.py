@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.functions.columns import weighted_available
 from pitlake.operators import windows as W
+from pitlake.operators.asof import asof_join
 from pitlake.operators.crosssection import neutral_z, zscore
 
 
@@ -105,3 +106,86 @@ def keep_or_replace(candidates: DataFrame, date: str, expected: str, cost: float
     value = F.col(expected) + F.when(F.coalesce("held", F.lit(False)), bonus).otherwise(F.lit(0.0))
     w = Window.partitionBy(date).orderBy(F.desc_nulls_last(value), "code")
     return candidates.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= count).drop("_k")
+
+
+def expected_return(decisions: DataFrame, slopes: DataFrame, window: int = 52, least: int = 16, cap: float = 0.03, fallback: float = 0.005) -> DataFrame:
+    """(decision_date, expected, observations, source): mean realised slope of the last ``window`` weeks that ended by the decision,
+    shrunk by the share of positive ones; the fallback with too few.
+
+    ``slopes``: exit_date (distinct), slope. One row a week, carried to the decisions by an as-of join.
+    """
+    w = Window.partitionBy("_k").orderBy("exit_date").rowsBetween(-(window - 1), 0)
+    s = F.col("slope")
+    bounded = F.when(s.isNotNull(), F.greatest(F.lit(-cap), F.least(F.lit(cap), s)))
+    run = slopes.withColumn("_k", F.lit(0)).select("_k", "exit_date", F.count(s).over(w).alias("n"), F.avg(bounded).over(w).alias("mean"), F.avg((s > 0).cast("double")).over(w).alias("up"))
+    out = asof_join(decisions.select("decision_date").distinct().withColumn("_k", F.lit(0)), run, ["_k"], "decision_date", "exit_date", ["n", "mean", "up"])
+    enough = F.coalesce(F.col("n"), F.lit(0)) >= least
+    estimate = F.least(F.greatest(F.lit(0.0), F.col("mean")) * F.col("up"), F.lit(cap))
+    return out.select(
+        "decision_date", F.when(enough, estimate).otherwise(fallback).alias("expected"), F.coalesce("n", F.lit(0)).cast("long").alias("observations"),
+        F.when(enough, "causal_realized_labels").otherwise("fallback_warmup").alias("source"),
+    )
+
+
+# Weights of factor returns in the two baskets of the monthly state.
+DEFENSIVE = {"BETA": -0.40, "RESIDUAL_VOLATILITY": -0.40, "LIQUIDITY": -0.20}
+OFFENSIVE = {"EARNINGS_YIELD": 0.35, "GROWTH": 0.35, "MOMENTUM": 0.30}
+
+
+def monthly_factor_state(returns: DataFrame, lookback: int = 52, least: int = 26, blend: float = 0.7, base: float = 0.5, tilt: float = 0.2, low: float = 0.3, high: float = 0.7, step: float = 0.05) -> DataFrame:
+    """(month, offensive_weight, factor_signal, industry_signal, combined, observations) for every month from the first to the one after the last.
+
+    ``returns``: model_date, factor_name, factor_return, with industries as ``INDUSTRY:name``. A month uses
+    weeks strictly before it. Signals are windows over weeks; only the bounded step from month to month is a
+    fold, over one array with an element a month.
+    """
+    names = [r["factor_name"] for r in returns.where(~F.col("factor_name").startswith("INDUSTRY:")).select("factor_name").distinct().collect()]  # some dozens of factors
+
+    def basket(weights: dict[str, float]):
+        known = {k: v for k, v in weights.items() if k in names}
+        total = sum(abs(v) for v in known.values())
+        one = lambda k: F.coalesce(F.max(F.when(F.col("factor_name") == k, F.col("factor_return"))), F.lit(0.0))
+        return sum((one(k) * v for k, v in known.items()), F.lit(0.0)) / total if total else F.lit(None).cast("double")
+
+    weeks = returns.groupBy("model_date").agg((basket(OFFENSIVE) - basket(DEFENSIVE)).alias("d"))
+    order = Window.partitionBy(F.lit(0)).orderBy("model_date")  # a row a week
+    last = order.rowsBetween(-(lookback - 1), 0)
+    n, sd = F.count("*").over(last), F.stddev_samp("d").over(last)
+    scale = F.avg("d").over(last) / sd * F.sqrt(F.count("d").over(last))
+    weeks = weeks.select("model_date", F.row_number().over(order).alias("p"), n.alias("observations"), F.when(sd > 1e-8, F.tanh(scale)).otherwise(0.0).alias("factor_signal"))
+    industry = returns.where(F.col("factor_name").startswith("INDUSTRY:"))
+    grid = weeks.select("model_date", "p").crossJoin(F.broadcast(industry.select("factor_name").distinct()))  # weeks x industries, some thousands
+    grid = grid.join(industry, ["model_date", "factor_name"], "left")
+    own = Window.partitionBy("factor_name").orderBy("p")
+    up = lambda k: (F.coalesce(F.sum("factor_return").over(own.rowsBetween(-(k - 1), 0)), F.lit(0.0)) > 0).cast("double")
+    breadth = grid.select("p", up(4).alias("s"), up(12).alias("m")).groupBy("p").agg((0.5 * F.avg("s") + 0.5 * F.avg("m")).alias("breadth"))
+    bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("breadth") - 0.5) * 2))
+    weeks = weeks.join(breadth, "p", "left").withColumn("industry_signal", F.coalesce(bounded, F.lit(0.0)))
+    span = returns.agg(F.trunc(F.min("model_date"), "MM").alias("a"), F.add_months(F.trunc(F.max("model_date"), "MM"), 1).alias("b"))
+    months = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month")).withColumn("_k", F.lit(0))
+    known = asof_join(months, weeks.withColumn("_k", F.lit(0)), ["_k"], "month", "model_date", ["observations", "factor_signal", "industry_signal"], strict=True)
+    enough = F.coalesce(F.col("observations"), F.lit(0)) >= least
+    part = lambda c: F.when(enough, F.col(c)).otherwise(0.0)
+    known = known.select("month", F.coalesce("observations", F.lit(0)).cast("long").alias("observations"), part("factor_signal").alias("factor_signal"), part("industry_signal").alias("industry_signal"))
+    known = known.withColumn("combined", blend * F.col("factor_signal") + (1 - blend) * F.col("industry_signal"))
+    wanted = F.least(F.lit(high), F.greatest(F.lit(low), base + tilt * F.col("combined")))
+    rows = known.agg(F.array_sort(F.collect_list(F.struct("month", wanted.alias("wanted"), "factor_signal", "industry_signal", "combined", "observations"))).alias("rows"))
+    start = F.struct(F.lit(base).cast("double").alias("at"), F.lit([]).cast("array<double>").alias("path"))
+
+    def bounded_step(s, x):
+        now = F.greatest(s["at"] - step, F.least(s["at"] + step, x["wanted"]))
+        return F.struct(now.alias("at"), F.concat(s["path"], F.array(now)).alias("path"))
+
+    path = rows.select("rows", F.aggregate("rows", start, bounded_step, lambda s: s["path"]).alias("path"))
+    flat = path.select(F.explode(F.arrays_zip("rows", "path")).alias("z"))
+    return flat.select("z.rows.month", F.col("z.path").alias("offensive_weight"), "z.rows.factor_signal", "z.rows.industry_signal", "z.rows.combined", "z.rows.observations")
+
+
+def forces_alignment(current, target, band: float, mode: str):
+    """Strict alignment acts on any distance beyond the band."""
+    return F.abs(current - target) > band if mode == "strict" else F.lit(False)
+
+
+def unscheduled_rebalance(current, target, band: float, schedule: str):
+    """Daily schedules sell down what lies above the band."""
+    return current > target + band if schedule == "daily" else F.lit(False)
