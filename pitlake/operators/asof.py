@@ -33,14 +33,13 @@ def _row_type(df: DataFrame) -> str:
 
 
 def next_trading_day(events: DataFrame, available: str, calendar: DataFrame, day: str = "trade_date", name: str = "effective_date") -> DataFrame:
-    """Events with the first calendar day strictly after they became available."""
-    c = calendar.select(day).distinct()
-    following = c.withColumn("_next", F.lead(day).over(Window.orderBy(day)))
-    # Days of the calendar split time into spans; each event falls into one. The calendar is a few thousand rows.
-    first = c.agg(F.min(day)).first()[0]
-    spans = following.select(F.col(day).alias("_from"), "_next")
-    out = events.join(F.broadcast(spans), (F.col(available) >= F.col("_from")) & (F.col("_next").isNull() | (F.col(available) < F.col("_next"))), "left")
-    return out.withColumn(name, F.when(F.col(available) < F.lit(first), F.lit(first)).otherwise(F.col("_next"))).drop("_from", "_next")
+    """Events with the first calendar day strictly after they became available; null after the last."""
+    days = Window.orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    known = events.select(F.to_date(available).alias("_d")).where("_d is not null").distinct().withColumn("_day", F.lit(None).cast("date"))
+    # One row a day on both sides: the calendar's day, or that of an event, carried back to the days before.
+    stacked = calendar.select(F.col(day).cast("date").alias("_d")).distinct().withColumn("_day", F.col("_d")).union(known).groupBy("_d").agg(F.max("_day").alias("_day"))
+    following = stacked.select("_d", F.min("_day").over(days).alias(name))
+    return events.withColumn("_d", F.to_date(available)).join(following, "_d", "left").drop("_d")
 
 
 def newest_period_asof(dates: DataFrame, events: DataFrame, by: list[str], date: str, effective: str, period: str, values: list[str]) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.operators.asof import asof_join
+
 MARKET = "MARKET"
 
 
@@ -180,8 +182,9 @@ def expanding_calibration(observations: DataFrame, as_of: DataFrame, least: int)
     r, p = F.col("realized_weekly_return"), F.col("predicted_weekly_variance")
     run = observations.select("portfolio_name", "realized_date", F.sum(r * r).over(w).alias("rr"), F.sum(r).over(w).alias("r"), F.count("*").over(w).alias("n"), F.sum(p).over(w).alias("p"))
     run = run.dropDuplicates(["portfolio_name", "realized_date"])
-    best = run.join(F.broadcast(as_of.select("as_of_date").distinct()), F.col("realized_date") <= F.col("as_of_date"))  # a schedule of dates
-    last = best.groupBy("as_of_date", "portfolio_name").agg(F.max_by(F.struct("rr", "r", "n", "p"), "realized_date").alias("s"))
+    grid = as_of.select("as_of_date").distinct().crossJoin(F.broadcast(run.select("portfolio_name").distinct()))  # dates x portfolios of a schedule
+    last = asof_join(grid, run, ["portfolio_name"], "as_of_date", "realized_date", ["n", "rr", "r", "p"]).where("n is not null")
+    last = last.select("as_of_date", "portfolio_name", F.struct("rr", "r", "n", "p").alias("s"))
     total = last.groupBy("as_of_date").agg(F.sum(F.col("s.rr") - F.col("s.r") * F.col("s.r") / F.col("s.n")).alias("_rr"), F.sum("s.n").alias("_n"), F.sum("s.p").alias("_p"), F.max("s.n").alias("forecast_weeks"))
     ratio = F.sqrt(F.try_divide(F.col("_rr") / F.col("_n"), F.col("_p") / F.col("_n")))
     return total.select("as_of_date", F.when(F.col("forecast_weeks") >= least, ratio).otherwise(1.0).alias("multiplier"), "forecast_weeks")

@@ -48,14 +48,14 @@ def matured_ic_weights(ics: DataFrame, decisions: DataFrame, static: dict[str, f
     Strength is mean IC times the share of positive ones over their deviation; the learned weights are
     blended with the static ones, capped and normalised again. Too few matured ICs: the static weights.
     """
-    matured = ics.join(F.broadcast(decisions.select("decision_date").distinct()), F.col("exit_date") <= F.col("decision_date"))  # a schedule of dates
-    last = Window.partitionBy("decision_date", "component").orderBy(F.desc("exit_date"), F.desc("entry_date"))
-    rows = matured.withColumn("_k", F.row_number().over(last)).where(F.col("_k") <= window)
-    s = rows.groupBy("decision_date", "component").agg(F.avg("ic").alias("m"), F.avg((F.col("ic") > 0).cast("double")).alias("up"), F.stddev_samp("ic").alias("sd"), F.count("*").alias("n"))
-    strength = F.greatest(F.lit(0.0), F.col("m")) * F.col("up") / F.greatest(F.coalesce("sd", F.lit(floor)), F.lit(floor))
+    last = Window.partitionBy("component").orderBy("exit_date", "entry_date").rowsBetween(-(window - 1), 0)
+    stats = F.struct(F.avg("ic").over(last).alias("m"), F.avg((F.col("ic") > 0).cast("double")).over(last).alias("up"), F.stddev_samp("ic").over(last).alias("sd"), F.count("*").over(last).alias("n"))
+    run = ics.select("component", "exit_date", "entry_date", stats.alias("_v")).groupBy("component", "exit_date").agg(F.max_by("_v", "entry_date").alias("_v")).select("component", "exit_date", "_v.*")
     fixed = F.create_map(*[F.lit(x) for kv in static.items() for x in kv])
     grid = decisions.select("decision_date").distinct().select("decision_date", F.explode(fixed).alias("component", "static"))
-    out = grid.join(s.withColumn("_s", F.when(F.col("n") >= least, strength)), ["decision_date", "component"], "left")
+    found = asof_join(grid, run, ["component"], "decision_date", "exit_date", ["n", "m", "up", "sd"])
+    strength = F.greatest(F.lit(0.0), F.col("m")) * F.col("up") / F.greatest(F.coalesce("sd", F.lit(floor)), F.lit(floor))
+    out = found.withColumn("_s", F.when(F.col("n") >= least, strength))
     w = Window.partitionBy("decision_date")
     total = F.sum("_s").over(w)
     mixed = F.when(total > 0, (1 - blend) * F.col("static") + blend * F.coalesce("_s", F.lit(0.0)) / total).otherwise(F.col("static"))

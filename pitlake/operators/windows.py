@@ -30,16 +30,10 @@ def drawdown(c: Column, w: WindowSpec) -> Column:
     return c / F.max(c).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
 
 
-def trailing_drawdown(c: Column, w: WindowSpec, n: int, least: int) -> Column:
-    """Worst fall from the peak within the last n values; the peak starts anew in each frame."""
-    values = F.collect_list(c).over(w.rowsBetween(-(n - 1), 0))
-    state = F.struct(F.lit(float("-inf")).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(s: Column, x: Column) -> Column:
-        peak = F.greatest(s["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(s["worst"], x / peak - 1).alias("worst"))
-
-    return F.when(F.size(values) >= least, F.aggregate(values, state, step, lambda s: s["worst"]))
+def last_drawdown(panel: DataFrame, value: str, n: int, least: int, name: str, by: str = "code", order: str = "trade_date") -> DataFrame:
+    """(by, name): worst fall from the peak within each entity's last n values: those rows alone, a running maximum and a minimum."""
+    rows = tail(panel, n, by, order, not_null=value).withColumn("_fall", drawdown(F.col(value), series(by, order=order)))
+    return rows.groupBy(by).agg(F.count("*").alias("_n"), F.min("_fall").alias(name)).where(F.col("_n") >= least).drop("_n")
 
 
 def rolling_beta(r: Column, market: Column, w: WindowSpec, n: int, least: int) -> Column:
@@ -131,3 +125,18 @@ def hac_t(df: DataFrame, value: str, by: list[str], order: str, lags: int) -> Da
         gamma = gamma + 2 * (1 - k / (lags + 1)) * F.coalesce(F.sum(f"_l{k}"), F.lit(0.0)) / n
     out = rows.groupBy(*by).agg(n.alias("n"), F.avg(value).alias("mean"), gamma.alias("_v"))
     return out.select(*by, "n", "mean", F.when((F.col("n") >= 4) & (F.col("_v") > 0), F.col("mean") / F.sqrt(F.col("_v") / F.col("n"))).alias("t"))
+
+
+def with_global_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Column ``name``: rank over the whole table with ties at their mean, without one task for all of it.
+
+    Counts of distinct values are dealt by 64 ranges between approximate quantiles; ranks are running counts
+    within a range plus the sums of the ranges before it, so they are exact wherever the edges lie.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
+    edges = counts.select(F.percentile_approx("_value", F.array(*[F.lit(i / 64) for i in range(1, 64)])).alias("_edges"))
+    cut = counts.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_value")))).drop("_edges")  # one row
+    before = cut.groupBy("_part").agg(F.sum("_n").alias("_all")).withColumn("_base", F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).drop("_all")  # 64 rows
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_value"))
+    ranks = cut.join(F.broadcast(before), "_part").select("_value", (F.col("_base") + upto - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")

@@ -85,10 +85,7 @@ b AS (SELECT code, trade_date, close, row_number() OVER (PARTITION BY code ORDER
 t AS (SELECT code, trade_date, close / max(close) OVER (PARTITION BY code ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM b WHERE k <= 120)
 SELECT code, round(min(dd), 6) AS drawdown_120 FROM t GROUP BY code HAVING count(*) >= 20""")
 def trailing_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel(spark, sf_dir).where("close is not null")
-    at = p.withColumn("drawdown_120", W.trailing_drawdown(F.col("close"), W.series("code"), 120, 20))
-    last = asof.latest_per_group(at, ["code"], [F.desc("trade_date")])
-    return rounded(last.where("drawdown_120 is not null").select("code", "drawdown_120"))
+    return rounded(W.last_drawdown(panel(spark, sf_dir), "close", 120, 20, "drawdown_120"))
 
 
 @query(f"""WITH {PANEL},
@@ -547,21 +544,47 @@ def _weekly_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 STYLES = ["momentum", "volatility", "size"]
 
 
+def _factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = crosssection.style_exposures(_weekly_cross_section(spark, sf_dir), "cap", STYLES, ["model_date"], "industry_group")
+    return risk.factor_returns(x, risk.RegressionSpec(tuple(STYLES)))
+
+
 @query()
 def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = crosssection.style_exposures(_weekly_cross_section(spark, sf_dir), "cap", STYLES, ["model_date"], "industry_group")
-    return rounded(risk.factor_returns(x, risk.RegressionSpec(tuple(STYLES))), 8)
+    return rounded(_factor_returns(spark, sf_dir), 8)
 
 
 @query()
 def factor_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = factor_returns(spark, sf_dir)
+    f = _factor_returns(spark, sf_dir)
     weeks = W.week_ends(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")))
     ends = weeks.groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date"))
     return rounded(risk.factor_covariance(f, weeks, ends, 156, 26, 52, 4), 8)
 
 
-@query()
+WEEKLY_X = f"""{PANEL},
+pw AS (SELECT *, close / lag(close, 20) OVER w - 1 AS mo, CASE WHEN count(daily_return) OVER l >= 20 THEN stddev_samp(daily_return) OVER l END AS vo FROM panel
+       WINDOW w AS (PARTITION BY code ORDER BY trade_date), l AS (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING)),
+kw AS (SELECT *, CAST(date_trunc('week', trade_date + INTERVAL 2 DAY) - INTERVAL 2 DAY AS DATE) AS week FROM pw),
+ew AS (SELECT week, max(trade_date) AS model_date FROM kw GROUP BY 1),
+gw AS (SELECT week, code, sum(amount) AS cap, avg(mo) AS momentum, avg(vo) AS volatility, avg(volume) AS size, avg(daily_return) AS r FROM kw GROUP BY 1, 2),
+xs AS (SELECT model_date, g.*, lead(r) OVER (PARTITION BY code ORDER BY week) AS forward_return, 'R' || n_regionkey AS industry_group FROM gw g JOIN ew USING (week) JOIN supplier ON s_suppkey = code JOIN nation ON n_nationkey = s_nationkey)"""
+_SIDES = " UNION ALL ".join(
+    f"SELECT model_date, code, '{s}_' || side AS portfolio_name, 1.0 / count(*) OVER (PARTITION BY model_date, side) AS weight FROM (SELECT model_date, code, CASE WHEN k / n <= 0.2 THEN 'LOW' WHEN k / n > 0.8 THEN 'HIGH' END AS side FROM "
+    f"(SELECT model_date, code, row_number() OVER (PARTITION BY model_date ORDER BY {s}, code) AS k, CAST(count(*) OVER (PARTITION BY model_date) AS DOUBLE) AS n FROM ok)) WHERE side IS NOT NULL"
+    for s in STYLES
+)
+_ICS = " UNION ALL ".join(
+    f"SELECT model_date, '{s}' AS component, corr(a, b) AS ic FROM (SELECT model_date, rank() OVER (PARTITION BY model_date ORDER BY {s}) + (count(*) OVER (PARTITION BY model_date, {s}) - 1) / 2.0 AS a, "
+    f"rank() OVER (PARTITION BY model_date ORDER BY forward_return) + (count(*) OVER (PARTITION BY model_date, forward_return) - 1) / 2.0 AS b FROM xs WHERE {s} IS NOT NULL AND forward_return IS NOT NULL) GROUP BY 1 HAVING count(*) >= 40"
+    for s in STYLES
+)
+
+
+@query(f"""WITH {WEEKLY_X}, ok AS (SELECT * FROM xs WHERE cap IS NOT NULL AND momentum IS NOT NULL AND volatility IS NOT NULL AND size IS NOT NULL AND r IS NOT NULL AND forward_return IS NOT NULL),
+p AS (SELECT model_date, code, 'MARKET_EW' AS portfolio_name, 1.0 / count(*) OVER (PARTITION BY model_date) AS weight FROM ok UNION ALL SELECT model_date, code, 'MARKET_CAP', cap / sum(cap) OVER (PARTITION BY model_date) FROM ok
+  UNION ALL {_SIDES} UNION ALL SELECT model_date, code, 'INDUSTRY_' || industry_group, 1.0 / n FROM (SELECT *, count(*) OVER (PARTITION BY model_date, industry_group) AS n FROM ok) WHERE n >= 15)
+SELECT model_date, portfolio_name, code, round(weight, 6) AS weight FROM p""")
 def risk_test_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.test_portfolios(_weekly_cross_section(spark, sf_dir).dropna(), STYLES, least_group=15))
 
@@ -572,12 +595,16 @@ def partial_slope_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.ablation_ladder(x, "momentum", [("raw", []), ("volatility", ["volatility"]), ("size", ["size"])], least=40), 5)
 
 
-@query()
+@query(f"""WITH {WEEKLY_X}, c AS ({_ICS}), r AS (SELECT component, model_date + 7 AS e, count(*) OVER w AS n, avg(ic) OVER w AS m, avg(CAST(ic > 0 AS INTEGER)) OVER w AS up, stddev_samp(ic) OVER w AS sd FROM c WINDOW w AS (PARTITION BY component ORDER BY model_date ROWS 77 PRECEDING)),
+g AS (SELECT d, component FROM (SELECT max(model_date) AS d FROM xs GROUP BY date_trunc('month', model_date)) CROSS JOIN (SELECT unnest([{', '.join(f"'{s}'" for s in STYLES)}]) AS component)),
+j AS (SELECT g.d, g.component, CASE WHEN n >= 16 THEN greatest(0, m) * up / greatest(coalesce(sd, 0.02), 0.02) END AS s FROM g ASOF LEFT JOIN r ON g.component = r.component AND g.d >= r.e),
+w AS (SELECT d, component, least(CASE WHEN sum(s) OVER (PARTITION BY d) > 0 THEN 0.3 / 3 + 0.7 * coalesce(s, 0) / sum(s) OVER (PARTITION BY d) ELSE 1.0 / 3 END, 0.35) AS w FROM j)
+SELECT d AS decision_date, component, round(w / sum(w) OVER (PARTITION BY d), 5) AS weight FROM w""")
 def matured_ic_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _weekly_cross_section(spark, sf_dir)
     ics = scoring.component_ics(x, STYLES, "forward_return", "model_date").select(F.col("model_date").alias("entry_date"), F.date_add("model_date", 7).alias("exit_date"), "component", "ic")
     months = x.groupBy(F.trunc("model_date", "MM").alias("m")).agg(F.max("model_date").alias("decision_date"))
-    return rounded(scoring.matured_ic_weights(ics, months, {s: 1 / 3 for s in STYLES}))
+    return rounded(scoring.matured_ic_weights(ics, months, {s: 1 / 3 for s in STYLES}), 5)
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -594,7 +621,6 @@ def target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_targets(spark, sf_dir), 8)
 
 
-@query()
 def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = panel(spark, sf_dir).withColumn("code", F.lpad(F.col("code").cast("string"), 6, "0"))
     w = W.series("code")
@@ -631,11 +657,11 @@ def stock_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.stock_contributions(w.drop("portfolio"), x, cov, own), 9)
 
 
-@query("""WITH k AS (SELECT s_suppkey AS code, CASE WHEN s_suppkey % 3 <> 0 THEN abs(s_acctbal) END AS v FROM supplier), h AS (SELECT quantile_cont(v, 0.9) AS high FROM k)
+@query("""WITH k AS (SELECT s_suppkey AS code, CASE WHEN s_acctbal > 0 THEN abs(s_acctbal) END AS v FROM supplier), h AS (SELECT quantile_cont(v, 0.9) AS high FROM k)
 SELECT code, round(coalesce(v, high), 6) AS specific_variance, CASE WHEN v IS NULL THEN 'completed' ELSE 'model' END AS exposure_source FROM k, h""")
 def completed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.abs("s_acctbal").alias("specific_variance"))
-    return rounded(risk.complete_specific(s.select("code"), s.where("code % 3 <> 0")))
+    return rounded(risk.complete_specific(s.select("code"), table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("code"), F.abs("s_acctbal").alias("specific_variance"))))
 
 
 def _nation_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -664,12 +690,12 @@ def monthly_frozen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.monthly_frozen(d, "d", "v")
 
 
-@query("""WITH t AS (SELECT c_custkey AS code, abs(c_acctbal) / 1e4 AS weight FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS code, abs(c_acctbal) / 1.02e4 AS weight FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH t AS (SELECT c_custkey AS code, abs(c_acctbal) / 1e4 AS weight FROM customer WHERE c_acctbal > -500), n AS (SELECT c_custkey AS code, abs(c_acctbal) / 1.02e4 AS weight FROM customer WHERE c_acctbal < 9000)
 SELECT code, round(CASE WHEN abs(coalesce(t.weight, 0) - coalesce(n.weight, 0)) < 0.01 THEN coalesce(n.weight, 0) ELSE coalesce(t.weight, 0) END, 8) AS weight FROM t FULL JOIN n USING (code)""")
 def no_trade_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    own = lambda m, scale: c.where(F.col("c_custkey") % m == 0).select(F.col("c_custkey").alias("code"), (F.abs("c_acctbal") / scale).alias("weight"))
-    return rounded(portfolio.keep_within_band(own(2, 1e4), own(3, 1.02e4), ["code"], 0.01), 8)
+    own = lambda rows, scale: rows.select(F.col("c_custkey").alias("code"), (F.abs("c_acctbal") / scale).alias("weight"))
+    return rounded(portfolio.keep_within_band(own(c.where("c_acctbal > -500"), 1e4), own(c.where("c_acctbal < 9000"), 1.02e4), ["code"], 0.01), 8)
 
 
 @query("""WITH m AS (SELECT CASE WHEN c_nationkey % 10 = 0 THEN 'UNKNOWN' ELSE 'N' || c_nationkey END AS industry_group, sum(abs(c_acctbal)) AS v FROM customer GROUP BY 1)
@@ -720,8 +746,6 @@ f AS (SELECT p.code, p.trade_date, p.close, p.daily_return, anchor FROM panel p
 s AS (SELECT *, CASE WHEN anchor IS NULL AND row_number() OVER w = 1 THEN 0 ELSE ln(1 + coalesce(daily_return, 0)) END AS step, first_value(close) OVER w AS f0 FROM f WINDOW w AS (PARTITION BY code ORDER BY trade_date))
 SELECT code, trade_date, round(ln(coalesce(anchor, f0)) + sum(step) OVER (PARTITION BY code ORDER BY trade_date), 6) AS log_adj_close FROM s""")
 def chained_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-
-
     p = panel(spark, sf_dir)
     old = p.where("trade_date < date'2000-01-01'").select("code", "trade_date", F.col("close").alias("adj_close"))
     new = p.where("trade_date >= date'2000-01-01'").select("code", "trade_date", "close", "daily_return")

@@ -83,5 +83,13 @@ def first_positive_cap(raw: DataFrame, columns: list[str], unit: float = 1.0) ->
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a byte-order mark, for spreadsheets."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """A small result as one CSV file whose first header begins with a byte-order mark, for spreadsheets; other headers as they are."""
+    first, *others = df.columns
+    marked = df.select(F.col(first).alias("\ufeff" + first), *others)
+    marked.coalesce(1).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small result as JSON lines; NaN and infinities become null, and null fields are written."""
+    cleaned = df.select(*[C.finite(F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in df.dtypes])
+    cleaned.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
