@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("secret_scan", secrets), ("packing", packed)]
 
-#: SQL can express neither the language model nor the tokenizer: tests compare stages with brute force.
+#: SQL can express neither the language model nor the tokenizer; tests/llm/test_pipeline.py compares the stages with plain Python.
 ORACLE_SQL = None
 
 
