@@ -203,3 +203,22 @@ def test_matured_weights_use_no_later_label(spark):
     d = spark.createDataFrame([(D(2024, 2, 1),), (D(2024, 8, 1),)], "decision_date date")
     got = {(r.decision_date.month, r.component): r.weight for r in scoring.matured_ic_weights(rows, d, {"a": 0.5, "b": 0.5}, cap=0.8).collect()}
     assert got[(2, "a")] == got[(2, "b")] == 0.5 and got[(8, "a")] > 0.7
+
+
+def test_robust_regression_makes_two_fits_around_the_median():
+    rng = np.random.default_rng(2)
+    x = np.column_stack([np.ones(60), rng.normal(size=60)])
+    y = x @ np.array([0.3, -1.2]) + 0.1 * rng.normal(size=60)
+    y[:6] += 8.0  # outliers on one side, so the median residual is not 0
+    w = rng.uniform(0.5, 2.0, 60)
+
+    def fit(own):
+        a = x.T @ (x * own[:, None])
+        return np.linalg.solve(a, x.T @ (own * y))
+
+    r = y - x @ fit(w)
+    z = np.abs(r - np.median(r)) / (1.4826 * np.median(np.abs(r - np.median(r))))
+    want = fit(w * np.where(z > 2.5, 2.5 / z, 1.0))
+    got = risk.robust_least_squares(x, y, w, 2.5, 2)
+    assert np.allclose(got, want) and not np.allclose(got, fit(w))
+    assert np.allclose(risk.robust_least_squares(x, x @ np.array([1.0, 2.0]), w, 2.5, 2), [1.0, 2.0])

@@ -91,3 +91,15 @@ def test_gap_estimator_keeps_state(spark, tmp_path):
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("gaps").collect()) == [1, 2, 3]
     assert spark.table("gaps").where("n = 3").agg(F.max("mid_gap")).first()[0] == pytest.approx(0.1)
+
+
+def test_reports_carry_the_mark_and_json_nulls(spark, tmp_path):
+    from pitlake.sources import panels
+
+    df = spark.createDataFrame([("a", float("nan"), 1.0), ("b", 2.0, None)], "k string, x double, y double")
+    panels.write_report(df, f"{tmp_path}/csv")
+    raw = next((tmp_path / "csv").glob("part-*.csv")).read_bytes()
+    assert raw.startswith(b"\xef\xbb\xbfk,x,y")
+    panels.write_json(df, f"{tmp_path}/json")
+    rows = next((tmp_path / "json").glob("part-*.json")).read_text().splitlines()
+    assert rows == ['{"k":"a","x":null,"y":1.0}', '{"k":"b","x":2.0,"y":null}']
