@@ -102,9 +102,7 @@ def control_audit(panel: DataFrame, controls: list[str], era: str = "era") -> Da
 
 def collinear_controls(panel: DataFrame, controls: list[str], bar: float = 0.98, least: int = 50) -> DataFrame:
     """(a, b, rho): pairs of controls whose ranks nearly coincide over the panel."""
-    ranked = panel
-    for c in controls:
-        ranked = W.with_global_average_rank(ranked, c, f"_{c}")
+    ranked = W.with_global_average_ranks(panel.select(*controls), {c: f"_{c}" for c in controls})
     pairs = [(a, b) for i, a in enumerate(controls) for b in controls[i + 1 :]]
     wide = ranked.agg(*[x for a, b in pairs for x in (F.corr(f"_{a}", f"_{b}").alias(f"{a}|{b}"), F.count(F.col(f"_{a}") + F.col(f"_{b}")).alias(f"{a}|{b}|n"))])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho"), F.col(f"`{a}|{b}|n`").alias("n")) for a, b in pairs])

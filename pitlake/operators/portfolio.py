@@ -158,6 +158,66 @@ def lots(targets: DataFrame, value: float) -> DataFrame:
     return rows.groupBy("decision_date").applyInPandas(run, "decision_date date, code string, shares long")
 
 
+def satellite_allocation(desired: np.ndarray, raw: np.ndarray, leader: np.ndarray, group: np.ndarray, fraction: float, total: float, stock_cap: np.ndarray | float, group_cap: np.ndarray | float) -> np.ndarray:
+    """The wanted weights with a fraction (half at most) allocated among names of the leading groups alone, both under the caps."""
+    fraction = min(max(fraction, 0.0), 0.5)
+    side = np.where(leader, np.maximum(np.nan_to_num(raw), 0.0), 0.0)
+    if not len(desired) or fraction <= 0 or side.sum() <= 0:
+        return desired
+    own = cap_and_redistribute(side, group, total, stock_cap, group_cap)
+    return cap_and_redistribute((1 - fraction) * desired + fraction * own, group, total, stock_cap, group_cap)
+
+
+def satellite_weights(targets: DataFrame, total: float, stock_cap: float, group_cap: float) -> DataFrame:
+    """(decision_date, code, weight) from targets (decision_date, code, weight, raw, leader, satellite_weight, industry_group); the greatest satellite weight of a date counts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        df = pdf.sort_values("code")
+        fraction = df["satellite_weight"].max()
+        w = satellite_allocation(df["weight"].to_numpy(float), df["raw"].to_numpy(float), df["leader"].fillna(False).to_numpy(bool), df["industry_group"].fillna("UNKNOWN").to_numpy(), 0.0 if pd.isna(fraction) else float(fraction), total, stock_cap, group_cap)
+        return pd.DataFrame({"decision_date": df["decision_date"], "code": df["code"], "weight": w})
+
+    rows = targets.select("decision_date", F.col("code").cast("string"), "weight", "raw", "leader", "satellite_weight", "industry_group")
+    return rows.groupBy("decision_date").applyInPandas(run, f"decision_date {dict(targets.dtypes)['decision_date']}, code string, weight double")
+
+
+def lot_aware_selection(candidates: DataFrame, value: float, spec: Construction = Construction(), least_holdings: int = 5, slippage_bps: float = 0.0) -> DataFrame:
+    """(decision_date, code, pick, minimum_weight): names whose smallest legal order fits the account.
+
+    ``candidates``: decision_date, code, rank, held, close, min_lot, industry_group. Held names within the sell rank
+    come first, then those within the buy rank, then the rest. A smallest order above the budget of
+    ``least_holdings`` equal parts is left out. How many can be afforded sets how many a group may have; both
+    a group's smallest orders and all together stay within their money. What only filters, orders and counts
+    is windows; the greedy pass over a date's names is a grouped function, as each step hangs on the ones before.
+    """
+    budget = max(0.0, value * spec.equity)
+    count = F.least(F.lit(spec.count), F.count("*").over(Window.partitionBy("decision_date")))
+    place = F.when(F.coalesce("held", F.lit(False)) & (F.col("rank") <= spec.sell_rank), 0).when(F.col("rank") <= spec.buy_rank, 1).otherwise(2)
+    rows = candidates.withColumns({"_count": count, "_place": place, "_lot": F.col("min_lot") * F.col("close") * (1 + slippage_bps / 1e4)}).where(F.col("close") > 0)
+    rows = rows.where(F.col("_lot") <= budget / F.least(F.col("_count"), F.lit(max(1, least_holdings))) + 1e-8)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        df = pdf.sort_values(["_place", "rank", "code"])
+        lot, group = df["_lot"].to_numpy(float), df["industry_group"].fillna("UNKNOWN").to_numpy()
+        most, afforded, reserved = int(df["_count"].iloc[0]), 0, 0.0
+        for x in lot:
+            if afforded < most and reserved + x <= budget + 1e-8:
+                afforded, reserved = afforded + 1, reserved + x
+        per_group = max(1, math.ceil(afforded * spec.group_cap / max(spec.equity, 1e-8) - 1e-9)) if spec.group_cap > 0 else 0
+        chosen, names, money, reserved = [], {}, {}, 0.0
+        for i, (x, g) in enumerate(zip(lot, group)):
+            if len(chosen) >= afforded:
+                break
+            if names.get(g, 0) < per_group and reserved + x <= budget + 1e-8 and money.get(g, 0.0) + x <= value * spec.group_cap + 1e-8:
+                chosen.append(i)
+                names[g], money[g], reserved = names.get(g, 0) + 1, money.get(g, 0.0) + x, reserved + x
+        return pd.DataFrame({"decision_date": df["decision_date"].iloc[chosen], "code": df["code"].iloc[chosen], "pick": range(1, len(chosen) + 1), "minimum_weight": lot[chosen] / value})
+
+    kind = dict(candidates.dtypes)["decision_date"]
+    rows = rows.select("decision_date", F.col("code").cast("string"), "rank", "industry_group", "_count", "_place", "_lot")
+    return rows.groupBy("decision_date").applyInPandas(run, f"decision_date {kind}, code string, pick long, minimum_weight double")
+
+
 def keep_within_band(target: DataFrame, current: DataFrame, by: list[str], band: float) -> DataFrame:
     """Current weights where the target is within the band, the target elsewhere."""
     both = target.join(current.withColumnRenamed("weight", "_now"), by, "full")

@@ -137,6 +137,24 @@ def specific_variance(specific: DataFrame, groups: DataFrame, as_of, half_life:
     return own.select("code", "industry_group", ((1 - shrink) * F.col("_v") + shrink * mid).alias("specific_variance"))
 
 
+def specific_variance_by_date(specific: DataFrame, groups: DataFrame, half_life: float, least: int = 20, shrink: float = 0.2, periods: int = 52) -> DataFrame:
+    """(model_date, code, industry_group, specific_variance) of every date on which a code has a return.
+
+    Weights that halve with age are a common factor times weights that double with the row number, so running
+    sums serve all dates at once: a row costs the same for any history.
+    """
+    by = Window.partitionBy("code").orderBy("model_date")
+    x = F.col("value")
+    rows = specific.where(x.isNotNull()).withColumn("_n", F.row_number().over(by)).withColumn("_w", F.pow(F.lit(2.0), F.col("_n") / half_life))
+    past = by.rowsBetween(Window.unboundedPreceding, 0)
+    w = F.col("_w")
+    rows = rows.select("model_date", "code", "_n", F.sum(w).over(past).alias("_s"), F.sum(w * x).over(past).alias("_x"), F.sum(w * x * x).over(past).alias("_xx"))
+    own = rows.where(F.col("_n") >= least).withColumn("_v", (F.col("_xx") / F.col("_s") - F.pow(F.col("_x") / F.col("_s"), 2)) * periods)
+    own = own.join(groups, ["model_date", "code"])
+    mid = F.median("_v").over(Window.partitionBy("model_date", "industry_group"))
+    return own.select("model_date", "code", "industry_group", ((1 - shrink) * F.col("_v") + shrink * mid).alias("specific_variance"))
+
+
 def long_exposures(exposures: DataFrame, styles: list[str]) -> DataFrame:
     """(code, factor, value): the market, each style, and one for the code's group."""
     styled = exposures.select("code", F.explode(F.map_from_arrays(F.array(*map(F.lit, styles)), F.array(*styles))).alias("factor", "value"))

@@ -127,16 +127,22 @@ def hac_t(df: DataFrame, value: str, by: list[str], order: str, lags: int) -> Da
     return out.select(*by, "n", "mean", F.when((F.col("n") >= 4) & (F.col("_v") > 0), F.col("mean") / F.sqrt(F.col("_v") / F.col("n"))).alias("t"))
 
 
-def with_global_average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Column ``name``: rank over the whole table with ties at their mean, without one task for all of it.
+def with_global_average_ranks(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns named by ``names`` (value -> name): rank over the whole table with ties at their mean, without one task for all of it.
 
     Counts of distinct values are dealt by 64 ranges between approximate quantiles; ranks are running counts
     within a range plus the sums of the ranges before it, so they are exact wherever the edges lie.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    edges = counts.select(F.percentile_approx("_value", F.array(*[F.lit(i / 64) for i in range(1, 64)])).alias("_edges"))
-    cut = counts.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_value")))).drop("_edges")  # one row
+    out = df
+    for value, name in names.items():  # each from the rows given, not from those that have the ranks before it
+        out = out.join(_value_ranks(df, value, name), F.col(value) == F.col("_ranked_value"), "left").drop("_ranked_value")
+    return out
+
+
+def _value_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_ranked_value")).agg(F.count("*").alias("_n"))
+    edges = counts.select(F.percentile_approx("_ranked_value", F.array(*[F.lit(i / 64) for i in range(1, 64)])).alias("_edges"))
+    cut = counts.crossJoin(F.broadcast(edges)).withColumn("_part", F.size(F.filter("_edges", lambda e: e < F.col("_ranked_value")))).drop("_edges")  # one row
     before = cut.groupBy("_part").agg(F.sum("_n").alias("_all")).withColumn("_base", F.sum("_all").over(Window.orderBy("_part")) - F.col("_all")).drop("_all")  # 64 rows
-    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_value"))
-    ranks = cut.join(F.broadcast(before), "_part").select("_value", (F.col("_base") + upto - (F.col("_n") - 1) / 2.0).alias(name))
-    return df.join(ranks, F.col(value) == F.col("_value"), "left").drop("_value")
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_ranked_value"))
+    return cut.join(F.broadcast(before), "_part").select("_ranked_value", (F.col("_base") + upto - (F.col("_n") - 1) / 2.0).alias(name))
