@@ -16,6 +16,7 @@ from .packing import pack
 from .quality import score_quality
 from .repeats import remove_repeats
 from .secret_scan import secret_scan
+from .sharding import shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +63,15 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op9_lm_score, op10_repeats, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op9_lm_score, op10_repeats, op12_sharding, op13_lexical_search)}
 ORACLES: dict[str, str] = {
     "op3_decontaminate": r"""
 WITH w AS (
@@ -108,6 +113,20 @@ o AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS las
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(kept, lambda x: h[2 * x.a + 1:2 * x.b]), '') || h[2 * last + 1:]) END) AS kept_sha256
 FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+""",
+    "op12_sharding": r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+b AS (SELECT doc_id, x, list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM d),
+r AS (
+  SELECT doc_id, CAST(strlen(x) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1])), 4294967295) AS text_crc32,
+         CAST('0x' || md5(x)[1:15] AS BIGINT) AS key
+  FROM b, crc),
+s AS (SELECT *, CAST(sum(size) OVER w AS BIGINT) - size AS start, row_number() OVER w - 1 AS place, CAST(sum(size) OVER () AS BIGINT) AS total FROM r WINDOW w AS (ORDER BY key, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, min(start) OVER (PARTITION BY key) AS group_start, CAST(sum(size) OVER (PARTITION BY key) AS BIGINT) AS group_size FROM s),
+p AS (SELECT *, CAST(8 * CASE WHEN group_size * 160 <= total THEN 2 * group_start + group_size ELSE 2 * start + size END // (2 * total) AS INTEGER) AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(place - min(place) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
 """,
     "op13_lexical_search": r"""
 WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
