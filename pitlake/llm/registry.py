@@ -17,6 +17,7 @@ from .quality import score_quality
 from .repeats import remove_repeats
 from .secret_scan import secret_scan
 from .sharding import shard
+from .spelling import spelling_groups
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +64,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op9_lm_score, op10_repeats, op12_sharding, op13_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_decontaminate, op4_neighbours, op5_quality, op6_near_dedup, op7_packing, op8_language_id, op9_lm_score, op10_repeats, op11_spelling, op12_sharding, op13_lexical_search)}
 ORACLES: dict[str, str] = {
     "op3_decontaminate": r"""
 WITH w AS (
@@ -113,6 +118,26 @@ o AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS las
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
        sha256(CASE WHEN n_spans IS NULL THEN unhex(h) ELSE unhex(array_to_string(list_transform(kept, lambda x: h[2 * x.a + 1:2 * x.b]), '') || h[2 * last + 1:]) END) AS kept_sha256
 FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+""",
+    "op11_spelling": r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+runs AS (SELECT doc_id, r, count(*) AS k FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents) WHERE length(r) >= 5 GROUP BY ALL),
+b AS (SELECT r, k, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || r)), '..'), lambda h: CAST(16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1 AS BIGINT)) AS bytes FROM runs),
+h AS (SELECT r, k, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1])), 4294967295) AS h FROM b, crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 97 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, k FROM h) WHERE length(word) >= 5 GROUP BY 1 HAVING sum(k) >= 3),
+del AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+one AS (
+  SELECT DISTINCT a.word, a.n, x.word AS near, x.n AS m FROM del a JOIN v x ON a.d = x.word
+  UNION ALL SELECT DISTINCT x.word, x.n, a.word, a.n FROM del a JOIN v x ON a.d = x.word
+  UNION ALL SELECT DISTINCT a.word, a.n, c.word, c.n FROM del a JOIN del c ON a.d = c.d AND a.i = c.i AND a.word <> c.word),
+near AS (SELECT word, count(*) AS n_near, first(near ORDER BY m DESC, encode(near)) AS best, max(m) AS m FROM one GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN best END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN near ON near.word = v.word),
+up AS (WITH RECURSIVE r(word, up_to) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.up_to WHERE f.form IS NOT NULL)
+  SELECT r.word, r.up_to AS root FROM r JOIN f ON f.word = r.up_to WHERE f.form IS NULL)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN up ON up.word = f.word
 """,
     "op12_sharding": r"""
 WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (
