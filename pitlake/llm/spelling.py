@@ -3,7 +3,7 @@ r"""Spelling variant grouping (operator 11): a positional q-gram index with a co
 Words are maximal runs of letters, with one code point deleted in every ``typo``-th (document, run) by a checksum. Their
 trigrams, padded at both ends, are numbered by position. One edit destroys at most three of them and leaves the
 others in place, or moves them up by one if it inserts, so two near words share all but three of the longer word's. The first
-in the order of (frequency, trigram, position) that they share is then one of the first four of either: words meet where
+in the order of (frequency, trigram, position) that they share is then one of the first four of either (three of a shorter word): words meet where
 (trigram, position, length) of such a one sends them. There, postings by trigram and position are merged with a heap, the
 shortest lists first, under the length and position limits; what reaches the overlap bound is verified. A meeting place with
 many words is cut into blocks that meet in pairs.
@@ -21,6 +21,7 @@ import heapq
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,24 +68,26 @@ def grams(word: Column) -> Column:
 
 
 def _cells(vocabulary: DataFrame, conf: Spelling, ws: Workspace) -> DataFrame:
-    """(gram, pos, size, lo, hi, block, longer, word, n): words of ``size`` code points, and longer ones, where their rarest trigrams send them."""
+    """(gram, pos, size, lo, hi, block, shorter, word, n): words of ``size`` code points, and shorter ones, where their rarest trigrams send them."""
     # A row for each trigram over an alphabet of 90 letters and two pads: under 800,000 rows at any size of the vocabulary.
     frequency = vocabulary.select(F.explode(grams(F.col("word"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("f"))
     rated = vocabulary.select("word", "n", F.posexplode(grams(F.col("word"))).alias("pos", "gram")).join(F.broadcast(frequency), "gram")
     rarest = rated.groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "gram", "pos"))), 1, PREFIX).alias("rarest"))
     size = F.length("word")
 
-    def places(x: Column) -> Column:
-        at = lambda pos, size, longer: F.struct(x["gram"].alias("gram"), pos.alias("pos"), size.alias("size"), F.lit(longer).alias("longer"))
-        return F.array(at(x["pos"], size, False), at(x["pos"], size - 1, True), at(x["pos"] - 1, size - 1, True))
+    def places(i: int) -> list[Column]:
+        x = F.get("rarest", F.lit(i))
+        at = lambda pos, size, shorter: F.struct(x["gram"].alias("gram"), pos.alias("pos"), size.alias("size"), F.lit(shorter).alias("shorter"))
+        # The shorter of two words shares all but two of its trigrams, so that its first three suffice.
+        return [at(x["pos"], size, False), *([at(x["pos"], size + 1, True), at(x["pos"] + 1, size + 1, True)] if i < PREFIX - 1 else [])]
 
-    met = rarest.select("word", "n", F.inline(F.flatten(F.transform("rarest", places)))).where((F.col("pos") >= 0) & (F.col("size") >= conf.least_length))
+    met = rarest.select("word", "n", F.inline(F.array(*[x for i in range(PREFIX) for x in places(i)])))
     met = ws.save(met)
     cell = ["gram", "pos", "size"]
     large = met.groupBy(cell).agg(F.ceil(F.count("*") / conf.block).cast("int").alias("blocks")).where(F.col("blocks") > 1)
     dealt = met.join(large, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(*cell, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "longer", "word", "n")
+    return dealt.select(*cell, F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "shorter", "word", "n")
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -93,53 +96,76 @@ def one_edit(a: str, b: str) -> bool:
     return a != b and a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def _keys(word: str) -> list[tuple[str, int]]:
-    padded = _BEFORE + word + _AFTER
-    return [(padded[p : p + Q], p) for p in range(len(word) + Q - 1)]
+class Keys:
+    """A word's trigrams with their places, and those with places one up, as strings; kept while words of one trigram and length pass by."""
 
+    def __init__(self) -> None:
+        self.of: dict[str, tuple[list[str], frozenset[str]]] = {}
+        self.raised: dict[str, tuple[list[str], frozenset[str]]] = {}
 
-def _key(gram: str, pos: int) -> str:
-    return gram + chr(pos & 0xFFFF)
+    def here(self, word: str) -> tuple[list[str], frozenset[str]]:
+        found = self.of.get(word)
+        if found is None:
+            padded = _BEFORE + word + _AFTER
+            keys = [padded[p : p + Q] + chr(p & 0xFFFF) for p in range(len(word) + Q - 1)]
+            found = self.of[word] = keys, frozenset(keys)
+        return found
 
+    def both(self, word: str) -> tuple[list[str], frozenset[str]]:
+        found = self.raised.get(word)
+        if found is None:
+            padded = _BEFORE + word + _AFTER
+            keys = [padded[p : p + Q] + chr(q & 0xFFFF) for p in range(len(word) + Q - 1) for q in (p, p + 1)]
+            found = self.raised[word] = keys, frozenset(keys)
+        return found
 
-def near_in_cell(rows: list[tuple[int, bool, str, int]], across: bool) -> Iterator[tuple[str, int, str, int]]:
-    """(word, n, near word, its n) of words of one length and those and words longer by one; rows: (block, longer, word, n); across: only pairs of different blocks.
+
+def near_in_cell(rows: list[tuple[int, bool, str, int]], across: bool, keys: Keys) -> Iterator[tuple[str, int, str, int]]:
+    """(word, n, near word, its n) of words of one length with each other and with words shorter by one; rows: (block, shorter, word, n); across: only pairs of different blocks.
 
     Trigrams that an edit leaves keep their place in a word of the same length, and keep it or move up by one in a longer one.
     """
     sides: tuple[dict, dict] = ({}, {})
-    for block, longer, word, n in rows:
-        sides[longer][word] = (word, n, block)
-    same, more = (list(x.values()) for x in sides)
-    if not same or len(same) + len(more) < 2:
+    for block, shorter, word, n in rows:
+        sides[shorter][word] = (word, n, block)
+    homes = list(sides[0].values())
+    if not homes or len(homes) + len(sides[1]) < 2:
         return
-    keys = [_keys(word) for word, _, _ in same]
-    exact = [frozenset(_key(g, p) for g, p in k) for k in keys], [frozenset(_key(g, p) for g, p in _keys(word)) for word, _, _ in more]
-    postings: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
-    for side in (0, 1):
-        for i, own in enumerate(exact[side]):
-            for key in own:
-                postings[side].setdefault(key, []).append(i)
-    for i, (word, n, block) in enumerate(same):
-        for side, others in enumerate((same, more)):
-            least = len(word) - 1 + side
-            moves = (0, 1) if side else (0,)
-            there = postings[side]
-            lists = [[x for d in moves if (x := there.get(_key(g, p + d)))] for g, p in keys[i]]
-            lists.sort(key=lambda found: sum(map(len, found)))
+    postings: dict[str, list[int]] = {}
+    for i, (word, _, _) in enumerate(homes):
+        for key in keys.here(word)[0]:
+            if key in postings:
+                postings[key].append(i)
+            else:
+                postings[key] = [i]
+    exact = [keys.here(word)[1] for word, _, _ in homes]
+    for after, (word, n, block) in [*enumerate(homes), *((-1, x) for x in sides[1].values())]:
+        size = len(word)
+        if after >= 0:
+            own, mine = keys.here(word)
+            least, lists = size - 1, [postings[key] for key in own]
+            lists.sort(key=len)
             # Who shares ``least`` of the word's trigrams is in one of the shortest lists; the rest of the count needs no merge.
-            short = [x if side else x[bisect_right(x, i) :] for found in lists[: len(lists) - least + 1] for x in found]
-            mine = frozenset(_key(g, p + d) for g, p in keys[i] for d in moves) if side else exact[0][i]
-            last = -1
-            for v in heapq.merge(*short) if len(short) > 1 else short[0] if short else ():
-                if v == last:
-                    continue
-                last = v
-                other = others[v]
-                if across and other[2] == block:
-                    continue
-                if len(mine & exact[side][v]) >= least and one_edit(word, other[0]):
-                    yield word, n, other[0], other[1]
+            short = [tail for x in lists[: size + Q - least] if (tail := x[bisect_right(x, after) :])]
+        else:
+            own, mine = keys.both(word)
+            least, found = size, [postings.get(key) for key in own]
+            pairs = [(len(x or ()) + len(y or ()), x, y) for x, y in zip(found[::2], found[1::2], strict=True)]
+            pairs.sort(key=_first)
+            short = [x for _, *both in pairs[: size + Q - least] for x in both if x]
+        last = -1
+        for v in heapq.merge(*short) if len(short) > 1 else short[0] if short else ():
+            if v == last:
+                continue
+            last = v
+            other = homes[v]
+            if across and other[2] == block:
+                continue
+            if len(mine & exact[v]) >= least and one_edit(word, other[0]):
+                yield word, n, other[0], other[1]
+
+
+_first = itemgetter(0)
 
 
 _PAIRS = "word string, n long, near string, m long"
@@ -149,21 +175,24 @@ def near_pairs(vocabulary: DataFrame, conf: Spelling, ws: Workspace) -> DataFram
     """Each pair of near words once: (word, n, near, m)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells() -> Iterator[tuple[bool, list]]:
+        def cells() -> Iterator[tuple[tuple, list]]:
             key, rows = None, []
             for batch in batches:
-                for gram, pos, size, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (gram, pos, size, lo, hi) != key:
+                for gram, size, pos, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (gram, size, pos, lo, hi) != key:
                         if rows:
-                            yield key[3] != key[4], rows
-                        key, rows = (gram, pos, size, lo, hi), []
-                    rows.append(tuple(row))
+                            yield key, rows
+                        key, rows = (gram, size, pos, lo, hi), []
+                    rows.append(row)
             if rows:
-                yield key[3] != key[4], rows
+                yield key, rows
 
         out: list[tuple] = []
-        for across, rows in cells():
-            for pair in near_in_cell(rows, across):
+        near, keys = None, Keys()
+        for key, rows in cells():
+            if key[:2] != near:
+                near, keys = key[:2], Keys()
+            for pair in near_in_cell(rows, key[3] != key[4], keys):
                 out.append(pair)
                 if len(out) == 20_000:
                     yield _batch(out)
@@ -171,9 +200,9 @@ def near_pairs(vocabulary: DataFrame, conf: Spelling, ws: Workspace) -> DataFram
         yield _batch(out)
 
     cells = _cells(vocabulary, conf, ws)
-    # Places by hash of the cell; a partition's cells one after the other.
-    cell = ["gram", "pos", "size", "lo", "hi"]
-    return cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(run, _PAIRS).distinct()
+    # Dealt by trigram and length; the places of one follow each other, so that words seen at one are known at the next.
+    dealt = cells.select("gram", "size", "pos", "lo", "hi", "block", "shorter", "word", "n").repartition("gram", "size", "lo", "hi")
+    return dealt.sortWithinPartitions("gram", "size", "pos", "lo", "hi").mapInArrow(run, _PAIRS).distinct()
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
