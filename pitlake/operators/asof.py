@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +18,16 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
     """``left`` with the values of the last right row at or before (``strict``: before) its time, per ``by``.
 
     One shuffle on ``by``: both sides are stacked and the last right row is carried forward. Of several
-    right rows at one time the greatest values win. Rows older than ``max_days`` count as absent.
+    right rows at one time the greatest values win. Rows older than ``max_days`` count as absent. Right rows
+    without a time or a key match nothing, and neither do left rows: those without a key are spread over all tasks.
     """
     carried = F.struct(F.col(right_on).alias("_at"), *values)
-    r = right.groupBy(*by, right_on).agg(F.max(F.struct(*values)).alias("_v")).select(*by, right_on, "_v.*")
+    known = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in by])
+    r = right.where(known & F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.max(F.struct(*values)).alias("_v")).select(*by, right_on, "_v.*")
     r = r.select(*by, F.col(right_on).alias("_t"), F.lit(1 if strict else 0).alias("_side"), carried.alias("_r"), F.lit(None).cast(_row_type(left)).alias("_row"))
     rows = left.select(*by, F.col(left_on).alias("_t"), F.lit(0 if strict else 1).alias("_side"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct(*left.columns).alias("_row"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    spread = F.when(~known, F.xxhash64("_row"))
+    w = Window.partitionBy(*by, spread).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = r.union(rows).withColumn("_found", F.last("_r", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
     fresh = F.lit(True) if max_days is None else F.datediff(F.col("_t"), F.col("_found._at")) <= max_days
     found = [F.when(fresh, F.col(f"_found.{v}")).alias(v) for v in values]
@@ -56,13 +62,13 @@ def prioritised_group_asof(dates: DataFrame, history: DataFrame, by: str, date:
     """Group of an entity at a date from the first classification that has one.
 
     ``classes``: (classification_id, first day it may be used). A group is the first ``digits`` of the
-    industry code; UNKNOWN where no classification has one.
+    industry code; UNKNOWN where no classification has one. A row without an implementation date is never in force.
     """
     out = dates
     names = []
     for k, (cls, since) in enumerate(classes):
         own = history.where(F.col("classification_id") == cls)
-        start = F.greatest("implement_date", F.lit(since).cast("date")) if since else F.col("implement_date")
+        start = F.when(F.col("implement_date").isNotNull(), F.greatest("implement_date", F.lit(since).cast("date"))) if since else F.col("implement_date")
         own = own.select(by, start.alias("_start"), F.col("industry_code").alias(f"_c{k}"))
         out = asof_join(out, own, [by], date, "_start", [f"_c{k}"]).drop("_start_asof")
         names.append(f"_c{k}")

@@ -14,7 +14,7 @@ def augment(rows: DataFrame, snapshots: DataFrame, date: str, snapshot_date: str
     The date is resolved among snapshot dates first, so all codes of a date see the same snapshot.
     """
     dates = asof_join(rows.select(date).distinct().withColumn("_k", F.lit(0)), snapshots.select(F.col(snapshot_date).alias("_s")).distinct().withColumns({"_k": F.lit(0), "_used": F.col("_s")}), ["_k"], date, "_s", ["_used"], max_days, strict=True)
-    found = rows.join(dates.select(date, "_used"), date)
+    found = rows.join(dates.select(date, "_used"), date, "left")
     own = snapshots.select(F.col(snapshot_date).alias("_used"), code, *values)
     out = found.join(own, ["_used", code], "left")
     share = F.avg(F.greatest(*[F.col(v).isNotNull().cast("double") for v in values]) if len(values) > 1 else F.col(values[0]).isNotNull().cast("double")).over(Window.partitionBy(date))
@@ -56,17 +56,3 @@ def forecast_observations(weights: DataFrame, predicted: DataFrame, returns: Dat
         (F.sum(F.when(has, F.col("weight"))) / F.sum("weight")).alias("covered"), (F.sum(F.col("weight") * F.col("realised_return")) / F.sum(F.when(has, F.col("weight")))).alias("realized_weekly_return")
     )
     return seen.where(F.col("covered") >= least_covered).join(predicted, by)
-
-
-def stock_covariance(exposures: DataFrame, covariance: DataFrame, specific: DataFrame, multiplier: float = 1.0) -> DataFrame:
-    """(code_1, code_2, covariance) of a portfolio's codes: exposures on both sides of the factor covariance, specific variance on the diagonal.
-
-    For portfolios of some dozens of codes: the result has a row for each pair of them.
-    """
-    left = exposures.select(F.col("code").alias("code_1"), F.col("factor").alias("factor_1"), F.col("value").alias("x1"))
-    right = exposures.select(F.col("code").alias("code_2"), F.col("factor").alias("factor_2"), F.col("value").alias("x2"))
-    half = left.join(covariance, "factor_1").groupBy("code_1", "factor_2").agg(F.sum(F.col("x1") * F.col("covariance")).alias("h"))
-    common = half.join(right, "factor_2").groupBy("code_1", "code_2").agg(F.sum(F.col("h") * F.col("x2")).alias("covariance"))
-    own = common.join(specific.select(F.col("code").alias("code_1"), "specific_variance"), "code_1", "left")
-    diagonal = F.when(F.col("code_1") == F.col("code_2"), F.coalesce("specific_variance", F.lit(0.0))).otherwise(0.0)
-    return own.select("code_1", "code_2", ((F.col("covariance") + diagonal) * max(multiplier, 0.0) ** 2).alias("covariance"))

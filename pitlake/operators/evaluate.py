@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from statistics import NormalDist
 
 import numpy as np
@@ -48,40 +50,70 @@ def residual_on(panel: DataFrame, factor: str, on: str, date: str = "date", name
     return panel.withColumn(name, y - F.avg(y).over(w) - slope * (x - F.avg(x).over(w)))
 
 
-def partial_slopes(panel: DataFrame, factor: str, controls: list[str], label: str = "forward_return", date: str = "date", least: int = LEAST_NAMES) -> DataFrame:
-    """(date, slope): regression of the label on the standardised factor and controls, where these have full rank."""
+def _layer_sums(factor: str, controls: list[str], label: str, kinds: dict[str, str]):
+    """A struct of a date's complete rows: their number, extremes of factor and controls, and covariances of all with the label last."""
+    columns = [factor, *controls, label]
+    ok = functools.reduce(operator.and_, [F.col(c).isNotNull() & ~F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNotNull() for c in columns])
+    v = [F.when(ok, F.col(c).cast("double")) for c in columns]
+    covariances = F.array(*[F.covar_pop(x, y) for i, x in enumerate(v) for y in v[i:]])
+    return F.struct(F.count_if(ok).alias("n"), F.array(*[(F.max(x) > F.min(x)) for x in v]).alias("varies"), covariances.alias("c"))
+
+
+def _slope(n: int, varies: list[bool], c: list[float], least: int) -> float | None:
+    """The label's slope on the standardised factor beside the varying controls; None where they have no full rank."""
+    k = len(varies)
+    if n is None or n < least or not varies[0]:
+        return None
+    full = np.zeros((k, k))
+    full[np.triu_indices(k)] = c
+    full += np.triu(full, 1).T
+    used = [i for i in range(k - 1) if varies[i]]
+    sd = np.sqrt(np.diag(full)[used])
+    if (sd <= 0).any():
+        return None
+    r = full[np.ix_(used, used)] / np.outer(sd, sd)
+    if np.linalg.eigvalsh(r)[0] < 1e-12:
+        return None
+    return float(np.linalg.solve(r, full[used, -1] / sd)[0])
+
+
+def layer_slopes(panel: DataFrame, factor: str, layers: dict[str, list[str]], label: str = "forward_return", date: str = "date", least: int = LEAST_NAMES) -> DataFrame:
+    """(date, layer, slope): per date, regressions of the label on the standardised factor and each layer's controls, from one aggregation.
+
+    A cross-section is summed up before it leaves its tasks; a solve sees covariances of a date, not its rows. Constant
+    controls are left out; dates with fewer than ``least`` complete rows, a constant factor or controls of no full rank have no row.
+    """
+    kinds = dict(panel.dtypes)
+    names = list(layers)
+    sums = panel.groupBy(date).agg(*[_layer_sums(factor, list(layers[k]), label, kinds).alias(f"_{i}") for i, k in enumerate(names)])
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(d, k, s) for i, k in enumerate(names) for d, x in zip(pdf[date], pdf[f"_{i}"], strict=True) if (s := _slope(x["n"], x["varies"], x["c"], least)) is not None]
+            yield pd.DataFrame(rows, columns=[date, "layer", "slope"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        df = pdf.dropna()
-        varying = [c for c in controls if df[c].nunique() > 1]
-        empty = pd.DataFrame(columns=[date, "slope"], dtype=object)
-        if len(df) < least or df[factor].nunique() < 2:
-            return empty
-        x = df[[factor, *varying]].to_numpy(float)
-        x = np.column_stack([np.ones(len(df)), (x - x.mean(0)) / x.std(0)])
-        if np.linalg.matrix_rank(x) < x.shape[1]:
-            return empty
-        beta = np.linalg.lstsq(x, df[label].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame({date: [pdf[date].iloc[0]], "slope": [beta[1]]})
+    return sums.mapInPandas(run, f"{date} {kinds[date]}, layer string, slope double")
 
-    kind = dict(panel.dtypes)[date]
-    return panel.select(date, label, factor, *controls).groupBy(date).applyInPandas(run, f"{date} {kind}, slope double")
+
+def partial_slopes(panel: DataFrame, factor: str, controls: list[str], label: str = "forward_return", date: str = "date", least: int = LEAST_NAMES) -> DataFrame:
+    """(date, slope) of one layer."""
+    return layer_slopes(panel, factor, {"all": controls}, label, date, least).drop("layer")
 
 
 def partial_t(panel: DataFrame, factor: str, controls: list[str], label: str = "forward_return", date: str = "date", lags: int = 4, least: int = LEAST_NAMES) -> DataFrame:
     """(weeks, mean_slope, t) of the slopes."""
-    slopes = partial_slopes(panel, factor, controls, label, date, least).withColumn("_all", F.lit(0))
-    return W.hac_t(slopes, "slope", ["_all"], date, lags).select(F.col("n").alias("weeks"), F.col("mean").alias("mean_slope"), "t")
+    return ablation_ladder(panel, factor, [("all", controls)], label=label, date=date, lags=lags, least=least).select("weeks", "mean_slope", "t")
 
 
-def ablation_ladder(panel: DataFrame, factor: str, layers: list[tuple[str, list[str]]], **kw) -> DataFrame:
-    """A row for each layer: the factor's t with all controls up to that layer."""
-    out, controls = None, []
+def ablation_ladder(panel: DataFrame, factor: str, layers: list[tuple[str, list[str]]], label: str = "forward_return", date: str = "date", lags: int = 4, least: int = LEAST_NAMES) -> DataFrame:
+    """(layer, controls, weeks, mean_slope, t): for each layer the factor's t with all controls up to it; one pass over the panel."""
+    upto, controls = {}, []
     for name, more in layers:
         controls = [*controls, *more]
-        row = partial_t(panel, factor, controls, **kw).withColumn("layer", F.lit(name)).withColumn("controls", F.lit(len(controls)))
-        out = row if out is None else out.unionByName(row)
-    return out
+        upto[name] = controls
+    t = W.hac_t(layer_slopes(panel, factor, upto, label, date, least), "slope", ["layer"], date, lags)
+    count = F.create_map(*[x for k, c in upto.items() for x in (F.lit(k), F.lit(len(c)))])
+    return t.select(F.col("n").alias("weeks"), F.col("mean").alias("mean_slope"), "t", "layer", count[F.col("layer")].alias("controls"))
 
 
 def groupability(panel: DataFrame, factor: str, date: str = "date", least_distinct: int = 5, most_tied: float = 0.5) -> DataFrame:
@@ -133,6 +165,20 @@ def quantile_profile(panel: DataFrame, factor: str, n: int = 5, label: str = "fo
     return daily.groupBy("bucket").agg(F.count("*").alias("dates"), F.avg("_r").alias("mean_return"), F.avg(F.col("_r") - F.col("_pool")).alias("excess"))
 
 
+def decoupling(panel: DataFrame, factor: str, n: int = 5, label: str = "forward_return", date: str = "date", least: int = 100) -> DataFrame:
+    """One row: what the top and bottom buckets earn beside the whole pool, how far bucket means rise in order, and whether the
+    factor only tells what to avoid: the top beats the pool by less than a quarter of what the bottom lacks.
+    """
+    profile = quantile_profile(panel, factor, n, label, date, least)
+    rows = panel.where(F.col(factor).isNotNull() & F.col(label).isNotNull()).groupBy(date).agg(F.count("*").alias("_n"), F.avg(label).alias("_pool")).where(F.col("_n") >= least)
+    pool = rows.agg(F.count("*").alias("weeks"), F.avg("_pool").alias("pool_mean"))
+    ranked = W.with_average_rank(W.with_average_rank(profile.withColumn("_all", F.lit(0)), "bucket", ["_all"], "_x"), "mean_return", ["_all"], "_y")  # a row a bucket
+    ends = ranked.agg(F.max_by("mean_return", "bucket").alias("top_mean"), F.min_by("mean_return", "bucket").alias("bottom_mean"), F.corr("_x", "_y").alias("monotonicity"))
+    top, bottom = F.col("top_mean") - F.col("pool_mean"), F.col("pool_mean") - F.col("bottom_mean")
+    out = pool.crossJoin(ends).where("weeks > 0")  # one row each
+    return out.select("weeks", "pool_mean", "top_mean", "bottom_mean", top.alias("top_minus_pool"), bottom.alias("pool_minus_bottom"), (F.col("top_mean") - F.col("bottom_mean")).alias("top_minus_bottom"), "monotonicity", (top < 0.25 * bottom).alias("avoidance_only"))
+
+
 def subperiod_decay(panel: DataFrame, factor: str, layers: list[tuple[str, list[str]]], periods: dict[str, tuple[str, str]], date: str = "date", **kw) -> DataFrame:
     """The ablation ladder on each named period: what holds overall may fade from one to the next."""
     out = None
@@ -141,13 +187,3 @@ def subperiod_decay(panel: DataFrame, factor: str, layers: list[tuple[str, list[
         rows = ablation_ladder(own, factor, layers, date=date, **kw).withColumn("period", F.lit(name)).where("weeks > 0")
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def one_control_slopes(panel: DataFrame, factor: str, control: str, label: str = "forward_return", date: str = "date", least: int = LEAST_NAMES) -> DataFrame:
-    """(date, slope) of the label on the standardised factor beside one control, by normal equations: window-free aggregates alone."""
-    rows = panel.where(F.col(factor).isNotNull() & F.col(control).isNotNull() & F.col(label).isNotNull())
-    f, c, y = F.col(factor), F.col(control), F.col(label)
-    s = rows.groupBy(date).agg(F.count("*").alias("n"), F.var_pop(f).alias("ff"), F.var_pop(c).alias("cc"), F.covar_pop(f, c).alias("fc"), F.covar_pop(f, y).alias("fy"), F.covar_pop(c, y).alias("cy"))
-    det = F.col("ff") * F.col("cc") - F.col("fc") * F.col("fc")
-    slope = (F.col("fy") * F.col("cc") - F.col("cy") * F.col("fc")) / det * F.sqrt("ff")
-    return s.where((F.col("n") >= least) & (det > 1e-12 * F.col("ff") * F.col("cc"))).select(date, slope.alias("slope"))

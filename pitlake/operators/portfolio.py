@@ -106,32 +106,6 @@ def target_weights(candidates: DataFrame, spec: Construction = Construction()) -
     return rows.groupBy("decision_date").applyInPandas(run, "decision_date date, code string, weight double")
 
 
-def risk_aware_weights(base: np.ndarray, covariance: np.ndarray, group: np.ndarray, total: float, stock_cap: float, group_cap: float, strength: float = 0.5, most_volatility: float | None = None, least_scale: float = 0.5) -> np.ndarray:
-    """Projected gradient steps between the base weights and least variance, then scaled to a volatility limit."""
-    w = base.copy()
-    norm, risk0 = max(base @ base, 1e-12), max(base @ covariance @ base, 1e-12)
-    loss = lambda v: (1 - strength) * ((v - base) ** 2).sum() / norm + strength * (v @ covariance @ v) / risk0
-    project = lambda v: cap_and_redistribute(np.maximum(v, 0) + 1e-15, group, total, stock_cap, group_cap)
-    for _ in range(200):
-        g = 2 * (1 - strength) * (w - base) / norm + 2 * strength * covariance @ w / risk0
-        step, now = 0.10, loss(w)
-        for _ in range(12):
-            nxt = project(w - step * g)
-            if loss(nxt) < now:
-                break
-            step /= 2
-        else:
-            break
-        moved = np.abs(nxt - w).sum()
-        w = nxt
-        if moved < 1e-8:
-            break
-    vol = math.sqrt(max(w @ covariance @ w, 0.0))
-    if most_volatility and vol > most_volatility:
-        w = w * max(min(most_volatility / vol, 1.0), least_scale)
-    return w
-
-
 def round_to_lots(weight: np.ndarray, price: np.ndarray, low: np.ndarray, step: np.ndarray, value: float) -> np.ndarray:
     """Shares in legal lots below the targets, then one lot more at a time where the rest is largest and money is left."""
     wanted = weight * value / price

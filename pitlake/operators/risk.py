@@ -1,129 +1,12 @@
-"""Factor risk model: robust constrained regressions per date, covariances, specific risk and portfolio risk.
-
-Regressions need one date's cross-section, covariances one date's trailing factor returns: both are
-grouped functions with all dates in parallel. Everything on portfolios is a join of long tables.
-"""
+"""Specific risk and portfolio risk of a factor model, on long tables; its factor returns and covariances are in ``factors``."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.operators.asof import asof_join
-
-MARKET = "MARKET"
-
-
-@dataclass(frozen=True)
-class RegressionSpec:
-    styles: tuple[str, ...]
-    huber: float = 2.5
-    rounds: int = 2
-    base_group: str | None = None
-
-
-def robust_least_squares(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: float, rounds: int) -> np.ndarray:
-    """Weighted least squares, ``rounds`` fits: after each, Huber weights by distance from the median residual over its MAD."""
-    own = w.copy()
-    for _ in range(max(rounds, 1)):
-        root = np.sqrt(own)
-        beta = np.linalg.lstsq(x * root[:, None], y * root, rcond=None)[0]
-        r = y - x @ beta
-        away = np.abs(r - np.median(r))
-        scale = 1.4826 * np.median(away)
-        if scale <= 1e-12:
-            break
-        own = w / np.maximum(away / scale / k, 1.0)
-    return beta
-
-
-def _regress(spec: RegressionSpec):
-    """One date: factor returns (rows with a factor) and specific returns (rows with a code)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        date = pdf["model_date"].iloc[0]
-        df = pdf.dropna(subset=[*spec.styles, "forward_return", "cap"])
-        df = df[df["cap"] > 0].sort_values("code")
-        groups = df.groupby("industry_group")["cap"].sum().sort_index()
-        n_factors = 1 + len(spec.styles) + len(groups)
-        if len(df) < n_factors + 2:
-            return pd.DataFrame(columns=["model_date", "kind", "name", "value", "r2"], dtype=object)
-        base = spec.base_group if spec.base_group in groups.index else groups.idxmax()
-        others = [g for g in groups.index if g != base]
-        cap, of = df["cap"].to_numpy(float), df["industry_group"].to_numpy()
-        # Cap-weighted group returns sum to zero: the base group's return is what the others leave.
-        dummies = [(of == g).astype(float) - groups[g] / groups[base] * (of == base) for g in others]
-        x = np.column_stack([np.ones(len(df)), df[list(spec.styles)].to_numpy(float), *dummies])
-        root = np.sqrt(cap)
-        w = np.minimum(root, np.quantile(root, 0.99))
-        y = df["forward_return"].to_numpy(float)
-        beta = robust_least_squares(x, y, w, spec.huber, spec.rounds)
-        fitted = x @ beta
-        mean = np.average(y, weights=w)
-        r2 = 1 - (w * (y - fitted) ** 2).sum() / max((w * (y - mean) ** 2).sum(), 1e-300)
-        f = dict(zip([MARKET, *spec.styles, *others], beta))
-        f[base] = -sum(groups[g] * f[g] for g in others) / groups[base]
-        rows = [(date, "factor", k, v, r2) for k, v in f.items()] + [(date, "specific", c, v, r2) for c, v in zip(df["code"], y - fitted)]
-        return pd.DataFrame(rows, columns=["model_date", "kind", "name", "value", "r2"])
-
-    return run
-
-
-def factor_returns(exposures: DataFrame, spec: RegressionSpec) -> DataFrame:
-    """(model_date, kind, name, value, r2): returns of the factors and of what they leave of each code.
-
-    ``exposures`` has model_date, code, industry_group, cap, forward_return and the styles.
-    """
-    rows = exposures.select("model_date", F.col("code").cast("string"), "industry_group", "cap", "forward_return", *spec.styles)
-    return rows.groupBy("model_date").applyInPandas(_regress(spec), "model_date date, kind string, name string, value double, r2 double")
-
-
-def nearest_psd(m: np.ndarray) -> np.ndarray:
-    values, vectors = np.linalg.eigh((m + m.T) / 2)
-    floor = max(1e-10, values.max() * 1e-10)
-    out = (vectors * np.maximum(values, floor)) @ vectors.T
-    return (out + out.T) / 2
-
-
-def ewma_newey_west(x: np.ndarray, half_life: float, lags: int, shrink: float = 0.10, periods: int = 52) -> np.ndarray:
-    """Exponentially weighted covariance with Bartlett-weighted lags, shrunk towards its diagonal, yearly."""
-    age = np.arange(len(x) - 1, -1, -1)
-    w = 0.5 ** (age / max(half_life, 1.0))
-    w /= w.sum()
-    c = x - w @ x
-    out = (c * w[:, None]).T @ c
-    for lag in range(1, min(lags, len(x) - 1) + 1):
-        own = w[lag:] / w[lag:].sum()
-        g = (c[lag:] * own[:, None]).T @ c[:-lag]
-        out += (1 - lag / (lags + 1)) * (g + g.T)
-    diagonal = np.diag(np.diag(out))
-    return nearest_psd(((1 - shrink) * out + shrink * diagonal) * periods)
-
-
-def factor_covariance(returns: DataFrame, calendar: DataFrame, dates: DataFrame, window: int, least: int, half_life: float, lags: int) -> DataFrame:
-    """(model_date, factor_1, factor_2, covariance) from each date's last ``window`` weeks of factor returns.
-
-    ``calendar`` has all weeks, ``dates`` those asked for. Every week is sent to the dates whose window
-    holds it: a bounded copy, as factors are few.
-    """
-    calendar = calendar.select("model_date").distinct().withColumn("p", F.row_number().over(Window.orderBy("model_date")))
-    wanted = dates.select("model_date").distinct().join(calendar, "model_date").select(F.col("model_date").alias("as_of"), F.col("p").alias("q"))
-    placed = returns.where("kind = 'factor'").join(F.broadcast(calendar), "model_date")
-    spread = placed.join(F.broadcast(wanted), (F.col("p") <= F.col("q")) & (F.col("p") > F.col("q") - window))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="p", columns="name", values="value", aggfunc="last").sort_index(axis=1).fillna(0.0)
-        if len(wide) < least:
-            return pd.DataFrame(columns=["model_date", "factor_1", "factor_2", "covariance"], dtype=object)
-        m = ewma_newey_west(wide.to_numpy(), half_life, lags)
-        names = list(wide.columns)
-        return pd.DataFrame({"model_date": pdf["as_of"].iloc[0], "factor_1": np.repeat(names, len(names)), "factor_2": np.tile(names, len(names)), "covariance": m.ravel()})
-
-    return spread.groupBy("as_of").applyInPandas(run, "model_date date, factor_1 string, factor_2 string, covariance double")
+from pitlake.operators.factors import MARKET
 
 
 def specific_variance(specific: DataFrame, groups: DataFrame, as_of, half_life: float, least: int = 20, shrink: float = 0.2, periods: int = 52) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitlake.operators import risk
+from pitlake.operators import factors, risk
 from pitlake.operators.alpha import dates_to_build
 
 @dataclass(frozen=True)
@@ -53,10 +53,10 @@ def build(spark: SparkSession, exposures: DataFrame, folder: str, model: Model)
         return spark.read.parquet(path).drop("run")
 
     wanted = following.join(F.broadcast(todo.withColumnRenamed("model_date", "realised_date")), "realised_date", "left_semi")
-    fresh = risk.factor_returns(exposures.join(F.broadcast(wanted.select("model_date")), "model_date", "left_semi"), risk.RegressionSpec(model.styles))
+    fresh = factors.factor_returns(exposures.join(F.broadcast(wanted.select("model_date")), "model_date", "left_semi"), factors.RegressionSpec(model.styles))
     fresh = fresh.join(F.broadcast(wanted), "model_date").select(F.col("realised_date").alias("model_date"), "kind", "name", "value", "r2")
     returns = save(fresh, "factor_return")
-    save(risk.factor_covariance(returns, dates, todo, model.window, model.least, model.half_life, model.lags), "factor_covariance")
+    save(factors.factor_covariance(returns, todo, model.window, model.least, model.half_life, model.lags), "factor_covariance")
     own = returns.where("kind = 'specific'").select("model_date", F.col("name").alias("code"), "value")
     groups = exposures.select("model_date", F.col("code").cast("string").alias("code"), "industry_group")
     variances = risk.specific_variance_by_date(own, groups, model.half_life, model.least_specific)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.functions import columns as C
 from pitlake.functions import trading as T
-from pitlake.operators import aggregates, asof, crosssection, evaluate, fundamentals, portfolio, quality, risk, scoring, simulate
+from pitlake.operators import aggregates, asof, crosssection, evaluate, fundamentals, portfolio, quality, risk, scoring
 from pitlake.operators import windows as W
 from pitlake.plans import views
 from pitlake.plans.views import CROSS, MARKET, PANEL, cross_section, panel, table
@@ -480,29 +480,6 @@ def industry_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.industry_strength(p, "g", 60, 20), 5)
 
 
-# Portfolio risk
-
-
-def _risk_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Portfolios, exposures, a covariance and specific variances made of suppliers and nations."""
-    s = table(spark, sf_dir, "supplier")
-    weights = s.select((F.col("s_suppkey") % 4).alias("portfolio"), F.col("s_suppkey").alias("code"), (F.abs("s_acctbal") / 1e6).alias("weight"))
-    x = s.select(F.col("s_suppkey").alias("code"), F.concat(F.lit("N"), F.col("s_nationkey")).alias("factor"), F.lit(1.0).alias("value")).union(s.select("s_suppkey", F.lit("MARKET"), F.lit(1.0)))
-    names = x.select("factor").distinct()
-    pair = names.select(F.col("factor").alias("factor_1")).crossJoin(names.select(F.col("factor").alias("factor_2")))  # a small fixed set of factors
-    cov = pair.withColumn("covariance", F.when(F.col("factor_1") == F.col("factor_2"), 0.04).otherwise(0.01))
-    return weights, x, cov, s.select(F.col("s_suppkey").alias("code"), (0.05 + F.abs("s_acctbal") / 1e5).alias("specific_variance"))
-
-
-@query("""WITH w AS (SELECT s_suppkey % 4 AS portfolio, s_suppkey AS code, abs(s_acctbal) / 1e6 AS weight, 0.05 + abs(s_acctbal) / 1e5 AS sv, 'N' || s_nationkey AS f FROM supplier),
-x AS (SELECT portfolio, f, sum(weight) AS x FROM w GROUP BY 1, 2 UNION ALL SELECT portfolio, 'MARKET', sum(weight) FROM w GROUP BY 1),
-c AS (SELECT a.portfolio, sum(a.x * b.x * CASE WHEN a.f = b.f THEN 0.04 ELSE 0.01 END) AS common FROM x a JOIN x b ON a.portfolio = b.portfolio GROUP BY 1),
-s AS (SELECT portfolio, sum(weight * weight * sv) AS own FROM w GROUP BY 1)
-SELECT portfolio, round(common, 8) AS common_variance, round(own, 8) AS specific_variance, round(common + own, 8) AS total_variance FROM c JOIN s USING (portfolio)""")
-def portfolio_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(risk.portfolio_risk(*_risk_tables(spark, sf_dir), ["portfolio"]), 8)
-
-
 def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderpriority").alias("portfolio_name"), F.to_date("o_orderdate").alias("realized_date"), (F.col("o_totalprice") / 1e7 - 0.02).alias("realized_weekly_return"), (0.0002 + F.col("o_custkey") % 7 / 1e4).alias("predicted_weekly_variance"))
@@ -544,24 +521,6 @@ def _weekly_cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 STYLES = ["momentum", "volatility", "size"]
 
 
-def _factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = crosssection.style_exposures(_weekly_cross_section(spark, sf_dir), "cap", STYLES, ["model_date"], "industry_group")
-    return risk.factor_returns(x, risk.RegressionSpec(tuple(STYLES)))
-
-
-@query()
-def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_factor_returns(spark, sf_dir), 8)
-
-
-@query()
-def factor_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _factor_returns(spark, sf_dir)
-    weeks = W.week_ends(table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("trade_date")))
-    ends = weeks.groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date"))
-    return rounded(risk.factor_covariance(f, weeks, ends, 156, 26, 52, 4), 8)
-
-
 WEEKLY_X = f"""{PANEL},
 pw AS (SELECT *, close / lag(close, 20) OVER w - 1 AS mo, CASE WHEN count(daily_return) OVER l >= 20 THEN stddev_samp(daily_return) OVER l END AS vo FROM panel
        WINDOW w AS (PARTITION BY code ORDER BY trade_date), l AS (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING)),
@@ -589,12 +548,6 @@ def risk_test_portfolios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.test_portfolios(_weekly_cross_section(spark, sf_dir).dropna(), STYLES, least_group=15))
 
 
-@query()
-def partial_slope_t(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _weekly_cross_section(spark, sf_dir).withColumnRenamed("model_date", "date")
-    return rounded(evaluate.ablation_ladder(x, "momentum", [("raw", []), ("volatility", ["volatility"]), ("size", ["size"])], least=40), 5)
-
-
 @query(f"""WITH {WEEKLY_X}, c AS ({_ICS}), r AS (SELECT component, model_date + 7 AS e, count(*) OVER w AS n, avg(ic) OVER w AS m, avg(CAST(ic > 0 AS INTEGER)) OVER w AS up, stddev_samp(ic) OVER w AS sd FROM c WINDOW w AS (PARTITION BY component ORDER BY model_date ROWS 77 PRECEDING)),
 g AS (SELECT d, component FROM (SELECT max(model_date) AS d FROM xs GROUP BY date_trunc('month', model_date)) CROSS JOIN (SELECT unnest([{', '.join(f"'{s}'" for s in STYLES)}]) AS component)),
 j AS (SELECT g.d, g.component, CASE WHEN n >= 16 THEN greatest(0, m) * up / greatest(coalesce(sd, 0.02), 0.02) END AS s FROM g ASOF LEFT JOIN r ON g.component = r.component AND g.d >= r.e),
@@ -621,19 +574,6 @@ def target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_targets(spark, sf_dir), 8)
 
 
-def backtest_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = panel(spark, sf_dir).withColumn("code", F.lpad(F.col("code").cast("string"), 6, "0"))
-    w = W.series("code")
-    price = (F.col("close") / 100).alias("close")
-    p = p.select("code", "trade_date", price, (F.lag("close").over(w) / 100).alias("prev_close"), "daily_return", F.avg("amount").over(w.rowsBetween(-59, 0)).alias("avg_amount"))
-    p = p.withColumns({"open": F.col("prev_close"), "capital_return": F.col("daily_return")})
-    days = p.select("trade_date").distinct()
-    t = asof.next_trading_day(_targets(spark, sf_dir), "decision_date", days, name="trade_on").select(F.col("trade_on").alias("trade_date"), "code", "weight").where("trade_date is not null")
-    grid = [(f"cash{c}-fee{f}", float(c), f, 5.0, 2.0, 0.5, 500.0) for c in (20000, 100000, 1000000) for f in (0.0, 0.0003)]
-    runs = spark.createDataFrame(grid, "run_id string, cash double, commission double, min_commission double, slippage_bps double, participation double, min_trade_value double")
-    return rounded(simulate.backtest(simulate.priced(p), t, runs), 4)
-
-
 # Further operators with SQL oracles
 
 
@@ -647,16 +587,6 @@ def specific_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.specific_variance(s, groups, "9999-12-31", 52), 4)
 
 
-@query("""WITH w AS (SELECT s_suppkey AS code, abs(s_acctbal) / 1e6 AS weight, 0.05 + abs(s_acctbal) / 1e5 AS sv, 'N' || s_nationkey AS f FROM supplier),
-e AS (SELECT code, f, weight FROM w UNION ALL SELECT code, 'MARKET', weight FROM w), x AS (SELECT f, sum(weight) AS x FROM e GROUP BY 1),
-p AS (SELECT a.f, sum(CASE WHEN a.f = b.f THEN 0.04 ELSE 0.01 END * b.x) AS pull FROM x a CROSS JOIN x b GROUP BY 1),
-c AS (SELECT code, sum(weight * pull) AS common FROM e JOIN p USING (f) GROUP BY 1)
-SELECT code, round(common + weight * weight * sv, 9) AS variance_contribution FROM c JOIN w USING (code)""")
-def stock_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, x, cov, own = _risk_tables(spark, sf_dir)
-    return rounded(risk.stock_contributions(w.drop("portfolio"), x, cov, own), 9)
-
-
 @query("""WITH k AS (SELECT s_suppkey AS code, CASE WHEN s_acctbal > 0 THEN abs(s_acctbal) END AS v FROM supplier), h AS (SELECT quantile_cont(v, 0.9) AS high FROM k)
 SELECT code, round(coalesce(v, high), 6) AS specific_variance, CASE WHEN v IS NULL THEN 'completed' ELSE 'model' END AS exposure_source FROM k, h""")
 def completed_variance(spark: SparkSession, sf_dir: str) -> DataFrame:

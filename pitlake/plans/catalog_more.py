@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.functions import columns as C
 from pitlake.functions import trading as T
-from pitlake.operators import aggregates, attach, crosssection, evaluate, features, reports, risk, scoring, universe
+from pitlake.operators import aggregates, asof, attach, crosssection, evaluate, features, reports, risk, scoring, universe
 from pitlake.operators import windows as W
 from pitlake.plans import views
 from pitlake.plans.catalog import WEEKLY, query, rounded, weekly_returns
@@ -95,21 +95,6 @@ def exposure_realised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("code", "date", "realised_date", (F.round("SIZE", 4) + 0.0).alias("SIZE"), (F.round("realised_return", 4) + 0.0).alias("realised_return"))
 
 
-@query(f"""WITH {EXPOSURES}, l AS (SELECT * FROM q8 WHERE date = (SELECT max(date) FROM q8) AND cap >= (SELECT max(cap) - 20 FROM q8)),
-x AS (SELECT code, 'SIZE' AS f, SIZE AS v FROM l UNION ALL SELECT code, 'VALUE', VALUE FROM l UNION ALL SELECT code, 'MARKET', 1.0 FROM l UNION ALL SELECT code, industry_group, 1.0 FROM l)
-SELECT a.code AS code_1, b.code AS code_2, round(1.21 * (sum(a.v * b.v * CASE WHEN a.f = b.f THEN 0.04 ELSE 0.01 END) + CASE WHEN a.code = b.code THEN 0.05 ELSE 0 END), 4) + 0.0 AS covariance FROM x a CROSS JOIN x b GROUP BY 1, 2""")
-def stock_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _exposures(spark, sf_dir).select("code", "date", "cap", "industry_group", "SIZE", "VALUE")
-    edge = x.agg(F.max("date").alias("d"), F.max("cap").alias("c"))
-    x = x.join(F.broadcast(edge), (F.col("date") == F.col("d")) & (F.col("cap") >= F.col("c") - 20))  # one row
-    long = risk.long_exposures(x, ["SIZE", "VALUE"])
-    names = long.select("factor").distinct()
-    cov = names.select(F.col("factor").alias("factor_1")).crossJoin(names.select(F.col("factor").alias("factor_2")))  # a few dozen factors
-    cov = cov.withColumn("covariance", F.when(F.col("factor_1") == F.col("factor_2"), 0.04).otherwise(0.01))
-    out = attach.stock_covariance(long, cov, x.select("code", F.lit(0.05).alias("specific_variance")), 1.1)
-    return out.select("code_1", "code_2", (F.round("covariance", 4) + 0.0).alias("covariance"))
-
-
 # Snapshots and scores
 
 
@@ -198,14 +183,22 @@ def third_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Universes and dates
 
 
-@query(f"""WITH {SNAPSHOT}, d AS (SELECT max(latest_trade_date) AS d FROM feat), t AS (SELECT code, avg_amount_60 * abs(balance) AS cap FROM feat, d WHERE days >= 200 AND avg_amount_60 >= 1000 AND latest_trade_date >= d - INTERVAL 30 DAY AND name NOT ILIKE '%ST%')
-SELECT code, round(cap, 1) AS market_cap FROM t WHERE cap >= (SELECT quantile_cont(cap, 0.2) FROM t)""")
+@query(f"""WITH {PANEL}, r AS (SELECT code, trade_date, close, amount, count(*) OVER (PARTITION BY code ORDER BY trade_date) AS days, avg(amount) OVER (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING) AS a FROM panel),
+wk AS (SELECT max(trade_date) AS decision_date FROM panel GROUP BY date_trunc('week', trade_date + INTERVAL 2 DAY)), gd AS (SELECT code, decision_date FROM (SELECT DISTINCT code FROM panel) CROSS JOIN wk),
+j AS (SELECT gd.code, decision_date, trade_date, close, days, a FROM gd ASOF JOIN r ON gd.code = r.code AND gd.decision_date >= r.trade_date),
+u AS (SELECT j.*, CASE WHEN s_nationkey % 6 = 0 THEN 'Suspended' ELSE 'Norm' END AS state, CASE WHEN s_nationkey % 7 = 1 THEN '*ST ' ELSE '' END || s_name AS name, CASE WHEN s_acctbal > 0 THEN close * s_acctbal END AS cap FROM j JOIN supplier ON s_suppkey = code),
+t AS (SELECT code, decision_date, cap FROM u WHERE trade_date = decision_date AND days >= 60 AND round(a, 4) >= 30000 AND state = 'Norm' AND close IS NOT NULL AND upper(name) NOT LIKE '%ST%' AND cap IS NOT NULL)
+SELECT code, decision_date, round(cap, 1) AS market_cap FROM t QUALIFY cap >= quantile_cont(cap, 0.2) OVER (PARTITION BY decision_date)""")
 def backtest_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _snapshot(spark, sf_dir)
-    last = x.agg(F.max("latest_trade_date").alias("d"))
-    x = x.join(F.broadcast(last), F.col("latest_trade_date") >= F.date_sub("d", 30)).withColumns({"listed_state": F.lit("Norm"), "latest_trade_date": F.col("d"), "market_cap": F.col("avg_amount_60") * F.abs("balance")})  # one row
-    kept = universe.quantile_floor(universe.tradable(x, F.col("d"), 200, 1000.0), "market_cap", 0.2, ["d"])
-    return kept.select("code", F.round("market_cap", 1).alias("market_cap"))
+    """Of every week's last day: names with a price on it, history, turnover, normal state and a capitalisation, without the smallest fifth."""
+    w = W.series("code")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("code"), F.when(F.col("s_nationkey") % 6 == 0, "Suspended").otherwise("Norm").alias("listed_state"), F.concat(F.when(F.col("s_nationkey") % 7 == 1, "*ST ").otherwise(""), "s_name").alias("name"), "s_acctbal")
+    p = panel(spark, sf_dir).select("code", "trade_date", "close", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("days"), F.round(F.avg("amount").over(w.rowsBetween(-59, 0)), 4).alias("avg_amount_60"))
+    grid = p.select("code").distinct().crossJoin(F.broadcast(W.week_ends(p).select(F.col("model_date").alias("decision_date"))))  # a row a week
+    last = asof.asof_join(grid, p, ["code"], "decision_date", "trade_date", ["close", "days", "avg_amount_60"]).withColumnRenamed("trade_date_asof", "latest_trade_date")
+    x = last.join(s, "code").withColumn("market_cap", F.when(F.col("s_acctbal") > 0, F.col("close") * F.col("s_acctbal")))
+    kept = universe.quantile_floor(universe.tradable(x, F.col("decision_date"), 60, 30000.0), "market_cap", 0.2, ["decision_date"])
+    return kept.select("code", "decision_date", F.round("market_cap", 1).alias("market_cap"))
 
 
 @query(f"""WITH {PANEL}, r AS (SELECT code, trade_date, amount, row_number() OVER (PARTITION BY code ORDER BY trade_date) AS history_days, avg(amount) OVER (PARTITION BY code ORDER BY trade_date ROWS 59 PRECEDING) AS a FROM panel)

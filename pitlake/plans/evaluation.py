@@ -1,44 +1,51 @@
-"""Evaluation of factors from the command line, and a panel with known traps to try it on.
+"""Evaluation of factors from the command line, and a panel with planted factors to try it on.
 
-``python -m pitlake.plans.evaluation demo|gates|ladder|reversal|profile|all [--panel PATH] [--factor NAME ...]``
+``python -m pitlake.plans.evaluation demo|gates|ladder|reversal|profile|decoupling|all --panel PATH | --tables FOLDER [--factor NAME ...]``
 """
 
 from __future__ import annotations
 
 import argparse
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitlake.operators import evaluate
+from pitlake.plans.views import table
 from pitlake.sources.panels import read_panel
 
-FACTORS = ["honest_factor", "reversal_proxy", "disguised_reversal", "value_style"]
-CONTROLS = ["size", "momentum", "liquidity", "value", "earnings_yield", "growth", "beta", "residual_vol"]
+#: Planted factors of ``planted_panel`` and whether each should survive the reversal retest.
+VERDICTS = {"premium": True, "fading": False, "mirror": False, "shadow": False, "stepped": False}
+FACTORS = list(VERDICTS)
+CONTROLS = ["discount", "lot", "price", "frozen"]
 
 
-def synthetic_panel(spark: SparkSession, dates: int = 240, codes: int = 160, seed: int = 7) -> DataFrame:
-    """Weekly panel of independent styles and four factors: one honest, one that is past return turned round, one that hides
-    past return's tails in noise, and one that is a control. ``beta`` is constant in the train era, the first half.
+def _noise(name: str) -> Column:
+    """A standard normal number for each code and date: two hashes, turned by Box and Muller's rule."""
+    u = lambda salt: (F.pmod(F.xxhash64(F.lit(f"{name}{salt}"), "code", "date"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    return F.sqrt(-2 * F.ln(u("a"))) * F.cos(2 * math.pi * u("b"))
 
-    Always made in eight partitions, so that equal arguments give equal rows on any cluster.
+
+def planted_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly panel of sold parts with planted factors; controls come from the tables, noise from hashes of the keys.
+
+    ``premium`` earns in both eras; ``fading`` only in the first, train; ``mirror`` is the past return turned round, which
+    future returns partly undo; ``shadow`` is the discount, which earns, with little else; ``stepped`` has two values, so that it cannot be grouped.
+    The control ``frozen`` does not vary in the train era, and ``price`` is the part's price at every date.
     """
-    n = iter(range(seed * 1000, seed * 1000 + 100))
-    normal = lambda: F.randn(next(n))
-    at = spark.range(0, dates * codes, 1, 8).select((F.col("id") / codes).cast("int").alias("_d"), (F.col("id") % codes).alias("_c"))
-    x = at.select(
-        F.date_add(F.lit("2015-01-02").cast("date"), F.col("_d") * 7).alias("date"), F.format_string("S%04d", "_c").alias("code"), F.when(F.col("_d") < dates // 2, "train").otherwise("test").alias("era"),
-        *[normal().alias(c) for c in ("size", "liquidity", "value", "growth", "momentum", "earnings_yield")], (F.abs(normal()) + 0.5).alias("residual_vol"),
-        F.when(F.col("_d") < dates // 2, 0.0).otherwise(normal()).alias("beta"), normal().alias("honest_factor"), *[normal().alias(f"_e{k}") for k in range(4)],
-    )
-    x = x.withColumn("past_return", 0.3 * F.col("momentum") - 0.2 * F.col("size") + 1.4 * F.col("_e0"))
-    past = F.col("past_return")
-    tails = F.when(F.abs(past) > 1, -F.signum(past)).otherwise(0.0)
-    x = x.withColumns({
-        "forward_return": 0.030 * F.col("honest_factor") - 0.020 * F.col("value") + 0.015 * F.col("size") - 0.025 * past + 0.09 * F.col("_e1"),
-        "reversal_proxy": -past, "disguised_reversal": tails + 0.9 * F.col("_e2"), "value_style": 0.25 * F.col("_e3") - F.col("value"),
+    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    sold = li.groupBy(F.col("l_partkey").alias("code"), F.to_date(F.trunc("l_shipdate", "quarter")).alias("date"))
+    rows = sold.agg(F.avg("l_discount").alias("discount"), F.avg("l_quantity").alias("lot")).join(part.select(F.col("p_partkey").alias("code"), F.col("p_retailprice").alias("price")), "code")
+    over = Window.partitionBy("date")
+    rows = rows.withColumn("_d", (F.col("discount") - F.avg("discount").over(over)) / F.stddev_samp("discount").over(over))
+    train = F.col("date") < F.lit("1998-07-01").cast("date")
+    rows = rows.withColumns({"era": F.when(train, "train").otherwise("test"), "past_return": 0.06 * _noise("past"), "premium": _noise("premium"), "fading": _noise("fading")})
+    rows = rows.withColumns({
+        "mirror": -F.col("past_return") + 0.006 * _noise("mirror"), "shadow": F.col("_d") + 0.1 * _noise("shadow"), "stepped": (F.col("premium") > 0.4).cast("double"), "frozen": F.when(train, 3.5).otherwise(F.col("lot")),
+        "forward_return": 0.02 * F.col("premium") + F.when(train, 0.03).otherwise(0.0) * F.col("fading") - 0.35 * F.col("past_return") + 0.012 * F.col("_d") + 0.04 * _noise("left"),
     })
-    return x.drop(*[f"_e{k}" for k in range(4)])
+    return rows.drop("_d")
 
 
 def _stack(rows: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -71,18 +78,26 @@ def profile(panel: DataFrame, factors: list[str], controls: list[str]) -> dict[s
     return {"quantile profile": _stack([(f, evaluate.quantile_profile(panel, f)) for f in factors])}
 
 
-REPORTS = {"gates": gates, "ladder": ladder, "reversal": reversal, "profile": profile}
+def decoupling(panel: DataFrame, factors: list[str], controls: list[str]) -> dict[str, DataFrame]:
+    """Whether what a factor ranks is also earned by its top bucket."""
+    return {"decoupling": _stack([(f, evaluate.decoupling(panel, f)) for f in factors])}
+
+
+REPORTS = {"gates": gates, "ladder": ladder, "reversal": reversal, "profile": profile, "decoupling": decoupling}
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
     p.add_argument("report", choices=["demo", "all", *REPORTS])
-    p.add_argument("--panel", help="parquet or CSV; without it the synthetic panel")
+    p.add_argument("--panel", help="parquet or CSV")
+    p.add_argument("--tables", help="folder of the standard tables, from which the planted panel is made")
     p.add_argument("--factor", action="append")
     p.add_argument("--control", action="append")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    panel = read_panel(spark, a.panel) if a.panel and a.report != "demo" else synthetic_panel(spark)
+    if not (a.panel or a.tables) or (a.report == "demo" and not a.tables):
+        p.error("--panel or --tables is needed, --tables for demo")
+    panel = read_panel(spark, a.panel) if a.panel and a.report != "demo" else planted_panel(spark, a.tables)
     panel = panel.cache()
     try:
         for name in REPORTS if a.report in ("demo", "all") else [a.report]:

@@ -124,14 +124,21 @@ def test_alpha_edges(spark):
     assert todo(day(1, 2, 3), day(1, 2)) == [3] and todo(day(2, 3), day(1, 2)) == [2, 3] and todo(day(1, 2), day(1).limit(0)) == [1, 2]
 
 
-def test_synthetic_panel_has_its_traps(spark, capsys):
-    p = evaluation.synthetic_panel(spark, 60, 120).cache()
-    assert p.count() == 7200 and p.select("date", "code").distinct().count() == 7200
-    assert p.agg(F.sum("honest_factor")).first() == evaluation.synthetic_panel(spark, 60, 120).agg(F.sum("honest_factor")).first()
-    c = p.agg(F.corr("honest_factor", "forward_return").alias("h"), F.corr("reversal_proxy", "past_return").alias("r"), F.corr("value_style", "value").alias("v"), F.corr("disguised_reversal", "past_return").alias("d")).first()
-    assert c.h > 0.15 and c.r < -0.999 and c.v < -0.9 and -0.9 < c.d < -0.1
-    out = evaluation.gates(p, evaluation.FACTORS[:2], ["value", "beta"])
-    assert [(r.era, r.control) for r in out["constant controls"].collect()] == [("train", "beta")]
-    assert out["groupability"].count() == 2
-    assert evaluation.profile(p, ["honest_factor"], [])["quantile profile"].count() == 5
+def test_planted_factors_get_their_verdicts(spark, sf):
+    p = evaluation.planted_panel(spark, sf).cache()
+    assert p.count() == p.select("date", "code").distinct().count() > 3000
+    assert p.agg(F.sum("premium")).first() == evaluation.planted_panel(spark, sf).agg(F.sum("premium")).first()
+    out = evaluation.gates(p, ["premium", "stepped"], evaluation.CONTROLS)
+    assert [(r.era, r.control) for r in out["constant controls"].collect()] == [("train", "frozen")]
+    usable = {r.factor: r.usable_share for r in out["groupability"].collect()}
+    assert usable == {"premium": 1.0, "stepped": 0.0}
+    assert [(r.a, r.b) for r in evaluation.gates(p, ["premium"], ["discount", "shadow", "lot"])["collinear controls"].collect()] == [("discount", "shadow")]
+    own = [f for f in evaluation.FACTORS if f != "stepped"]
+    verdict = {r.factor: r.survived for r in evaluation.reversal(p, own, ["discount", "lot", "price"])["reversal retest"].collect()}
+    assert verdict == {f: evaluation.VERDICTS[f] for f in own}
+    told = {r.factor: r for r in evaluation.decoupling(p, ["premium", "fading"], [])["decoupling"].collect()}
+    assert told["premium"].monotonicity == 1.0 and not told["premium"].avoidance_only and told["premium"].top_minus_pool > 0.01
+    assert evaluation.profile(p, ["premium"], [])["quantile profile"].count() == 5
     p.unpersist()
+    with pytest.raises(SystemExit):
+        evaluation.main(["demo"])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from pitlake.operators import asof, evaluate, fundamentals, portfolio, risk, scoring, simulate
+from pitlake.operators import asof, evaluate, factors, fundamentals, portfolio, risk, scoring
 from pitlake.operators import windows as W
 from pitlake.plans import catalog
 
@@ -93,19 +93,11 @@ def test_regression_recovers_planted_factors(spark):
     f = {"A": 0.001, "B": 0.002}
     f["C"] = -(cap["A"] * f["A"] + cap["B"] * f["B"]) / cap["C"]
     df["forward_return"] = 0.01 + 1e-4 * df["s1"] + 2e-4 * df["s2"] + df["industry_group"].map(f)
-    got = {r.name: r.value for r in risk.factor_returns(spark.createDataFrame(df), risk.RegressionSpec(tuple(styles))).where("kind = 'factor'").collect()}
+    got = {r.name: r.value for r in factors.factor_returns(spark.createDataFrame(df), factors.RegressionSpec(tuple(styles))).where("kind = 'factor'").collect()}
     for k, v in {"MARKET": 0.01, "s1": 1e-4, "s2": 2e-4, **f}.items():
         assert got[k] == pytest.approx(v, abs=1e-10)
 
 
-def test_covariance_is_symmetric_and_positive(spark):
-    x = np.random.default_rng(1).normal(size=(80, 5))
-    m = risk.ewma_newey_west(x, 26, 3)
-    assert np.allclose(m, m.T) and np.linalg.eigvalsh(m).min() > 0
-    plain = risk.ewma_newey_west(x, 1e9, 0, shrink=0.0, periods=1)
-    assert np.allclose(plain, np.cov(x.T, ddof=0), atol=1e-6)
-
-
 def test_portfolio_risk_vector_and_contributions(spark):
     w = spark.createDataFrame([("p", "a", 0.25), ("p", "b", 0.25)], "portfolio string, code string, weight double")
     x = spark.createDataFrame([("a", "MARKET", 1.0), ("b", "MARKET", 1.0)], "code string, factor string, value double")
@@ -133,15 +125,6 @@ def test_caps_hold_and_weights_sum():
         assert w.sum() == pytest.approx(min(0.95, sum(min(0.30, 0.10 * (group == g).sum()) for g in set(group))), abs=1e-6)
 
 
-def test_risk_aware_weights_lower_risk():
-    rng = np.random.default_rng(2)
-    a = rng.normal(size=(12, 12))
-    cov = a @ a.T / 12 + 0.1 * np.eye(12)
-    base = portfolio.cap_and_redistribute(rng.random(12), np.array(list("abcd" * 3)), 0.9, 0.15, 0.5)
-    w = portfolio.risk_aware_weights(base, cov, np.array(list("abcd" * 3)), 0.9, 0.15, 0.5)
-    assert w @ cov @ w <= base @ cov @ base + 1e-12 and w.sum() == pytest.approx(0.9, abs=1e-6)
-
-
 def test_lot_rounding_vector():
     shares = portfolio.round_to_lots(np.array([0.035, 0.035]), np.array([3.0, 4.0]), np.array([100, 100]), np.array([100, 100]), 10000.0)
     assert shares.tolist() == [100, 100]
@@ -154,19 +137,6 @@ def test_selection_buffer_and_group_counts():
     assert portfolio.buffered_selection(rank, group, held, spec).tolist() == [0, 1, 4]
 
 
-def test_backtest_keeps_its_books(spark):
-    days = [D(2024, 1, d) for d in (2, 3, 4, 5)]
-    rows = [(c, d, p + i * 0.1, p + i * 0.1, p + (i - 1) * 0.1, 0.0, 0.0, 1e9) for c, p in (("000001", 10.0), ("000002", 20.0)) for i, d in enumerate(days)]
-    prices = spark.createDataFrame(rows, "code string, trade_date date, open double, close double, prev_close double, daily_return double, capital_return double, avg_amount double")
-    targets = spark.createDataFrame([(days[1], "000001", 0.5), (days[1], "000002", 0.4), (days[3], "000001", 0.0), (days[3], "000002", 0.0)], "trade_date date, code string, weight double")
-    runs = spark.createDataFrame([("free", 100000.0, 0.0, 0.0, 0.0, 1.0, 0.0), ("paid", 100000.0, 0.0003, 5.0, 0.0, 1.0, 0.0)], "run_id string, cash double, commission double, min_commission double, slippage_bps double, participation double, min_trade_value double")
-    out = simulate.backtest(simulate.priced(prices), targets, runs).toPandas().sort_values(["run_id", "trade_date"])
-    free, paid = (out[out.run_id == r] for r in ("free", "paid"))
-    assert np.allclose(out["cash"] + out["invested"], out["equity"]) and (out["cash"] >= -1e-6).all()
-    assert free.iloc[1].trades == 2 and free.iloc[3].invested == 0 and free.iloc[3].equity > 100000
-    assert paid.fees.sum() > free.fees.sum() > 0 and paid.iloc[-1].equity < free.iloc[-1].equity
-
-
 def test_disguised_factor_dies_and_honest_one_survives(spark):
     rng = np.random.default_rng(7)
     rows = []
@@ -203,22 +173,3 @@ def test_matured_weights_use_no_later_label(spark):
     d = spark.createDataFrame([(D(2024, 2, 1),), (D(2024, 8, 1),)], "decision_date date")
     got = {(r.decision_date.month, r.component): r.weight for r in scoring.matured_ic_weights(rows, d, {"a": 0.5, "b": 0.5}, cap=0.8).collect()}
     assert got[(2, "a")] == got[(2, "b")] == 0.5 and got[(8, "a")] > 0.7
-
-
-def test_robust_regression_makes_two_fits_around_the_median():
-    rng = np.random.default_rng(2)
-    x = np.column_stack([np.ones(60), rng.normal(size=60)])
-    y = x @ np.array([0.3, -1.2]) + 0.1 * rng.normal(size=60)
-    y[:6] += 8.0  # outliers on one side, so the median residual is not 0
-    w = rng.uniform(0.5, 2.0, 60)
-
-    def fit(own):
-        a = x.T @ (x * own[:, None])
-        return np.linalg.solve(a, x.T @ (own * y))
-
-    r = y - x @ fit(w)
-    z = np.abs(r - np.median(r)) / (1.4826 * np.median(np.abs(r - np.median(r))))
-    want = fit(w * np.where(z > 2.5, 2.5 / z, 1.0))
-    got = risk.robust_least_squares(x, y, w, 2.5, 2)
-    assert np.allclose(got, want) and not np.allclose(got, fit(w))
-    assert np.allclose(risk.robust_least_squares(x, x @ np.array([1.0, 2.0]), w, 2.5, 2), [1.0, 2.0])
