@@ -4,9 +4,10 @@ Base kinds are regular expressions, leftmost and non-overlapping per kind, over
 matches are dropped after matching. The entropy kinds come from candidate strings: maximal runs of key
 characters with digits and letters of both cases, and maximal runs of letters and digits, each with the
 threshold of its character class, so '/', '_', '=' and '+' end the latter. The counts of a window's characters are kept up while it slides, one entering and one
-leaving at each step, and the window's Shannon entropy follows from the sum of c*log2(c). Hot spans
-on the allow-list are suppressed; base spans never are. A span inside the hot span of a longer run is
-part of it.
+leaving at each step, and the window's Shannon entropy follows from the sum of c*log2(c). Windows that touch
+a match of the allow-list are suppressed; base spans never are. A span is a stretch that hot windows cover without a
+gap, so keys with a placeholder or cold characters between them are spans of their own. A span inside that of a longer
+run is part of it.
 
 Positions are code points, end exclusive. Spark gives matches without positions; they follow from the
 lengths of what ``split`` leaves between them.
@@ -35,14 +36,22 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters"]
 
 
+def _series(first: str, rest: str) -> str:
+    """A series and as much of what follows in it as is there."""
+    tail = ""
+    for ch in reversed(rest):
+        tail = f"(?:{ch}{tail})?"
+    return first + tail
+
+
 @dataclass(frozen=True)
 class EntropyRule:
     """window: characters; least_bits: entropy of a window that is reported, by character class."""
 
     window: int = 20
     least_bits: dict[str, float] = field(default_factory=lambda: {"entropy_hex": 3.0, "entropy_mixed": 3.7, "entropy_lower": 3.6, "entropy_upper": 3.5, "entropy_letters": 3.85})
-    #: Hot spans that match are not secrets: placeholders, alphabets, image data, lock-file hashes, UUIDs of documents' links.
-    allow: str = r"(?i)example|sample|dummy|placeholder|changeme|x{6,}|abcdefgh|01234567|12345678|^ivborw0kggo|^sha(256|384|512)-|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+    #: Windows that touch a match are not reported: placeholders, alphabets, digits in order.
+    allow: str = rf"(?i)example|sample|dummy|placeholder|changeme|x{{6,}}|{_series('abcdefgh', 'ijklmnopqrstuvwxyz')}|{_series('01234567', '89')}|{_series('12345678', '90')}|wjalrxutnfemi"
 
 
 _KEY = r"A-Za-z0-9+/_="
@@ -102,8 +111,14 @@ def _let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def window_range(value: Column, window: int, least: Column | float) -> Column:
-    """struct<lo, hi>: from the first character of the first window with enough entropy to the end of the last; hi 0 if none.
+def masked(value: Column, allow: str) -> Column:
+    """The value with every character of a match of ``allow`` replaced by NUL."""
+    put = lambda v, m: F.overlay(v, F.repeat(F.lit("\x00"), m["end"] - m["start"]), m["start"] + 1, m["end"] - m["start"])
+    return F.when(value.rlike(allow), F.aggregate(_located(value, allow), value, put)).otherwise(value)
+
+
+def window_spans(value: Column, window: int, least: Column | float) -> Column:
+    """array<struct<lo, hi>>: the stretches that windows with enough entropy and without a NUL cover, from left to right.
 
     The counts of the window's characters are one string of 128 counters, a character each; a step changes
     the counter of the character that enters and that of the one that leaves, and the sum of c*log2(c) by
@@ -111,6 +126,7 @@ def window_range(value: Column, window: int, least: Column | float) -> Column:
     """
     none = F.lit("\x01" * 128)  # the counter of character k is at string position k + 1; \x01 is count 0
     grows = F.lit([(c + 1) * math.log2(c + 1) - (c * math.log2(c) if c else 0.0) for c in range(window + 1)])
+    empty = F.lit([]).cast("array<struct<lo:int,hi:int>>")
 
     def counter(counts: Column, ch: Column) -> Column:
         return F.ascii(F.substring(counts, ch + 1, F.lit(1)))
@@ -118,6 +134,9 @@ def window_range(value: Column, window: int, least: Column | float) -> Column:
     def put(counts: Column, ch: Column, c: Column) -> Column:
         return F.overlay(counts, F.char(c), ch + 1, F.lit(1))
 
+    def with_last(s: Column) -> Column:
+        return F.when(s["hi"] > 0, F.concat(s["spans"], F.array(F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))))).otherwise(s["spans"])
+
     def run(chars: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
             entering, leaving = F.get(chars, i), F.get(chars, i - window)
@@ -126,30 +145,30 @@ def window_range(value: Column, window: int, least: Column | float) -> Column:
             # The two changes touch different counters, or undo each other.
             counts = F.when(i < window, grown).when(entering == leaving, s["counts"]).otherwise(put(grown, leaving, c_out - 1))
             total = F.when(i < window, more).when(entering == leaving, s["total"]).otherwise(more - F.get(grows, c_out - 2))
-            # The window that the step before has completed.
-            hot = (i >= window) & (F.log2(F.lit(float(window))) - s["total"] / window >= least)
-            return F.struct(counts.alias("counts"), total.alias("total"), F.when(hot & (s["hi"] == 0), i - window).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"))
+            # The window that the step before has completed begins at i - window; it goes on with the last stretch if it touches it.
+            hot = (i >= window) & (F.log2(F.lit(float(window))) - s["total"] / window >= least) & (counter(s["counts"], F.lit(0)) == 1)
+            fresh = hot & (i - window > s["hi"])
+            return F.struct(
+                counts.alias("counts"), total.alias("total"), F.when(fresh | (hot & (s["hi"] == 0)), i - window).otherwise(s["lo"]).alias("lo"), F.when(hot, i).otherwise(s["hi"]).alias("hi"),
+                F.when(fresh, with_last(s)).otherwise(s["spans"]).alias("spans"),
+            )
 
-        start = F.struct(none.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars)), start, step, lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
+        start = F.struct(none.alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), empty.alias("spans"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars)), start, step, with_last)
 
     return _let(F.transform(F.split(value, ""), F.ascii), run)
 
 
 def _hot(candidates: Column, kind: Callable[[Column], Column], rule: EntropyRule) -> Column:
-    """array<struct<start, k, end>> of the candidates' hot spans that are not on the allow-list."""
+    """array<struct<start, k, end>> of the candidates' hot stretches."""
     least = F.lit([rule.least_bits.get(k, 99.0) for k in KINDS])  # a class without a threshold has no hot window
 
     def scored(s: Column) -> Column:
         k = F.struct(kind(s["value"]).alias("k"), F.get(least, kind(s["value"])).alias("least"))
-        return _let(k, lambda k: F.struct(s["start"].alias("at"), s["value"].alias("value"), k["k"].alias("k"), window_range(s["value"], rule.window, k["least"]).alias("r")))
-
-    def secret(s: Column) -> Column:
-        lo, hi = s["r"]["lo"], s["r"]["hi"]
-        return (hi > 0) & ~F.substring(s["value"], lo + 1, hi - lo).rlike(rule.allow)
+        span = lambda k, r: F.struct((s["start"] + r["lo"]).alias("start"), k["k"].alias("k"), (s["start"] + r["hi"]).alias("end"))
+        return _let(k, lambda k: F.transform(window_spans(masked(s["value"], rule.allow), rule.window, k["least"]), lambda r: span(k, r)))
 
-    hot = F.filter(F.transform(F.filter(candidates, lambda s: ~s["value"].rlike(IMAGE)), scored), secret)
-    return F.transform(hot, lambda s: F.struct((s["at"] + s["r"]["lo"]).alias("start"), s["k"].alias("k"), (s["at"] + s["r"]["hi"]).alias("end")))
+    return F.flatten(F.transform(F.filter(candidates, lambda s: ~s["value"].rlike(IMAGE)), scored))
 
 
 def _covered(p: Column, by: Column) -> Column:
