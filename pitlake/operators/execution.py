@@ -1,0 +1,16 @@
+"""Group-cap repair of lot-rounded shares; integer orders are in ``orders``."""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def repair_group_cap(shares: np.ndarray, price: np.ndarray, low: np.ndarray, step: np.ndarray, group: np.ndarray, score: np.ndarray, value: float, cap: float) -> np.ndarray:
+    """Shares cut, one step of the lowest score first, until every group is within its cap."""
+    out = shares.astype(np.int64).copy()
+    for g in sorted(set(group)):
+        own = np.flatnonzero(group == g)
+        for i in own[np.argsort(score[own], kind="stable")]:
+            while (out[own] * price[own]).sum() > cap * value + 1e-9 and out[i] > 0:
+                out[i] = out[i] - step[i] if out[i] - step[i] >= low[i] else 0
+    return out

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions import trading as T
-from pitlake.operators import alpha, asof, evaluate, portfolio, reports, risk, scoring
+from pitlake.operators import alpha, asof, evaluate, orders, portfolio, reports, risk, scoring
 from pitlake.operators import windows as W
-from pitlake.plans.catalog import WEEKLY, query, rounded, weekly_returns
+from pitlake.plans.catalog import WEEKLY, _SCHEDULE, query, rounded, weekly_returns
 from pitlake.plans.views import CROSS, PANEL, cross_section, panel, table
 from pitlake.sources import panels, reference, upsert
 from pitlake.streaming import incremental
@@ -272,3 +272,61 @@ p AS (SELECT 'amount' AS a, 'n' AS b, corr(amount, n) AS rho, count(*) AS n FROM
 def collinear_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = cross_section(spark, sf_dir).select(F.round("amount", 2).alias("amount"), "n", F.round("size", 6).alias("size"))
     return evaluate.collinear_controls(x, _RANKED, 0.3).withColumn("rho", F.round("rho", 6))
+
+
+# Integer orders
+
+
+_NAMES = """nm AS (SELECT s_suppkey // 4 AS account, ['600', '300', '688', '920'][s_suppkey % 4 + 1] || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') AS code, round(4 + abs(s_acctbal) / 400, 2) AS price, 1 + s_nationkey % 5 AS raw, (s_suppkey % 3) * 200 AS held FROM supplier),
+ac AS (SELECT *, 0.9 * raw / sum(raw) OVER a AS weight, 15000.0 + 1000 * (account % 7) AS cash, 15000.0 + 1000 * (account % 7) + sum(held * price) OVER a AS value, CASE WHEN account % 2 = 0 THEN DATE '2016-03-01' ELSE DATE '2023-09-01' END AS day,
+  CASE WHEN code LIKE '688%' THEN 200 ELSE 100 END AS low, CASE WHEN code LIKE '688%' OR code LIKE '920%' THEN 1 ELSE 100 END AS step, CASE WHEN code LIKE '920%' THEN 'BSE' WHEN code LIKE '6%' THEN 'SH' ELSE 'SZ' END AS ex FROM nm WINDOW a AS (PARTITION BY account))"""
+
+
+@query(f"""WITH RECURSIVE {_NAMES}, fee(component, a, b, rate) AS (VALUES {_SCHEDULE}),
+fl AS (SELECT *, low + greatest(0, floor((floor(weight * value / price) - low) / step)) * step AS mid, low + greatest(0, floor((floor(greatest(0.35, weight * 1.35) * value / price) - low) / step)) * step AS cap, low + greatest(0, floor((held - low) / step)) * step AS kept FROM ac),
+op AS (SELECT DISTINCT account, code, CAST(s AS BIGINT) AS shares FROM (SELECT *, unnest([low, cap, CASE WHEN held >= low THEN kept END] || list_filter([mid - step, mid, mid + step], lambda x: x >= low AND x <= cap)) AS s FROM fl) WHERE s IS NOT NULL),
+ch AS (SELECT op.*, ac.* EXCLUDE (account, code), abs(op.shares - held) * price AS gross, CASE WHEN op.shares > held THEN 'BUY' ELSE 'SELL' END AS side FROM op JOIN ac USING (account, code)),
+fe AS (SELECT account, code, shares, sum(fee.rate) AS rate FROM ch JOIN fee ON day BETWEEN a AND b AND (component = 'regulatory' OR (component = 'stamp' AND side = 'SELL') OR component IN ('handling_' || ex, 'transfer_' || ex)) GROUP BY 1, 2, 3),
+co AS (SELECT ch.*, CASE WHEN gross > 0 THEN gross * (rate + CASE WHEN ex = 'BSE' AND day < DATE '2021-11-15' THEN 0.000125 ELSE 0 END) + greatest(gross * 0.0003, 5.0) ELSE 0 END AS f FROM ch JOIN fe USING (account, code, shares)),
+nw AS (SELECT account, sum(weight * weight) AS norm, value * (1 - sum(weight)) AS wanted, count(*) AS names FROM ac GROUP BY account, value),
+st AS (SELECT account, code, dense_rank() OVER (PARTITION BY account ORDER BY code) AS k, shares, CASE WHEN side = 'BUY' THEN -gross ELSE gross END - f AS flow, pow(shares * price / value - weight, 2) AS tr, f FROM co),
+ve(account, k, flow, tr, f, chosen) AS (SELECT DISTINCT account, CAST(0 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, CAST([] AS BIGINT[]) FROM st
+  UNION ALL SELECT v.account, s.k, v.flow + s.flow, v.tr + s.tr, v.f + s.f, list_append(v.chosen, s.shares) FROM ve v JOIN st s ON s.account = v.account AND s.k = v.k + 1),
+en AS (SELECT v.*, tr / greatest(norm, 1e-8) + 0.75 * pow((cash + v.flow - wanted) / value, 2) + 2.0 * v.f / value AS objective FROM ve v JOIN nw ON nw.account = v.account AND v.k = names JOIN (SELECT DISTINCT account, cash, value FROM ac) ca ON ca.account = v.account WHERE cash + v.flow >= -1e-7),
+be AS (SELECT account, min(objective) AS objective, arg_min(chosen, objective) AS chosen FROM en GROUP BY 1)
+SELECT be.account, code, chosen[k] AS shares, round(objective, 9) AS objective, 'exact' AS search FROM be JOIN (SELECT DISTINCT account, code, k FROM st) USING (account)""")
+def integer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accounts of four names each, so that SQL can try all lot vectors; fees by side, exchange, board and day."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    prefix = F.when(k % 4 == 0, "600").when(k % 4 == 1, "300").when(k % 4 == 2, "688").otherwise("920")
+    account = F.floor(k / 4).cast("long")
+    w = Window.partitionBy("account")
+    x = s.select(account.alias("account"), F.concat(prefix, F.lpad((k % 1000).cast("string"), 3, "0")).alias("code"), F.round(4 + F.abs("s_acctbal") / 400, 2).alias("price"), (1 + F.col("s_nationkey") % 5).alias("raw"), ((k % 3) * 200).alias("held"))
+    x = x.withColumns({"weight": 0.9 * F.col("raw") / F.sum("raw").over(w), "cash": 15000.0 + 1000 * (F.col("account") % 7), "day": F.when(F.col("account") % 2 == 0, F.lit("2016-03-01").cast("date")).otherwise(F.lit("2023-09-01").cast("date"))})
+    x = x.withColumn("value", F.col("cash") + F.sum(F.col("held") * F.col("price")).over(w))
+    spec = orders.Search(stock_cap=0.35, reach=1, commission=0.0003, minimum=5.0)
+    return rounded(orders.integer_orders(x.drop("raw"), ["account"], spec), 9)
+
+
+@query("""WITH o AS (SELECT o_custkey % 500 AS account, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice AS gross, o_orderkey % 9 <> 0 AS able, o_orderkey % 17 AS rank, (o_orderkey % 10) / 100.0 AS tw,
+  CASE WHEN o_orderkey % 11 = 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'REDUCE' ELSE 'INCREASE' END END AS mode, o_orderkey % 5 = 0 AS ex, (o_custkey % 500) % 3 * 0.25 AS current, (o_custkey % 500) % 4 * 0.25 AS target, 1e6 AS value FROM orders),
+q AS (SELECT *, row_number() OVER (PARTITION BY account, side ORDER BY mode IS NULL, CASE WHEN side = 'SELL' THEN CASE WHEN ex THEN 0.0 ELSE 1.0 END ELSE rank END, CASE WHEN side = 'SELL' THEN -rank ELSE -tw END, CASE WHEN side = 'SELL' THEN -gross ELSE gross END, id) AS k FROM o WHERE able),
+a AS (SELECT account, max(value) * (max(target) - max(current)) AS net, max(current) AS current FROM o GROUP BY 1),
+l AS (SELECT a.account, net, a.current, coalesce(list(struct_pack(id := id, g := gross) ORDER BY k) FILTER (side = 'BUY'), []) AS buys, coalesce(list(struct_pack(id := id, g := gross) ORDER BY k) FILTER (side = 'SELL'), []) AS sells, coalesce(sum(gross) FILTER (side = 'BUY'), 0) AS tb, coalesce(sum(gross) FILTER (side = 'SELL'), 0) AS ts FROM a LEFT JOIN q USING (account) GROUP BY 1, 2, 3),
+f1 AS (SELECT *, CASE WHEN net > 0 THEN sells WHEN net < 0 OR tb <= ts OR true THEN buys END AS items, CASE WHEN net > 0 THEN greatest(0, tb - net) WHEN net < 0 THEN greatest(0, ts + net) WHEN tb <= ts THEN 1e300 ELSE ts END AS goal FROM l),
+s1 AS (SELECT *, list_reduce(list_prepend(struct_pack(used := 0.0::DOUBLE, ids := CAST([] AS BIGINT[])), list_transform(items, lambda x: struct_pack(used := x.g, ids := [x.id]))),
+  lambda s, x: CASE WHEN x.used > 0 AND (goal = 1e300 OR abs(goal - (s.used + x.used)) + 1e-8 < abs(goal - s.used)) THEN struct_pack(used := s.used + x.used, ids := s.ids || x.ids) ELSE s END) AS r FROM f1),
+f2 AS (SELECT account, r, CASE WHEN net > 0 THEN buys ELSE sells END AS items, CASE WHEN net > 0 THEN CASE WHEN current <= 0.01 THEN 1e300 ELSE net + r.used END WHEN net < 0 THEN greatest(0, r.used - net) WHEN tb <= ts THEN r.used ELSE 1e300 END AS goal FROM s1),
+s2 AS (SELECT account, r, list_reduce(list_prepend(struct_pack(used := 0.0::DOUBLE, ids := CAST([] AS BIGINT[])), list_transform(items, lambda x: struct_pack(used := x.g, ids := [x.id]))),
+  lambda s, x: CASE WHEN x.used > 0 AND (goal = 1e300 OR abs(goal - (s.used + x.used)) + 1e-8 < abs(goal - s.used)) THEN struct_pack(used := s.used + x.used, ids := s.ids || x.ids) ELSE s END) AS t FROM f2)
+SELECT o.account, id, NOT able OR list_contains(r.ids || t.ids, id) AS kept FROM o JOIN s2 USING (account)""")
+def guarded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    account = F.col("o_custkey") % 500
+    side = F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY")
+    rows = o.select(
+        account.alias("account"), k.alias("id"), side.alias("side"), F.col("o_totalprice").alias("gross"), (k % 9 != 0).alias("actionable"), (k % 17).alias("rank"), (k % 10 / 100.0).alias("target_weight"),
+        F.when(k % 11 == 0, F.when(side == "SELL", "REDUCE").otherwise("INCREASE")).alias("mode"), F.when(k % 5 == 0, "EXIT").otherwise("ADJUST").alias("transition"),
+        (account % 3 * 0.25).alias("current"), (account % 4 * 0.25).alias("target"), F.lit(1e6).alias("value"),
+    )
+    return orders.guarded(rows, ["account"]).select("account", "id", "kept")

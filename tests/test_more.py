@@ -18,27 +18,11 @@ def test_sql_functions(spark):
     assert tuple(r) == ("STAR", 205, 100, 0, 10.01)
 
 
-def test_search_never_worsens_and_stays_in_bounds():
-    rng = np.random.default_rng(0)
-    price, low, step = rng.uniform(3, 30, 12), np.full(12, 100.0), np.full(12, 100.0)
-    target = rng.dirichlet(np.ones(12)) * 0.9
-    start = np.floor(target * 1e5 / price / 100) * 100
-    s = execution.search_shares(start, target, price, low, step, np.zeros(12), 1e5, 0.0003, 5.0, 0.4)
-    d = lambda x: ((x * price / 1e5 - target) ** 2).sum()
-    assert d(s) <= d(start) + 1e-3 and (s * price).sum() <= 1e5 and (s % 100 == 0).all()
-
-
 def test_group_repair():
     s = execution.repair_group_cap(np.array([500, 500, 100]), np.array([10.0, 10.0, 10.0]), np.full(3, 100), np.full(3, 100), np.array(["a", "a", "b"]), np.array([1.0, 0.5, 0.1]), 10000.0, 0.7)
     assert s.tolist() == [500, 200, 100]
 
 
-def test_replacement_guard():
-    keep = execution.replacement_guard(np.array(["SELL", "SELL", "BUY"]), np.array([3000.0, 2000.0, 900.0]), np.array([False, False, False]), 290.0)
-    assert not keep[:2].all()
-    assert execution.replacement_guard(np.array(["SELL"]), np.array([100.0]), np.array([True]), 0.0).all()
-
-
 def test_config(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"count": 5}))
     (tmp_path / "b.json").write_text(json.dumps({"extends": "a.json", "equity": 0.5}))
