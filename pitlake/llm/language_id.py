@@ -5,10 +5,10 @@ of any length, and all single bytes; pieces with capitals, digits or signs fit n
 part in any segmentation. Each language has a probability for every piece; the probability of a word is
 the sum over all of its segmentations, by the forward algorithm, and a text's is the product over its words.
 Piece probabilities come from forward-backward expectations on labelled documents, one language a task,
-on a bounded sample: words of at most ``SHORT`` bytes of about ``per_language`` documents, drawn by a hash
-of doc_id. Scoring covers every word of every text, whole: words over ``SHORT`` bytes take the same
-recursion in logarithms, which needs only as many columns as the longest piece has bytes, so a word of
-megabytes costs time in proportion to its length and no more memory.
+on a bounded sample: all words of about ``per_language`` documents, drawn by a hash of doc_id. Scoring covers every
+word of every text, whole. Words over ``SHORT`` bytes, as whole clauses are in scripts without spaces, take the same
+recursions in logarithms: scoring keeps only as many columns as the longest piece has bytes, learning one number
+a byte, so a word of megabytes costs time in proportion to its length.
 
 A word is a run of letters of any script with their marks, lower-cased, with the space before it.
 Words repeat, so a task keeps what it has computed in a table of fixed size. The model is a number for
@@ -36,8 +36,8 @@ from .workspace import fresh_name, prepare
 UND = "und"
 #: Bytes up to which words are scored by whole lattices, in plain probabilities: 32 pieces of 1e-8 are still above the least double.
 SHORT = 32
-#: Bytes of a task's table of words that it has scored; languages whose shares are broadcast at most.
-KNOWN_BYTES, FEW_LANGUAGES = 32 << 20, 10_000
+#: Bytes of a task's table of words that it has scored.
+KNOWN_BYTES = 32 << 20
 LETTER = wh.ALNUM.copy()
 LETTER[0x30:0x3A] = False
 
@@ -174,12 +174,45 @@ def word_log_probabilities(pieces: Pieces, p: np.ndarray, buf: np.ndarray, start
     return out
 
 
+class _Reach:
+    """Pieces that end at given places of words, by size."""
+
+    def __init__(self, pieces: Pieces, buf: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.pieces, self.start, self.end = pieces, start, end
+        self.power, self.inverse = wh._power_tables(len(buf) + 2)
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(wh._byte_values()[buf] * self.power[: len(buf)], out=self.sums[1:])
+
+    def found(self, t: int, many: int, n: int) -> np.ndarray:
+        """[i, size, word]: the piece of that size that ends with the first t + 1 + i bytes of one of the first n words, or none; one longer than these bytes takes the space in."""
+        pieces, sums, inverse = self.pieces, self.sums, self.inverse
+        ts = np.arange(t + 1, t + 1 + many)
+        start, end = self.start[:n, None], self.end[:n, None]
+        z = np.minimum(start + ts, end)  # past a word's end nothing is read off
+        out = np.empty((many, len(pieces.sizes), n), np.int64)
+        for i, k in enumerate(pieces.sizes.tolist()):
+            a = np.maximum(z - k, start)
+            h = (sums[z] - sums[a]) * inverse[a]
+            spaced = ts + 1 == k
+            if spaced.any():
+                h[:, spaced] = (sums[z[:, spaced]] - sums[a[:, spaced]]) * inverse[a[:, spaced]] * self.power[1] + wh._byte_values()[0x20]
+            piece = pieces.find(wh.mix(h + np.uint64(k)).ravel()).reshape(h.shape)
+            piece[:, ts + 1 < k] = pieces.n
+            piece[(ts > end - start)] = pieces.n
+            out[:, i] = piece.T
+        return out
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the sum of exponentials over the first axis; nothing adds up to -inf."""
+    top = x.max(0)
+    flat = np.where(np.isfinite(top), top, 0.0)
+    return flat + np.log(np.exp(x - flat).sum(0))
+
+
 def long_word_log_probabilities(pieces: Pieces, p: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
     """The same sum for words of any length, longest first: only the last columns that a piece can reach back to are kept, as logarithms."""
-    power, inverse = wh._power_tables(len(buf) + 2)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(wh._byte_values()[buf] * power[: len(buf)], out=sums[1:])
-    blank, step = wh._byte_values()[0x20], power[1]
+    reached = _Reach(pieces, buf, start, end)
     with np.errstate(divide="ignore"):
         logp = np.log(p)
     sizes, reach = pieces.sizes, int(pieces.sizes[-1])
@@ -191,26 +224,12 @@ def long_word_log_probabilities(pieces: Pieces, p: np.ndarray, buf: np.ndarray,
     t = 0
     while n:
         many = max(1, min(256, cells // (len(sizes) * n * langs)))
-        ts = np.arange(t + 1, t + 1 + many)
-        z = np.minimum(start[:n, None] + ts, end[:n, None])  # past a word's end nothing is read off
-        found = np.empty((many, len(sizes), n), np.int64)
-        for i, k in enumerate(sizes.tolist()):
-            a = np.maximum(z - k, start[:n, None])
-            h = (sums[z] - sums[a]) * inverse[a]
-            spaced = ts + 1 == k
-            if spaced.any():
-                h[:, spaced] = (sums[z[:, spaced]] - sums[a[:, spaced]]) * inverse[a[:, spaced]] * step + blank
-            piece = pieces.find(wh.mix(h + np.uint64(k)).ravel()).reshape(h.shape)
-            piece[:, ts + 1 < k] = pieces.n
-            found[:, i] = piece.T
-        weight = logp[found]
+        weight = logp[reached.found(t, many, n)]
         window = np.concatenate([window[-(reach + 1) :, :n], np.empty((many, n, langs))])
         base = window.shape[0] - many
-        with np.errstate(divide="ignore", invalid="ignore"):
+        with np.errstate(divide="ignore"):
             for j in range(many):
-                x = window[base + j - sizes] + weight[j]
-                top = x.max(0)
-                window[base + j] = top + np.log(np.exp(x - top).sum(0))
+                window[base + j] = _log_sum(window[base + j - sizes] + weight[j])
         for i in np.flatnonzero((size[:n] > t) & (size[:n] <= t + many)):
             out[i] = window[base + size[i] - t - 1, i]
         t += many
@@ -218,6 +237,54 @@ def long_word_log_probabilities(pieces: Pieces, p: np.ndarray, buf: np.ndarray,
     return out
 
 
+def long_expected(pieces: Pieces, p: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray, count: np.ndarray, cells: int = 1 << 20) -> np.ndarray:
+    """How often each piece is used over words of any length with these counts, for one language: forward and backward in logarithms.
+
+    Words go in groups of about one length whose bytes are ``cells`` at most, or alone.
+    """
+    used = np.zeros(pieces.n + 1)
+    order = np.argsort(start - end, kind="stable")
+    with np.errstate(divide="ignore"):
+        logp = np.log(p)
+    sizes, reach = pieces.sizes, int(pieces.sizes[-1])
+    at = 0
+    while at < len(order):
+        longest = int((end - start)[order[at]])
+        group = order[at : at + max(1, cells // (longest + 1))]
+        at += len(group)
+        s, size, n = start[group], (end - start)[group], len(group)
+        reached = _Reach(pieces, buf, s, end[group])
+        # Row reach + 1 + t: the space and the first t bytes; row reach: nothing yet.
+        ahead = np.full((reach + longest + 2, n), -np.inf)
+        ahead[reach], ahead[reach + 1] = 0.0, logp[pieces.space]
+        step = max(1, min(256, cells // (len(sizes) * n)))
+        with np.errstate(divide="ignore"):
+            for t in range(0, longest, step):
+                many = min(step, longest - t)
+                weight = logp[reached.found(t, many, n)]
+                for j in range(many):
+                    row = reach + 2 + t + j
+                    ahead[row] = _log_sum(ahead[row - sizes] + weight[j])
+        back = np.full_like(ahead, -np.inf)
+        back[reach + 1 + size, np.arange(n)] = 0.0
+        whole = ahead[reach + 1 + size, np.arange(n)]
+        share = np.where(np.isfinite(whole), count[group], 0.0)
+        whole = np.where(np.isfinite(whole), whole, 0.0)
+        for t in reversed(range(0, longest, step)):
+            many = min(step, longest - t)
+            piece = reached.found(t, many, n)
+            weight = logp[piece]
+            for j in reversed(range(many)):
+                row = reach + 2 + t + j
+                onward = weight[j] + back[row]
+                often = np.exp(ahead[row - sizes] + onward - whole) * share
+                used += np.bincount(piece[j].ravel(), often.ravel(), pieces.n + 1)
+                back[row - sizes] = np.logaddexp(back[row - sizes], onward)
+        used[pieces.space] += (np.exp(logp[pieces.space] + back[reach + 1] - whole) * share).sum()
+    used[-1] = 0
+    return used
+
+
 def _learn(path: str, spec: Spec):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         pieces = Pieces(path)
@@ -227,10 +294,13 @@ def _learn(path: str, spec: Spec):
         for _ in range(spec.rounds):
             used = np.zeros(pieces.n + 1)
             for lo, hi, buf, offs in wh.slices(col, 1 << 17):
-                used += Lattice(pieces, buf, offs[:-1], offs[1:]).expected(p, pieces.space, count[lo:hi])
+                start, end, n = offs[:-1], offs[1:], count[lo:hi]
+                short = end - start <= SHORT
+                used += Lattice(pieces, buf, start[short], end[short]).expected(p, pieces.space, n[short])
+                used += long_expected(pieces, p[:, 0], buf, start[~short], end[~short], n[~short])
             used[:-1] += spec.smoothing
             p = (used / used.sum())[:, None]
-        return pa.table({"lang": pa.array([key[0].as_py()] * pieces.n), "piece": np.arange(pieces.n), "p": p[:-1, 0]})
+        return pa.table({"lang": [key[0].as_py()], "p": [p[:-1, 0].tobytes()]})
 
     return run
 
@@ -240,8 +310,6 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offs in wh.slices(batch.column(1)):
             start, end, doc = letter_words(buf, offs)
-            short = end - start <= SHORT
-            start, end, doc = start[short], end[short], doc[short]
             h = wh.word_hashes(buf, start, end)
             langs, code = np.unique(np.array(batch.column(0).slice(lo, hi - lo).to_pylist(), object).astype(str), return_inverse=True)
             key = wh.mix(h ^ wh.mix(code[doc].astype(np.uint64)))
@@ -262,17 +330,11 @@ def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], n
     part = fresh_name("share")
     share = usable.groupBy("lang").agg((F.lit(spec.per_language) / F.count("*")).alias(part))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col(part) * (1 << 20))
-    few = share.limit(FEW_LANGUAGES + 1).count() <= FEW_LANGUAGES
-    sample = usable.select("doc_id", "lang", "text").join(F.broadcast(share) if few else share.hint("merge"), "lang").where(drawn)
+    sample = usable.select("doc_id", "lang", "text").join(share.hint("merge"), "lang").where(drawn)
     counts = sample.select("lang", wh.lettered(F.col("text"), digits=False).alias("text")).mapInArrow(_words_of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    learned = counts.groupBy("lang").applyInArrow(_learn(path, spec), "lang string, piece long, p double").toPandas()  # pieces x languages
-    langs = sorted(learned["lang"].unique())
-    n = int(learned["piece"].max()) + 1 if langs else 0
-    p = np.zeros((n + 1, len(langs)))
-    for k, name in enumerate(langs):
-        own = learned[learned["lang"] == name]
-        p[own["piece"].to_numpy(), k] = own["p"].to_numpy()
-    return langs, p
+    learned = sorted(tuple(r) for r in counts.groupBy("lang").applyInArrow(_learn(path, spec), "lang string, p binary").collect())  # a row a language
+    langs = [lang for lang, _ in learned]
+    return langs, np.column_stack([np.append(np.frombuffer(p), 0.0) for _, p in learned]) if langs else np.zeros((1, 0))
 
 
 def scorer(langs: list[str], p: np.ndarray, path: str):

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter, defaultdict
 from decimal import Decimal
 
@@ -76,6 +77,37 @@ def test_forward_sums_all_segmentations_of_words_of_any_length():
     assert np.allclose(got, [brute_word(pieces, p, w) for w in words], rtol=1e-9)
 
 
+def test_expected_counts_of_long_words_equal_those_of_whole_lattices():
+    pieces = language_id.Pieces(language_id.default_path())
+    rng = np.random.default_rng(3)
+    p = np.append(rng.dirichlet(np.ones(pieces.n)), 0.0)[:, None]
+    words = ["北京是中华人民共和国的首都".encode(), b"internationalisation" * 2, "กรุงเทพมหานคร".encode(), b"a", b"the", bytes(rng.integers(97, 123, 45).astype(np.uint8))]
+    buf = np.frombuffer(b" ".join(words), np.uint8)
+    end = np.cumsum([len(w) + 1 for w in words]) - 1
+    start, count = end - [len(w) for w in words], np.array([2.0, 1.0, 5.0, 7.0, 1.0, 3.0])
+    want = language_id.Lattice(pieces, buf, start, end).expected(p, pieces.space, count)
+    for cells in (1 << 20, 64):
+        assert np.allclose(language_id.long_expected(pieces, p[:, 0], buf, start, end, count, cells), want, rtol=1e-9)
+    one = np.frombuffer(b"ab" * 20_000, np.uint8)  # far below the least double
+    used = language_id.long_expected(pieces, p[:, 0], one, np.array([0]), np.array([len(one)]), np.array([1.0]))
+    assert np.isfinite(used).all() and used.sum() > 5_000
+    assert not language_id.long_expected(pieces, p[:, 0], buf, start[:0], end[:0], count[:0]).any()
+
+
+def test_languages_without_spaces_are_learned(spark):
+    """Documents that are one clause of fifty characters each, in three scripts without spaces, and English."""
+    rng = random.Random(2)
+    letters = {"zh": [chr(c) for c in range(0x4E00, 0x4E60)], "ja": [chr(c) for c in range(0x3042, 0x3092)], "th": [chr(c) for c in range(0x0E01, 0x0E2E)]}
+    rows = []
+    for i in range(240):
+        lang = ["zh", "ja", "th", "en"][i % 4]
+        text = " ".join(rng.choice(["the", "house", "of", "cats", "is", "there"]) for _ in range(20)) if lang == "en" else "".join(rng.choice(letters[lang]) for _ in range(50))
+        rows.append((i, text, lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language_id.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(out) > 50 and all(r.lang_pred == r.lang for r in out)
+
+
 def test_expected_counts_are_those_of_all_segmentations():
     pieces = language_id.Pieces(language_id.default_path())
     p = np.append(np.random.default_rng(0).random(pieces.n), 0)[:, None]
