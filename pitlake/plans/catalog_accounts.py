@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions import trading as T
-from pitlake.operators import alpha, asof, evaluate, orders, portfolio, reports, risk, scoring
+from pitlake.operators import alpha, asof, evaluate, gaps, orders, portfolio, reports, risk, scoring
 from pitlake.operators import windows as W
 from pitlake.plans.catalog import WEEKLY, _SCHEDULE, query, rounded, weekly_returns
 from pitlake.plans.views import CROSS, PANEL, cross_section, panel, table
 from pitlake.sources import panels, reference, upsert
-from pitlake.streaming import incremental
+from pitlake.streaming import incremental, maturing
 
 # Ingestion
 
@@ -101,7 +101,7 @@ def first_positive_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH l AS (SELECT CAST(o_orderdate AS DATE) AS exit_date, o_totalprice AS v FROM orders) SELECT exit_date <= DATE '1998-06-30' AS known, count(*) AS n, round(sum(v), 2) AS total FROM l GROUP BY 1""")
 def matured_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("exit_date"), F.col("o_totalprice").alias("v"))
-    known, waiting = incremental.matured(rows, "1998-06-30")
+    known, waiting = maturing.matured(rows, "1998-06-30")
     total = lambda df, k: df.agg(F.lit(k).alias("known"), F.count("*").alias("n"), F.round(F.sum("v"), 2).alias("total")).where("n > 0")
     return total(known, True).union(total(waiting, False))
 
@@ -330,3 +330,22 @@ def guarded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         (account % 3 * 0.25).alias("current"), (account % 4 * 0.25).alias("target"), F.lit(1e6).alias("value"),
     )
     return orders.guarded(rows, ["account"]).select("account", "id", "kept")
+
+
+# Opening gaps
+
+
+_GAPS = f"""{PANEL}, v AS (SELECT code, trade_date, daily_return AS g FROM panel WHERE abs(daily_return) <= 0.9),
+sq AS (SELECT code, trade_date, count(*) OVER w AS n, quantile_cont(g, 0.1) OVER w AS lo, quantile_cont(g, 0.5) OVER w AS mid, quantile_cont(g, 0.9) OVER w AS hi FROM v WINDOW w AS (PARTITION BY code ORDER BY trade_date ROWS 251 PRECEDING)),
+dq AS (SELECT trade_date, quantile_cont(g, 0.1) AS lo, quantile_cont(g, 0.5) AS mid, quantile_cont(g, 0.9) AS hi FROM v GROUP BY 1),
+mq AS (SELECT trade_date, median(lo) OVER w AS lo, median(mid) OVER w AS mid, median(hi) OVER w AS hi FROM dq WINDOW w AS (ORDER BY trade_date ROWS 59 PRECEDING)),
+pm AS (SELECT code, panel.trade_date, coalesce(lo, -0.015) AS mlo, coalesce(mid, 0.0) AS mmid, coalesce(hi, 0.015) AS mhi FROM panel ASOF LEFT JOIN mq ON panel.trade_date >= mq.trade_date),
+ps AS (SELECT pm.*, coalesce(n, 0) AS n, lo, mid, hi, coalesce(n, 0) / (coalesce(n, 0) + 40.0) * least(1.0, coalesce(n, 0) / 60.0) AS r FROM pm ASOF LEFT JOIN sq ON pm.code = sq.code AND pm.trade_date >= sq.trade_date),
+ml AS (SELECT code, trade_date, n, r, list_sort([CASE WHEN n > 0 THEN r * lo + (1 - r) * mlo ELSE mlo END, CASE WHEN n > 0 THEN r * mid + (1 - r) * mmid ELSE mmid END, CASE WHEN n > 0 THEN r * hi + (1 - r) * mhi ELSE mhi END]) AS t FROM ps)"""
+
+
+@query(f"""WITH {_GAPS} SELECT code, trade_date, n AS observations, round(t[1], 6) + 0.0 AS lower_gap, round(t[2], 6) + 0.0 AS expected_gap, round(t[3], 6) + 0.0 AS upper_gap, CASE WHEN n = 0 THEN 'market_fallback' WHEN r < 0.999 THEN 'stock_market_shrunk' ELSE 'stock_history' END AS source FROM ml""")
+def opening_gaps_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = panel(spark, sf_dir).select("code", "trade_date", F.col("close").alias("open"), (F.col("close") / (1 + F.col("daily_return"))).alias("prev_close"))
+    out = gaps.opening_gaps(days, gaps.Gaps(widest=0.9))
+    return out.select("code", "trade_date", "observations", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lower_gap", "expected_gap", "upper_gap")], "source")

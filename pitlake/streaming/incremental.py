@@ -1,20 +1,14 @@
-"""Incremental surfaces: daily files as a stream, maturing labels, and a stateful gap estimator."""
+"""Incremental surfaces: daily files as a stream, late events, and a stateful gap estimator; labels that wait are in ``maturing``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from pitlake.operators.gaps import Gaps, stream_step
 from pitlake.sources.upsert import upsert
 
-GAPS = "code string, trade_date date, n long, low_gap double, mid_gap double, high_gap double"
-
-
 def daily_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
     """New daily files of a folder; each is read once (the checkpoint remembers)."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
@@ -44,31 +38,13 @@ def ingest(stream: DataFrame, target: str, key: list[str], order: str, checkpoin
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def matured(labels: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
-    """Labels whose exit is known by a date, and those that still wait."""
-    known = F.col("exit_date") <= F.lit(as_of)
-    return labels.where(known), labels.where(~known)
-
-
 def late_events(events: DataFrame, ts: str, delay: str, key: list[str]) -> DataFrame:
     """Counts and sums per day and key; events later than the delay are dropped by the watermark."""
     return events.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), *key).agg(F.count("*").alias("n"), F.sum("value").alias("value"))
 
 
-def _estimate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Quantiles of a code's last 252 gaps after each batch of its days."""
-    gaps = list(state.get[0]) if state.exists else []
-    rows = pd.concat(list(batches)).sort_values("trade_date")
-    out = []
-    for r in rows.itertuples(index=False):
-        if r.prev_close > 0 and r.open > 0 and abs(r.open / r.prev_close - 1) <= 0.3:
-            gaps = [*gaps, float(r.open / r.prev_close - 1)][-252:]
-        if gaps:
-            out.append((key[0], r.trade_date, len(gaps), *np.quantile(gaps, [0.2, 0.5, 0.8])))
-    state.update((gaps,))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in GAPS.split(", ")])
-
-
-def gap_estimator(days: DataFrame) -> DataFrame:
-    """A stream of (code, trade_date, open, prev_close) to the state of each code's gap quantiles."""
-    return days.groupBy("code").applyInPandasWithState(_estimate, GAPS, "gaps array<double>", "append", GroupStateTimeout.NoTimeout)
+def gap_estimator(days: DataFrame, spec: Gaps = Gaps()) -> DataFrame:
+    """A stream of (code, trade_date, open, prev_close), each code's days in order of time, to its gap quantiles after each day, as ``gaps.stock_quantiles`` has them."""
+    kinds = dict(days.dtypes)
+    schema = f"code {kinds['code']}, trade_date {kinds['trade_date']}, observations long, stock_low double, stock_mid double, stock_high double"
+    return days.groupBy("code").applyInPandasWithState(stream_step(spec), schema, "gaps array<double>", "append", GroupStateTimeout.NoTimeout)

@@ -1,11 +1,14 @@
 import datetime as dt
+import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pitlake.operators import gaps
 from pitlake.sources import panels, upsert, workbooks
-from pitlake.streaming import incremental
+from pitlake.streaming import incremental, maturing
 
 D = dt.date
 
@@ -81,16 +84,76 @@ def test_incremental_ingestion_is_idempotent(spark, tmp_path):
     assert got == {("a", "2024-01-02"): 9.0, ("a", "2023-01-02"): 2.0, ("b", "2024-01-03"): 3.0}
 
 
-def test_gap_estimator_keeps_state(spark, tmp_path):
+def test_gap_stream_equals_the_batch_and_numpy(spark, tmp_path):
+    rng = np.random.default_rng(1)
     schema = "code string, trade_date date, open double, prev_close double"
+    rows = [(c, D(2024, 1, 1) + dt.timedelta(d), float(10 + rng.normal()) if rng.random() < 0.95 else None, float(rng.choice([10.0, 10.0, 10.0, 0.0, 5.0]))) for c in ("a", "b", "c") for d in range(40)]
     src = str(tmp_path / "days")
-    for k in range(3):
-        spark.createDataFrame([("a", D(2024, 1, 2 + k), 10.0 + k, 10.0)], schema).coalesce(1).write.mode("append").parquet(src)
-    stream = incremental.daily_stream(spark, src, schema, 1)
-    q = incremental.gap_estimator(stream).writeStream.format("memory").queryName("gaps").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(r.n for r in spark.table("gaps").collect()) == [1, 2, 3]
-    assert spark.table("gaps").where("n = 3").agg(F.max("mid_gap")).first()[0] == pytest.approx(0.1)
+    for k in range(4):  # a file for ten days each
+        part = [r for r in rows if (r[1] - D(2024, 1, 1)).days // 10 == k]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(0.05)  # files are taken in order of their time
+    spec = gaps.Gaps(lookback=12, least=5, market_days=4)
+    start = lambda: incremental.gap_estimator(incremental.daily_stream(spark, src, schema, 1), spec).writeStream.format("memory").queryName("gap_rows").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    start().awaitTermination()
+    key = lambda df: sorted((r.code, r.trade_date, r.observations, r.stock_low, r.stock_mid, r.stock_high) for r in df.collect())
+    days = spark.createDataFrame(rows, schema)
+    batch = key(gaps.stock_quantiles(days, spec))
+    assert key(spark.table("gap_rows")) == batch and len(batch) == 120
+    per_day, seen = {}, {}
+    market = []
+    estimates = {(r.code, r.trade_date): r for r in gaps.opening_gaps(days, spec).collect()}
+    for d in sorted({r[1] for r in rows}):
+        valid = [(c, o / p - 1) for c, day, o, p in rows if day == d and o and p and abs(o / p - 1) <= 0.35]
+        for c, g in valid:
+            seen.setdefault(c, []).append(g)
+        if valid:
+            market.append(np.quantile([g for _, g in valid], spec.levels))
+        for c in "abc":
+            own = seen.get(c, [])[-12:]
+            m = np.median(market[-4:], axis=0) if market else np.array(gaps.NO_MARKET)
+            n = len(own)
+            trust = n / (n + 40) * min(1, n / 5)
+            want = sorted(trust * np.quantile(own, spec.levels) + (1 - trust) * m) if n else m
+            r = estimates[(c, d)]
+            per_day[(c, d)] = n
+            assert (r.lower_gap, r.expected_gap, r.upper_gap) == pytest.approx(tuple(want)) and r.observations == n
+    assert [b[2] for b in batch] == [per_day[b[:2]] for b in batch]
+
+
+def test_labels_mature_across_a_restart(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = np.random.default_rng(4)
+    T0 = dt.datetime(2024, 1, 1)
+    schema = "code string, entry timestamp, exit timestamp, value double"
+    rows = [(f"c{i % 5}", T0 + dt.timedelta(hours=i), T0 + dt.timedelta(hours=i + int(rng.integers(1, 60))), float(i)) for i in range(120)]
+    late = [("c0", T0 + dt.timedelta(hours=3), T0 + dt.timedelta(hours=200), -1.0)]  # enters behind the watermark
+    passed = ("c1", T0 + dt.timedelta(hours=112), T0 + dt.timedelta(hours=60), -2.0)  # exit long past, entry not
+    src, check, out = (str(tmp_path / x) for x in ("in", "check", "out"))
+
+    def put(part):
+        rng.shuffle(part)
+        spark.createDataFrame([tuple(x) for x in part], schema).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        q = maturing.mature(stream, "10 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return {r.value for r in spark.read.schema(schema).parquet(out).collect()}
+
+    put(rows[:60])
+    first = run()
+    mark = T0 + dt.timedelta(hours=59 - 10)
+    assert first == {v for _, _, e, v in rows[:60] if e <= mark}
+    put(rows[60:] + [rows[7]])  # one that came out already, and is late now
+    put(late + [passed])
+    got = run()
+    mark = T0 + dt.timedelta(hours=119 - 10)
+    assert got == {v for _, _, e, v in rows if e <= mark} | {-2.0}
+    whole = spark.read.schema(schema).parquet(out)
+    assert whole.count() == len(got)  # nothing twice
+    batch, waiting = maturing.matured(spark.createDataFrame(rows, schema).withColumn("exit_date", F.col("exit")), mark)
+    assert {r.value for r in batch.collect()} == got - {-2.0} and waiting.count() == 120 - len(got) + 1
 
 
 def test_reports_carry_the_mark_and_json_nulls(spark, tmp_path):
