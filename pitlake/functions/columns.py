@@ -83,8 +83,17 @@ def agreed_price(preferred: Column, candidates: Column, tolerance: float = 0.005
     return F.round(F.coalesce(positive(preferred), F.when((F.size(usable) > 0) & (high <= low * (1 + tolerance)), mean)), 2)
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text in one form: keys sorted at every depth, no blanks, numbers without needless zeros or exponents, nulls kept; null where it is no JSON.
+
+    A variant keeps the fields of objects in order of their names and numbers as decimals; what was written with an exponent becomes one on the second reading.
+    """
+    return F.to_json(F.parse_json(F.to_json(F.try_parse_json(text))))
+
+
 def config_hash(*parts: Column) -> Column:
-    return F.sha2(F.to_json(F.struct(*parts)), 256)
+    """SHA-256 of the parts' canonical JSON: the order in which fields were given does not matter, at any depth."""
+    return F.sha2(canonical_json(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"})), 256)
 
 
 def account_id(c: Column) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pitlake.functions import columns as C
 from pitlake.functions import trading as T
-from pitlake.operators import alpha, asof, evaluate, gaps, orders, portfolio, reports, risk, scoring
+from pitlake.operators import adjust, alpha, asof, evaluate, gaps, orders, portfolio, reports, risk, scoring
 from pitlake.operators import windows as W
 from pitlake.plans.catalog import WEEKLY, _SCHEDULE, query, rounded, weekly_returns
 from pitlake.plans.views import CROSS, PANEL, cross_section, panel, table
-from pitlake.sources import panels, reference, upsert
+from pitlake.sources import manifest, panels, reference, upsert
 from pitlake.streaming import incremental, maturing
 
 # Ingestion
@@ -349,3 +350,62 @@ def opening_gaps_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = panel(spark, sf_dir).select("code", "trade_date", F.col("close").alias("open"), (F.col("close") / (1 + F.col("daily_return"))).alias("prev_close"))
     out = gaps.opening_gaps(days, gaps.Gaps(widest=0.9))
     return out.select("code", "trade_date", "observations", *[(F.round(c, 6) + 0.0).alias(c) for c in ("lower_gap", "expected_gap", "upper_gap")], "source")
+
+
+# Sources
+
+
+@query("""WITH m AS (SELECT 'f' || o_custkey AS source, o_custkey % 97 AS size, o_orderkey % 5 AS mtime, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS number, o_orderstatus = 'F' AS ok FROM orders),
+c AS (SELECT source, arg_max(size, number) AS size, arg_max(mtime, number) AS mtime FROM m WHERE ok GROUP BY 1), h AS (SELECT source, max(number) AS n FROM m GROUP BY 1),
+f AS (SELECT 'f' || c_custkey AS source, c_custkey % 97 AS size, c_custkey % 5 AS mtime FROM customer)
+SELECT f.source, f.size, f.mtime, coalesce(n, 0) + 1 AS number FROM f LEFT JOIN c ON c.source = f.source LEFT JOIN h ON h.source = f.source WHERE c.source IS NULL OR f.size <> c.size OR f.mtime <> c.mtime""")
+def sources_to_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of customers as files, with orders as the manifest of their loads: which changed since their last complete load, and the version each gets."""
+    source = F.concat(F.lit("f"), F.col("o_custkey"))
+    number = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    m = table(spark, sf_dir, "orders").select(source.alias("source"), (F.col("o_custkey") % 97).alias("size"), (F.col("o_orderkey") % 5).alias("mtime"), number.alias("number"), F.col("o_orderkey").cast("string").alias("version"), F.when(F.col("o_orderstatus") == "F", "complete").otherwise("running").alias("status"), F.lit(1).alias("rows"))
+    found = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey")).alias("source"), (F.col("c_custkey") % 97).alias("size"), (F.col("c_custkey") % 5).alias("mtime"))
+    return manifest.to_load(found, m)
+
+
+# Adjusted prices and closing views
+
+
+_EX = "ev AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS ex, 1 + l_discount AS f FROM lineitem WHERE l_linenumber >= 4 AND l_discount > 0)"
+
+
+@query(f"""WITH {PANEL}, {_EX}, dy AS (SELECT code, ex, sum(ln(f)) AS g FROM ev GROUP BY 1, 2), cu AS (SELECT code, ex, exp(sum(g) OVER (PARTITION BY code ORDER BY ex)) AS c, exp(sum(g) OVER (PARTITION BY code)) AS t FROM dy), tt AS (SELECT DISTINCT code, t FROM cu)
+SELECT p.code, trade_date, round(ln(coalesce(c, 1)), 6) + 0.0 AS log_factor, round(ln(close * coalesce(c, 1)), 6) + 0.0 AS log_backward, round(ln(close * coalesce(c, 1) / coalesce(tt.t, 1)), 6) + 0.0 AS log_forward
+FROM panel p ASOF LEFT JOIN cu ON p.code = cu.code AND p.trade_date >= cu.ex LEFT JOIN tt ON tt.code = p.code""")
+def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of suppliers, adjusted by the factors of lines sold at a discount; as logarithms, since products of many factors grow."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber >= 4 and l_discount > 0")
+    events = li.select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("ex"), (1 + F.col("l_discount")).alias("f"))
+    out = adjust.adjusted_prices(panel(spark, sf_dir).select("code", "trade_date", "close"), events, ["code"], "trade_date", "close", "ex", "f")
+    log = lambda c: (F.round(F.ln(c), 6) + 0.0)
+    return out.select("code", "trade_date", log("backward_factor").alias("log_factor"), log("backward_price").alias("log_backward"), log("forward_price").alias("log_forward"))
+
+
+@query(f"""WITH {PANEL}, n AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS trade_date, min(l_returnflag) AS reason FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2),
+j AS (SELECT p.code, p.trade_date, close, reason FROM panel p LEFT JOIN n ON n.code = p.code AND n.trade_date = p.trade_date)
+SELECT code, trade_date AS latest_trade_date, round(close + 1e-7, 4) AS latest_close, CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS no_limit, reason AS no_limit_reason FROM j QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) = 1""")
+def closing_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    free = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date"), F.col("l_returnflag").alias("reason"))
+    views = adjust.closing_views(adjust.with_no_limit(p, free, ["code"], "trade_date"))
+    meta = views["stock_meta"].select("code", "latest_trade_date", F.round(F.col("latest_close") + 1e-7, 4).alias("latest_close"))
+    return meta.join(views["latest_prices"].select("code", "no_limit", "no_limit_reason"), "code")
+
+
+# Settings
+
+
+@query("""SELECT c_custkey, sha256('{"a":' || regexp_replace(CAST(c_acctbal AS VARCHAR), '\\.0$', '') || ',"b":{"k":' || c_custkey || ',"n":[' || c_nationkey || ',1000],"z":null},"name":"' || c_name || '"}') AS hash, TRUE AS same FROM customer""")
+def settings_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same settings as columns in one order and as text in another, with other spaces and number forms."""
+    c = table(spark, sf_dir, "customer")
+    key, nation, a, name = (F.col(x) for x in ("c_custkey", "c_nationkey", "c_acctbal", "c_name"))
+    inner = F.struct(F.lit(None).cast("string").alias("z"), key.alias("k"), F.array(nation, F.lit(1000).cast("bigint")).alias("n"))
+    hashed = C.config_hash(name.alias("name"), inner.alias("b"), a.alias("a"))
+    text = F.concat(F.lit('{ "b" : {"n":['), nation.cast("string"), F.lit('.0, 1e3], "k":'), key.cast("string"), F.lit('.00, "z": null}, "name":"'), name, F.lit('", "a":'), a.cast("string"), F.lit("}"))
+    return c.select("c_custkey", hashed.alias("hash"), (hashed == F.sha2(C.canonical_json(text), 256)).alias("same"))

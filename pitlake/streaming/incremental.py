@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pitlake.operators.gaps import Gaps, stream_step
+from pitlake.sources.manifest import SourceStore, current
 from pitlake.sources.upsert import upsert
 
 def daily_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -14,26 +15,20 @@ def daily_stream(spark: SparkSession, folder: str, schema: str, per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
-def ingest(stream: DataFrame, target: str, key: list[str], order: str, checkpoint: str):
-    """Upsert all files that are there into the target and stop; a restart goes on where it ended.
+def ingest(stream: DataFrame, store: SourceStore, key: list[str], order: str, checkpoint: str):
+    """Upsert all files that are there into the store and stop; a restart goes on where it ended.
 
-    A batch rewrites only the years it holds, into versioned folders, so a repeated batch gives the same.
+    The store's sources are years. A batch writes a new version of each year it holds, from the current one and its own rows, so readers
+    see a year before or after the batch, and a batch that is repeated gives the same.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.withColumn("year", F.year(order))
-        years = [r["year"] for r in fresh.select("year").distinct().collect()]  # the years of one batch
-        try:
-            old = spark.read.parquet(target).where(F.col("year").isin(years)).select(fresh.columns)
-        except Exception as e:  # the first batch finds no target
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = fresh.limit(0)
-        merged = upsert(old, fresh, key, [F.desc(order)])
-        staged = f"{target}__staged"
-        merged.write.mode("overwrite").parquet(staged)  # the target is an input: written apart first
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
+        fresh = batch.withColumn("source", F.year(order).cast("string"))
+        numbers = current(store.manifest()).select("source", F.col("number").alias("_n"))
+        years = fresh.groupBy("source").agg(F.count("*").alias("size")).join(numbers, "source", "left")
+        versions = years.select("source", "size", F.lit(epoch).cast("long").alias("mtime"), (F.coalesce("_n", F.lit(0)) + 1).cast("long").alias("number"))
+        old = store.read().join(F.broadcast(versions.select("source")), "source", "left_semi")  # the years of one batch
+        store.replace(upsert(old.select(fresh.columns), fresh, key, [F.desc(order)]), versions)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

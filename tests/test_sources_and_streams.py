@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlake.operators import gaps
-from pitlake.sources import panels, upsert, workbooks
+from pitlake.sources import manifest, panels, upsert, workbooks
 from pitlake.streaming import incremental, maturing
 
 D = dt.date
@@ -74,14 +74,44 @@ def test_panel_reader(spark, tmp_path):
 def test_incremental_ingestion_is_idempotent(spark, tmp_path):
     schema = "code string, trade_date date, close double"
     src, target, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    store = manifest.SourceStore(spark, target, schema)
+    assert store.read().count() == 0 and store.vacuum() == 0
     spark.createDataFrame([("a", D(2024, 1, 2), 1.0), ("a", D(2023, 1, 2), 2.0)], schema).write.mode("append").parquet(src)
-    run = lambda: incremental.ingest(incremental.daily_stream(spark, src, schema), target, ["code", "trade_date"], "trade_date", check).awaitTermination()
+    run = lambda: incremental.ingest(incremental.daily_stream(spark, src, schema), store, ["code", "trade_date"], "trade_date", check).awaitTermination()
     run()
     spark.createDataFrame([("a", D(2024, 1, 2), 9.0), ("b", D(2024, 1, 3), 3.0)], schema).write.mode("append").parquet(src)
     run()
     run()
-    got = {(r.code, str(r.trade_date)): r.close for r in spark.read.parquet(target).collect()}
+    got = {(r.code, str(r.trade_date)): r.close for r in store.read().collect()}
     assert got == {("a", "2024-01-02"): 9.0, ("a", "2023-01-02"): 2.0, ("b", "2024-01-03"): 3.0}
+    assert store.vacuum() == 1 and store.read().count() == 3
+
+
+def test_a_load_that_is_killed_is_repaired_by_the_next(spark, tmp_path):
+    store = manifest.SourceStore(spark, str(tmp_path / "s"), "v long")
+    files = lambda **k: spark.createDataFrame([(f, s, 1) for f, s in k.items()], "source string, size long, mtime long")
+    rows = lambda todo: todo.select("source", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("v"))
+    state = lambda: {r.source: r.n for r in store.read().groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert store.load(files(a=3, b=2), rows) == ["a", "b"] and state() == {"a": 3, "b": 2}
+    assert store.load(files(a=3, b=2), rows) == []
+
+    def dies(todo):  # after some rows have been written
+        return rows(todo).withColumn("v", F.when(F.col("v") > 4, F.raise_error(F.lit("killed")).cast("long")).otherwise(F.col("v")))
+
+    with pytest.raises(Exception, match="killed"):
+        store.load(files(a=5, b=4, c=1), dies)
+    assert state() == {"a": 3, "b": 2}  # the rows of before, whole
+    assert store.manifest().where("status = 'running'").count() == 5
+    # Worse: all rows are there, but the load ended before it could say so.
+    record, store._record = store._record, lambda df: record(df) if df.first().status == "running" else 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        store.load(files(a=4, b=2), rows)
+    store._record = record
+    assert state() == {"a": 3, "b": 2}
+    assert store.load(files(a=5, b=2, c=1), rows) == ["a", "c"] and state() == {"a": 5, "b": 2, "c": 1}
+    assert {(r.source, r.rows) for r in manifest.current(store.manifest()).collect()} == {("a", 5), ("b", 2), ("c", 1)}
+    assert store.vacuum() >= 2 and state() == {"a": 5, "b": 2, "c": 1}
+    assert store.load(files(c=0), lambda todo: rows(todo.where("size > 0"))) == ["c"] and state() == {"a": 5, "b": 2}
 
 
 def test_gap_stream_equals_the_batch_and_numpy(spark, tmp_path):
