@@ -107,7 +107,7 @@ def test_workbook_round_trip(spark, tmp_path):
     path = str(tmp_path / "r.xlsx")
     workbook_sink.write_workbook({"one/two": df, "ONE_two": df.limit(0)}, path)
     rows = list(workbooks.rows_of(path))
-    assert [c for s, _, c in rows if s == "one_two"] == [["s", "v", "d", "f"], ["<a> & b", "1.5", "2020-01-02", "1"], [], ["xy", None, "2021-01-02", "0"]]
+    assert [c for s, _, c in rows if s == "one_two"] == [["s", "v", "d", "f"], ["<a> & b", "1.5", "2020-01-02", "1"], [None] * 4, ["xy", None, "2021-01-02", "0"]]
     assert [s for s, _, _ in rows][-1] == "ONE_two_2"
     assert workbook_sink._letters(27) == "AB" and workbook_sink.sheet_names([""]) == ["Sheet1"]
 

@@ -1,13 +1,14 @@
 import datetime as dt
 import time
 import zipfile
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pitlake.operators import gaps
-from pitlake.sources import manifest, panels, upsert, workbooks
+from pitlake.sources import manifest, panels, upsert, workbook_sink, workbooks
 from pitlake.streaming import incremental, maturing
 
 D = dt.date
@@ -38,7 +39,7 @@ def test_workbooks(spark, tmp_path):
     workbook(tmp_path / "a_2020.xlsx", [["Stkcd", "Trddt", "Clsprc"], ["code", "date", "price"], ["1", 43833, 10.5], ["2", None, "x"]])
     workbook(tmp_path / "a_2021.xlsx", [["Symbol", "Trddt", "Clsprc"], ["", "", ""], ["600000.0", "2021-01-04", "1,234.5"]])
     (tmp_path / "~$a_2020.xlsx").write_text("lock")
-    spark.dataSource.register(workbooks.WorkbookSource)
+    workbooks.register(spark)
     raw = spark.read.format("workbook").schema("Stkcd string, Trddt string, Clsprc string").options(path=str(tmp_path), skipRows="1", aliases='{"Stkcd": ["Symbol"]}').load()
     clean = panels.clean_daily(raw.toDF("code", "trade_date", "close"))
     got = {r.code: (r.trade_date, r.close, r.reason) for r in clean.collect()}
@@ -46,6 +47,47 @@ def test_workbooks(spark, tmp_path):
     assert len(workbooks.discover(str(tmp_path), range(2021, 2022))) == 1
 
 
+def test_filters_reach_the_workbooks(spark, tmp_path):
+    head = ["Stkcd", "Trddt", "Clsprc", "Other"]
+    for y in (2019, 2020, 2021):
+        workbook(tmp_path / f"daily_{y}.xlsx", [head, *[[f"{i % 7:06d}", f"{y}-01-{i % 28 + 1:02d}", i + 0.5, "x"] for i in range(400)]])
+    (tmp_path / "daily_2022.xlsx").write_text("no workbook: opening it fails")
+    workbooks.register(spark)
+    raw = spark.read.format("workbook").schema("Stkcd string, Clsprc string, source_year int, source_row string").options(path=str(tmp_path), splitBytes="4000").load()
+    with pytest.raises(Exception, match="zip"):
+        raw.count()
+    some = raw.where("source_year = 2020 and Stkcd in ('000001', '000003')")
+    assert some.rdd.getNumPartitions() > 4  # one sheet in several partitions
+    got = sorted((int(r.source_row), r.Stkcd, float(r.Clsprc)) for r in some.collect())
+    assert got == [(i + 2, f"{i % 7:06d}", i + 0.5) for i in range(400) if i % 7 in (1, 3)]
+    assert raw.where("source_year < 2022 and source_year >= 2020").count() == 800 and raw.where("source_year in (2019, 1999)").count() == 400
+    assert raw.where("source_year = 1990").count() == 0 and raw.where("source_year = 2019 and Stkcd = '000001' and Stkcd = '000002'").count() == 0
+    reader = workbooks._Reader(raw.schema, {"path": str(tmp_path), "splitBytes": "4000"})
+    left = list(reader.pushFilters([workbooks.EqualTo(("Stkcd",), "1"), workbooks.GreaterThan(("Stkcd",), "1"), workbooks.EqualTo(("source_year",), 2020)]))
+    assert left == [workbooks.GreaterThan(("Stkcd",), "1")] and {Path(p.path).stem for p in reader.partitions()} == {"daily_2020"}
+    for split in (50, 333, 10**6):  # whatever the ranges, each row comes once, and headers never
+        n = spark.read.format("workbook").schema("Stkcd string").options(path=str(tmp_path / "daily_2021.xlsx"), splitBytes=str(split), skipRows="2").load()
+        assert n.count() == 398
+
+
+def test_sink_round_trip(spark, tmp_path):
+    workbooks.register(spark)
+    spark.dataSource.register(workbook_sink.WorkbookSink)
+    path = str(tmp_path / "out.xlsx")
+    df = spark.range(0, 3000, 1, 6).select(F.col("id").cast("string").alias("k"), (F.col("id") * 0.5).alias("v"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("<&> "), "id")).alias("t"))
+    df.write.format("workbook_sink").mode("overwrite").options(path=path, sheet="Rows").save()
+    back = spark.read.format("workbook").schema("k string, v string, t string, source_row string").options(path=path, splitBytes="20000").load()
+    rows = {r.k: (float(r.v), r.t) for r in back.collect()}
+    assert rows == {str(i): (i * 0.5, f"<&> {i}" if i % 3 == 0 else None) for i in range(3000)} and back.rdd.getNumPartitions() > 3
+    assert [c[0] for _, _, c in workbooks.rows_of(path)][1:] == [str(i) for i in range(3000)]  # partitions in order
+    with pytest.raises(Exception, match="there already"):
+        df.write.format("workbook_sink").mode("append").option("path", path).save()
+    dies = df.withColumn("v", F.when(F.col("k") == "2999", F.raise_error(F.lit("dies")).cast("double")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="dies"):
+        dies.write.format("workbook_sink").mode("overwrite").option("path", path).save()
+    assert len(list(workbooks.rows_of(path))) == 3001 and sorted(p.name for p in tmp_path.iterdir()) == ["out.xlsx"]
+
+
 def test_chained_prices_and_overlap(spark):
     old = spark.createDataFrame([("a", D(2024, 1, 2), 10.0, 20.0)], "code string, trade_date date, close double, adj_close double")
     new = spark.createDataFrame([("a", D(2024, 1, 2), 10.5, 0.0), ("a", D(2024, 1, 3), 11.0, 0.1), ("a", D(2024, 1, 4), 11.0, 0.0), ("b", D(2024, 1, 3), 5.0, 0.2)], "code string, trade_date date, close double, daily_return double")
