@@ -38,6 +38,8 @@ UND = "und"
 SHORT = 32
 #: Bytes of a task's table of words that it has scored.
 KNOWN_BYTES = 32 << 20
+#: Hashes of languages in the table that thins documents before the sample is drawn.
+SLOTS = 4096
 LETTER = wh.ALNUM.copy()
 LETTER[0x30:0x3A] = False
 
@@ -327,10 +329,17 @@ def learn(docs: DataFrame, path: str, spec: Spec = Spec()) -> tuple[list[str], n
     """Languages and their piece probabilities (pieces x languages), learned from labelled documents that are not held out."""
     prepare(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(docs))
-    part = fresh_name("share")
+    part, salt, salts = fresh_name("share"), fresh_name("salt"), 64
     share = usable.groupBy("lang").agg((F.lit(spec.per_language) / F.count("*")).alias(part))
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.ceil(F.col(part) * (1 << 20))
-    sample = usable.select("doc_id", "lang", "text").join(share.hint("merge"), "lang").where(drawn)
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    # A table of fixed size thins the documents first: for each hash of a language the largest share of those that have it, so none is lost.
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    most = dict(map(tuple, share.groupBy(slot("lang")).agg(F.max(part)).collect()))
+    shares = F.split(F.lit(",".join(repr(min(1.0, most.get(i, 0.0))) for i in range(SLOTS))), ",").cast("array<double>")
+    thin = usable.select("doc_id", "lang", "text").where(rank < F.ceil(F.get(shares, slot("lang")) * (1 << 20)))
+    # Then each language's own share decides; a language's rows are spread over ``salts`` keys.
+    spread = share.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sample = thin.withColumn(salt, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(salts)).cast("int")).join(spread.hint("merge"), ["lang", salt]).where(rank < F.ceil(F.col(part) * (1 << 20)))
     counts = sample.select("lang", wh.lettered(F.col("text"), digits=False).alias("text")).mapInArrow(_words_of, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     learned = sorted(tuple(r) for r in counts.groupBy("lang").applyInArrow(_learn(path, spec), "lang string, p binary").collect())  # a row a language
     langs = [lang for lang, _ in learned]
