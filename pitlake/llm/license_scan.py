@@ -2,14 +2,17 @@
 
 A paragraph is what blank lines (lines without a letter or digit, as of comment marks alone) set apart.
 It is cut into segments at line ends, sentence and clause ends and words that open a notice; what is
-scored are sliding groups of 1 to ``LONGEST_GROUP`` segments that lie side by side, so a notice may be
-wrapped over lines and a line may hold several notices. A sparse multinomial logistic regression over
+scored are sliding groups of segments that lie side by side, of up to ``GROUP_WORDS`` words (twice the longest
+template), so a notice may be wrapped over any number of lines and a line may hold several notices. A sparse multinomial logistic regression over
 word 1- and 2-grams names a group's licence family or ``none``; it is trained here, on the driver, from
 the notices below and their variations, a fixed amount of text that does not depend on the data. The
 confidence is calibrated by a temperature fitted on variations that training did not see, and a template
 of the family must confirm it. A notice is a smallest confirmed group; of rivals, families whose notices
-hold each other's words, the one with the larger overlap stays where groups lie in each other. A line
-about licensing outside of all notices is ``unknown``.
+hold each other's words, the one with the larger overlap stays where groups lie in each other.
+
+``unknown`` is a class with a model of its own, which tells lines about licensing from others: a logistic regression over the
+same n-grams, trained on notices of listed and unlisted licences against prose that has their words. Its threshold is the
+one that one in a hundred of the calibration lines without a licence passes, at least a half. A line of that class outside of all confirmed notices is ``unknown``.
 
 Scoring is a lookup of a group's n-grams in the model's vocabulary inside the row: there is no
 shuffle, so keys and sources of any frequency cost the same.
@@ -69,8 +72,24 @@ RIVALS = [["AGPL", "GPL", "LGPL"], ["CC-BY", "CC-BY-NC", "CC-BY-SA"]]
 NONE, UNKNOWN = "none", "unknown"
 BLANK = r"(?>\r\n|[\r\n])[^\p{L}\p{N}]*[\r\n]"
 SEGMENT = r"(?<=[.;:!?,])\s+|\s+(?=(?i:and|or|licen[sc]ed|released|distributed|dedicated|permission|redistribution|spdx|this)\b)|/(?=[A-Z])"
-#: Segments of a group; template n-grams that a group of over LOOSE_WORDS words must hold all of.
-LONGEST_GROUP, SMALL_TEMPLATE, LOOSE_WORDS = 12, 5, 12
+#: Words of a group; template n-grams that a group of over LOOSE_WORDS words must hold all of.
+GROUP_WORDS, SMALL_TEMPLATE, LOOSE_WORDS = 100, 5, 12
+# Notices of licences that have no family here, for the class ``unknown``.
+UNLISTED = [
+    "Licensed under the Eclipse Public License 2.0.", "Distributed under the Boost Software License, Version 1.0.", "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "Licensed under the Artistic License 2.0.", "This software is provided 'as-is', without any express or implied warranty.", "This is free and unencumbered software released into the public domain.",
+    "Licensed under the European Union Public Licence.", "Released under the Microsoft Public License.", "Use of this source code is governed by a license that can be found in the LICENSE file.",
+    "See the LICENSE file for licensing terms.", "Subject to the terms of the license agreement.", "Licensed under the Academic Free License version 3.0.", "SPDX-License-Identifier: Zlib", "License: custom",
+    "All use of this material requires a written license from the owner.", "Licensed under the Python Software Foundation License Version 2.", "This code is distributed under a commercial license.",
+    "You may redistribute this software under the terms below.", "Copyright by the authors, distributed under their own license.", "In no event will the authors be held liable for any damages arising from the use of this software.",
+]
+# Prose with words of notices in other uses.
+OTHER_USES = [
+    "he lost his driving licence last year", "the copyright debate went on in parliament", "they licensed a song for the film", "permission to enter the building was granted at noon", "public transport is free on sundays",
+    "the license plate of the car was new", "a general asked the public for permission", "the software crashed and the file was lost", "version two of the plan was released in may", "she distributed copies of the letter",
+    "the terms of the peace were hard", "apache is the name of a people and of a helicopter", "creative work needs common sense", "the source of the river is in the hills", "a fishing licence costs ten euros", "rights of the people are reserved in the constitution",
+    "mozilla was founded in 1998", "the agreement was signed under pressure", "liable to change without notice", "the warranty of the fridge has ended",
+]
 
 
 @dataclass(frozen=True)
@@ -149,6 +168,49 @@ def model() -> Model:
     return Model(families, vocabulary, words, w.round(6), b.round(6), min(np.arange(0.3, 3.01, 0.1), key=loss))
 
 
+@dataclass(frozen=True)
+class Licensing:
+    """The model of lines about licensing: the score of a line is the bias and the weights of its n-grams; ``least`` is the score from which it counts."""
+
+    vocabulary: list[str]
+    words: list[str]
+    weights: list[float]
+    bias: float
+    least: float
+
+
+@lru_cache(1)
+def licensing() -> Licensing:
+    rng = random.Random(5)
+    about = [x for notices in NOTICES.values() for t in notices for x in _variations(t, rng, 4)] + [x for t in UNLISTED for x in _variations(t, rng, 9)]
+    made = ["Foo", "Acme", "Zeta", "Northwind", "Open Data", "Community", "Custom"]
+    about += [f"{p} the {x} {l}." for x in made for p in ("Licensed under", "Released under", "Subject to") for l in ("License", "license agreement")]
+    other = [x for t in OTHER_USES for x in _variations(t, rng, 14)]
+    words = sorted({w for x in about for w in tokens(x)} - COMMON)
+    other += [" ".join([*rng.choices(sorted(COMMON), k=rng.randrange(2, 9)), *rng.sample(words, 1), *rng.choices(sorted(COMMON), k=rng.randrange(2, 9))]) for _ in range(400)]
+    rng.shuffle(about)
+    rng.shuffle(other)
+    rows = [(x, 1.0) for x in about[::4] + about[1::4] + about[2::4]] + [(x, 0.0) for x in other[::2]]
+    vocabulary = sorted({g for x, _ in rows for g in grams(tokens(x)) if any(w not in COMMON for w in g.split())})
+    at = {g: i for i, g in enumerate(vocabulary)}
+
+    def matrix(texts: list[str]) -> np.ndarray:
+        x = np.zeros((len(texts), len(vocabulary)))
+        for r, text in enumerate(texts):
+            x[r, [at[g] for g in grams(tokens(text)) if g in at]] = 1
+        return x
+
+    x, y = matrix([t for t, _ in rows]), np.array([k for _, k in rows])
+    w, b = np.zeros(len(vocabulary)), 0.0
+    for _ in range(400):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        w -= 2.0 * (x.T @ (p - y) / len(x) + 1e-4 * w)
+        b -= 2.0 * (p - y).mean()
+    least = max(0.0, float(np.quantile(matrix(other[1::2]) @ w + b, 0.99)))
+    kept = [i for i in range(len(vocabulary)) if abs(w[i]) > 1e-3]
+    return Licensing([vocabulary[i] for i in kept], words, [round(float(w[i]), 6) for i in kept], round(float(b), 6), round(least, 6))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -203,7 +265,13 @@ def _notices(lines: Column, m: Model, least: float, confirm: float) -> Column:
 
     def groups(segments: Column, mine: Column, live: Column) -> Column:
         def begun(s: Column, a: Column) -> Column:
-            ends = F.filter(F.sequence(a, F.least(a + LONGEST_GROUP, F.size(segments)) - 1), lambda b: F.get(segments, b)["cue"])
+            # Each segment has a word, so no more of them can be in a group.
+            def grown(state: Column, x: Column) -> Column:
+                words, b = state["words"] + F.size(x["words"]), state["b"] + 1
+                fits = (words <= GROUP_WORDS) | (b == a)
+                return F.struct(words.alias("words"), b.alias("b"), F.when(fits & x["cue"], F.concat(state["ends"], F.array(b))).otherwise(state["ends"]).alias("ends"))
+
+            ends = F.aggregate(F.slice(segments, a + 1, GROUP_WORDS), F.struct(F.lit(0).alias("words"), (a - 1).alias("b"), F.lit([]).cast("array<int>").alias("ends")), grown, lambda state: state["ends"])
             return F.when(s["cue"], F.filter(F.transform(ends, lambda b: judge(segments, mine, live, a, b)), lambda g: g["family"].isNotNull())).otherwise(none)
 
         return F.flatten(F.transform(segments, begun))
@@ -259,8 +327,15 @@ def _notices(lines: Column, m: Model, least: float, confirm: float) -> Column:
 def _judged(paragraph: Column, m: Model, least: float, confirm: float) -> Column:
     """FOUND of one paragraph: its notices, then its unknown lines."""
 
+    known = licensing()
+    vocabulary, weights = _strings(known.vocabulary), F.lit(known.weights)
+
     def about(line: Column) -> Column:
-        return _let(_words(line), lambda w: F.arrays_overlap(w, _strings(m.words)) & F.exists(w, lambda g: g.rlike(r"^(licen[sc]ed?|copyright|spdx)$")))
+        return _let(_words(line), lambda w: F.when(F.arrays_overlap(w, _strings(known.words)), score(w) >= known.least).otherwise(F.lit(False)))
+
+    def score(words: Column) -> Column:
+        found = F.array_intersect(_grams(words), vocabulary)
+        return F.aggregate(found, F.lit(known.bias), lambda acc, g: acc + F.get(weights, F.array_position(vocabulary, g).cast("int") - 1))
 
     def all_of(lines: Column, notices: Column) -> Column:
         # Groups of one family that share segments are one notice.
@@ -280,8 +355,8 @@ def license_scan(docs: DataFrame, least_probability: float = 0.6, least_overlap:
     """
     m = model()
     text = F.coalesce(F.col("text"), F.lit(""))
-    cues = _strings(m.words)
-    # A paragraph without a word of the vocabulary has no feature and so is ``none``: only others are scored.
+    cues = _strings(sorted({*m.words, *licensing().words}))
+    # A paragraph without a word of the vocabularies has no feature and so is ``none``: only others are scored.
     has_cue = F.arrays_overlap(_words(text), cues)
     paragraphs = F.filter(F.split(text, BLANK), lambda x: F.arrays_overlap(_words(x), cues))
     found = F.flatten(F.transform(paragraphs, lambda x: _judged(x, m, least_probability, least_overlap)))

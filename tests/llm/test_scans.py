@@ -191,5 +191,37 @@ def test_wrapped_notices_and_several_in_a_line(spark):
     assert got == dict(enumerate(WRAPPED.values()))
 
 
+MIT_WORDS = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files,
+to deal in the Software without restriction"""
+
+
+def test_a_notice_of_one_word_a_line(spark):
+    docs = spark.createDataFrame([(0, "\n".join(MIT_WORDS.split())), (1, "# " + "\n# ".join(MIT_WORDS.split())), (2, "words of no notice\n" * 300 + MIT_WORDS), (3, "license " * 20_000)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan(docs).collect()}
+    assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: None}
+
+
+HELD_OUT = [
+    "Licensed under the zlib License.", "This software is distributed under the terms of the Unlicense.", "Released under the Mulan Permissive Software License, Version 2.", "Licensed under the Open Software License 3.0.",
+    "Distributed under the University of Illinois license.", "SPDX-License-Identifier: WTFPL", "This library is licensed under the PostgreSQL License.", "Subject to the terms of the Ruby License.", "License: see the LICENSE file of the project",
+    "This software is provided by the authors as-is without warranty of any kind.", "Use of this library is governed by the license agreement of the vendor.", "Released under the Vim license.",
+]
+HELD_OUT_PROSE = [
+    "the pilot got her licence in june", "songs are licensed for the film by the label", "the general public was free to come", "free software helps schools", "a copy of the letter was distributed to the members", "their rights under the treaty were hard to defend",
+    "the conditions of the road were bad", "he was granted permission to speak", "a new version of the story was released", "the mit campus lies at the river", "the court found them liable for the damage", "the files of the court are public",
+]
+
+
+def test_unknown_notices_held_out_from_training(spark):
+    from pitlake.llm.license_scan import licensing
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(HELD_OUT + HELD_OUT_PROSE)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_unknown) for r in license_scan(docs).collect()}
+    hits = [got[i] == (None, 1) for i in range(len(HELD_OUT))]
+    false = [got[len(HELD_OUT) + i] != (None, 0) for i in range(len(HELD_OUT_PROSE))]
+    assert sum(hits) >= 10 and sum(false) <= 1, (hits, false)
+    assert licensing().least >= 0
+
+
 def test_empty_tables(spark):
     assert secret_scan(nothing(spark)).count() == 0 and license_scan(nothing(spark)).count() == 0 and redact(nothing(spark)).count() == 0
