@@ -132,6 +132,13 @@ def tokens_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([z, *parts]), np.concatenate([[0], *counts]).cumsum().astype(np.int64)
 
 
+def _by_bucket(bucket: np.ndarray, then: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """For each bucket that occurs the places that have it, in order or by ``then``: one sort, whatever the number of buckets."""
+    order = np.argsort(bucket, kind="stable") if then is None else np.lexsort((then, bucket))
+    found, first = np.unique(bucket[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(order, first[1:]), strict=True)) if len(order) else {}
+
+
 class Group:
     def __init__(self, docs: pa.Table, answers: pa.Table | None, buckets: int, uni: Unigrams | None, spec: Spec):
         self.docs, self.buckets, self.uni, self.spec = docs, buckets, uni, spec
@@ -145,19 +152,18 @@ class Group:
         self.word, of = np.unique(self.token, return_inverse=True)
         self.word_of = of.astype(np.int32)
         del self.token
-        self.word_bucket = (self.word % np.uint64(buckets)).astype(np.int64)
+        #: Places of each bucket's words; buckets without any are not there.
+        self.words_by_bucket = _by_bucket((self.word % np.uint64(buckets)).astype(np.int64))
 
     def asked_words(self, mp: int) -> Iterator[tuple]:
         own = np.bincount(self.word_of, self.learned, len(self.word)).astype(np.uint32)
-        for b in range(self.buckets):
-            at = np.flatnonzero(self.word_bucket == b)
-            if len(at):
-                yield mp, b, self.word[at].tobytes(), squeeze(own[at]), b"", b"", b"", b""
+        for b, at in self.words_by_bucket.items():
+            yield mp, b, self.word[at].tobytes(), squeeze(own[at]), b"", b"", b"", b""
 
     def counts(self) -> np.ndarray:
         c = np.zeros(len(self.word), np.int64)
         for b, (a, _) in self.answers[1].items():
-            c[self.word_bucket == b] = unsqueeze(a)
+            c[self.words_by_bucket[b]] = unsqueeze(a)
         return c
 
     def pairs(self) -> None:
@@ -191,13 +197,11 @@ class Group:
         lone = lone[lone_n <= self.uni.tokens / self.buckets]
         lone_bucket = (wh.mix(lone + np.uint64(0)) % np.uint64(self.buckets)).astype(np.int64)
         self.place: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        order = np.lexsort((self.pair_ctx, self.pair_bucket))
-        cut = np.searchsorted(self.pair_bucket[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            own = order[cut[b] : cut[b + 1]]
-            contexts = np.unique(np.concatenate([self.pair_ctx[own], lone[lone_bucket == b]]))
-            if len(contexts):
-                self.place[b] = (own, contexts)
+        own_of, lone_of = _by_bucket(self.pair_bucket, self.pair_ctx), _by_bucket(lone_bucket)
+        none = np.zeros(0, np.int64)
+        for b in sorted(own_of.keys() | lone_of.keys()):
+            own = own_of.get(b, none)
+            self.place[b] = own, np.unique(np.concatenate([self.pair_ctx[own], lone[lone_of.get(b, none)]]))
 
     def asked_pairs(self, mp: int) -> Iterator[tuple]:
         self.pairs()
@@ -357,9 +361,17 @@ def _hot_contexts(pairs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _statistics(answers: DataFrame, kind: int) -> np.ndarray:
-    """Sums of the buckets' statistics: a few numbers for each bucket."""
-    rows = answers.where((F.col("mp") == -1) & (F.col("kind") == kind)).select("a").toLocalIterator()
-    return sum((np.frombuffer(bytes(r["a"]), np.int64) for r in rows), np.zeros(1, np.int64))
+    """Sums of the buckets' statistics, a few numbers each, made where they are; a row for each place comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(a, np.int64) for a in batch.column(0).to_pylist()]
+            if rows:
+                total = sum(rows, np.zeros_like(rows[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
+
+    rows = answers.where((F.col("mp") == -1) & (F.col("kind") == kind)).select("a").mapInArrow(run, "i long, v long").groupBy("i").agg(F.sum("v")).collect()
+    return np.array([v for _, v in sorted(map(tuple, rows))] or [0], np.int64)
 
 
 def score_texts(docs: DataFrame, spec: Spec = Spec()) -> DataFrame:
