@@ -8,10 +8,9 @@ document is far longer than an item, so minima of its own would say nothing of i
 its shingles, the partitions whose items it has shingles enough to contain. Each candidate is confirmed
 by the exact share of the item's shingles that the document holds.
 
-Items of one text are one entry. Up to ``block_bytes`` of different item texts (measured), the index is
-broadcast, and documents are neither shuffled nor grouped. A larger benchmark is a table of sketch values
-that the documents' shingles are joined with; candidates then meet the documents and items again to be
-confirmed, so nothing of the benchmark is broadcast or collected.
+Items of one text are one entry. The different texts are dealt by hash into blocks of about ``block_bytes``;
+the index of one block at a time is broadcast, and documents are neither shuffled nor grouped. A benchmark of any
+size takes this path, with a pass over the documents for each block, so what is broadcast or held by a task does not grow.
 
 Words are runs of letters and digits of any script with their marks, lower-cased; in scripts written
 without spaces (Chinese, Japanese, Thai and others) each character is a word. An item of fewer than five
@@ -33,8 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .workspace import Workspace, fresh_name, prepare
-
+from .workspace import Workspace, fresh_name, groups_for, prepare
 
 
 FOUND = "doc_id long, key long, n_item long, n_shared long, containment double"
@@ -42,7 +40,7 @@ FOUND = "doc_id long, key long, n_item long, n_shared long, containment double"
 
 @dataclass(frozen=True)
 class Containment:
-    """k: words in a shingle; least: share of an item's shingles; block_bytes: most item text that is broadcast."""
+    """k: words in a shingle; least: share of an item's shingles; block_bytes: item text in a block, on average."""
 
     k: int = 5
     least: float = 0.8
@@ -147,91 +145,19 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("long"), text.alias("text")).withColumn("key", F.xxhash64("text"))
 
 
-def _broadcast(items: DataFrame, spec: Containment) -> Broadcast | None:
-    """The index of all item texts, if they are few enough."""
-    prepare(items.sparkSession)
+def _blocks(items: DataFrame, spec: Containment) -> Iterator[Broadcast]:
+    """Indices of the different item texts, dealt by hash into blocks of about ``block_bytes``."""
+    spark = items.sparkSession
+    prepare(spark)
     different = items.groupBy("key").agg(F.first("text").alias("text"))
-    if (different.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > spec.block_bytes:
-        return None
-    return items.sparkSession.sparkContext.broadcast(build_index([tuple(r) for r in different.orderBy("key").collect()], spec))
-
-
-def _entries(spec: Containment):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(key, *found) for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := item_of(text, spec))]
-            if rows:
-                key, k, s, sketch = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key, pa.int64()), pa.array(k, pa.int32()), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([x.view(np.int64) for x in sketch], pa.list_(pa.int64()))], ["key", "k", "shingles", "sketch"]
-                )
-
-    return run
+    count = groups_for(different.agg(F.sum(F.octet_length("text"))).first()[0] or 0, spec.block_bytes)
+    for block in range(count):
+        rows = different.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(count)) == block).orderBy("key").collect()
+        yield spark.sparkContext.broadcast(build_index([tuple(r) for r in rows], spec))
 
 
-def _probes(ks: list[int]):
-    """(row, k, value): the distinct shingles of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, offs in wh.slices(batch.column(1)):
-                start, end, first = wh.words(buf, offs, wh.ALNUM)
-                h = wh.word_hashes(buf, start, end)
-                row = batch.column(0).to_numpy()[lo:hi]
-                for k in ks:
-                    sh, begin = wh.shingles(h, first, k, False)
-                    doc = np.repeat(np.arange(hi - lo), np.diff(begin))
-                    order = np.lexsort((sh, doc))
-                    new = np.ones(len(sh), bool)
-                    new[1:] = (np.diff(sh[order]) != 0) | (np.diff(doc[order]) != 0)
-                    one = order[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[doc[one]]), pa.array(np.full(len(one), k, np.int32)), pa.array(sh[one].view(np.int64))], ["row", "k", "value"])
-
-    return run
-
-
-def _shared(spec: Containment):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, size = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for i, (text, k, x) in enumerate(zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4))):
-                _, _, buf, offs = next(wh.slices(pa.array([text.as_py()]), 1 << 40))
-                start, end, first = wh.words(buf, offs, wh.ALNUM)
-                own = np.frombuffer(x.as_buffer(), np.uint64)
-                size[i], n[i] = len(own), np.isin(own, wh.shingles(wh.word_hashes(buf, start, end), first, k, False)[0]).sum()
-            keep = pa.array(n >= spec.least * size - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), pa.array(n), pa.array(n / np.maximum(size, 1))], ["row", "key", "n_item", "n_shared", "containment"]).filter(keep)
-
-    return run
-
-
-def _joined(numbered: DataFrame, row: str, items: DataFrame, spec: Containment, ws: Workspace) -> DataFrame:
-    """(row, key, n_item, n_shared, containment) of numbered documents and a benchmark of any size, by joins."""
-    entries = items.groupBy("key").agg(F.first("text").alias("text")).select("key", "text")
-    entries = ws.save(entries.mapInArrow(_entries(spec), "key long, k int, shingles binary, sketch array<long>"))
-    ks = sorted(r["k"] for r in entries.select("k").distinct().collect())  # at most ``spec.k`` numbers
-    texts = numbered.select(F.col(row).alias("row"), wh.lettered(F.coalesce(F.col("text"), F.lit("")), digits=True).alias("text"))
-    probes = texts.mapInArrow(_probes(ks), "row long, k int, value long")
-    pairs = probes.join(entries.select("key", "k", F.explode("sketch").alias("value")).hint("merge"), ["k", "value"]).select("row", "key", "k").distinct()
-    full = pairs.join(texts.hint("merge"), "row").join(entries.select("key", "shingles").hint("merge"), "key").select("row", "key", "text", "k", "shingles")
-    return full.mapInArrow(_shared(spec), "row long, key long, n_item long, n_shared long, containment double")
-
-
-def _number(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, str]:
-    row = fresh_name("row")
-    return ws.save(docs.withColumn(row, F.monotonically_increasing_id())), row
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment: one row per document and item that it contains."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    items = _items(benchmark)
-    shared = _broadcast(items, spec)
-    if shared is None:
-        ws = Workspace(docs.sparkSession, "decontaminate")
-        numbered, row = _number(docs, ws)
-        found = _joined(numbered, row, items, spec, ws).join(numbered.select(F.col(row).alias("row"), "doc_id").hint("merge"), "row").drop("row")
-        return found.join(items.drop("text").hint("merge"), "key").select("doc_id", "item_id", "n_item", "n_shared", "containment")
+def _found(texts: DataFrame, shared: Broadcast, spec: Containment) -> DataFrame:
+    """FOUND of (doc_id, text) and one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -245,21 +171,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, spec: Containment = Cont
                     ["doc_id", "key", "n_item", "n_shared", "containment"],
                 )
 
-    found = docs.select("doc_id", wh.lettered(F.col("text"), digits=True).alias("text")).mapInArrow(run, FOUND)
+    return texts.mapInArrow(run, FOUND)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment: one row per document and item that it contains.
+
+    A pass over the documents for each block of items; what one finds is written before the next is made.
+    """
+    texts = docs.select(F.col("doc_id").cast("long"), wh.lettered(F.col("text"), digits=True).alias("text"))
+    items = _items(benchmark)
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    found = None
+    for shared in _blocks(items, spec):
+        own = ws.save(_found(texts, shared, spec))
+        found = own if found is None else found.union(own)
     # Few rows meet the ids of their items: which side is small is left to the measured sizes.
-    return found.join(items.drop("text"), "key").select("doc_id", "item_id", "n_item", "n_shared", "containment")
+    return ws.finish(found.join(items.drop("text"), "key").select("doc_id", "item_id", "n_item", "n_shared", "containment"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
-    """The documents that contain no item, with all their columns."""
+def _cleaned(docs: DataFrame, shared: Broadcast, spec: Containment) -> DataFrame:
     names, schema = docs.columns, docs.schema
-    items = _items(benchmark)
-    shared = _broadcast(items, spec)
-    if shared is None:
-        ws = Workspace(docs.sparkSession, "decontaminate")
-        numbered, row = _number(docs, ws)
-        dirty = _joined(numbered, row, items, spec, ws).select(F.col("row").alias(row)).distinct()
-        return numbered.join(dirty.hint("merge"), row, "left_anti").select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -268,3 +200,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array([i not in dirty for i in range(len(batch))], pa.bool_()))
 
     return docs.select("*", wh.lettered(docs["text"], digits=True).alias(fresh_name("lower"))).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, spec: Containment = Containment()) -> DataFrame:
+    """The documents that contain no item, with all their columns: each block of items passes on what is free of it, written before the next."""
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    out, last = docs, None
+    for shared in _blocks(_items(benchmark), spec):
+        if last is not None:
+            out = ws.save(_cleaned(out, last, spec))
+        last = shared
+    return _cleaned(out, last, spec)

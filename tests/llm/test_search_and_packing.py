@@ -23,11 +23,11 @@ def test_contamination_by_exact_shingles(spark):
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
     assert set(got) == {(n, 0), (n + 1, 1), (n + 2, 1), (n + 4, 5), (n + 5, 2)}
     assert got[(n + 2, 1)].n_shared == 23 and got[(n + 2, 1)].n_item == 26
-    joined = decontaminate.Containment(block_bytes=100)  # too large to be broadcast: the same by joins
-    assert sorted(map(tuple, decontaminate.contaminated(docs, bench, joined).collect())) == sorted(map(tuple, got.values()))
-    assert sorted(map(str, decontaminate.clean(docs, bench, joined).collect())) == sorted(map(str, decontaminate.clean(docs, bench).collect()))
+    in_blocks = decontaminate.Containment(block_bytes=100)  # many blocks, the same result
+    assert sorted(map(tuple, decontaminate.contaminated(docs, bench, in_blocks).collect())) == sorted(map(tuple, got.values()))
+    assert sorted(map(str, decontaminate.clean(docs, bench, in_blocks).collect())) == sorted(map(str, decontaminate.clean(docs, bench).collect()))
     twice = bench.union(bench.where("item_id in (1, 2)").selectExpr("item_id + 50", "text")).union(bench.where("item_id = 2"))
-    for spec in (decontaminate.Containment(), joined):
+    for spec in (decontaminate.Containment(), in_blocks):
         rows = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, twice, spec).collect())
         assert rows == sorted([*got, (n + 1, 51), (n + 2, 51), (n + 5, 52), (n + 5, 2)])
     left = decontaminate.clean(docs, bench)
