@@ -198,7 +198,11 @@ def near_duplicates(docs: DataFrame, spec: NearDedup = NearDedup()) -> DataFrame
     bits = spec.minima - F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     alike = (bits >= spec.least_bits) & (100 * F.least("a.n_shingles", "b.n_shingles") >= spec.percent * F.greatest("a.n_shingles", "b.n_shingles"))
     pairs = buckets.where("cid <> centre").select(F.col("centre").alias("u"), F.col("cid").alias("v")).distinct()
-    both = pairs.join(sets.alias("a").hint("merge"), F.col("u") == F.col("a.cid")).join(sets.alias("b").hint("merge"), (F.col("v") == F.col("b.cid")) & alike)
+    # Sketches first: only the pairs that they let pass fetch sets.
+    sketches = sets.select("cid", "n_shingles", "sketch")
+    maybe = ws.save(pairs.join(sketches.alias("a").hint("merge"), F.col("u") == F.col("a.cid")).join(sketches.alias("b").hint("merge"), (F.col("v") == F.col("b.cid")) & alike).select("u", "v"))
+    own = sets.select("cid", "shingles")
+    both = maybe.join(own.alias("a").hint("merge"), F.col("u") == F.col("a.cid")).join(own.alias("b").hint("merge"), F.col("v") == F.col("b.cid"))
     links = ws.save(both.select("u", "v", "a.shingles", "b.shingles").toDF("u", "v", "a", "b").mapInArrow(_confirm(spec.percent), "u long, v long"))
     parts = connected_components(links, ws)
 
