@@ -11,7 +11,7 @@ from pitlake.operators import adjust, alpha, asof, evaluate, gaps, orders, portf
 from pitlake.operators import windows as W
 from pitlake.plans.catalog import WEEKLY, _SCHEDULE, query, rounded, weekly_returns
 from pitlake.plans.views import CROSS, PANEL, cross_section, panel, table
-from pitlake.sources import manifest, panels, reference, upsert
+from pitlake.sources import manifest, panels, reference, states, upsert
 from pitlake.streaming import incremental, maturing
 
 # Ingestion
@@ -409,3 +409,15 @@ def settings_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashed = C.config_hash(name.alias("name"), inner.alias("b"), a.alias("a"))
     text = F.concat(F.lit('{ "b" : {"n":['), nation.cast("string"), F.lit('.0, 1e3], "k":'), key.cast("string"), F.lit('.00, "z": null}, "name":"'), name, F.lit('", "a":'), a.cast("string"), F.lit("}"))
     return c.select("c_custkey", hashed.alias("hash"), (hashed == F.sha2(C.canonical_json(text), 256)).alias("same"))
+
+
+@query("""WITH s AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN '-' || c_custkey ELSE 'acct-' || c_custkey END AS account, c_custkey % 7 AS k, c_custkey FROM customer)
+SELECT account, CASE WHEN account LIKE '-%' THEN 'bad account' WHEN k = 0 THEN 'new' WHEN k = 1 THEN 'no object' WHEN k = 2 THEN 'no object' WHEN k = 3 THEN 'no account id' WHEN k = 4 THEN 'other account' ELSE 'ok' END AS status FROM s""")
+def account_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of customers' accounts, some of them missing, damaged or another account's."""
+    c = table(spark, sf_dir, "customer")
+    key, k = F.col("c_custkey").cast("string"), F.col("c_custkey") % 7
+    account = F.when(F.col("c_custkey") % 11 == 0, F.concat(F.lit("-"), key)).otherwise(F.concat(F.lit("acct-"), key))
+    owner = F.when(k == 3, "  ").when(k == 4, "acct-0").otherwise(F.concat(F.lit(" "), account))
+    state = F.when(k == 0, None).when(k == 1, F.lit("[1, 2]")).when(k == 2, F.lit("{broken")).otherwise(F.to_json(F.struct(owner.alias("account_id"), F.col("c_acctbal").alias("cash"))))
+    return states.checked(c.select(account.alias("account"), state.alias("state"))).select("account", "status")
