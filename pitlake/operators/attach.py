@@ -32,7 +32,7 @@ def exposure_with_realised(exposures: DataFrame, returns: DataFrame, date: str =
     """Exposures of one model date with the returns of the next."""
     calendar = exposures.select(date).union(returns.select(date)).distinct().withColumn("_next", F.lead(date).over(Window.orderBy(date)))  # a row a date
     nxt = returns.withColumnRenamed(date, "_next").withColumnRenamed("weekly_return", "realised_return")
-    return exposures.join(F.broadcast(calendar), date).join(nxt, ["code", "_next"]).withColumnRenamed("_next", "realised_date")
+    return exposures.join(calendar, date).join(nxt, ["code", "_next"]).withColumnRenamed("_next", "realised_date")
 
 
 def forecast_pairs(realised: DataFrame, covariance: DataFrame, specific: DataFrame) -> DataFrame:

@@ -91,7 +91,7 @@ def risk_on_strength(return_20, gap, full: float = 0.05):
 def blend_satellite(scored: DataFrame, satellite: DataFrame, date: str, group: str, base: str, tilt: str, cap: float, risk_on) -> DataFrame:
     """Core and satellite z-scores blended by cap x strength x risk-on; groups without a satellite keep the core."""
     s = satellite.select(date, group, F.col("strength").alias("_strength"))
-    out = scored.join(F.broadcast(s), [date, group], "left")  # at most k groups a date
+    out = scored.join(s, [date, group], "left")  # at most k groups a date
     w = cap * F.coalesce("_strength", F.lit(0.0)) * risk_on
     core, side = F.coalesce(zscore(F.col(base), [date]), F.lit(0.0)), F.coalesce(zscore(F.col(tilt), [date]), F.lit(0.0))
     return out.withColumn("satellite_weight", w).withColumn("score", (1 - w) * core + w * side).drop("_strength")

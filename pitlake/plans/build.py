@@ -52,13 +52,13 @@ def build(spark: SparkSession, exposures: DataFrame, folder: str, model: Model)
         df.withColumn("run", F.lit(last)).write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("run").parquet(path)
         return spark.read.parquet(path).drop("run")
 
-    wanted = following.join(F.broadcast(todo.withColumnRenamed("model_date", "realised_date")), "realised_date", "left_semi")
-    fresh = factors.factor_returns(exposures.join(F.broadcast(wanted.select("model_date")), "model_date", "left_semi"), factors.RegressionSpec(model.styles))
-    fresh = fresh.join(F.broadcast(wanted), "model_date").select(F.col("realised_date").alias("model_date"), "kind", "name", "value", "r2")
+    wanted = following.join(todo.withColumnRenamed("model_date", "realised_date"), "realised_date", "left_semi")
+    fresh = factors.factor_returns(exposures.join(wanted.select("model_date"), "model_date", "left_semi"), factors.RegressionSpec(model.styles))
+    fresh = fresh.join(wanted, "model_date").select(F.col("realised_date").alias("model_date"), "kind", "name", "value", "r2")
     returns = save(fresh, "factor_return")
     save(factors.factor_covariance(returns, todo, model.window, model.least, model.half_life, model.lags), "factor_covariance")
     own = returns.where("kind = 'specific'").select("model_date", F.col("name").alias("code"), "value")
     groups = exposures.select("model_date", F.col("code").cast("string").alias("code"), "industry_group")
     variances = risk.specific_variance_by_date(own, groups, model.half_life, model.least_specific)
-    save(variances.join(F.broadcast(todo), "model_date", "left_semi"), "specific_variance")
+    save(variances.join(todo, "model_date", "left_semi"), "specific_variance")
     return days

@@ -233,7 +233,7 @@ def _step(k: int) -> str:
 f{k} AS (SELECT *, {inner(f'w{k - 1}', 'z')} FROM o{k - 1} WINDOW p AS (PARTITION BY d_)),
 g{k} AS (SELECT *, 2 * 0.5 * (w{k - 1} - base) / near + 2 * 0.5 * 1.21 * (0.04 * z1 + 0.01 * z2 + s * (0.01 * z1 + 0.03 * z2) + d * w{k - 1}) / 0.0225 AS slope, {loss(f'w{k - 1}', 'z')} AS now FROM f{k} WINDOW p AS (PARTITION BY d_)),
 v{k} AS (SELECT *, greatest(w{k - 1} - 0.10 / pow(2, t) * slope, 0.0) AS raw FROM g{k} CROSS JOIN (SELECT unnest(range(12)) AS t)),
-n{k} AS (SELECT *, raw / (sum(raw) OVER (PARTITION BY d_, t)) * total AS c FROM v{k}),
+n{k} AS (SELECT *, CASE WHEN sum(raw) OVER p <= 0 THEN total / count(*) OVER p ELSE raw / (sum(raw) OVER p) * total END AS c FROM v{k} WINDOW p AS (PARTITION BY d_, t)),
 h{k} AS (SELECT *, {inner('c', 'x')} FROM n{k} WINDOW p AS (PARTITION BY d_, t)),
 l{k} AS (SELECT *, {loss('c', 'x')} <= now + 1e-12 AS ok, sum(abs(c - w{k - 1})) OVER p AS moved FROM h{k} WINDOW p AS (PARTITION BY d_, t)),
 t{k} AS (SELECT *, min(t) FILTER (ok) OVER (PARTITION BY d_) AS used FROM l{k}),

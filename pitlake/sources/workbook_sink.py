@@ -128,7 +128,6 @@ class _Writer(DataSourceWriter):
         self.folder = self.keep or f"{self.path}.{uuid.uuid4().hex}.parts"
 
     def write(self, iterator: Iterator) -> Fragment:
-        os.makedirs(self.folder, exist_ok=True)
         context = TaskContext.get()
         path = os.path.join(self.folder, f"{context.partitionId():08d}-{context.taskAttemptId()}.xml")
         rows, widths = 0, [0] * len(self.columns)
@@ -162,7 +161,9 @@ class WorkbookSink(DataSource):
         return "workbook_sink"
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer([f.name for f in schema.fields], self.options, overwrite)
+        writer = _Writer([f.name for f in schema.fields], self.options, overwrite)
+        os.makedirs(writer.folder, exist_ok=True)  # here and not in tasks, so that those that end late find none
+        return writer
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
