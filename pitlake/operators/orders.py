@@ -168,6 +168,60 @@ def integer_orders(targets: DataFrame, by: list[str], spec: Search = Search()) -
     return rows.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "code string, shares long, objective double, search string"]))
 
 
+def _repair(pdf: pd.DataFrame, groups: set[str], fraction: float, stock_cap: float) -> tuple[np.ndarray, int, int]:
+    """Shares of one account after its repair, and the lots taken away and added."""
+    value = float(pdf["value"].iloc[0])
+    price, target = pdf["price"].to_numpy(float), np.maximum(pdf["weight"].fillna(0.0).to_numpy(float), 0.0)
+    low, step = pdf["low"].to_numpy(np.int64), pdf["step"].to_numpy(np.int64)
+    shares = np.maximum(pdf["shares"].fillna(0).to_numpy(np.int64), 0)
+    inside = pdf["group"].isin(groups).to_numpy()
+    traded = np.isfinite(price) & (price > 0)
+    worth = np.where(traded, price, 0.0)
+    budget = value * target.sum()
+    taken = added = 0
+    if not groups or value <= 0 or fraction >= 1 or (shares * worth)[inside].sum() <= budget * fraction + 1e-8:
+        return shares, 0, 0
+    off = lambda n: (n * worth / value - target) ** 2
+    while (shares * worth)[inside].sum() > budget * fraction + 1e-8:
+        less = np.where(shares <= low, 0, shares - step)
+        freed = (shares - less) * worth
+        cost = np.where(inside & traded & (shares > 0), (off(less) - off(shares)) / np.maximum(freed, 1e-8), np.inf)
+        i = int(np.argmin(cost))  # rows are in order of their codes, so ties go to the first
+        if not np.isfinite(cost[i]):
+            break
+        shares[i], taken = less[i], taken + 1
+    while True:
+        left = budget - (shares * worth).sum()
+        more = np.where(shares <= 0, low, step)
+        lot = more * worth
+        gain = off(shares) - off(shares + more)
+        fits = ~inside & traded & (target > 0) & (lot <= left + 1e-8) & ((shares + more) * worth / value <= np.maximum(stock_cap, target * 1.35) + 1e-8) & (gain > 1e-12)
+        cost = np.where(fits, -gain / np.where(lot > 0, lot, 1.0), np.inf)
+        i = int(np.argmin(cost)) if len(cost) and left > 0 else -1
+        if i < 0 or not np.isfinite(cost[i]):
+            return shares, taken, added
+        shares[i], added = shares[i] + more[i], added + 1
+
+
+def repaired_groups(targets: DataFrame, by: list[str], groups: list[str], fraction: float, stock_cap: float) -> DataFrame:
+    """(by, code, shares, taken, added): rounded shares brought back under a cap on some groups together, a lot at a time.
+
+    ``targets``: by, code, weight, shares, price, value, group. While the groups hold more than ``fraction`` of the wanted equity, the lot goes whose loss costs least
+    nearness a unit of money; then lots of other names come that bring most nearness, while money and the cap on a name (1.35 times its target, if more) allow.
+    Names without a price keep their shares and count for nothing. An account's few dozen names are one group.
+    """
+    kinds = dict(targets.dtypes)
+    rows = targets.select(*by, F.col("code").cast("string").alias("code"), "weight", "shares", F.col("price").cast("double").alias("price"), "value", F.upper(F.trim("group")).alias("group")).withColumns({"low": T.minimum_lot(F.col("code")), "step": T.lot_increment(F.col("code"))})
+    wanted = {g.strip().upper() for g in groups if g.strip()}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("code").reset_index(drop=True)
+        shares, taken, added = _repair(pdf, wanted, min(max(fraction, 0.0), 1.0), stock_cap)
+        return pdf[[*by, "code"]].assign(shares=shares, taken=taken, added=added)
+
+    return rows.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "code string, shares long, taken long, added long"]))
+
+
 def guarded(orders: DataFrame, by: list[str], deployed: float = 0.01) -> DataFrame:
     """``orders`` with ``kept``: replacement legs that would change net exposure beyond what is wanted wait.
 

@@ -69,3 +69,22 @@ def derived_metrics(summary: DataFrame) -> DataFrame:
     return summary.withColumns({
         "fees_pct_initial_cash": ratio("total_fees", "initial_cash"), "gross_traded_multiple": ratio("total_gross_traded", "initial_cash"), "commission_pct_total_fees": ratio("commission", "total_fees"),
     })
+
+
+def run_progress(records: DataFrame, stage: str = "stage", item: str = "item", status: str = "status", at: str = "updated_at") -> DataFrame:
+    """(stage, items, complete, running, failed, last_item, last_update): how far each stage of a build is; an item counts by its last record."""
+    last = records.groupBy(stage, item).agg(F.max_by(status, at).alias("_status"), F.max(at).alias("_at"))
+    share = lambda name: F.count_if(F.col("_status") == name)
+    return last.groupBy(stage).agg(F.count("*").alias("items"), share("complete").alias("complete"), share("running").alias("running"), share("error").alias("failed"), F.max(item).alias("last_item"), F.max("_at").alias("last_update"))
+
+
+def date_diagnostics(rows: DataFrame, date: str, columns: list[str], group: str, code: str = "code") -> DataFrame:
+    """One row a date: rows, codes, groups, the share without a group, the share that has each column, and rows that have all."""
+    complete = F.lit(True)
+    for c in columns:
+        complete = complete & F.col(c).isNotNull()
+    unknown = F.col(group).isNull() | (F.col(group) == "UNKNOWN")
+    return rows.groupBy(date).agg(
+        F.count("*").alias("rows"), F.countDistinct(code).alias("codes"), F.countDistinct(F.when(~unknown, F.col(group))).alias("groups"), F.avg(unknown.cast("double")).alias("unknown_share"),
+        *[F.avg(F.col(c).isNotNull().cast("double")).alias(f"{c}_coverage") for c in columns], F.count_if(complete).alias("complete_rows"),
+    )

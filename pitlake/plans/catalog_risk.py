@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitlake.operators import crosssection, evaluate, factors, reports, risk, risk_aware
+from pitlake.operators import crosssection, evaluate, factors, portfolio, reports, risk, risk_aware
 from pitlake.plans.catalog import STYLES, WEEKLY_X, _weekly_cross_section, query, rounded
 from pitlake.plans.catalog_accounts import _ACCOUNT, _account
 from pitlake.plans.catalog_more import EXPOSURES, _exposures, _std
@@ -255,3 +255,35 @@ def risk_aware_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     covariance = b.select("decision_date").distinct().select("decision_date", F.inline(F.array(*rows)))
     spec = risk_aware.Overlay(stock_cap=1.0, group_fraction=1.0, strength=0.5, target_volatility=0.15, multiplier=1.1, least_scale=0.8, iterations=3)
     return rounded(risk_aware.risk_aware_weights(weights, x, own, covariance, spec).select("decision_date", "code", "weight", "volatility_optimised"))
+
+
+# Targets without caps, diagnostics and progress
+
+
+@query(f"""WITH {CROSS}, r AS (SELECT date, code, round(amount, 2) AS score, CASE WHEN n > 1 THEN size / 100 END AS vol, row_number() OVER (PARTITION BY date ORDER BY round(amount, 2) DESC, lpad(CAST(code AS VARCHAR), 8, '0')) AS k FROM cross_section),
+p AS (SELECT * FROM r WHERE k <= 25), m AS (SELECT *, coalesce(vol, median(vol) OVER d) AS v, max(score) OVER d AS top FROM p WINDOW d AS (PARTITION BY date)),
+w AS (SELECT *, exp(greatest(-30, least(30, (score - top) / 50000.0))) / pow(greatest(v, 0.15), 0.5) AS raw FROM m)
+SELECT date AS year, lpad(CAST(code AS VARCHAR), 8, '0') AS code, round(0.9 * raw / sum(raw) OVER (PARTITION BY date), 6) AS weight FROM w""")
+def uncapped_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of the 25 best of each year where no cap binds, which SQL can say; tests have caps that bind."""
+    x = cross_section(spark, sf_dir)
+    scored = x.select(F.make_date("date", F.lit(1), F.lit(1)).alias("decision_date"), F.lpad(F.col("code").cast("string"), 8, "0").alias("code"), F.round("amount", 2).alias("score"), F.when(F.col("n") > 1, F.col("size") / 100).alias("volatility"), F.lit("one").alias("industry_group"), F.lit(False).alias("held"))
+    spec = portfolio.Construction(equity=0.9, count=25, buy_rank=25, sell_rank=25, stock_cap=1.0, group_cap=1.0, temperature=50000.0, volatility_power=0.5, least_volatility=0.15)
+    return portfolio.target_weights(scored, spec).select(F.year("decision_date").alias("year"), "code", F.round("weight", 6).alias("weight"))
+
+
+@query(f"""WITH {WEEKLY_X} SELECT model_date, count(*) AS rows, count(DISTINCT code) AS codes, count(DISTINCT CASE WHEN industry_group <> 'R3' THEN industry_group END) AS groups, round(avg(CAST(industry_group = 'R3' AS INTEGER)), 6) AS unknown_share,
+{', '.join(f"round(avg(CAST({c} IS NOT NULL AS INTEGER)), 6) AS {c}_coverage" for c in (*STYLES, 'forward_return'))}, count(*) FILTER ({' AND '.join(f'{c} IS NOT NULL' for c in (*STYLES, 'forward_return'))}) AS complete_rows FROM xs GROUP BY 1""")
+def date_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _weekly_cross_section(spark, sf_dir).withColumn("industry_group", F.when(F.col("industry_group") == "R3", "UNKNOWN").otherwise(F.col("industry_group")))
+    return rounded(reports.date_diagnostics(x, "model_date", [*STYLES, "forward_return"], "industry_group"))
+
+
+@query("""WITH r AS (SELECT o_orderpriority AS stage, o_custkey AS item, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'running' ELSE 'error' END AS status, o_orderkey AS upd FROM orders),
+l AS (SELECT stage, item, arg_max(status, upd) AS status, max(upd) AS upd FROM r GROUP BY 1, 2)
+SELECT stage, count(*) AS items, count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'running') AS running, count(*) FILTER (status = 'error') AS failed, max(item) AS last_item, max(upd) AS last_update FROM l GROUP BY 1""")
+def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of a build: priorities as stages, customers as items."""
+    o = table(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "running").otherwise("error")
+    return reports.run_progress(o.select(F.col("o_orderpriority").alias("stage"), F.col("o_custkey").alias("item"), status.alias("status"), F.col("o_orderkey").alias("updated_at")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, fields, replace
 from pathlib import Path
@@ -67,3 +68,26 @@ def route(capital: float, tiers: list[tuple[float, float | None, str]]) -> str:
         if capital >= low and (high is None or capital < high):
             return name
     raise ValueError(f"no tier for {capital}")
+
+
+def _canonical(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def stage_hashes(settings: dict, stages: dict[str, list[str] | None], version: str, rolling: tuple[str, ...] = ("model_end_date",)) -> dict[str, str]:
+    """A hash for each stage of a build, in order: of the settings that it names (None: all), the version of the algorithm, and the stage before it.
+
+    ``rolling`` settings only say how far a build goes and are part of no hash, so that a longer horizon goes on with what is there.
+    """
+    out, before = {}, ""
+    fixed = {k: v for k, v in settings.items() if k not in rolling}
+    for stage, names in stages.items():
+        own = fixed if names is None else {k: fixed.get(k) for k in names if k not in rolling}
+        before = out[stage] = hashlib.sha256(_canonical({"version": version, "before": before, "settings": own}).encode()).hexdigest()
+    return out
+
+
+def extends_horizon(previous: dict, now: dict, rolling: str = "model_end_date") -> bool:
+    """Whether the settings of a build differ from earlier ones in a later end alone: what was built under the earlier ones then counts."""
+    rest = lambda d: {k: v for k, v in d.items() if k != rolling}
+    return _canonical(rest(previous)) == _canonical(rest(now)) and str(now.get(rolling, "")) >= str(previous.get(rolling, ""))

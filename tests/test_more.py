@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitlake.functions import sql
-from pitlake.operators import execution, reports, scoring
+from pitlake.operators import reports, scoring
 from pitlake.plans import config
 
 D = dt.date
@@ -18,11 +18,6 @@ def test_sql_functions(spark):
     assert tuple(r) == ("STAR", 205, 100, 0, 10.01)
 
 
-def test_group_repair():
-    s = execution.repair_group_cap(np.array([500, 500, 100]), np.array([10.0, 10.0, 10.0]), np.full(3, 100), np.full(3, 100), np.array(["a", "a", "b"]), np.array([1.0, 0.5, 0.1]), 10000.0, 0.7)
-    assert s.tolist() == [500, 200, 100]
-
-
 def test_config(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"count": 5}))
     (tmp_path / "b.json").write_text(json.dumps({"extends": "a.json", "equity": 0.5}))

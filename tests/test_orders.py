@@ -70,6 +70,49 @@ def test_accounts_that_cannot_pay_and_unpriced_names(spark):
     assert stopped.search == "coordinate" and stopped.shares == 500
 
 
+def test_groups_are_brought_back_under_their_cap(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for a in range(12):
+        n = 9
+        w = rng.dirichlet(np.ones(n)) * 0.9
+        price = rng.uniform(3, 30, n)
+        for i in range(n):
+            shares = int(w[i] * 60000 / price[i] // 100 * 100) + (100 if i < 4 else 0)
+            rows.append((a, f"60{i:04d}", float(w[i]), shares, float(price[i]) if i != 8 else None, 60000.0, ["bank", "Coal", "tech"][i % 3]))
+    df = spark.createDataFrame(rows, "account int, code string, weight double, shares long, price double, value double, group string")
+    got = {}
+    for r in orders.repaired_groups(df, ["account"], [" BANK", "coal"], 0.5, 0.3).collect():
+        got.setdefault(r.account, {})[r.code] = r
+    moved = 0
+    for a in range(12):
+        own = [r for r in rows if r[0] == a]
+        price = {r[1]: r[4] or 0.0 for r in own}
+        w = {r[1]: r[2] for r in own}
+        inside = {r[1] for r in own if r[6].lower() in ("bank", "coal")}
+        shares = {r[1]: r[3] for r in own}
+        budget = 60000 * sum(w.values())
+        held = lambda s, price=price, inside=inside: sum(n * price[c] for c, n in s.items() if c in inside)
+        off = lambda c, n, price=price, w=w: (n * price[c] / 60000 - w[c]) ** 2
+        if held(shares) > budget / 2:
+            while held(shares) > budget / 2 + 1e-8:
+                choices = [((off(c, max(0, n - 100)) - off(c, n)) / (100 * price[c]), c) for c, n in shares.items() if c in inside and n > 0 and price[c]]
+                if not choices:
+                    break
+                c = min(choices)[1]
+                shares[c] -= 100
+                moved += 1
+            while True:
+                left = budget - sum(n * price[c] for c, n in shares.items())
+                choices = [(-(off(c, n) - off(c, n + 100)) / (100 * price[c]), c) for c, n in shares.items() if c not in inside and price[c] and 100 * price[c] <= left + 1e-8 and (n + 100) * price[c] / 60000 <= max(0.3, 1.35 * w[c]) + 1e-8 and off(c, n) - off(c, n + 100) > 1e-12]
+                if not choices or left <= 0:
+                    break
+                shares[min(choices)[1]] += 100
+        assert {c: r.shares for c, r in got[a].items()} == shares
+        assert held(shares) <= budget / 2 + 1e-6
+    assert moved > 10
+
+
 def plain_guard(items, current, target, value):
     able = [i for i in items if i["actionable"] is not False]
     side = lambda s: [i for i in able if i["side"] == s]

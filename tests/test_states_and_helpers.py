@@ -62,3 +62,18 @@ def test_lots_of_a_portfolio(spark):
     df = spark.createDataFrame(rows, "decision_date date, code string, weight double, price double, min_lot int, lot_step int")
     got = {(r.decision_date, r.code): r.shares for r in portfolio.lots(df, 20000.0).collect()}
     assert got == {(D(2024, 1, 5), "a"): 1000, (D(2024, 1, 5), "b"): 242}
+
+
+def test_stage_hashes_follow_what_a_stage_depends_on():
+    from pitlake.plans import config
+
+    stages = {"raw": ["start", "beta"], "model": None}
+    a = {"start": "2019-01-01", "beta": 252, "caps": {"x": 1, "y": None}, "model_end_date": "2024-01-01"}
+    h = config.stage_hashes(a, stages, "1")
+    assert h == config.stage_hashes({"caps": {"y": None, "x": 1}, "model_end_date": "2025-01-01", "beta": 252, "start": "2019-01-01"}, stages, "1")
+    other = config.stage_hashes({**a, "caps": {"x": 2, "y": None}}, stages, "1")
+    assert other["raw"] == h["raw"] and other["model"] != h["model"]
+    below = config.stage_hashes({**a, "beta": 120}, stages, "1")
+    assert below["raw"] != h["raw"] and below["model"] != h["model"] and config.stage_hashes(a, stages, "2")["raw"] != h["raw"]
+    assert config.extends_horizon(a, {**a, "model_end_date": "2024-02-01"}) and not config.extends_horizon(a, {**a, "model_end_date": "2023-12-01"})
+    assert not config.extends_horizon(a, {**a, "beta": 1})
