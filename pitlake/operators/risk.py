@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitlake.operators.adjust import interval_join
 from pitlake.operators.asof import asof_join
 from pitlake.operators.factors import MARKET
 
@@ -91,6 +92,27 @@ def expanding_calibration(observations: DataFrame, as_of: DataFrame, least: int)
     return total.select("as_of_date", F.when(F.col("forecast_weeks") >= least, ratio).otherwise(1.0).alias("multiplier"), "forecast_weeks")
 
 
+def rolling_calibration(observations: DataFrame, as_of: DataFrame, least: int, last: int) -> DataFrame:
+    """(as_of_date, multiplier, forecast_weeks): as ``expanding_calibration``, from the last ``last`` forecast dates that each date knows alone.
+
+    ``observations`` also has forecast_date; later forecasts are realised later. A forecast date is in use from the day it is realised until
+    ``last`` later ones are: an interval, joined with the dates of the schedule. Returns are centred per portfolio over what is in use.
+    """
+    known = observations.where((F.col("predicted_weekly_variance") > 0) & F.col("realized_weekly_return").isNotNull())
+    dates = known.groupBy("forecast_date").agg(F.min("realized_date").alias("_from"))  # a row a week
+    dates = dates.withColumn("_to", F.lead("_from", last).over(Window.orderBy("forecast_date")))
+    r, p = F.col("realized_weekly_return"), F.col("predicted_weekly_variance")
+    sums = known.groupBy("portfolio_name", "forecast_date", "realized_date").agg(F.sum(r * r).alias("rr"), F.sum(r).alias("r"), F.count("*").alias("n"), F.sum(p).alias("p"))
+    spans = sums.join(dates, "forecast_date").withColumns({"_k": F.lit(0), "_from": F.col("realized_date")})
+    grid = as_of.select(F.lit(0).alias("_k"), "as_of_date").distinct()
+    used = interval_join(grid, spans, ["_k"], "as_of_date", "_from", "_to", ["portfolio_name", "forecast_date", "rr", "r", "n", "p"]).where("portfolio_name is not null")
+    each = used.groupBy("as_of_date", "portfolio_name").agg((F.sum("rr") - F.sum("r") * F.sum("r") / F.sum("n")).alias("rr"), F.sum("n").alias("n"), F.sum("p").alias("p"))
+    weeks = used.groupBy("as_of_date").agg(F.countDistinct("forecast_date").alias("forecast_weeks"))
+    total = each.groupBy("as_of_date").agg(F.sum("rr").alias("_rr"), F.sum("n").alias("_n"), F.sum("p").alias("_p")).join(weeks, "as_of_date")
+    ratio = F.sqrt(F.try_divide(F.col("_rr") / F.col("_n"), F.col("_p") / F.col("_n")))
+    return total.select("as_of_date", F.when(F.col("forecast_weeks") >= least, ratio).otherwise(1.0).alias("multiplier"), "forecast_weeks")
+
+
 def calibration_summary(observations: DataFrame, by: list[str]) -> DataFrame:
     """Variance ratio, multiplier and breach rates of forecasts per group."""
     r, v = F.col("realized_weekly_return"), F.col("predicted_weekly_variance")

@@ -287,3 +287,15 @@ def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "running").otherwise("error")
     return reports.run_progress(o.select(F.col("o_orderpriority").alias("stage"), F.col("o_custkey").alias("item"), status.alias("status"), F.col("o_orderkey").alias("updated_at")))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS p, CAST(date_trunc('week', o_orderdate) AS DATE) AS f, CAST(date_trunc('week', o_orderdate) AS DATE) + 7 AS d, o_totalprice / 1e7 - 0.02 AS r, CASE WHEN o_custkey % 50 <> 3 THEN 0.0002 + o_custkey % 7 / 1e4 ELSE 0 END AS v FROM orders),
+k AS (SELECT * FROM o WHERE v > 0), a AS (SELECT max(d) AS t FROM o GROUP BY date_trunc('month', d)),
+u AS (SELECT t, f FROM (SELECT t, f, row_number() OVER (PARTITION BY t ORDER BY f DESC) AS n FROM a JOIN (SELECT DISTINCT f, d FROM k) ON d <= t) WHERE n <= 26),
+g AS (SELECT t, p, sum(r * r) - sum(r) * sum(r) / count(*) AS rr, count(*) AS n, sum(v) AS v FROM u JOIN k USING (f) GROUP BY 1, 2), w AS (SELECT t, count(*) AS weeks FROM u GROUP BY 1)
+SELECT t AS as_of_date, round(CASE WHEN any_value(weeks) >= 10 THEN sqrt(sum(rr) / sum(v)) ELSE 1.0 END, 5) AS multiplier, CAST(any_value(weeks) AS BIGINT) AS forecast_weeks FROM g JOIN w USING (t) GROUP BY 1""")
+def rolling_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, week = table(spark, sf_dir, "orders"), F.to_date(F.trunc("o_orderdate", "week"))
+    rows = o.select(F.col("o_orderpriority").alias("portfolio_name"), week.alias("forecast_date"), F.date_add(week, 7).alias("realized_date"), (F.col("o_totalprice") / 1e7 - 0.02).alias("realized_weekly_return"), F.when(F.col("o_custkey") % 50 != 3, 0.0002 + F.col("o_custkey") % 7 / 1e4).otherwise(0.0).alias("predicted_weekly_variance"))
+    ends = rows.groupBy(F.trunc("realized_date", "MM").alias("m")).agg(F.max("realized_date").alias("as_of_date")).select("as_of_date")
+    return rounded(risk.rolling_calibration(rows, ends, 10, 26), 5)

@@ -1,7 +1,6 @@
 import datetime as dt
 import json
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
