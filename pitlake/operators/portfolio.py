@@ -155,40 +155,90 @@ def satellite_weights(targets: DataFrame, total: float, stock_cap: float, group_
     return rows.groupBy("decision_date").applyInPandas(run, f"decision_date {dict(targets.dtypes)['decision_date']}, code string, weight double")
 
 
-def lot_aware_selection(candidates: DataFrame, value: float, spec: Construction = Construction(), least_holdings: int = 5, slippage_bps: float = 0.0) -> DataFrame:
+@dataclass(frozen=True)
+class Preferences:
+    """leaders: names of leading groups, one a group, that are taken first; defensive: groups that together have at most ``defensive_fraction`` of the names, and
+    each at most ``defensive_names`` (0: no limit); group_caps: caps of groups that differ from the common one.
+    """
+
+    leaders: int = 0
+    defensive: tuple[str, ...] = ()
+    defensive_fraction: float = 1.0
+    defensive_names: int = 0
+    group_caps: tuple[tuple[str, float], ...] = ()
+
+
+def _pick(lot: np.ndarray, group: np.ndarray, code: np.ndarray, leader: np.ndarray, most: int, budget: float, value: float, spec: Construction, prefer: Preferences) -> list[int]:
+    """Places of the names chosen, in the order of choice; all arrays are in order of preference."""
+    afforded, reserved = 0, 0.0
+    for x in lot:
+        if afforded < most and reserved + x <= budget + 1e-8:
+            afforded, reserved = afforded + 1, reserved + x
+    caps, guarded = dict(prefer.group_caps), {g.strip().upper() for g in prefer.defensive if g.strip()}
+    cap = lambda g: max(0.0, caps.get(g, spec.group_cap))
+
+    def names_of(g: str) -> int:
+        if cap(g) <= 0:
+            return 0
+        own = max(1, math.ceil(afforded * cap(g) / max(spec.equity, 1e-8) - 1e-9))
+        return min(own, prefer.defensive_names) if prefer.defensive_names > 0 and g.upper() in guarded else own
+
+    fraction = min(max(prefer.defensive_fraction, 0.0), 1.0)
+    most_guarded = math.floor(afforded * fraction + 1e-9) if guarded and fraction < 1 else afforded
+    chosen: list[int] = []
+    names: dict[str, int] = {}
+    money: dict[str, float] = {}
+    n_guarded, reserved = 0, 0.0
+
+    def take(i: int) -> None:
+        nonlocal n_guarded, reserved
+        g, x = group[i], lot[i]
+        if names.get(g, 0) < names_of(g) and reserved + x <= budget + 1e-8 and money.get(g, 0.0) + x <= value * cap(g) + 1e-8:
+            chosen.append(i)
+            names[g], money[g], reserved = names.get(g, 0) + 1, money.get(g, 0.0) + x, reserved + x
+            n_guarded += g.upper() in guarded
+
+    first: dict[str, int] = {}
+    for i in np.flatnonzero(leader > 0) if prefer.leaders > 0 else ():
+        first.setdefault(group[i], int(i))
+    for i in sorted(first.values(), key=lambda i: (leader[i], code[i])):
+        if len(chosen) < min(prefer.leaders, afforded):
+            take(i)
+    for i in range(len(lot)):
+        if len(chosen) >= afforded:
+            break
+        if i not in chosen and not (group[i].upper() in guarded and n_guarded >= most_guarded):
+            take(i)
+    return chosen
+
+
+def lot_aware_selection(candidates: DataFrame, value: float, spec: Construction = Construction(), least_holdings: int = 5, slippage_bps: float = 0.0, prefer: Preferences = Preferences()) -> DataFrame:
     """(decision_date, code, pick, minimum_weight): names whose smallest legal order fits the account.
 
-    ``candidates``: decision_date, code, rank, held, close, min_lot, industry_group. Held names within the sell rank
-    come first, then those within the buy rank, then the rest. A smallest order above the budget of
+    ``candidates``: decision_date, code, rank, held, close, min_lot, industry_group; if they are there, retention_rank (which decides for held names)
+    and leader_rank (of a leading group, from 1; null or 0 for others). Held names within the sell rank
+    come first, then those within the buy rank, then the rest; before all of them the leaders that ``prefer`` asks for. A smallest order above the budget of
     ``least_holdings`` equal parts is left out. How many can be afforded sets how many a group may have; both
     a group's smallest orders and all together stay within their money. What only filters, orders and counts
     is windows; the greedy pass over a date's names is a grouped function, as each step hangs on the ones before.
     """
     budget = max(0.0, value * spec.equity)
     count = F.least(F.lit(spec.count), F.count("*").over(Window.partitionBy("decision_date")))
-    place = F.when(F.coalesce("held", F.lit(False)) & (F.col("rank") <= spec.sell_rank), 0).when(F.col("rank") <= spec.buy_rank, 1).otherwise(2)
-    rows = candidates.withColumns({"_count": count, "_place": place, "_lot": F.col("min_lot") * F.col("close") * (1 + slippage_bps / 1e4)}).where(F.col("close") > 0)
+    keep = F.coalesce("retention_rank", "rank") if "retention_rank" in candidates.columns else F.col("rank")
+    leader = F.coalesce(F.col("leader_rank").cast("int"), F.lit(0)) if "leader_rank" in candidates.columns else F.lit(0)
+    held = F.coalesce("held", F.lit(False)) & (keep <= spec.sell_rank)
+    place = F.when(held, 0).when(F.col("rank") <= spec.buy_rank, 1).otherwise(2)
+    rows = candidates.withColumns({"_count": count, "_place": place, "_order": F.when(held, keep).otherwise(F.col("rank")), "_leader": leader, "_lot": F.col("min_lot") * F.col("close") * (1 + slippage_bps / 1e4)}).where(F.col("close") > 0)
     rows = rows.where(F.col("_lot") <= budget / F.least(F.col("_count"), F.lit(max(1, least_holdings))) + 1e-8)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        df = pdf.sort_values(["_place", "rank", "code"])
+        df = pdf.sort_values(["_place", "_order", "code"])
         lot, group = df["_lot"].to_numpy(float), df["industry_group"].fillna("UNKNOWN").to_numpy()
-        most, afforded, reserved = int(df["_count"].iloc[0]), 0, 0.0
-        for x in lot:
-            if afforded < most and reserved + x <= budget + 1e-8:
-                afforded, reserved = afforded + 1, reserved + x
-        per_group = max(1, math.ceil(afforded * spec.group_cap / max(spec.equity, 1e-8) - 1e-9)) if spec.group_cap > 0 else 0
-        chosen, names, money, reserved = [], {}, {}, 0.0
-        for i, (x, g) in enumerate(zip(lot, group)):
-            if len(chosen) >= afforded:
-                break
-            if names.get(g, 0) < per_group and reserved + x <= budget + 1e-8 and money.get(g, 0.0) + x <= value * spec.group_cap + 1e-8:
-                chosen.append(i)
-                names[g], money[g], reserved = names.get(g, 0) + 1, money.get(g, 0.0) + x, reserved + x
+        chosen = _pick(lot, group, df["code"].to_numpy(), df["_leader"].to_numpy(int), int(df["_count"].iloc[0]), budget, value, spec, prefer)
         return pd.DataFrame({"decision_date": df["decision_date"].iloc[chosen], "code": df["code"].iloc[chosen], "pick": range(1, len(chosen) + 1), "minimum_weight": lot[chosen] / value})
 
     kind = dict(candidates.dtypes)["decision_date"]
-    rows = rows.select("decision_date", F.col("code").cast("string"), "rank", "industry_group", "_count", "_place", "_lot")
+    rows = rows.select("decision_date", F.col("code").cast("string"), "industry_group", "_count", "_place", "_order", "_leader", "_lot")
     return rows.groupBy("decision_date").applyInPandas(run, f"decision_date {kind}, code string, pick long, minimum_weight double")
 
 

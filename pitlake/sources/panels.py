@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 from pitlake.functions import columns as C
 from pitlake.operators import quality
@@ -11,9 +17,36 @@ from pitlake.operators import quality
 REQUIRED = ("date", "code", "forward_return")
 
 
+def read_feather(spark: SparkSession, path: str) -> DataFrame:
+    """Feather files (Arrow IPC) of one schema, a task for each; read through Spark's file systems, so only a schema comes to the driver."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def schema_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found = from_arrow_schema(pa.ipc.open_file(pa.py_buffer(content.as_buffer())).schema)
+                yield pa.record_batch([pa.array([found.json()])], ["schema"])
+
+    first = files.limit(1).mapInArrow(schema_of, "schema string").first()
+    if first is None:
+        raise ValueError(f"{path} has no file")
+    schema = StructType.fromJson(json.loads(first["schema"]))
+    names = schema.fieldNames()
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                book = pa.ipc.open_file(pa.py_buffer(content.as_buffer()))
+                for i in range(book.num_record_batches):
+                    part = book.get_batch(i)
+                    yield pa.record_batch([part.column(part.schema.get_field_index(n)) for n in names], names)
+
+    return files.mapInArrow(rows_of, schema)
+
+
 def read_panel(spark: SparkSession, path: str, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    """A factor panel from parquet or CSV: required columns, and all but keys as numbers (bad ones missing)."""
-    df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    """A factor panel from parquet, CSV or Feather: required columns, and all but keys as numbers (bad ones missing)."""
+    df = spark.read.option("header", True).csv(path) if path.endswith(".csv") else read_feather(spark, path) if path.endswith(".feather") else spark.read.parquet(path)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks {missing}")

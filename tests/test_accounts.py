@@ -41,6 +41,24 @@ def test_lot_aware_against_a_plain_pass(spark):
     assert portfolio.lot_aware_selection(df.where("close < 0"), value, spec).count() == 0
 
 
+def test_preferences_for_leading_and_defensive_groups(spark):
+    def pick(prefer, equity=1.0, group_cap=1.0, count=6):
+        spec = portfolio.Construction(equity=equity, count=count, buy_rank=20, sell_rank=20, group_cap=group_cap)
+        rows = [(1, f"60{i:04d}", i + 1, i in (9, 10), 12 - i if i in (9, 10) else None, 10.0, 100, g, lead) for i, (g, lead) in enumerate([("bank", 0), ("bank", 0), ("power", None), ("bank", 0), ("tech", 2), ("power", 0), ("chip", 1), ("tech", 3), ("bank", 0), ("chip", 2), ("food", 0), (None, 0)])]
+        df = spark.createDataFrame(rows, "decision_date int, code string, rank int, held boolean, retention_rank int, close double, min_lot int, industry_group string, leader_rank int")
+        return [int(r.code[2:]) for r in portfolio.lot_aware_selection(df, 6000.0, spec, 1, 0.0, prefer).orderBy("pick").collect()]
+
+    assert pick(portfolio.Preferences()) == [10, 9, 0, 1, 2, 3]  # held names by their own rank, then the rest
+    guarded = portfolio.Preferences(defensive=(" Bank", "POWER"), defensive_fraction=0.34)
+    assert pick(guarded) == [10, 9, 0, 1, 4, 6]  # two of six names at most
+    assert pick(portfolio.Preferences(defensive=("bank", "power"), defensive_names=1)) == [10, 9, 0, 2, 4, 6]  # one of each
+    # The first candidate of each leading group counts, by its rank among leaders: chip is led by the held name 9, of rank 2, like tech by 4.
+    assert pick(portfolio.Preferences(leaders=2)) == [4, 9, 10, 0, 1, 2]
+    assert pick(portfolio.Preferences(leaders=1), count=2) == [4, 10]
+    assert pick(portfolio.Preferences(group_caps=(("bank", 0.0), ("UNKNOWN", 0.0)))) == [10, 9, 2, 4, 5, 6]
+    assert pick(portfolio.Preferences(group_caps=(("bank", 1 / 6),), leaders=9)) == [4, 9, 10, 0, 2, 5]
+
+
 def test_satellite_allocation_keeps_caps_and_total():
     desired, raw = np.array([0.3, 0.3, 0.2, 0.1]), np.array([1.0, 2.0, np.nan, 1.0])
     group, leader = np.array(["a", "a", "b", "c"]), np.array([False, True, True, True])

@@ -77,3 +77,16 @@ def test_stage_hashes_follow_what_a_stage_depends_on():
     assert below["raw"] != h["raw"] and below["model"] != h["model"] and config.stage_hashes(a, stages, "2")["raw"] != h["raw"]
     assert config.extends_horizon(a, {**a, "model_end_date": "2024-02-01"}) and not config.extends_horizon(a, {**a, "model_end_date": "2023-12-01"})
     assert not config.extends_horizon(a, {**a, "beta": 1})
+
+
+def test_feather_panels(spark, tmp_path):
+    import pandas as pd
+    from pyarrow import feather
+
+    for k in range(2):
+        df = pd.DataFrame({"date": ["2024-01-05", "20240112"], "code": [1, 2], "forward_return": [0.1, float("inf")], "f": ["x", "2.5"], "era": "train"})
+        feather.write_feather(df, str(tmp_path / f"p{k}.feather"), compression="zstd" if k else "uncompressed")
+    got = panels.read_panel(spark, str(tmp_path / "*.feather")).orderBy("date", "code").collect()
+    assert len(got) == 4 and got[0].code == "1" and got[0].f is None and got[3].forward_return is None and got[3].date == D(2024, 1, 12) and got[3].f == 2.5
+    with pytest.raises(ValueError, match="lacks"):
+        panels.read_panel(spark, str(tmp_path / "p0.feather"), ("date", "beta"))
