@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import weighted_available
@@ -88,6 +88,41 @@ def risk_on_strength(return_20, gap, full: float = 0.05):
     return F.least(part(return_20), part(gap))
 
 
+def equity_throttle(target: Column, floor: float, ceiling: float) -> Column:
+    """How far a target equity lies between the least and the most equity, 0 to 1; where these are the same, whether it is reached."""
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(target, F.lit(floor))))
+    floor = min(max(floor, 0.0), 1.0)
+    ceiling = min(max(ceiling, floor), 1.0)
+    if ceiling <= floor + 1e-12:
+        return F.when(bounded >= ceiling, 1.0).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (bounded - floor) / (ceiling - floor)))
+
+
+def fast_rebound(return_5: Column, return_10: Column, return_20: Column, up_breadth_5: Column, least_5: float, least_10: float, most_20: float, least_breadth: float) -> Column:
+    """1 where a market that has fallen over twenty days rises over five and ten on a broad front, else 0; 0 where a measure is missing."""
+    active = (return_5 >= least_5) & (return_10 >= least_10) & (return_20 <= most_20) & (up_breadth_5 >= least_breadth)
+    finite = [~F.isnan(c) for c in (return_5, return_10, return_20, up_breadth_5)]
+    return F.when(F.coalesce(active & finite[0] & finite[1] & finite[2] & finite[3], F.lit(False)), 1.0).otherwise(0.0)
+
+
+def score_slopes(panel: DataFrame, score: str, label: str, date: str, least: int = 40, tail: float = 0.01, part: float = 0.20) -> DataFrame:
+    """(date, names, slope, spread): what a unit of the score earned, and the top part of the names over the bottom part.
+
+    Labels are cut to their ``tail`` quantiles of the date. Parts are by percentile ranks with ties at their mean. No slope where the score does not vary.
+    """
+    rows = panel.where(F.col(score).isNotNull() & F.col(label).isNotNull() & ~F.isnan(F.col(score).cast("double")) & ~F.isnan(F.col(label).cast("double"))).select(date, F.col(score).alias("_s"), F.col(label).cast("double").alias("_y"))
+    w = Window.partitionBy(date)
+    edges = F.percentile("_y", F.array(F.lit(tail), F.lit(1 - tail))).over(w)
+    ranked = W.with_average_rank(rows.withColumn("_e", edges).withColumn("_n", F.count("*").over(w)), "_s", [date], "_r")
+    y = F.greatest(F.col("_e")[0], F.least(F.col("_e")[1], F.col("_y")))
+    rank = F.col("_r") / F.col("_n")
+    out = ranked.withColumn("_y", y).groupBy(date).agg(
+        F.count("*").alias("names"), F.when(F.var_pop("_s") * F.count("*") > 1e-12, F.covar_pop("_s", "_y") / F.var_pop("_s")).alias("slope"),
+        (F.avg(F.when(rank >= 1 - part, F.col("_y"))) - F.avg(F.when(rank <= part, F.col("_y")))).alias("spread"),
+    )
+    return out.where(F.col("names") >= least)
+
+
 def blend_satellite(scored: DataFrame, satellite: DataFrame, date: str, group: str, base: str, tilt: str, cap: float, risk_on) -> DataFrame:
     """Core and satellite z-scores blended by cap x strength x risk-on; groups without a satellite keep the core."""
     s = satellite.select(date, group, F.col("strength").alias("_strength"))

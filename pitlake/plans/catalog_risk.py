@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitlake.operators import crosssection, evaluate, factors, portfolio, reports, risk, risk_aware
+from pitlake.operators import crosssection, evaluate, factors, portfolio, reports, risk, risk_aware, scoring
+from pitlake.plans import views
 from pitlake.plans.catalog import STYLES, WEEKLY_X, _weekly_cross_section, query, rounded
 from pitlake.plans.catalog_accounts import _ACCOUNT, _account
 from pitlake.plans.catalog_more import EXPOSURES, _exposures, _std
-from pitlake.plans.views import CROSS, cross_section, table
+from pitlake.plans.views import CROSS, MARKET, PANEL, cross_section, panel, table
 
 # Factor returns and covariances
 
@@ -299,3 +300,31 @@ def rolling_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.select(F.col("o_orderpriority").alias("portfolio_name"), week.alias("forecast_date"), F.date_add(week, 7).alias("realized_date"), (F.col("o_totalprice") / 1e7 - 0.02).alias("realized_weekly_return"), F.when(F.col("o_custkey") % 50 != 3, 0.0002 + F.col("o_custkey") % 7 / 1e4).otherwise(0.0).alias("predicted_weekly_variance"))
     ends = rows.groupBy(F.trunc("realized_date", "MM").alias("m")).agg(F.max("realized_date").alias("as_of_date")).select("as_of_date")
     return rounded(risk.rolling_calibration(rows, ends, 10, 26), 5)
+
+
+# Scores and throttles
+
+
+@query(f"""WITH {CROSS}, r AS (SELECT date, round(size, 6) AS s, forward_return AS y FROM cross_section WHERE size IS NOT NULL AND forward_return IS NOT NULL),
+q AS (SELECT *, quantile_cont(y, 0.01) OVER d AS lo, quantile_cont(y, 0.99) OVER d AS hi, (rank() OVER (PARTITION BY date ORDER BY s) + (count(*) OVER (PARTITION BY date, s) - 1) / 2.0) / count(*) OVER d AS k FROM r WINDOW d AS (PARTITION BY date)),
+c AS (SELECT *, greatest(lo, least(hi, y)) AS v FROM q)
+SELECT date, count(*) AS names, round(regr_slope(v, s), 6) + 0.0 AS slope, round(avg(v) FILTER (k >= 0.8) - avg(v) FILTER (k <= 0.2), 6) + 0.0 AS spread FROM c GROUP BY 1 HAVING count(*) >= 40""")
+def score_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scoring.score_slopes(cross_section(spark, sf_dir).withColumn("size", F.round("size", 6)), "size", "forward_return", "date")
+    return out.select("date", "names", (F.round("slope", 6) + 0.0).alias("slope"), (F.round("spread", 6) + 0.0).alias("spread"))
+
+
+@query(f"""WITH {PANEL}, {MARKET}, u AS (SELECT trade_date, avg(CAST(daily_return > 0 AS INTEGER)) AS up FROM panel GROUP BY 1),
+i AS (SELECT trade_date, up, exp(sum(ln(1 + coalesce(market_return, 0))) OVER (ORDER BY trade_date)) AS x FROM market JOIN u USING (trade_date)),
+f AS (SELECT trade_date, x / lag(x, 5) OVER o - 1 AS r5, x / lag(x, 10) OVER o - 1 AS r10, x / lag(x, 20) OVER o - 1 AS r20, CASE WHEN count(up) OVER v >= 5 THEN avg(up) OVER v END AS b5 FROM i WINDOW o AS (ORDER BY trade_date), v AS (ORDER BY trade_date ROWS 4 PRECEDING))
+SELECT trade_date, CASE WHEN round(r5, 6) >= -0.01 AND round(r10, 6) >= -0.02 AND round(r20, 6) <= 0.02 AND round(b5, 6) >= 0.4 THEN 1.0 ELSE 0.0 END AS rebound, round(greatest(0, least(1, (greatest(0, least(1, coalesce(b5, 0.3))) - 0.3) / 0.4)), 5) AS throttle FROM f""")
+def rebound_and_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = panel(spark, sf_dir)
+    up = p.groupBy("trade_date").agg(F.avg((F.col("daily_return") > 0).cast("double")).alias("up"))
+    o = Window.orderBy("trade_date")  # a row a day
+    i = views.market(p).join(up, "trade_date").withColumn("x", F.exp(F.sum(F.log1p(F.coalesce("market_return", F.lit(0.0)))).over(o)))
+    back = lambda n: F.round(F.col("x") / F.lag("x", n).over(o) - 1, 6)
+    five = o.rowsBetween(-4, 0)
+    f = i.select("trade_date", back(5).alias("r5"), back(10).alias("r10"), back(20).alias("r20"), F.when(F.count("up").over(five) >= 5, F.avg("up").over(five)).alias("b5"))
+    rebound = scoring.fast_rebound(F.col("r5"), F.col("r10"), F.col("r20"), F.round("b5", 6), -0.01, -0.02, 0.02, 0.4)
+    return f.select("trade_date", rebound.alias("rebound"), F.round(scoring.equity_throttle(F.col("b5"), 0.3, 0.7), 5).alias("throttle"))
