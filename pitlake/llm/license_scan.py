@@ -102,6 +102,10 @@ class Model:
     temperature: float
 
 
+#: Words that variations put around a notice.
+AROUND = "project code see file text here data note page more info author copyright 2019 2022 our we all rights".split()
+
+
 def tokens(s: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", s.lower()) if w]
 
@@ -112,13 +116,12 @@ def grams(words: list[str]) -> list[str]:
 
 def _variations(notice: str, rng: random.Random, n: int) -> list[str]:
     """The notice with words put around it and, in longer ones, a word dropped."""
-    around = "project code see file text here data note page more info author copyright 2019 2022 our we all rights".split()
     out = [notice]
     for _ in range(n):
         w = notice.split()
         if len(w) > 7 and rng.random() < 0.5:
             w.pop(rng.randrange(len(w)))
-        out.append(" ".join([*rng.sample(around, rng.randrange(3)), *w, *rng.sample(around, rng.randrange(3))]))
+        out.append(" ".join([*rng.sample(AROUND, rng.randrange(3)), *w, *rng.sample(AROUND, rng.randrange(3))]))
     return out
 
 
@@ -170,7 +173,10 @@ def model() -> Model:
 
 @dataclass(frozen=True)
 class Licensing:
-    """The model of lines about licensing: the score of a line is the bias and the weights of its n-grams; ``least`` is the score from which it counts."""
+    """The model of lines about licensing: the score of a line is the bias and the weights of its n-grams; ``least`` is the score from which it counts.
+
+    Only lines with one of the strongest ``words`` are scored; others have too little weight to count.
+    """
 
     vocabulary: list[str]
     words: list[str]
@@ -207,8 +213,9 @@ def licensing() -> Licensing:
         w -= 2.0 * (x.T @ (p - y) / len(x) + 1e-4 * w)
         b -= 2.0 * (p - y).mean()
     least = max(0.0, float(np.quantile(matrix(other[1::2]) @ w + b, 0.99)))
-    kept = [i for i in range(len(vocabulary)) if abs(w[i]) > 1e-3]
-    return Licensing([vocabulary[i] for i in kept], words, [round(float(w[i]), 6) for i in kept], round(float(b), 6), round(least, 6))
+    kept = [i for i in range(len(vocabulary)) if abs(w[i]) >= 0.05]
+    strong = [g for g, v in zip(vocabulary, w) if v >= 0.5 and g.isalpha() and (g not in AROUND or g == "copyright")]
+    return Licensing([vocabulary[i] for i in kept], strong, [round(float(w[i]), 6) for i in kept], round(float(b), 6), round(least, 6))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
