@@ -3,7 +3,8 @@
 Features are n-gram indicators: byte trigrams and bigrams of word shapes, hashed to ``SIZE`` buckets.
 Each is scaled by the log ratio of its smoothed counts in the two classes, taken over all labelled
 training documents; a linear hinge-loss model is then fitted by dual coordinate descent on at most
-about ``sample`` of them, drawn by a hash of doc_id, in one task of bounded size. The margin becomes a
+about ``sample`` of them, drawn by a hash of doc_id, and at most about ``features`` of their features, drawn by a hash of a
+document's features, in one task of bounded size. The margin becomes a
 probability by a logistic curve fitted on a fifth of the sample that the weights have not seen.
 
 Byte trigrams beat word 1- and 2-grams here (README), so words take part by their shapes alone. A very
@@ -33,9 +34,10 @@ SIZE = 1 << 16
 
 @dataclass(frozen=True)
 class Spec:
-    """sample: labelled documents of the fit; c: cost of a violation; beta: weight of the fit against its mean; threshold: of label 1."""
+    """sample: labelled documents of the fit; features: of all these documents together; c: cost of a violation; beta: weight of the fit against its mean; threshold: of label 1."""
 
     sample: int = 16000
+    features: int = 100_000_000
     epochs: int = 10
     c: float = 0.1
     alpha: float = 1.0
@@ -112,11 +114,11 @@ def dual_coordinate_descent(x: list[np.ndarray], y: np.ndarray, ratio: np.ndarra
     w, bias = np.zeros(SIZE), 0.0
     a = np.zeros(len(x))
     norm = np.array([(ratio[i] ** 2).sum() + 1 for i in x])
-    scaled = [ratio[i] for i in x]
     rng = np.random.default_rng(5)
     for _ in range(spec.epochs):
         for k in rng.permutation(len(x)):
-            i, v = x[k], scaled[k]
+            i = x[k]
+            v = ratio[i]
             g = y[k] * (w[i] @ v + bias) - 1
             new = min(max(a[k] - g / norm[k], 0.0), spec.c)
             if new != a[k]:
@@ -183,7 +185,11 @@ def learn(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> np.ndarray
     none, one = counts[-1][-1], counts[-2][-1]
     if not none or not one:
         return np.append(np.zeros(SIZE), [np.log((one + 1e-3) / (none + 1e-3))])
-    fitted = found.where("label >= 0").groupBy(F.lit(0).alias("k")).applyInArrow(_fit(counts, spec), "w binary")
+    fit = found.where("label >= 0")
+    # Two bytes a feature.
+    total = (fit.agg(F.sum(F.octet_length("x"))).first()[0] or 0) / 2
+    fit = fit.where(F.pmod(F.xxhash64("x"), F.lit(1 << 20)) < int(min(1.0, spec.features / max(total, 1)) * (1 << 20)))
+    fitted = fit.groupBy(F.lit(0).alias("k")).applyInArrow(_fit(counts, spec), "w binary")
     w = np.frombuffer(bytes(fitted.first()["w"]), np.float64)
     ws.drop(found)
     return w

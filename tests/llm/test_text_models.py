@@ -207,3 +207,48 @@ def test_squeezed_counts_round_trip():
     assert (katz.unsqueeze(katz.squeeze(v)) == v).all() and len(katz.unsqueeze(katz.squeeze(v[:0]))) == 0
     w = np.array([1, 2**48 - 1, 2**63], np.uint64)
     assert katz.from_six(katz.six_bytes(w)).tolist() == [1, 2**48 - 1, 0]
+
+
+def brute_quality(rows, labels, spec):
+    """Scores of (doc_id, text), learned by loops over sets of features from the labels (doc_id, quality) that count."""
+    of = {i: x.tolist() for (i, _), x in zip(rows, quality.features(pa.array([t for _, t in rows], pa.string())))}
+    train = [(of[i], k) for i, k in labels if i in of and k in (0, 1) and crc(i, 4) != 2]
+    count = {k: Counter(f for x, y in train if y == k for f in x) for k in (0, 1)}
+    total = {k: sum(count[k].values()) + quality.SIZE * spec.alpha for k in (0, 1)}
+    ratio = lambda f: math.log((count[1][f] + spec.alpha) / total[1]) - math.log((count[0][f] + spec.alpha) / total[0])
+    train.sort(key=lambda r: np.array(r[0], np.uint16).tobytes()[:64])
+    seen = [r for k, r in enumerate(train) if k % 5]
+    kept = [r for k, r in enumerate(train) if k % 5 == 0]
+    w, bias, a = defaultdict(float), 0.0, [0.0] * len(seen)
+    rng = np.random.default_rng(5)
+    for _ in range(spec.epochs):
+        for k in rng.permutation(len(seen)):
+            x, y = seen[k][0], 1 if seen[k][1] else -1
+            norm = sum(ratio(f) ** 2 for f in x) + 1
+            g = y * (sum(w[f] * ratio(f) for f in x) + bias) - 1
+            new = min(max(a[k] - g / norm, 0.0), spec.c)
+            for f in x:
+                w[f] += (new - a[k]) * y * ratio(f)
+            bias += (new - a[k]) * y
+            a[k] = new
+    mean = sum(abs(v) for v in w.values()) / quality.SIZE
+    margin = lambda x: sum(ratio(f) * ((1 - spec.beta) * mean + spec.beta * w[f]) for f in x) + bias
+    slope, offset = quality.logistic(np.array([margin(x) for x, _ in kept]), np.array([1.0 if y else -1.0 for _, y in kept]))
+    return {i: 1 / (1 + math.exp(-(slope * margin(x) + offset))) for i, x in of.items()}
+
+
+def test_quality_equals_a_plain_model(spark):
+    rng = random.Random(9)
+    word = lambda good: "".join(rng.choice("abcde" if good else "defgh") for _ in range(rng.randrange(2, 6)))
+    rows = [(i, " ".join(word(i % 2 == 0 if rng.random() < 0.8 else i % 2) for _ in range(rng.randrange(3, 12)))) for i in range(90)] + [(90, ""), (91, None), (92, "ZZ 99")]
+    labels = [(i, 1 - i % 2 if rng.random() < 0.9 else i % 2) for i in range(70)] + [(5, 1), (5, 0), (7, None), (8, 3), (500, 1)]
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in rows], "doc_id long, text string, label string, picked int")
+    marked = spark.createDataFrame([(i, k, "b", 2) for i, k in labels], "doc_id long, quality int, text string, n int")
+    spec = quality.Spec()
+    got = {r.doc_id: r for r in quality.score_quality(docs, marked, spec).collect()}
+    want = brute_quality(rows, labels, spec)
+    assert got.keys() == want.keys() and len({round(v, 3) for v in want.values()}) > 50
+    for i, v in want.items():
+        assert abs(got[i].score - v) < 1e-9 and got[i].predicted == (v >= 0.7) and got[i].held_out == (crc(i, 4) == 2)
+    few = quality.score_quality(docs, marked, quality.Spec(features=600)).collect()  # a part of the documents
+    assert len(few) == 93 and all(0 <= r.score <= 1 for r in few)
