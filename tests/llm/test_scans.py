@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from pitlake.llm import license_scan as L
 from pitlake.llm.license_scan import license_scan
 from pitlake.llm.secret_scan import ASSIGN, KINDS, EntropyRule, masked, redact, secret_scan, window_spans
 
@@ -225,3 +227,83 @@ def test_unknown_notices_held_out_from_training(spark):
 
 def test_empty_tables(spark):
     assert secret_scan(nothing(spark)).count() == 0 and license_scan(nothing(spark)).count() == 0 and redact(nothing(spark)).count() == 0
+
+
+def brute_licenses(text, least=0.6, confirm=0.6):
+    """(families, n_paragraphs, n_unknown) by loops over all groups of segments, in plain Python."""
+    m, k = L.model(), L.licensing()
+    weight = dict(zip(k.vocabulary, k.weights))
+    at = {g: i for i, g in enumerate(m.vocabulary)}
+    templates = {f: [set(L.grams(L.tokens(t))) for t in L.NOTICES[f]] for f in m.families}
+    rival = {f: next((i for i, r in enumerate(L.RIVALS) if f in r), f) for f in m.families}
+    cues, known = set(m.words), {g for f in templates.values() for t in f for g in t} | set(m.vocabulary)
+
+    def overlap(found, size, t):
+        o = len(t & found) / len(t)
+        return 0.0 if o < 1 and len(t) <= L.SMALL_TEMPLATE and size > L.LOOSE_WORDS else o
+
+    def judge(segments, a, b, live, mine):
+        words = [w for _, own in segments[a : b + 1] for w in own]
+        found = set(L.grams(words)) & mine
+        if not any(overlap(found, len(words), t) >= confirm for t in live):
+            return None
+        z = m.bias + sum((m.weights[at[g]] for g in sorted(found) if g in at), np.zeros(len(m.bias)))
+        best = int(z.argmax())
+        if best >= len(m.families):
+            return None
+        p = 1 / np.exp((z - z.max()) / m.temperature).sum()
+        o = max(overlap(found, len(words), t) for t in templates[m.families[best]])
+        return (m.families[best], p, o, a, b) if p >= least and o >= confirm else None
+
+    inside = lambda x, y: y[3] <= x[3] and x[4] <= y[4]
+    families, n, unknown = set(), 0, 0
+    for paragraph in java_split(L.BLANK.replace(r"[^\p{L}\p{N}]", r"[^a-zA-Z0-9ª-￿]"), text):
+        lines = java_split(r"[\r\n]+", paragraph)
+        segments = [(i, w) for i, line in enumerate(lines) for s in java_split(L.SEGMENT, line) if (w := L.tokens(s))]
+        mine = set(L.grams([w for _, own in segments for w in own])) & known
+        live = [t for f in templates.values() for t in f if len(t & mine) >= confirm * len(t)]
+        found = []
+        for a in range(len(segments)):
+            words = 0
+            for b in range(a, len(segments)):
+                words += len(segments[b][1])
+                if words > L.GROUP_WORDS and b > a:
+                    break
+                if live and cues & set(segments[a][1]) and cues & set(segments[b][1]) and (g := judge(segments, a, b, live, mine)):
+                    found.append(g)
+        small = [x for x in found if not any(y[0] == x[0] and inside(y, x) and not inside(x, y) for y in found)]
+        beaten = lambda x, y: y[0] != x[0] and rival[y[0]] == rival[x[0]] and (inside(x, y) or inside(y, x)) and (y[2] > x[2] or (y[2] == x[2] and inside(x, y)))
+        kept = [x for x in small if not any(beaten(x, y) for y in small)]
+        once = [x for x in kept if not any(y[0] == x[0] and y[3] < x[3] <= y[4] for y in kept)]
+        families |= {x[0] for x in once}
+        n += len(once)
+        for i, line in enumerate(lines):
+            if not any(segments[x[3]][0] <= i <= segments[x[4]][0] for x in kept):
+                words = L.tokens(line)
+                unknown += bool(set(words) & set(k.words)) and k.bias + sum(weight.get(g, 0.0) for g in L.grams(words)) >= k.least
+    return ",".join(sorted(families)) or None, n, unknown
+
+
+def java_split(pattern, text):
+    import regex
+
+    return regex.split(pattern, text, flags=regex.V0)
+
+
+def test_whole_query_against_loops_over_all_groups(spark):
+    rng = random.Random(4)
+    pool = [t for notices in L.NOTICES.values() for t in notices] + L.UNLISTED + L.OTHER_USES + HELD_OUT + ["some words of no note", "the and of to in", "see the text here", "license", "", "###", "x = 1"]
+    texts = []
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            t = rng.choice(pool)
+            if rng.random() < 0.3:
+                words = t.split()
+                t = "".join(w + rng.choice([" ", " ", "\n", "\n# "]) for w in words)
+            parts.append(t)
+        texts.append("".join(p + rng.choice([" ", "\n", ", ", "\n\n", "\r\n", " and ", " or "]) for p in parts))
+    got = license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    want = [brute_licenses(t) for t in texts]
+    assert [(r.licenses, r.n_paragraphs, r.n_unknown) for r in got] == want
+    assert len({w[0] for w in want}) > 10 and any(w[2] for w in want)
