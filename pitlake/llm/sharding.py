@@ -78,16 +78,19 @@ def _order(b: Bound) -> tuple:
     return b[0], b[1] is not None, b[1] or 0, b[2]
 
 
-def _sample(rows: DataFrame, weight: Column, n: int) -> list[Bound]:
-    """n keys, drawn without replacement with chances by weight, in order; ``n`` bounds what comes to the driver."""
+def _sample(rows: DataFrame, weight: Column, n: int, total: float) -> list[Bound]:
+    """About ``n`` keys in order, each record drawn by itself with a chance that grows with its weight; ``total``: of all weights.
+
+    A record comes with the chance 1 - exp(-n * weight / total), so the expected number, ``n`` at most, bounds what comes to the driver from any number of tasks.
+    """
     u = (F.pmod(F.xxhash64("row"), F.lit(1 << 52)) + 1) / float(1 << 52)
-    drawn = rows.select("key", "doc_id", "row", (-F.ln(u) / weight).alias("score")).orderBy("score").limit(n).select("key", "doc_id", "row").collect()
+    drawn = rows.where(-F.ln(u) < weight * (n / total)).select("key", "doc_id", "row").collect()
     return sorted((tuple(r) for r in drawn), key=_order)
 
 
 def _quantiles(drawn: list[Bound], pieces: int) -> set[Bound]:
     """Splitters at the quantiles of a sample: before all records of a key, and inside the key if several quantiles fall in it."""
-    found = [drawn[len(drawn) * i // pieces] for i in range(1, pieces)]
+    found = [drawn[len(drawn) * i // pieces] for i in range(1, pieces)] if drawn else []
     out: set[Bound] = set()
     for key, n in Counter(b[0] for b in found).items():
         out.add((key, None, -1))
@@ -101,7 +104,7 @@ def splitters(rows: DataFrame, conf: Sharding, total: int, count: int) -> tuple[
     ranges = max(conf.shards * conf.ranges, groups_for(count, conf.range_rows))
     weight = F.col("size") / float(total) + F.lit(1.0 / count)
     fair = 2.0 / ranges  # all weights sum to 2
-    bounds = sorted(_quantiles(_sample(rows, weight, conf.per_range * ranges), ranges), key=_order)
+    bounds = sorted(_quantiles(_sample(rows, weight, conf.per_range * ranges, 2.0), ranges), key=_order)
     while True:
         found = rows.groupBy(range_of(bounds).alias("range")).agg(F.sum("size"), F.count("*"), F.min("key"), F.max("key")).collect()
         table = sorted(tuple(r) for r in found)
@@ -109,7 +112,7 @@ def splitters(rows: DataFrame, conf: Sharding, total: int, count: int) -> tuple[
         if not over:
             return bounds, table
         inside = rows.withColumn("range", range_of(bounds)).where(F.col("range").isin(list(over)))
-        drawn = _sample(inside, weight, 2 * conf.per_range * sum(over.values()))
+        drawn = _sample(inside, weight, 2 * conf.per_range * sum(over.values()), sum(size / total + n / count for r, size, n, _, _ in table if r in over))
         more = set(bounds)
         edges = [_order(b) for b in bounds]
         for r, pieces in over.items():
