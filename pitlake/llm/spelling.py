@@ -96,6 +96,11 @@ def one_edit(a: str, b: str) -> bool:
     return a != b and a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
+def _place(p: int) -> str:
+    """A place as one code point, or two beyond 65535: no two places share a string."""
+    return chr(p) if p <= 0xFFFF else chr(p & 0xFFFF) + chr(p >> 16)
+
+
 class Keys:
     """A word's trigrams with their places, and those with places one up, as strings; kept while words of one trigram and length pass by."""
 
@@ -107,7 +112,7 @@ class Keys:
         found = self.of.get(word)
         if found is None:
             padded = _BEFORE + word + _AFTER
-            keys = [padded[p : p + Q] + chr(p & 0xFFFF) for p in range(len(word) + Q - 1)]
+            keys = [padded[p : p + Q] + _place(p) for p in range(len(word) + Q - 1)]
             found = self.of[word] = keys, frozenset(keys)
         return found
 
@@ -115,7 +120,7 @@ class Keys:
         found = self.raised.get(word)
         if found is None:
             padded = _BEFORE + word + _AFTER
-            keys = [padded[p : p + Q] + chr(q & 0xFFFF) for p in range(len(word) + Q - 1) for q in (p, p + 1)]
+            keys = [padded[p : p + Q] + _place(q) for p in range(len(word) + Q - 1) for q in (p, p + 1)]
             found = self.raised[word] = keys, frozenset(keys)
         return found
 
@@ -162,7 +167,8 @@ def near_in_cell(rows: list[tuple[int, bool, str, int]], across: bool, keys: Key
             if across and other[2] == block:
                 continue
             if len(mine & exact[v]) >= least and one_edit(word, other[0]):
-                yield word, n, other[0], other[1]
+                # Words of one length in their order: rows come in any, and another place that has both must give the same pair.
+                yield (other[0], other[1], word, n) if after >= 0 and other[0] < word else (word, n, other[0], other[1])
 
 
 _first = itemgetter(0)

@@ -123,3 +123,16 @@ def test_no_words(spark):
     assert spelling.spelling_groups(few).count() == 0
     alone = spark.createDataFrame([(1, "Zebra zebra ZEBRA", 9, 9)], "doc_id long, text string, word int, n int")
     assert found(alone, spelling.Spelling(typo=0)) == {("zebra", None, "zebra", 3, 0, None)}
+
+
+def test_order_of_rows_does_not_turn_pairs_around(spark):
+    """Executors fetch shuffled rows in any order; a pair that meets at two places must come out the same way at both."""
+    rows = [(0, False, w, 3) for w in ("aaaab", "aaaac", "aaaad")] + [(0, True, "aaaa", 3)]
+    near_in = lambda rows: sorted(spelling.near_in_cell(rows, False, spelling.Keys()))
+    assert near_in(rows) == near_in(rows[::-1]) and len(near_in(rows)) == 6
+
+
+def test_places_beyond_65535_are_told_apart():
+    n = 65_600
+    pairs = spelling.near_in_cell([(0, False, "a" * n, 3), (0, False, "a" * (n - 1) + "b", 3), (0, True, "a" * (n - 1), 3)], False, spelling.Keys())
+    assert len(list(pairs)) == 3
