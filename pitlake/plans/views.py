@@ -10,9 +10,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a shuffle's partition; of the files read for each partition that a shuffle begins with.
+PARTITION, FILES = 8 << 20, 2 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows``, with the session's shuffles dealt by the size of the input: many partitions at first, joined up to one size, so that a task's memory stays as the input grows."""
+    conf = rows.sparkSession.conf
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files
+    conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(max(int(conf.get("spark.sql.shuffle.partitions")), min(size // FILES, 20_000))))
+    conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(PARTITION))
+    return rows
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rows of suppliers: amount, volume, close (their ratio) and return on the row before."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date"))
+    rows = dealt(table(spark, sf_dir, "lineitem")).groupBy(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("trade_date"))
     out = rows.agg(F.sum("l_extendedprice").alias("amount"), F.sum("l_quantity").alias("volume")).withColumn("close", F.col("amount") / F.col("volume"))
     return out.withColumn("daily_return", F.col("close") / F.lag("close").over(Window.partitionBy("code").orderBy("trade_date")) - 1)
 
@@ -40,7 +53,7 @@ market AS (
 
 def cross_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cross-section a year of parts sold: brand as group, price as cap, order statistics as factors."""
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    li, part = dealt(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     rows = li.groupBy(F.col("l_partkey").alias("code"), F.year("l_shipdate").alias("date")).agg(
         F.sum("l_extendedprice").alias("amount"), F.avg("l_discount").alias("value_style"), F.avg("l_quantity").alias("size"), F.avg("l_tax").alias("momentum"), F.count("*").alias("n")
     )

@@ -65,3 +65,18 @@ def test_satellite_blend(spark):
     sat = spark.createDataFrame([(1, "g", 1.0)], "d int, grp string, strength double")
     out = scoring.blend_satellite(scored, sat, "d", "grp", "base", "tilt", 0.3, F.lit(0.5)).collect()
     assert sorted(r.satellite_weight for r in out) == [0.0, 0.15, 0.15]
+
+
+def test_shuffles_begin_with_partitions_by_the_size_of_the_input(spark, sf, monkeypatch):
+    from pitlake.operators import quality
+    from pitlake.plans import views
+
+    first = lambda: int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum"))
+    want = quality.panel_checks(views.panel(spark, sf), ["code", "trade_date"]).collect()
+    assert first() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # a small table
+    monkeypatch.setattr(views, "FILES", 2000)
+    rows = views.panel(spark, sf)
+    assert first() > 20 and int(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == views.PARTITION
+    assert quality.panel_checks(rows, ["code", "trade_date"]).collect() == want
+    monkeypatch.undo()
+    views.panel(spark, sf)
