@@ -80,3 +80,15 @@ def test_shuffles_begin_with_partitions_by_the_size_of_the_input(spark, sf, monk
     assert quality.panel_checks(rows, ["code", "trade_date"]).collect() == want
     monkeypatch.undo()
     views.panel(spark, sf)
+
+
+def test_weighted_views_equal_the_windows(spark):
+    from pitlake.operators import crosssection as X
+
+    rows = [(i, 1990 + i % 2, None if i % 7 == 0 else i * 0.5, None if i % 11 == 0 else i * i * 1.0, None if i % 13 == 0 else 1.0 + i % 5, None if i % 17 == 0 else f"g{i % 3}") for i in range(80)] + [(99, 1995, 1.0, 2.0, 3.0, "g")]
+    x = spark.createDataFrame(rows, "code long, date int, size double, amount double, cap double, g string")
+    cap, by = F.col("cap"), ["date"]
+    want = x.select("code", X.weighted_standardise(F.col("size"), cap, by).alias("a"), X.weighted_residual(F.col("amount"), F.col("size"), cap, by).alias("b"), X.cap_share(cap, by, "g").alias("c"))
+    got = X.weighted_views(x, "size", "amount", "cap", by, "g").select("code", "standard", "residual", "share")
+    near = lambda r: tuple(None if v is None else round(v, 7) for v in r)
+    assert sorted(map(near, got.collect()), key=str) == sorted(map(near, want.collect()), key=str)
