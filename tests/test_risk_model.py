@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,31 @@ def test_stock_covariance_in_blocks(spark):
             assert i <= j and r.covariance == pytest.approx(1.21 * want)
 
 
+def test_stock_covariance_of_portfolios_with_factors_of_their_own(spark):
+    """What goes through the shuffle is a portfolio's own factors, once for each of at most ``most`` blocks; tiles of a few pairs give the whole."""
+    rng = np.random.default_rng(3)
+    f = rng.normal(size=(9, 9))
+    f = f @ f.T
+    x = {(p, c): {0: 1.0, p + 1: float(rng.normal())} for p in range(8) for c in range(30)}
+    exposures = spark.createDataFrame([(p, c, f"f{j}", v) for (p, c), own in x.items() for j, v in own.items()], "p int, code int, factor string, value double")
+    cov = spark.createDataFrame([(f"f{i}", f"f{j}", float(f[i, j])) for i in range(9) for j in range(9)], "factor_1 string, factor_2 string, covariance double")
+    specific = spark.createDataFrame([(p, c, 0.5) for p, c in x], "p int, code int, specific_variance double")
+    out = risk_aware.stock_covariance(exposures, cov, specific, ["p"], block=2, most=3)
+    got = {(r.p, r.code_1, r.code_2): r.covariance for r in out.collect()}
+    assert len(got) == 8 * 30 * 31 // 2
+    for (p, a, b), v in got.items():
+        want = sum(u * w * f[i, j] for i, u in x[(p, a)].items() for j, w in x[(p, b)].items()) + (0.5 if a == b else 0)
+        assert a <= b and v == pytest.approx(want)
+    names, d = pa.array(rng.permutation(50)), rng.uniform(size=50)
+    y = rng.normal(size=(50, 9))
+    whole = y @ f @ y.T + np.diag(d)
+    tiles = list(risk_aware._tiles(names, y, d, None, y, f, 1.0, pairs=200))
+    assert len(tiles) > 10 and max(len(t[0]) for t in tiles) <= 200
+    at = {c: i for i, c in enumerate(names.to_pylist())}
+    cells = [(a, b, v) for t in tiles for a, b, v in zip(*(z.to_pylist() for z in t), strict=True)]
+    assert len(cells) == 50 * 51 // 2 and all(a <= b and v == pytest.approx(whole[at[a], at[b]]) for a, b, v in cells)
+
+
 def overlay(spark, weights, variances, groups=("10", "20"), **kw):
     codes = ["000001", "000002", "000003"][: len(weights)]
     day = D(2024, 1, 5)
