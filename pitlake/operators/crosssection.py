@@ -13,13 +13,23 @@ def winsorise_mad(df: DataFrame, value: str, by: list[str], k: float = 3.0, name
 
     Windows over the group rather than joins: one shuffle, shared by all columns treated by the same group.
     """
-    w, v = Window.partitionBy(*by), F.col(value)
-    out = df.withColumns({"_mid": F.median(v).over(w), "_q1": F.percentile(v, F.lit(0.01)).over(w), "_q99": F.percentile(v, F.lit(0.99)).over(w)})
-    out = out.withColumn("_mad", F.median(F.abs(v - F.col("_mid"))).over(w))
-    wide = k * 1.4826 * F.col("_mad")
-    low = F.when(F.col("_mad") > 1e-12, F.col("_mid") - wide).otherwise(F.col("_q1"))
-    high = F.when(F.col("_mad") > 1e-12, F.col("_mid") + wide).otherwise(F.col("_q99"))
-    return out.withColumn(name or value, F.when(v.isNotNull(), F.greatest(low, F.least(high, v)))).drop("_mid", "_q1", "_q99", "_mad")
+    return _winsorised(df, {value: name or value}, by, k)
+
+
+def _winsorised(df: DataFrame, names: dict[str, str], by: list[str], k: float) -> DataFrame:
+    """``winsorise_mad`` of all values at once, under their ``names``: two passes over a group, however many values."""
+    w = Window.partitionBy(*by)
+    points = F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))
+    out = df.withColumns({f"_q_{v}": F.percentile(F.col(v), points).over(w) for v in names})
+    out = out.withColumns({f"_mad_{v}": F.median(F.abs(F.col(v) - F.col(f"_q_{v}")[1])).over(w) for v in names})
+
+    def clipped(v: str) -> Column:
+        q, mad = F.col(f"_q_{v}"), F.col(f"_mad_{v}")
+        wide = k * 1.4826 * mad
+        low, high = F.when(mad > 1e-12, q[1] - wide).otherwise(q[0]), F.when(mad > 1e-12, q[1] + wide).otherwise(q[2])
+        return F.when(F.col(v).isNotNull(), F.greatest(low, F.least(high, F.col(v))))
+
+    return out.withColumns({name: clipped(v) for v, name in names.items()}).drop(*[f"{x}_{v}" for v in names for x in ("_q", "_mad")])
 
 
 def robust_z(df: DataFrame, value: str, by: list[str], name: str, least: int = 20, bound: float = 5.0) -> DataFrame:
@@ -125,10 +135,9 @@ def root_cap_weight(df: DataFrame, cap: str, by: list[str], name: str = "weight"
 def style_exposures(df: DataFrame, cap: str, styles: list[str], date: list[str], group: str, width: float = 5.0) -> DataFrame:
     """Styles winsorised at ``width`` MADs, filled by group and date medians (else 0), standardised by root-capitalisation weights."""
     out = root_cap_weight(df, cap, date, "_weight")
-    for s in styles:
-        out = winsorise_mad(out, s, date, width)
-        out = out.withColumn(s, F.coalesce(fill_median(F.col(s), date, group), F.lit(0.0)))
-        out = out.withColumn(s, weighted_standardise(F.col(s), F.col("_weight"), date))
+    out = _winsorised(out, {s: s for s in styles}, date, width)
+    out = out.withColumns({s: F.coalesce(fill_median(F.col(s), date, group), F.lit(0.0)) for s in styles})
+    out = out.withColumns({s: weighted_standardise(F.col(s), F.col("_weight"), date) for s in styles})
     return out.drop("_weight")
 
 

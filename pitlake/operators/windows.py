@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,6 +20,26 @@ def rolling(agg, c: Column, w: WindowSpec, n: int, least: int) -> Column:
     return F.when(F.count(c).over(frame) >= least, agg(c).over(frame))
 
 
+def rolling_deviation(df: DataFrame, value: str, w: WindowSpec, n: int, least: int, name: str) -> DataFrame:
+    """Column ``name``: sample deviation of the last n rows' values, where at least ``least`` of them are there.
+
+    A row looks at short pieces and combines their counts, means and squares, so it costs about the root of n and not n; nothing is subtracted
+    from longer sums, so rows outside the window leave no trace.
+    """
+    piece = max(d for d in range(1, math.isqrt(2 * n) + 1) if n % d == 0)
+    near, c = w.rowsBetween(-(piece - 1), 0), F.col(value)
+    out = df.withColumns({"_n": F.count(c).over(near), "_m": F.avg(c).over(near), "_v": F.var_pop(c).over(near)})
+    ages = range(0, n, piece)
+    back = lambda k, age: F.col(k) if age == 0 else F.lag(k, age).over(w)
+    out = out.withColumns({f"{k}{age}": back(k, age) for age in ages for k in ("_n", "_m", "_v")})
+    part = lambda x: F.coalesce(x, F.lit(0.0))
+    out = out.withColumns({"_all": sum((F.coalesce(f"_n{age}", F.lit(0)) for age in ages), F.lit(0)), "_base": F.coalesce(*[F.col(f"_m{age}") for age in ages])})
+    out = out.withColumn("_mean", F.col("_base") + sum((part(F.col(f"_n{age}") * (F.col(f"_m{age}") - F.col("_base"))) for age in ages), F.lit(0.0)) / F.greatest("_all", F.lit(1)))
+    squares = sum((part(F.col(f"_n{age}") * (F.col(f"_v{age}") + F.pow(F.col(f"_m{age}") - F.col("_mean"), F.lit(2.0)))) for age in ages), F.lit(0.0))
+    deviation = F.when((F.col("_all") >= max(least, 2)), F.sqrt(squares / F.greatest(F.col("_all") - 1, F.lit(1))))
+    return out.withColumn(name, deviation).drop("_n", "_m", "_v", "_all", "_base", "_mean", *[f"{k}{age}" for age in ages for k in ("_n", "_m", "_v")])
+
+
 def row_return(c: Column, w: WindowSpec, k: int) -> Column:
     return c / F.lag(c, k).over(w) - 1
 

@@ -173,3 +173,32 @@ def test_matured_weights_use_no_later_label(spark):
     d = spark.createDataFrame([(D(2024, 2, 1),), (D(2024, 8, 1),)], "decision_date date")
     got = {(r.decision_date.month, r.component): r.weight for r in scoring.matured_ic_weights(rows, d, {"a": 0.5, "b": 0.5}, cap=0.8).collect()}
     assert got[(2, "a")] == got[(2, "b")] == 0.5 and got[(8, "a")] > 0.7
+
+
+def test_rolling_deviation_of_pieces(spark):
+    """Equal to pandas for windows whose length has divisors and not; a huge value and nulls leave no trace once they are out, and equal values give 0."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=300)
+    v[rng.choice(300, 50, replace=False)] = np.nan
+    v[40] = 1e12
+    v[200:270] = 0.25
+    df = spark.createDataFrame([(c, i, None if np.isnan(x) else float(x)) for c in "ab" for i, x in enumerate(v if c == "a" else v[:7])], "code string, trade_date int, r double")
+    for n, least in ((60, 20), (12, 2), (7, 3)):
+        got = W.rolling_deviation(df, "r", W.series("code"), n, least, "sd").orderBy("code", "trade_date").toPandas()
+        for c, own in (("a", v), ("b", v[:7])):
+            want = pd.Series(own).rolling(n, min_periods=1).apply(lambda x, least=least: np.nanstd(x, ddof=1) if np.isfinite(x).sum() >= max(least, 2) else np.nan, raw=True).to_numpy()
+            assert np.allclose(got.loc[got["code"] == c, "sd"].to_numpy(float), want, rtol=1e-9, atol=1e-12, equal_nan=True)
+    flat = got.loc[(got["code"] == "a") & got["trade_date"].between(210, 269), "sd"].dropna()
+    assert len(flat) and (flat == 0).all()
+
+
+def _lines_read(df):
+    """How often a plan reads lines, and how often it shuffles."""
+    plan = df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
+    return plan[0].count("lineitem.parquet"), plan[1].count("Exchange hashpartitioning")
+
+
+def test_weekly_cross_section_is_dealt_by_supplier_once(spark, sf):
+    reads, shuffles = _lines_read(catalog._weekly_cross_section(spark, sf))
+    assert reads <= 2  # the lines and their days
+    assert shuffles <= 2  # lines by supplier, days by week
