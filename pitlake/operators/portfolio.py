@@ -90,7 +90,11 @@ def score_weights(score: np.ndarray, volatility: np.ndarray, spec: Construction)
 
 
 def target_weights(candidates: DataFrame, spec: Construction = Construction()) -> DataFrame:
-    """(decision_date, code, weight) from candidates (decision_date, code, score, volatility, industry_group, held)."""
+    """(decision_date, code, weight) from candidates (decision_date, code, score, volatility, industry_group, held).
+
+    Only rows that can be chosen come to Python: a name of a group is taken over all when those of its group before it were, so at most ``wanted``
+    of a group, or by a rank of the buffer; and what is passed over lies in groups that are full, of which there are ``wanted`` at most.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         df = pdf.dropna(subset=["score"]).sort_values(["score", "code"], ascending=[False, True]).reset_index(drop=True)
@@ -102,8 +106,13 @@ def target_weights(candidates: DataFrame, spec: Construction = Construction()) -
         w = cap_and_redistribute(raw, group[at], spec.equity, spec.stock_cap, spec.group_cap)
         return pd.DataFrame({"decision_date": df["decision_date"].iloc[0], "code": df["code"].to_numpy()[at], "weight": w})
 
-    rows = candidates.select("decision_date", F.col("code").cast("string"), "score", "volatility", "industry_group", "held")
-    return rows.groupBy("decision_date").applyInPandas(run, "decision_date date, code string, weight double")
+    wanted = max(spec.count, math.ceil(spec.equity / spec.stock_cap))
+    most = max(wanted, spec.buy_rank, spec.sell_rank)
+    rows = candidates.select("decision_date", F.col("code").cast("string").alias("code"), "score", "volatility", "industry_group", "held")
+    rows = rows.where(F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double"))).withColumn("_group", F.coalesce(F.col("industry_group").cast("string"), F.lit("UNKNOWN")))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "code"))
+    rows = rows.withColumn("_k", best("decision_date", "_group")).where(F.col("_k") <= most).withColumn("_k", best("decision_date")).where(F.col("_k") <= most * (wanted + 1))
+    return rows.drop("_k", "_group").groupBy("decision_date").applyInPandas(run, "decision_date date, code string, weight double")
 
 
 def round_to_lots(weight: np.ndarray, price: np.ndarray, low: np.ndarray, step: np.ndarray, value: float) -> np.ndarray:
