@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitlake.operators import crosssection, evaluate, factors, portfolio, reports, risk, risk_aware, scoring
 from pitlake.plans import views
-from pitlake.plans.catalog import STYLES, WEEKLY_X, _weekly_cross_section, query, rounded
+from pitlake.plans.catalog import STYLES, WEEKLY_X, _weekly_cross_section, _weekly_dates, query, rounded
 from pitlake.plans.catalog_accounts import _ACCOUNT, _account
 from pitlake.plans.catalog_more import EXPOSURES, _exposures, _std
 from pitlake.plans.views import CROSS, MARKET, PANEL, cross_section, panel, table
@@ -88,8 +88,7 @@ def factor_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def factor_covariance_floored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At the last week of each year; its matrices are those above with eigenvalues floored, which SQL cannot say."""
-    x = _weekly_cross_section(spark, sf_dir)
-    ends = x.groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date")).select("model_date")
+    ends = _weekly_dates(spark, sf_dir).groupBy(F.trunc("model_date", "YEAR").alias("y")).agg(F.max("model_date").alias("model_date")).select("model_date")
     return rounded(factors.factor_covariance(_factor_returns(spark, sf_dir), ends, 156, 26, 52, 4), 8)
 
 
