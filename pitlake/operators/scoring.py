@@ -68,7 +68,9 @@ def component_ics(panel: DataFrame, components: list[str], label: str, date: str
     rows = panel.select(date, label, F.explode(F.map_from_arrays(F.array(*map(F.lit, components)), F.array(*components))).alias("component", "x"))
     pairs = rows.where(F.col("x").isNotNull() & F.col(label).isNotNull())
     r = W.with_average_rank(W.with_average_rank(pairs, "x", [date, "component"], "_x"), label, [date, "component"], "_y")
-    return r.groupBy(date, "component").agg(F.corr("_x", "_y").alias("ic"), F.count("*").alias("names")).where(F.col("names") >= least)
+    # Ranks that do not vary give NaN, as corr does in SQL; Spark's own would divide by zero.
+    ic = F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))), F.lit(float("nan")))
+    return r.groupBy(date, "component").agg(ic.alias("ic"), F.count("*").alias("names")).where(F.col("names") >= least)
 
 
 def equity_target(state: DataFrame, base: float, target_volatility: float, least: float, band: float = 0.05, breadth_band: float = 0.2, tilt: float = 0.3, soft_crash: float = -0.06, hard_crash: float = -0.12, soft_cap: float = 0.5, off_cap: float = 0.7, hard_cap: float = 0.2) -> DataFrame:
