@@ -66,7 +66,8 @@ def matured_ic_weights(ics: DataFrame, decisions: DataFrame, static: dict[str, f
 def component_ics(panel: DataFrame, components: list[str], label: str, date: str, least: int = 40) -> DataFrame:
     """(date, component, ic, names): rank IC of every component per date, in one pass over long rows."""
     rows = panel.select(date, label, F.explode(F.map_from_arrays(F.array(*map(F.lit, components)), F.array(*components))).alias("component", "x"))
-    pairs = rows.where(F.col("x").isNotNull() & F.col(label).isNotNull())
+    # Cross-sections are dealt by their number: by bytes, which compress well, a task would get many of them.
+    pairs = rows.where(F.col("x").isNotNull() & F.col(label).isNotNull()).repartition(256, date, "component")
     r = W.with_average_rank(W.with_average_rank(pairs, "x", [date, "component"], "_x"), label, [date, "component"], "_y")
     # Ranks that do not vary give NaN, as corr does in SQL; Spark's own would divide by zero.
     ic = F.coalesce(F.try_divide(F.covar_pop("_x", "_y"), F.sqrt(F.var_pop("_x") * F.var_pop("_y"))), F.lit(float("nan")))

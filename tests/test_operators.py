@@ -227,3 +227,4 @@ def test_ics_of_values_that_do_not_vary(spark):
     rows = spark.createDataFrame([(d, float(i), float(-i), 1.0 if d == 1 else float(i)) for d in (1, 2) for i in range(40)], "date int, a double, b double, y double")
     got = {(r.date, r.component): r.ic for r in scoring.component_ics(rows, ["a", "b"], "y", "date").collect()}
     assert got[(2, "a")] == pytest.approx(1) and got[(2, "b")] == pytest.approx(-1) and np.isnan(got[(1, "a")])
+    assert "REPARTITION_BY_NUM" in scoring.component_ics(rows, ["a", "b"], "y", "date")._jdf.queryExecution().executedPlan().toString()
