@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitlake.functions.columns import clip
+from pitlake.operators.staging import staged
 
 
 def winsorise_mad(df: DataFrame, value: str, by: list[str], k: float = 3.0, name: str | None = None) -> DataFrame:
@@ -41,6 +42,77 @@ def robust_z(df: DataFrame, value: str, by: list[str], name: str, least: int = 2
     return out.withColumn(name, F.when(F.count(v).over(w) >= least, clip(z, -bound, bound))).drop("_mid", "_mad")
 
 
+def _with_stats(df: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` with the columns of its group's row in ``stats``, a row a group; a missing key is a group as well."""
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_same{i}"))
+    out = df.join(F.broadcast(stats.withColumnsRenamed({c: f"_same{i}" for i, c in enumerate(by)})), same, "left")
+    return out.drop(*[f"_same{i}" for i in range(len(by))])
+
+
+def group_percentiles(df: DataFrame, values: dict[str, str], by: list[str], points: list[float], near: float = 0.005) -> DataFrame:
+    """(by, an array under the name of each value): what ``percentile`` gives at ``points`` in increasing order, for groups that are few and large.
+
+    No task holds a group or its distinct values: sketches tell between which values a point lies, those between are counted by value, and all others
+    only as lying before, between or behind. Ranks are running counts, so results are exact; where one is not between its edges, these are moved apart
+    (``near`` is their distance in shares of the rows). ``df`` is read several times.
+    """
+    keys, m = [f"_k{i}" for i in range(len(by))], len(points)
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("_of"), F.col(v).cast("double").alias("_x")) for i, v in enumerate(values)]))
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], each).where(F.col("_x").isNotNull())
+    keys = [*keys, "_of"]
+    while True:
+        edges = rows.groupBy(*keys).agg(F.count("_x").alias("_all"), F.percentile_approx("_x", [min(max(p + d, 0.0), 1.0) for d in (-near, near) for p in points], 1000).alias("_e"))
+        few = F.col("_all") * near < 50
+        low = F.array(*[F.when(few | F.lit(p - near <= 0), F.lit(float("-inf"))).otherwise(F.col("_e")[i]) for i, p in enumerate(points)])
+        high = F.array(*[F.when(few | F.lit(p + near >= 1), F.lit(float("nan"))).otherwise(F.col("_e")[m + i]) for i, p in enumerate(points)])  # nothing is greater than NaN
+        told = _with_stats(rows, edges.select(*keys, low.alias("_low"), high.alias("_high")), keys)
+        passed = sum(((F.col("_x") > F.col("_high")[i]).cast("int") for i in range(m)), F.lit(0))
+        counts = told.withColumn("_part", passed).groupBy(*keys, "_part", F.when(F.col("_x") >= F.get("_low", F.col("_part")), F.col("_x")).alias("_x")).agg(F.count("*").alias("_n"))
+        group = Window.partitionBy(*keys)
+        ranks = counts.withColumns({"_to": F.sum("_n").over(group.orderBy("_part", F.asc_nulls_first("_x"))), "_last": F.sum("_n").over(group) - 1})
+
+        def at(rank: Column) -> Column:
+            return F.max(F.when((F.col("_to") - F.col("_n") <= rank) & (rank < F.col("_to")), F.col("_x")))
+
+        found = ranks.groupBy(*keys, "_last").agg(*[at(f(p * F.col("_last"))).alias(f"{s}{i}") for i, p in enumerate(points) for s, f in (("_a", F.floor), ("_b", F.ceil))])
+        found = staged(found)
+        missed = F.lit(False)
+        for i in range(m):
+            missed = missed | F.col(f"_a{i}").isNull() | F.col(f"_b{i}").isNull()
+        if near >= 1 or found.where(missed).isEmpty():
+            break
+        near *= 8
+
+    def between(i: int, p: float) -> Column:
+        a, b, position = F.col(f"_a{i}"), F.col(f"_b{i}"), p * F.col("_last")
+        return F.when(a == b, a).otherwise((F.ceil(position) - position) * a + (position - F.floor(position)) * b)
+
+    out = found.select(*keys, F.array(*[between(i, p) for i, p in enumerate(points)]).alias("_p")).groupBy(*keys[:-1])
+    out = out.agg(*[F.first(F.when(F.col("_of") == i, F.col("_p")), ignorenulls=True).alias(name) for i, name in enumerate(values.values())])
+    return out.withColumnsRenamed(dict(zip(keys, by, strict=False)))
+
+
+def wide_robust_z(df: DataFrame, names: dict[str, str], by: list[str], least: int = 20, bound: float = 5.0) -> DataFrame:
+    """``robust_z`` of all values at once, under their ``names``, for groups that are few and large: what it needs of a group comes by aggregation and a join. ``df`` is read several times."""
+    sums = df.groupBy(*by).agg(*[f(v).alias(f"{s}_{v}") for v in names for s, f in (("_n", F.count), ("_avg", F.avg), ("_sd", F.stddev_samp))])
+    mids = group_percentiles(df, {v: f"_mid_{v}" for v in names}, by, [0.5])
+    away = _with_stats(df, mids, by).select(*by, *[F.abs(F.col(v) - F.col(f"_mid_{v}")[0]).alias(v) for v in names])
+    stats = _with_stats(_with_stats(sums, mids, by), group_percentiles(away, {v: f"_mad_{v}" for v in names}, by, [0.5]), by)
+
+    def known(v: str, by_mad: Column, by_sd: Column) -> Column:
+        return F.when(F.col(f"_n_{v}") >= least, F.when(F.col(f"_mad_{v}")[0] > 1e-12, by_mad).when(F.col(f"_sd_{v}") > 1e-12, by_sd))
+
+    # Of a group, so that little is left to do for a row.
+    centres = [known(v, F.col(f"_mid_{v}")[0], F.col(f"_avg_{v}")).alias(f"_centre_{v}") for v in names]
+    scales = [known(v, 1.4826 * F.col(f"_mad_{v}")[0], F.col(f"_sd_{v}")).alias(f"_scale_{v}") for v in names]
+    out = _with_stats(df, stats.select(*by, *centres, *scales), by)
+    out = out.withColumns({name: (F.col(v) - F.col(f"_centre_{v}")) / F.col(f"_scale_{v}") for v, name in names.items()})
+    out = out.withColumns({name: clip(F.col(name), -bound, bound) for name in names.values()})
+    return out.drop(*[f"{s}_{v}" for v in names for s in ("_centre", "_scale")])
+
+
 def zscore(value: Column, by: list[str]) -> Column:
     """Missing stays missing; where values do not vary, all are 0."""
     w = Window.partitionBy(*by)

@@ -23,11 +23,19 @@ def folder(spark: SparkSession) -> str:
     return found
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once and read again: for tables that several later steps read. Deleted when the program ends."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def staged(df: DataFrame, cleaned: bool = False) -> DataFrame:
+    """``df`` written once and read again: for tables that several later steps read. Deleted when the program ends; ``cleaned``: shuffle files of the writing go at its end."""
     spark = df.sparkSession
     path = f"{folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, str(cleaned or before == "true").lower())
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,6 +9,7 @@ from pitlake.functions import columns as C
 from pitlake.functions import trading as T
 from pitlake.operators import adjust, alpha, asof, evaluate, gaps, orders, portfolio, reports, risk, scoring
 from pitlake.operators import windows as W
+from pitlake.operators.staging import staged
 from pitlake.plans.catalog import WEEKLY, _SCHEDULE, query, rounded, weekly_returns
 from pitlake.plans.views import CROSS, PANEL, cross_section, panel, table
 from pitlake.sources import manifest, panels, reference, states, upsert
@@ -225,7 +226,7 @@ SELECT code, date AS model_date, round(mw, 8) AS market_industry_weight,
  round((coalesce(0.45 * rg, 0) + coalesce(0.55 * eg, 0)) / nullif(CASE WHEN rg IS NULL THEN 0 ELSE 0.45 END + CASE WHEN eg IS NULL THEN 0 ELSE 0.55 END, 0), 5) + 0.0 AS growth_raw FROM z""")
 def weekly_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, cap, size, n = F.col("amount"), F.col("cap"), F.col("size"), F.col("n")
-    rows = cross_section(spark, sf_dir).select(
+    rows = staged(cross_section(spark, sf_dir), cleaned=True).select(
         "code", F.col("date").alias("model_date"), "industry_group", (a * (F.col("value_style") - 0.0312345)).alias("parent_net_profit_ttm"), F.when(n > 1, a * (F.col("momentum") - 0.0212345)).alias("operating_cashflow_ttm"),
         F.when(n < 9, cap * 30).alias("total_market_cap"), F.when(size > 20, cap * 20).alias("float_market_cap"), (cap * size).alias("total_assets"), (a / 3).alias("total_liabilities"), (cap * (size - 10)).alias("parent_equity"),
         F.col("forward_return").alias("revenue_growth"), F.when(n > 2, F.col("forward_return") * 2).alias("earnings_growth"),

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitlake.operators import alpha, portfolio, risk
+import __spark_entry__ as entry
+from pitlake.operators import alpha, crosssection, portfolio, risk
 from pitlake.plans import build, evaluation
 from pitlake.sources import reference, workbook_sink, workbooks
 
@@ -142,6 +143,35 @@ def test_alpha_edges(spark):
     assert todo(day(1, 2, 3), day(1, 2)) == [3] and todo(day(2, 3), day(1, 2)) == [2, 3] and todo(day(1, 2), day(1).limit(0)) == [1, 2]
 
 
+def test_no_task_of_the_alpha_inputs_holds_a_date(spark, sf):
+    """Windows over a date, and maps of its distinct values, grow with the table where dates are few."""
+    plan = entry.queries()["weekly_alpha"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan and plan.count("Window") <= 1  # of sums by group
+
+
+def test_group_percentiles_are_exact(spark, monkeypatch):
+    """With ties, nulls, NaN, missing keys, small groups, and where a sketch gives edges that miss."""
+    rng = np.random.default_rng(5)
+    rows = [(1, float(v), float(w)) for v, w in zip(rng.normal(size=30000) ** 3, rng.integers(0, 3, 30000), strict=True)]
+    rows += [(2, float(i % 7), None) for i in range(40)] + [(None, 5.0, float("nan")), (None, 6.5, 1.0), (None, None, float("inf")), (3, None, None)]
+    df = spark.createDataFrame(rows, "k int, v double, w double").repartition(5).cache()
+    points = [0.01, 0.5, 0.99]
+    want = {r.k: r for r in df.groupBy("k").agg(*[F.percentile(c, F.array(*map(F.lit, points))).alias(c) for c in "vw"]).collect()}
+    sketch = F.percentile_approx
+    for moved in (0, 100):
+        monkeypatch.setattr(F, "percentile_approx", lambda c, *at, moved=moved: sketch(F.col(c) + moved, *at))
+        got = {r.k: r for r in crosssection.group_percentiles(df, {"v": "v", "w": "w"}, ["k"], points).collect()}
+        assert set(got) == {1, 2, None}
+        for k, r in got.items():
+            for c in "vw":
+                assert (r[c] is None and want[k][c] is None) or np.array_equal(r[c], want[k][c], equal_nan=True), (moved, k, c)
+    names = {"v": "a", "w": "b"}
+    one = crosssection.robust_z(crosssection.robust_z(df, "v", ["k"], "a"), "w", ["k"], "b")
+    key = lambda x: sorted(str([None if c is None else round(c, 9) + 0.0 for c in r]) for r in x.select("k", "v", "w", "a", "b").collect())
+    assert key(one.where("k is not null")) == key(crosssection.wide_robust_z(df, names, ["k"]).where("k is not null"))
+    df.unpersist()
+
+
 def test_planted_factors_get_their_verdicts(spark, sf):
     p = evaluation.planted_panel(spark, sf).cache()
     assert p.count() == p.select("date", "code").distinct().count() > 3000
