@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pitlake.operators import asof, attach, evaluate, factors, risk_aware
+import __spark_entry__ as entry
+from pitlake.operators import asof, attach, crosssection, evaluate, factors, risk_aware
 
 D = dt.date
 STYLES = ["a", "b", "c"]
@@ -167,6 +168,23 @@ def test_stock_covariance_of_portfolios_with_factors_of_their_own(spark):
     assert len(cells) == 50 * 51 // 2 and all(a <= b and v == pytest.approx(whole[at[a], at[b]]) for a, b, v in cells)
 
 
+def test_stock_covariance_reads_its_lines_once(spark, sf):
+    """Four times the shuffle of the lines, and years held by one task each, were more disk than the limit."""
+    plan = entry.queries()["stock_covariance"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem.parquet" not in plan and "l_extendedprice" not in plan and "Window" not in plan and "percentile(" not in plan
+    assert plan.count("collect_list(") == 1  # codes are gathered once, and go to the pairs of blocks as rows
+
+
+def test_wide_style_exposures_are_those_by_windows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(t), f"g{i % 4}", float(rng.uniform(1, 99)), None if t > 1 and rng.random() < 0.1 or t == 3 and i % 4 == 1 else float(rng.normal() ** 3), 2.0 if t < 3 else None) for t in (1, 2, 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "date int, g string, cap double, a double, b double")
+    for part in (df, df.where("date = 1")):  # the last without missing values
+        f = lambda x: sorted((r.date, r.g, r.cap, round(r.a, 9), round(r.b, 9)) for r in x.collect())
+        got, want = (f(x(part, "cap", ["a", "b"], ["date"], "g").select("date", "g", "cap", "a", "b")) for x in (crosssection.wide_style_exposures, crosssection.style_exposures))
+        assert len(got) == part.count() and got == want
+
+
 def overlay(spark, weights, variances, groups=("10", "20"), **kw):
     codes = ["000001", "000002", "000003"][: len(weights)]
     day = D(2024, 1, 5)
